@@ -107,3 +107,248 @@ def indicators_latest(spark: SparkSession, sf: str) -> DataFrame:
                        F.round("rsi", 4).alias("rsi"), F.round("macd", 4).alias("macd"),
                        F.round("signal", 4).alias("signal"), F.round("histogram", 4).alias("histogram"),
                        "rsi_zone", "macd_trend", "momentum", "outlook")
+
+
+# ------------------------------------------------------------ sources, keys
+
+from marketsig.functions import scalar as X  # noqa: E402
+from marketsig.functions.text import clean_headline  # noqa: E402
+from marketsig.operators import keys, sentiment, topk, validate  # noqa: E402
+from marketsig.schemas import TRADE_LEDGER  # noqa: E402
+from marketsig.sources import quotes  # noqa: E402
+
+
+def _k(ev):
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+@query
+def quotes_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Quote payloads landed as JSON text (built from each event:
+    price = value, zero when props.k = 0), decoded with a fixed schema; zero
+    prices are dropped."""
+    ev = _events(spark, sf)
+    k = _k(ev).cast("double")
+    payload = F.to_json(F.struct(
+        F.when(k == 0, F.lit(0.0)).otherwise(F.col("value")).alias("c"),
+        ((k - 50.0) / F.lit(10.0)).alias("d"),
+        ((k - 50.0) / F.lit(4.0)).alias("dp"),
+        (F.col("value") + k / F.lit(100.0)).alias("h"),
+        (F.col("value") - k / F.lit(100.0)).alias("l"),
+        (F.col("value") - (k - 50.0) / F.lit(20.0)).alias("o"),
+        (F.col("value") - (k - 50.0) / F.lit(10.0)).alias("pc")))
+    landed = ev.select("event_id", F.col("event_type").alias("ticker"), payload.alias("payload"))
+    return quotes.decode(landed)
+
+
+# The universe used by the universe query (upper-cased event types).
+UNIVERSE = ["CLICK", "PURCHASE", "VIEW"]
+
+
+@query
+def universe_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose upper-cased type is in the universe list."""
+    ev = _events(spark, sf).select("event_id", "user_id", "event_type", "value")
+    kept = keys.in_universe(ev, "event_type", UNIVERSE)
+    return kept.select("event_id", "user_id", F.upper("event_type").alias("ticker"), "value")
+
+
+def _feeds(spark, sf):
+    d = table(spark, sf, "documents")
+    is_primary = (F.col("lang") == "en") & (F.col("n_chars") < 300)
+    primary = d.filter(is_primary).withColumn("feed", F.lit("primary"))
+    secondary = d.filter(~is_primary).withColumn("feed", F.lit("secondary"))
+    return primary, secondary
+
+
+@query
+def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source (ticker), the primary feed (short English documents)
+    if it has any rows, else the secondary feed (everything else)."""
+    p, s = _feeds(spark, sf)
+    cols = ["source", "doc_id", "feed"]
+    return keys.fallback(p.select(*cols), s.select(*cols), "source")
+
+
+@query
+def news_first_n(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 10 documents of each source in doc_id order,
+    then those with short text (under 100 characters) dropped."""
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    first = topk.top_k_per_key(d, "source", [F.col("doc_id")], 10, rank="pos")
+    return (first.filter(F.col("n_chars") >= 100)
+            .select("source", (F.col("pos") - 1).cast("long").alias("pos"), "doc_id", "n_chars"))
+
+
+@query
+def headline_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source the ids of its first-10 kept documents, in feed order."""
+    kept = news_first_n(spark, sf)
+    return (kept.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))).alias("_h"))
+            .select("source", F.array_join(F.transform("_h", lambda x: x["doc_id"].cast("string")), ",")
+                    .alias("doc_ids")))
+
+
+@query
+def url_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert-ignore on the URL (md5 of the whole text stands in
+    for it): first doc_id per URL, minus URLs already stored (the German
+    documents play the stored table)."""
+    d = table(spark, sf, "documents")
+    incoming = d.select(F.md5("text").alias("url"), "doc_id", "source")
+    existing = d.filter(F.col("lang") == "de").select(F.md5("text").alias("url"))
+    return keys.insert_ignore(incoming, existing, "url", ["doc_id"])
+
+
+@query
+def quote_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert-ignore on (ticker, timestamp) = (l_partkey, l_shipdate);
+    stored rows are the returned items (flag R), the batch is the rest; first
+    row per key by (l_orderkey, l_linenumber)."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber",
+                                             "l_extendedprice", "l_returnflag")
+    stored = li.filter(F.col("l_returnflag") == "R")
+    batch = li.filter(F.col("l_returnflag") != "R").drop("l_returnflag")
+    return keys.insert_ignore(batch, stored, ["l_partkey", "l_shipdate"], ["l_orderkey", "l_linenumber"])
+
+
+@query
+def score_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Set each document's stored score from its label where one
+    exists (quality - toxic), keep the old score otherwise."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", "lang",
+        F.when(F.col("lang") == "en", F.lit(0.1)).when(F.col("lang") == "fr", F.lit(-0.1))
+        .cast("double").alias("sentiment_score"))
+    upd = table(spark, sf, "labels").select(
+        "doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("sentiment_score"))
+    return keys.apply_updates(d, upd, "doc_id", "sentiment_score")
+
+
+def ledger_rows(orders: DataFrame) -> DataFrame:
+    """Orders as trade-ledger rows (P4 shape): status P/F/O -> BUY/SELL/HOLD,
+    except low-priority open orders, which carry the invalid action WAIT."""
+    o = orders
+    action = (F.when(F.col("o_orderstatus") == "P", "BUY").when(F.col("o_orderstatus") == "F", "SELL")
+              .when(F.col("o_orderpriority") == "5-LOW", "WAIT").otherwise("HOLD"))
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("ticker"), action.alias("action"),
+        (F.col("o_totalprice") * 250.0).alias("price"), F.lit(0).alias("quantity"),
+        F.lit("order").alias("reasoning"),
+        ((F.col("o_totalprice") % 200.0 - 100.0) / 100.0).alias("sentiment_avg"),
+        (F.col("o_totalprice") / 5000.0).alias("rsi"), F.lit(None).cast("double").alias("macd"),
+        action.isin("BUY", "SELL").alias("approved"), F.lit("").alias("portfolio_manager_reasoning"),
+        F.when((F.col("o_orderpriority") == "2-HIGH") & (F.col("o_orderstatus") == "F"), F.lit(None))
+        .otherwise(F.col("o_orderdate")).alias("timestamp"))
+
+
+@query
+def validate_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ledger row checked against the ledger's
+    constraints; ``reason`` lists all failed checks."""
+    rows = ledger_rows(table(spark, sf, "orders"))
+    return validate.check(rows, TRADE_LEDGER).select("id", "valid", "reason")
+
+
+def _raw_titles(spark, sf):
+    p = table(spark, sf, "pages")
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    raw = (F.when(F.col("page_id") % 3 == 0, F.concat(title, F.lit(" - Reuters")))
+           .when(F.col("page_id") % 3 == 1, F.concat(F.lit("<b>"), title, F.lit("</b>")))
+           .otherwise(F.concat(title, F.lit(" | Bloomberg News"))))
+    return p.select("page_id", raw.alias("raw_headline"))
+
+
+@query
+def clean_headlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Page titles with a publisher suffix or a tag added, cleaned."""
+    t = _raw_titles(spark, sf)
+    return t.select("page_id", "raw_headline", clean_headline("raw_headline").alias("headline"))
+
+
+@query
+def timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Epoch fields with 0 / missing values, falsy-coalesced and
+    converted; RSS dates rendered and parsed back; ingest-else-publish time."""
+    ev = _events(spark, sf).select("event_id", "ts")
+    secs = X.epoch_seconds("ts")
+    eid = F.col("event_id")
+    pt = F.when(eid % 4 == 0, F.lit(0).cast("long")).otherwise(secs)
+    pa = F.when(eid % 5 == 0, F.lit(None).cast("long")).otherwise(secs + 30)
+    link = F.when(eid % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("https://news.example/"), eid))
+    url = F.concat(F.lit("https://feed.example/"), eid)
+    published = X.from_epoch(X.falsy_coalesce(pt, pa))
+    created = F.when(eid % 2 == 0, F.col("ts"))
+    return ev.select(
+        "event_id", published.alias("published_at"), X.falsy_coalesce(link, url, empty="").alias("url"),
+        X.rss_to_timestamp(X.rss_format("ts")).alias("rss_published"),
+        X.seen_at(created, published).alias("seen_at"))
+
+
+@query
+def softmax_label(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three embedding dimensions as class logits ->
+    probabilities, label (ties to the first class), confidence, signed score."""
+    e = table(spark, sf, "embeddings")
+    d = sentiment.classify(e, F.col("embedding")[0], F.col("embedding")[1], F.col("embedding")[2])
+    r = lambda c: F.round(c, 6).alias(c)
+    return d.select("vec_id", r("p_negative"), r("p_neutral"), r("p_positive"), "sentiment",
+                    r("confidence"), r("score"))
+
+
+# The word list the lexicon query scores the test documents with
+# (frequent words of the generated prose, split arbitrarily into two classes).
+TEST_LEXICON = {
+    "and": "positive", "with": "positive", "und": "positive", "et": "positive", "for": "positive",
+    "of": "negative", "der": "negative", "que": "negative", "to": "negative", "die": "negative",
+}
+
+
+@query
+def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 (default scorer): lexicon hits over each whole document -> logits
+    -> probabilities and signed score."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    c = sentiment.lexicon_counts(d, "text", TEST_LEXICON)
+    s = sentiment.classify(c, *sentiment.lexicon_logits())
+    r = lambda x: F.round(x, 6).alias(x)
+    n = lambda x: F.col(x).cast("long").alias(x)
+    return s.select("doc_id", n("n_tokens"), n("n_pos"), n("n_neg"), r("p_negative"), r("p_neutral"),
+                    r("p_positive"), "sentiment", r("score"))
+
+
+def _label_class():
+    return (F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")
+            .otherwise("neutral"))
+
+
+@query
+def net_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    """Count-path sentiment per ticker (source:lang) from labelled
+    documents; tickers without labels get the neutral zero row."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat_ws(":", "source", "lang").alias("ticker"))
+    scored = d.join(table(spark, sf, "labels"), "doc_id").select("ticker", _label_class().alias("sentiment"))
+    universe = d.select("ticker").distinct()
+    return sentiment.count_path(scored, "ticker", universe=universe)
+
+
+def _event_scores(spark, sf):
+    ev = _events(spark, sf)
+    score = ((F.col("event_id") * 37) % 201 - 100) / F.lit(100.0)
+    return ev.select(F.col("event_type").alias("ticker"), F.col("user_id"), F.col("event_id"),
+                     F.col("ts").alias("created_at"), score.alias("sentiment_score"))
+
+
+@query
+def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Recency-weighted score per ticker as of the newest event
+    (look-back widened to 3 days, double weight for the last 12 hours)."""
+    ev = _events(spark, sf)
+    news = _event_scores(spark, sf)
+    as_of = ev.select(F.max("ts")).scalar()
+    a = sentiment.weighted_scores(news, as_of, "ticker", "created_at", "sentiment_score",
+                                  lookback_minutes=3 * 24 * 60, recent_minutes=12 * 60)
+    a = sentiment.from_alert(a)
+    return a.select("ticker", "score", F.round("raw_score", 6).alias("raw_score"), "alert",
+                    "articles_count", "direction", "avg_sentiment", "positive_ratio",
+                    "negative_ratio", "neutral_ratio")

@@ -102,3 +102,183 @@ SELECT event_type AS ticker, CAST(date AS TIMESTAMP) AS date, close, round(rsi,
             ELSE 'neutral' END AS outlook
 FROM j WHERE back = 1""",
 }
+
+
+def _softmax_select(key: str, extra: str = "") -> str:
+    """Probabilities, label, confidence and signed score from logits a, b, c."""
+    return f"""
+e AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb,
+             exp(c - greatest(a, b, c)) AS ec FROM l),
+p AS (SELECT *, ea / (ea + eb + ec) AS pn, eb / (ea + eb + ec) AS pu, ec / (ea + eb + ec) AS pp FROM e)
+SELECT {key}, {extra} round(pn, 6) AS p_negative, round(pu, 6) AS p_neutral, round(pp, 6) AS p_positive,
+       CASE WHEN pn >= pu AND pn >= pp THEN 'negative' WHEN pu >= pp THEN 'neutral' ELSE 'positive' END
+         AS sentiment,
+       {"round(greatest(pn, pu, pp), 6) AS confidence," if not extra else ""} round(pp - pn, 6) AS score
+FROM p"""
+
+
+_FIRST10 = """
+SELECT source, pos, doc_id, n_chars FROM (
+  SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+  FROM documents) WHERE pos < 10 AND n_chars >= 100"""
+
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _clean(x: str) -> str:
+    t = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    t = _STRIP.format(x=t)
+    t = rf"regexp_replace({t}, '\s[-|]\s+[A-Z][A-Za-z\s]+$', '')"
+    t = rf"regexp_replace({t}, '\s+', ' ', 'g')"
+    return _STRIP.format(x=t)
+
+
+ORACLE.update({
+    "quotes_decode": """
+WITH e AS (SELECT event_id, event_type, value,
+                  CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE) AS k FROM events),
+q AS (SELECT event_id, event_type AS ticker,
+             CASE WHEN k = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS current_price,
+             (k - 50.0) / 10.0 AS change, (k - 50.0) / 4.0 AS percent_change,
+             value + k / 100.0 AS high, value - k / 100.0 AS low,
+             value - (k - 50.0) / 20.0 AS open, value - (k - 50.0) / 10.0 AS previous_close FROM e)
+SELECT * FROM q WHERE current_price IS NULL OR current_price <> 0""",
+
+    "universe_filter": """
+SELECT event_id, user_id, upper(event_type) AS ticker, value FROM events
+WHERE upper(event_type) IN ('CLICK', 'PURCHASE', 'VIEW')""",
+
+    "source_fallback": """
+WITH p AS (SELECT source, doc_id, 'primary' AS feed FROM documents WHERE lang = 'en' AND n_chars < 300),
+s AS (SELECT source, doc_id, 'secondary' AS feed FROM documents WHERE NOT (lang = 'en' AND n_chars < 300))
+SELECT * FROM p UNION ALL
+SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source = s.source)""",
+
+    "news_first_n": _FIRST10,
+
+    "headline_batches": f"""
+SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY pos) AS doc_ids
+FROM ({_FIRST10}) GROUP BY source""",
+
+    "url_dedup": """
+WITH f AS (SELECT md5(text) AS url, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source
+           FROM documents GROUP BY md5(text))
+SELECT url, doc_id, source FROM f
+WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = 'de' AND md5(d.text) = f.url)""",
+
+    "quote_insert_ignore": """
+SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice FROM lineitem i
+WHERE l_returnflag <> 'R'
+  AND NOT EXISTS (SELECT 1 FROM lineitem e WHERE e.l_returnflag = 'R'
+                  AND e.l_partkey = i.l_partkey AND e.l_shipdate = i.l_shipdate)
+QUALIFY row_number() OVER (PARTITION BY l_partkey, l_shipdate ORDER BY l_orderkey, l_linenumber) = 1""",
+
+    "score_update": """
+SELECT d.doc_id, d.lang,
+       coalesce(CAST(l.quality - l.toxic AS DOUBLE),
+                CAST(CASE WHEN d.lang = 'en' THEN 0.1 WHEN d.lang = 'fr' THEN -0.1 END AS DOUBLE))
+         AS sentiment_score
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+
+    "validate_ledger": """
+WITH r AS (
+  SELECT o_orderkey AS id, o_orderpriority AS ticker,
+         CASE WHEN o_orderstatus = 'P' THEN 'BUY' WHEN o_orderstatus = 'F' THEN 'SELL'
+              WHEN o_orderpriority = '5-LOW' THEN 'WAIT' ELSE 'HOLD' END AS action,
+         o_totalprice * 250.0 AS price, (o_totalprice % 200.0 - 100.0) / 100.0 AS sentiment_avg,
+         o_totalprice / 5000.0 AS rsi, CAST(NULL AS DOUBLE) AS macd,
+         CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'F' THEN NULL ELSE o_orderdate END AS ts
+  FROM orders),
+c AS (
+  SELECT id, nullif(concat_ws('; ',
+    CASE WHEN id IS NULL THEN 'id is null' END,
+    CASE WHEN ticker IS NULL THEN 'ticker is null' END,
+    CASE WHEN action IS NULL THEN 'action is null' END,
+    CASE WHEN action IS NULL THEN 'approved is null' END,
+    CASE WHEN ts IS NULL THEN 'timestamp is null' END,
+    CASE WHEN action NOT IN ('BUY', 'SELL', 'HOLD') THEN 'action not in BUY/SELL/HOLD' END,
+    CASE WHEN length(ticker) > 10 THEN 'ticker longer than 10' END,
+    CASE WHEN price IS NOT NULL AND TRY_CAST(price AS DECIMAL(12,4)) IS NULL
+         THEN 'price overflows decimal(12,4)' END,
+    CASE WHEN sentiment_avg IS NOT NULL AND TRY_CAST(sentiment_avg AS DECIMAL(6,4)) IS NULL
+         THEN 'sentiment_avg overflows decimal(6,4)' END,
+    CASE WHEN rsi IS NOT NULL AND TRY_CAST(rsi AS DECIMAL(6,2)) IS NULL THEN 'rsi overflows decimal(6,2)' END,
+    CASE WHEN macd IS NOT NULL AND TRY_CAST(macd AS DECIMAL(12,4)) IS NULL
+         THEN 'macd overflows decimal(12,4)' END), '') AS reason
+  FROM r)
+SELECT id, reason IS NULL AS valid, reason FROM c""",
+
+    "clean_headlines": f"""
+WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages),
+r AS (SELECT page_id,
+             CASE page_id % 3 WHEN 0 THEN title || ' - Reuters' WHEN 1 THEN '<b>' || title || '</b>'
+                  ELSE title || ' | Bloomberg News' END AS raw_headline FROM t)
+SELECT page_id, raw_headline, {_clean('raw_headline')} AS headline FROM r""",
+
+    "timestamps": """
+WITH e AS (SELECT event_id, ts, CAST(floor(epoch(ts)) AS BIGINT) AS secs FROM events),
+f AS (SELECT event_id, ts,
+             CASE WHEN event_id % 4 = 0 THEN 0 ELSE secs END AS pt,
+             CASE WHEN event_id % 5 = 0 THEN NULL ELSE secs + 30 END AS pa,
+             CASE WHEN event_id % 3 = 0 THEN '' ELSE 'https://news.example/' || event_id END AS link,
+             'https://feed.example/' || event_id AS url0,
+             CASE WHEN event_id % 2 = 0 THEN ts END AS created FROM e),
+g AS (SELECT *, TIMESTAMP '1970-01-01' + to_seconds(coalesce(nullif(pt, 0), pa)) AS published_at FROM f)
+SELECT event_id, published_at, coalesce(nullif(link, ''), url0) AS url,
+       strptime(substr(strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT', 6, 20), '%d %b %Y %H:%M:%S')
+         AS rss_published,
+       coalesce(created, published_at) AS seen_at
+FROM g""",
+
+    "softmax_label": """
+WITH l AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
+                  CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),""" + _softmax_select("vec_id"),
+
+    "lexicon_score": """
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS toks
+           FROM documents),
+n AS (SELECT doc_id, len(toks) AS n_tokens,
+             len(list_filter(toks, lambda x: x IN ('and', 'with', 'und', 'et', 'for'))) AS n_pos,
+             len(list_filter(toks, lambda x: x IN ('of', 'der', 'que', 'to', 'die'))) AS n_neg FROM t),
+l AS (SELECT doc_id, n_tokens, n_pos, n_neg,
+             CAST(100.0 AS DOUBLE) * n_neg / greatest(n_tokens, 1) AS a, CAST(1.0 AS DOUBLE) AS b,
+             CAST(100.0 AS DOUBLE) * n_pos / greatest(n_tokens, 1) AS c FROM n),"""
+    + _softmax_select("doc_id", "n_tokens, n_pos, n_neg,"),
+
+    "net_sentiment": """
+WITH d AS (SELECT doc_id, source || ':' || lang AS ticker FROM documents),
+s AS (SELECT d.ticker, CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive'
+                            ELSE 'neutral' END AS sentiment
+      FROM d JOIN labels l ON l.doc_id = d.doc_id),
+a AS (SELECT ticker, count(*) FILTER (WHERE sentiment = 'positive') AS p,
+             count(*) FILTER (WHERE sentiment = 'negative') AS n,
+             count(*) FILTER (WHERE sentiment = 'neutral') AS u, count(*) AS t FROM s GROUP BY ticker),
+j AS (SELECT u.ticker, coalesce(p, 0) AS p, coalesce(n, 0) AS n, coalesce(a.u, 0) AS u, coalesce(t, 0) AS t
+      FROM (SELECT DISTINCT ticker FROM d) u LEFT JOIN a ON a.ticker = u.ticker),
+k AS (SELECT *, coalesce(CAST(p - n AS DOUBLE) / nullif(t, 0), 0.0) AS avg_score FROM j)
+SELECT ticker, p AS positive_count, n AS negative_count, u AS neutral_count, t AS total_headlines,
+       avg_score,
+       CASE WHEN avg_score > 0.2 THEN 'positive' WHEN avg_score < -0.2 THEN 'negative' ELSE 'neutral' END
+         AS avg_sentiment,
+       coalesce(CAST(p AS DOUBLE) / nullif(t, 0), 0.0) AS positive_ratio,
+       coalesce(CAST(n AS DOUBLE) / nullif(t, 0), 0.0) AS negative_ratio,
+       coalesce(CAST(u AS DOUBLE) / nullif(t, 0), 0.0) AS neutral_ratio
+FROM k""",
+
+    "weighted_score": """
+WITH n AS (SELECT event_type AS ticker, ts AS created_at,
+                  CAST((event_id * 37) % 201 - 100 AS DOUBLE) / 100.0 AS s FROM events),
+m AS (SELECT max(ts) AS as_of FROM events),
+f AS (SELECT ticker, s, CASE WHEN created_at >= as_of - INTERVAL 720 MINUTE THEN 2.0 ELSE 1.0 END AS w
+      FROM n, m WHERE s IS NOT NULL AND created_at >= as_of - INTERVAL 4320 MINUTE),
+a AS (SELECT ticker, coalesce(sum(s * w) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS articles_count
+      FROM f GROUP BY ticker),
+x AS (SELECT *, round(raw, 4) AS score FROM a)
+SELECT ticker, score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert, articles_count,
+       CASE WHEN raw > 0 THEN 'positive' WHEN raw < 0 THEN 'negative' ELSE 'neutral' END AS direction,
+       CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END
+         AS avg_sentiment,
+       round(greatest(0.0, score), 4) AS positive_ratio, round(greatest(0.0, -score), 4) AS negative_ratio,
+       round(greatest(0.0, 1.0 - abs(score)), 4) AS neutral_ratio
+FROM x""",
+})
