@@ -352,3 +352,102 @@ def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("ticker", "score", F.round("raw_score", 6).alias("raw_score"), "alert",
                     "articles_count", "direction", "avg_sentiment", "positive_ratio",
                     "negative_ratio", "neutral_ratio")
+
+
+# ------------------------------------------------------------ top-k, history, replies
+
+from marketsig.functions.text import parse_decision as _parse  # noqa: E402
+
+
+def _desc(*cols):
+    return [F.col(c).desc() for c in cols]
+
+
+@query
+def topk_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's 5 newest orders (ties: larger key first)."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    t = topk.top_k_per_key(o, "o_custkey", _desc("o_orderdate", "o_orderkey"), 5)
+    return t.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 newest orders overall."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return topk.top_k(o, _desc("o_orderdate", "o_orderkey"), 20)
+
+
+@query
+def topk_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's 10 newest line items."""
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate")
+    t = topk.top_k_per_key(li, "l_suppkey", _desc("l_shipdate", "l_orderkey", "l_linenumber"), 10)
+    return t.withColumn("rank", F.col("rank").cast("long"))
+
+
+# The history block of the decision prompt.
+HISTORY_HEADER = "\n\nHISTORICAL CONTEXT (Past 5 trades for this stock):\n"
+HISTORY_LINE = "%d. %s: %s at $%.2f (Sentiment: %.2f, RSI: %.1f) - %s\n"
+
+
+def history_context(hist_col: str) -> F.Column:
+    """Numbered history lines (newest first) under the header;
+    empty when there is no earlier trade."""
+    lines = F.transform(hist_col, lambda x, i: F.format_string(
+        HISTORY_LINE, i + 1, F.date_format(x["timestamp"], "yyyy-MM-dd"), x["action"], x["price"],
+        x["sentiment_avg"], x["rsi"], x["reasoning"]))
+    return F.when(F.size(hist_col) > 0, F.concat(F.lit(HISTORY_HEADER), F.array_join(lines, "")))\
+        .otherwise(F.lit(""))
+
+
+def order_trades(orders: DataFrame) -> DataFrame:
+    """Orders read as past trades of ticker C<custkey>."""
+    act = (F.when(F.col("o_orderstatus") == "P", "BUY").when(F.col("o_orderstatus") == "F", "SELL")
+           .otherwise("HOLD"))
+    return orders.select(
+        F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderdate").alias("timestamp"), act.alias("action"),
+        F.col("o_totalprice").alias("price"),
+        ((F.col("o_totalprice") % 200.0 - 100.0) / 101.0).alias("sentiment_avg"),
+        (F.col("o_totalprice") / 5003.0).alias("rsi"), F.col("o_orderpriority").alias("reasoning"))
+
+
+@query
+def trade_history_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 (+E6 history block): for every order, the customer's 5 previous
+    orders newest first, rendered as the decision prompt's history lines."""
+    t = order_trades(table(spark, sf, "orders"))
+    h = topk.history_before(t, "o_custkey", "timestamp", "o_orderkey", 5,
+                            ["timestamp", "action", "price", "sentiment_avg", "rsi", "reasoning"])
+    return h.select("o_custkey", "o_orderkey", history_context("history").alias("history_context"))
+
+
+# Decision lines used to build test replies, one per conv_id mod 7
+# (well-formed, lower-case, markdown-wrapped, bracketed, missing, repeated).
+REPLY_LINES = [
+    "DECISION: BUY\nCONFIDENCE: HIGH",
+    "decision: sell\nconfidence: medium",
+    "**DECISION:** BUY",
+    "DECISION: [SELL]",
+    "DECISION: hold\nCONFIDENCE: LOW",
+    "",
+    "Decision:BUY Decision: SELL\nConfidence:high",
+]
+
+
+def _replies(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    line = F.element_at(F.array(*[F.lit(x) for x in REPLY_LINES]), (F.col("conv_id") % 7 + 1).cast("int"))
+    think = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>\n")))
+    reply = F.concat(think, line, F.lit("\nREASONING: "), F.col("text"))
+    return c.select("conv_id", "turn", reply.alias("reply"))
+
+
+@query
+def parse_decision(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns made into model replies (think block,
+    decision line by conv_id mod 7, reasoning) and parsed."""
+    r = _replies(spark, sf).withColumn("d", _parse("reply"))
+    return r.select("conv_id", "turn", "d.decision", "d.confidence", "d.reasoning", "d.thinking_process",
+                    "d.approved")

@@ -282,3 +282,78 @@ SELECT ticker, score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert, arti
        round(greatest(0.0, 1.0 - abs(score)), 4) AS neutral_ratio
 FROM x""",
 })
+
+
+_REPLY_LINES = [
+    "DECISION: BUY\nCONFIDENCE: HIGH",
+    "decision: sell\nconfidence: medium",
+    "**DECISION:** BUY",
+    "DECISION: [SELL]",
+    "DECISION: hold\nCONFIDENCE: LOW",
+    "",
+    "Decision:BUY Decision: SELL\nConfidence:high",
+]
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_REPLIES = f"""
+r AS (SELECT conv_id, turn,
+             CASE WHEN turn % 3 = 0 THEN '' ELSE '<think>' || text || '</think>' || chr(10) END
+             || [{", ".join(_sql_str(x) for x in _REPLY_LINES)}][conv_id % 7 + 1]
+             || chr(10) || 'REASONING: ' || text AS reply
+      FROM conversations WHERE role = 'assistant'),
+f AS (SELECT *, {_STRIP.format(x="regexp_replace(reply, '(?s)<think>.*?</think>', '', 'g')")} AS ans FROM r)"""
+
+ORACLE.update({
+    "topk_trades": """
+SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank
+FROM orders QUALIFY rank <= 5""",
+
+    "topk_all": """
+SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders
+ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20""",
+
+    "topk_sentiment": """
+SELECT l_suppkey, l_orderkey, l_linenumber, l_shipdate,
+       row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC)
+         AS rank
+FROM lineitem QUALIFY rank <= 10""",
+
+    "trade_history_asof": """
+WITH t AS (
+  SELECT o_custkey, o_orderkey, o_orderdate AS ts,
+         CASE WHEN o_orderstatus = 'P' THEN 'BUY' WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'HOLD' END AS action,
+         o_totalprice AS price, (o_totalprice % 200.0 - 100.0) / 101.0 AS sentiment_avg,
+         o_totalprice / 5003.0 AS rsi, o_orderpriority AS reasoning FROM orders),
+h AS (
+  SELECT o_custkey, o_orderkey,
+         list(printf('%s: %s at $%.2f (Sentiment: %.2f, RSI: %.1f) - %s' || chr(10),
+                     strftime(ts, '%Y-%m-%d'), action, price, sentiment_avg, rsi, reasoning))
+           OVER (PARTITION BY o_custkey ORDER BY ts DESC, o_orderkey DESC
+                 ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS lines
+  FROM t)
+SELECT o_custkey, o_orderkey,
+       CASE WHEN len(lines) > 0
+            THEN chr(10) || chr(10) || 'HISTORICAL CONTEXT (Past 5 trades for this stock):' || chr(10)
+                 || array_to_string(list_transform(lines, lambda x, i: CAST(i AS VARCHAR) || '. ' || x), '')
+            ELSE '' END AS history_context
+FROM h""",
+
+    "parse_decision": f"""
+WITH {_REPLIES}
+SELECT conv_id, turn,
+       coalesce(upper(nullif(regexp_extract(ans, '(?i)DECISION:\\s*(BUY|SELL|HOLD)', 1), '')), 'HOLD')
+         AS decision,
+       coalesce(upper(nullif(regexp_extract(ans, '(?i)CONFIDENCE:\\s*(HIGH|MEDIUM|LOW)', 1), '')), 'LOW')
+         AS confidence,
+       coalesce(nullif({_STRIP.format(x="regexp_extract(ans, '(?i)REASONING:\\s*(.+?)(?:\\n|$)', 1)")}, ''),
+                'No reasoning provided') AS reasoning,
+       {_STRIP.format(x="regexp_extract(reply, '(?s)<think>(.*?)</think>', 1)")} AS thinking_process,
+       coalesce(upper(nullif(regexp_extract(ans, '(?i)DECISION:\\s*(BUY|SELL|HOLD)', 1), '')), 'HOLD')
+         IN ('BUY', 'SELL') AS approved
+FROM f""",
+})
