@@ -113,3 +113,25 @@ def _sql(c) -> str:
     if isinstance(c, str):
         return f"`{c}`"
     raise TypeError("pass a column name")
+
+
+def fixed(x, digits: int) -> Column:
+    """Python ``f'{x:.{digits}f}'``.
+
+    ``format_number`` rounds the exact binary value half-to-even, as Python and
+    C do; ``format_string('%.2f')`` rounds the shortest decimal half-up and
+    differs on values such as 0.235.  Grouping commas are removed.
+    """
+    return F.regexp_replace(F.format_number(_col(x).cast("double"), digits), ",", "")
+
+
+def signed_fixed(x, digits: int) -> Column:
+    """Python ``f'{x:+.{digits}f}'``."""
+    c = _col(x).cast("double")
+    return F.when(c.isNull(), F.lit(None)).when(c >= 0, F.concat(F.lit("+"), fixed(F.abs(c), digits)))\
+        .otherwise(fixed(c, digits))
+
+
+def percent(x, digits: int) -> Column:
+    """Python ``f'{x:.{digits}%}'``."""
+    return F.concat(fixed(_col(x).cast("double") * 100.0, digits), F.lit("%"))

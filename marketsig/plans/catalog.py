@@ -388,15 +388,15 @@ def topk_sentiment(spark: SparkSession, sf: str) -> DataFrame:
 
 # The history block of the decision prompt.
 HISTORY_HEADER = "\n\nHISTORICAL CONTEXT (Past 5 trades for this stock):\n"
-HISTORY_LINE = "%d. %s: %s at $%.2f (Sentiment: %.2f, RSI: %.1f) - %s\n"
 
 
 def history_context(hist_col: str) -> F.Column:
     """Numbered history lines (newest first) under the header;
     empty when there is no earlier trade."""
-    lines = F.transform(hist_col, lambda x, i: F.format_string(
-        HISTORY_LINE, i + 1, F.date_format(x["timestamp"], "yyyy-MM-dd"), x["action"], x["price"],
-        x["sentiment_avg"], x["rsi"], x["reasoning"]))
+    lines = F.transform(hist_col, lambda x, i: F.concat(
+        (i + 1).cast("string"), F.lit(". "), X.ymd(x["timestamp"]), F.lit(": "), x["action"],
+        F.lit(" at $"), X.fixed(x["price"], 2), F.lit(" (Sentiment: "), X.fixed(x["sentiment_avg"], 2),
+        F.lit(", RSI: "), X.fixed(x["rsi"], 1), F.lit(") - "), x["reasoning"], F.lit("\n")))
     return F.when(F.size(hist_col) > 0, F.concat(F.lit(HISTORY_HEADER), F.array_join(lines, "")))\
         .otherwise(F.lit(""))
 
