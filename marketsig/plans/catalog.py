@@ -451,3 +451,97 @@ def parse_decision(spark: SparkSession, sf: str) -> DataFrame:
     r = _replies(spark, sf).withColumn("d", _parse("reply"))
     return r.select("conv_id", "turn", "d.decision", "d.confidence", "d.reasoning", "d.thinking_process",
                     "d.approved")
+
+
+# ------------------------------------------------------------ end-to-end plans
+
+from marketsig.plans import news as news_plan  # noqa: E402
+from marketsig.plans import signals as sig  # noqa: E402
+
+NEWS_LOOKBACK_MINUTES = 24 * 60
+NEWS_RECENT_MINUTES = 6 * 60
+
+
+def _lexicon_scorer(df: DataFrame) -> DataFrame:
+    c = sentiment.lexicon_counts(df, "headline", TEST_LEXICON)
+    return sentiment.classify(c, *sentiment.lexicon_logits()).withColumn("sentiment_score", F.col("score"))
+
+
+@query
+def news_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents arrive as news (ticker = source, URL = md5 of the whole
+    text, ingest time = the event with the same id); German documents are the
+    stored table (score from labels, NULL = never scored).  Fallback, URL
+    insert-ignore, lexicon scoring of new rows only, weighted score per ticker
+    (look-back widened to 24 h, double weight for the last 6 h)."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    ev = _events(spark, sf).select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"))
+    arts = d.join(ev, "doc_id").select(
+        F.col("source").alias("ticker"), F.md5("text").alias("url"), F.col("text").alias("headline"),
+        "created_at", F.lit(None).cast("timestamp_ntz").alias("published_at"), F.col("doc_id").alias("pos"),
+        "doc_id", "lang", "n_chars")
+    is_p = (F.col("lang") == "en") & (F.col("n_chars") < 300)
+    labels = table(spark, sf, "labels").select(
+        "doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("sentiment_score"))
+    existing = (arts.filter(F.col("lang") == "de").join(labels, "doc_id", "left")
+                .select("ticker", "url", "headline", "created_at", "published_at", "sentiment_score"))
+    as_of = arts.select(F.max("created_at")).scalar()
+    universe = d.select(F.col("source").alias("ticker")).distinct()
+    signals, _ = news_plan.news_signals(arts.filter(is_p), arts.filter(~is_p), existing, _lexicon_scorer,
+                                        as_of, universe, "ticker", ("created_at", "pos"),
+                                        NEWS_LOOKBACK_MINUTES, NEWS_RECENT_MINUTES)
+    return signals.select("ticker", "score", F.round("raw_score", 6).alias("raw_score"), "alert",
+                          F.col("articles_count").cast("long").alias("articles_count"), "direction")
+
+
+# How the assembly binding labels a user's recent event scores
+# for the count path.
+HEADLINE_POS, HEADLINE_NEG = 0.33, -0.33
+
+
+def _user_ticker():
+    return F.concat(F.lit("U"), F.col("user_id").cast("string"))
+
+
+def _signal_inputs(spark, sf):
+    ev = _events(spark, sf)
+    k = _k(ev).cast("double")
+    payload = F.to_json(F.struct(
+        F.when(k % 20 == 0, F.lit(0.0)).otherwise(F.col("value")).alias("c"),
+        ((k - 50.0) / F.lit(10.0)).alias("d"), ((k - 50.0) / F.lit(4.0)).alias("dp"),
+        (F.col("value") + k / F.lit(100.0)).alias("h"), (F.col("value") - k / F.lit(100.0)).alias("l"),
+        (F.col("value") - (k - 50.0) / F.lit(20.0)).alias("o"),
+        (F.col("value") - (k - 50.0) / F.lit(10.0)).alias("pc")))
+    landed = ev.select(_user_ticker().alias("ticker"), "ts", "event_id", payload.alias("payload"))
+    quotes_now = sig.latest_quotes(landed, "ticker", "ts", "event_id")
+    as_of = ev.select(F.max("ts")).scalar()
+    hist = bars.lookback(ev.select(_user_ticker().alias("ticker"), "ts", "event_id", "value"), "ts", as_of, 1)
+    tech = sig.technical(hist, "ticker", "ts", "value", "event_id")
+    news = _event_scores(spark, sf).withColumn("ticker", _user_ticker())
+    universe = ev.select(_user_ticker().alias("ticker")).distinct()
+    alerts = sentiment.weighted_scores(news, as_of, "ticker", "created_at", "sentiment_score",
+                                       NEWS_LOOKBACK_MINUTES, NEWS_RECENT_MINUTES, universe=universe)
+    heads = topk.top_k_per_key(news, "ticker", _desc("created_at", "event_id"), 10)
+    s = F.col("sentiment_score")
+    heads = heads.select("ticker", F.when(s > HEADLINE_POS, "positive").when(s < HEADLINE_NEG, "negative")
+                         .otherwise("neutral").alias("sentiment"))
+    counted = sentiment.count_path(heads, "ticker", universe=universe)
+    rep = _replies(spark, sf)
+    rep = ind.latest(rep, "conv_id", "turn").select(
+        F.concat(F.lit("U"), F.col("conv_id").cast("string")).alias("ticker"), "reply")
+    return sig.assemble(universe, quotes_now, tech, alerts, counted, rep, "ticker")
+
+
+@query
+def signal_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user is a ticker; quote = its newest event
+    (price 0 when props.k is a multiple of 20 -> no quote -> error), history
+    = its events of the last month, news = weighted event scores, count path
+    = its 10 newest event scores, decision = the conversation with its id."""
+    a = _signal_inputs(spark, sf)
+    r4 = lambda c: F.round(c, 4).alias(c)
+    return a.select("ticker", "news_score", "news_alert", "news_count", "news_direction", "current_price",
+                    "change", "percent_change", "avg_sentiment", "avg_score", "positive_ratio",
+                    "negative_ratio", "neutral_ratio", "total_headlines", "sentiment_source",
+                    r4("rsi"), r4("macd"), r4("signal"), r4("histogram"), "rsi_zone", "macd_trend",
+                    "momentum", "outlook", "decision", "confidence", "reasoning", "approved", "error")

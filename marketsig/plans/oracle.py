@@ -300,12 +300,12 @@ def _sql_str(s: str) -> str:
 
 
 _REPLIES = f"""
-r AS (SELECT conv_id, turn,
+rr AS (SELECT conv_id, turn,
              CASE WHEN turn % 3 = 0 THEN '' ELSE '<think>' || text || '</think>' || chr(10) END
              || [{", ".join(_sql_str(x) for x in _REPLY_LINES)}][conv_id % 7 + 1]
              || chr(10) || 'REASONING: ' || text AS reply
       FROM conversations WHERE role = 'assistant'),
-f AS (SELECT *, {_STRIP.format(x="regexp_replace(reply, '(?s)<think>.*?</think>', '', 'g')")} AS ans FROM r)"""
+ff AS (SELECT *, {_STRIP.format(x="regexp_replace(reply, '(?s)<think>.*?</think>', '', 'g')")} AS ans FROM rr)"""
 
 ORACLE.update({
     "topk_trades": """
@@ -355,5 +355,169 @@ SELECT conv_id, turn,
        {_STRIP.format(x="regexp_extract(reply, '(?s)<think>(.*?)</think>', 1)")} AS thinking_process,
        coalesce(upper(nullif(regexp_extract(ans, '(?i)DECISION:\\s*(BUY|SELL|HOLD)', 1), '')), 'HOLD')
          IN ('BUY', 'SELL') AS approved
-FROM f""",
+FROM ff""",
+})
+
+
+_LEX_SCORE = """
+tok AS (SELECT *, list_filter(regexp_split_to_array(lower(headline), '[^a-z]+'), lambda x: x <> '') AS toks
+        FROM new),
+cnt AS (SELECT *, len(toks) AS n_tokens,
+               len(list_filter(toks, lambda x: x IN ('and', 'with', 'und', 'et', 'for'))) AS n_pos,
+               len(list_filter(toks, lambda x: x IN ('of', 'der', 'que', 'to', 'die'))) AS n_neg FROM tok),
+lg AS (SELECT *, CAST(100.0 AS DOUBLE) * n_neg / greatest(n_tokens, 1) AS a, CAST(1.0 AS DOUBLE) AS b,
+              CAST(100.0 AS DOUBLE) * n_pos / greatest(n_tokens, 1) AS c FROM cnt),
+ex2 AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb,
+               exp(c - greatest(a, b, c)) AS ec FROM lg),
+scored AS (SELECT ticker, url, created_at, ec / (ea + eb + ec) - ea / (ea + eb + ec) AS sentiment_score
+           FROM ex2)"""
+
+_EMA_STEP = """
+         r.f * (1 - 2.0::DOUBLE / 13) + b.value * (2.0::DOUBLE / 13),
+         r.s * (1 - 2.0::DOUBLE / 27) + b.value * (2.0::DOUBLE / 27),
+         r.sig * (1 - 2.0::DOUBLE / 10)
+           + ((r.f * (1 - 2.0::DOUBLE / 13) + b.value * (2.0::DOUBLE / 13))
+              - (r.s * (1 - 2.0::DOUBLE / 27) + b.value * (2.0::DOUBLE / 27))) * (2.0::DOUBLE / 10)"""
+
+ORACLE.update({
+    "news_signals": """
+WITH a AS (SELECT d.doc_id, d.source AS ticker, d.lang, d.n_chars, d.text AS headline, md5(d.text) AS url,
+                  e.ts AS created_at
+           FROM documents d JOIN events e ON e.event_id = d.doc_id),
+p AS (SELECT * FROM a WHERE lang = 'en' AND n_chars < 300),
+s AS (SELECT * FROM a WHERE NOT (lang = 'en' AND n_chars < 300)),
+feed AS (SELECT * FROM p UNION ALL SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.ticker = s.ticker)),
+feed2 AS (SELECT * FROM feed WHERE coalesce(url, '') <> ''),
+ex AS (SELECT a.ticker, a.url, a.created_at, CAST(l.quality - l.toxic AS DOUBLE) AS sentiment_score
+       FROM a LEFT JOIN labels l ON l.doc_id = a.doc_id WHERE a.lang = 'de'),
+first AS (SELECT * FROM feed2 QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at, doc_id) = 1),
+new AS (SELECT * FROM first f WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.url = f.url)),""" + _LEX_SCORE + """,
+stored AS (SELECT ticker, url, created_at, sentiment_score FROM ex
+           UNION ALL SELECT ticker, url, created_at, sentiment_score FROM scored),
+m AS (SELECT max(created_at) AS as_of FROM a),
+w AS (SELECT st.ticker, st.sentiment_score AS sc,
+             CASE WHEN created_at >= as_of - INTERVAL 360 MINUTE THEN 2.0 ELSE 1.0 END AS w
+      FROM stored st, m
+      WHERE st.ticker IN (SELECT ticker FROM feed2) AND sentiment_score IS NOT NULL
+        AND created_at >= as_of - INTERVAL 1440 MINUTE),
+agg AS (SELECT ticker, coalesce(sum(sc * w) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS n FROM w GROUP BY ticker),
+u AS (SELECT DISTINCT source AS ticker FROM documents),
+j AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n FROM u LEFT JOIN agg ON agg.ticker = u.ticker)
+SELECT ticker, round(raw, 4) AS score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert,
+       n AS articles_count,
+       CASE WHEN raw > 0 THEN 'positive' WHEN raw < 0 THEN 'negative' ELSE 'neutral' END AS direction
+FROM j""",
+
+    "signal_assembly": f"""
+WITH RECURSIVE
+ev AS (SELECT 'U' || user_id AS ticker, user_id, event_id, ts, value,
+              CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE) AS k FROM events),
+m AS (SELECT max(ts) AS as_of FROM events),
+lq AS (SELECT ticker, arg_max(value, (ts, event_id)) AS value, arg_max(k, (ts, event_id)) AS k
+       FROM ev GROUP BY ticker),
+q AS (SELECT ticker, CASE WHEN k % 20 = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS current_price,
+             (k - 50.0) / 10.0 AS change, (k - 50.0) / 4.0 AS percent_change FROM lq),
+q2 AS (SELECT * FROM q WHERE current_price IS NULL OR current_price <> 0),
+hist AS (SELECT ev.* FROM ev, m WHERE ts >= as_of - INTERVAL 1 MONTH),
+b AS (SELECT ticker, value, row_number() OVER w - 1 AS idx, coalesce(value - lag(value) OVER w, 0) AS d
+      FROM hist WINDOW w AS (PARTITION BY ticker ORDER BY ts, event_id)),
+s AS (SELECT *, sum(greatest(d, 0)) OVER w14 AS g, sum(greatest(-d, 0)) OVER w14 AS l
+      FROM b WINDOW w14 AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+r AS (SELECT ticker, idx, value AS f, value AS s, CAST(0 AS DOUBLE) AS sig FROM b WHERE idx = 0
+      UNION ALL
+      SELECT b.ticker, b.idx, {_EMA_STEP}
+      FROM r JOIN b ON b.ticker = r.ticker AND b.idx = r.idx + 1),
+tech AS (SELECT s.ticker,
+                CASE WHEN s.idx < 13 THEN NULL WHEN s.l = 0 THEN CASE WHEN s.g = 0 THEN NULL ELSE 100.0 END
+                     ELSE 100.0 - 100.0 / (1.0 + s.g / s.l) END AS rsi,
+                r.f - r.s AS macd, r.sig AS signal, r.f - r.s - r.sig AS histogram
+         FROM s JOIN r ON r.ticker = s.ticker AND r.idx = s.idx
+         QUALIFY row_number() OVER (PARTITION BY s.ticker ORDER BY s.idx DESC) = 1),
+news AS (SELECT ticker, event_id, ts AS created_at, CAST((event_id * 37) % 201 - 100 AS DOUBLE) / 100.0 AS sc
+         FROM ev),
+wn AS (SELECT ticker, sc, CASE WHEN created_at >= as_of - INTERVAL 360 MINUTE THEN 2.0 ELSE 1.0 END AS w
+       FROM news, m WHERE created_at >= as_of - INTERVAL 1440 MINUTE),
+agg AS (SELECT ticker, sum(sc * w) / nullif(sum(w), 0) AS raw, count(*) AS n FROM wn GROUP BY ticker),
+u AS (SELECT DISTINCT ticker FROM ev),
+al AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n, round(coalesce(raw, 0.0), 4) AS score
+       FROM u LEFT JOIN agg ON agg.ticker = u.ticker),
+heads AS (SELECT ticker, CASE WHEN sc > 0.33 THEN 'positive' WHEN sc < -0.33 THEN 'negative' ELSE 'neutral' END
+                 AS sentiment
+          FROM news QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY created_at DESC, event_id DESC) <= 10),
+hc AS (SELECT ticker, count(*) FILTER (WHERE sentiment = 'positive') AS p,
+              count(*) FILTER (WHERE sentiment = 'negative') AS ng, count(*) FILTER (WHERE sentiment = 'neutral') AS nu,
+              count(*) AS t FROM heads GROUP BY ticker),
+cp AS (SELECT u.ticker, coalesce(p, 0) AS p, coalesce(ng, 0) AS ng, coalesce(nu, 0) AS nu, coalesce(t, 0) AS t
+       FROM u LEFT JOIN hc ON hc.ticker = u.ticker),
+sent AS (SELECT al.ticker,
+                CASE WHEN n > 0 THEN CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative'
+                                          ELSE 'neutral' END
+                     ELSE CASE WHEN coalesce(CAST(p - ng AS DOUBLE) / nullif(t, 0), 0.0) > 0.2 THEN 'positive'
+                               WHEN coalesce(CAST(p - ng AS DOUBLE) / nullif(t, 0), 0.0) < -0.2 THEN 'negative'
+                               ELSE 'neutral' END END AS avg_sentiment,
+                CASE WHEN n > 0 THEN round(score, 4) ELSE coalesce(CAST(p - ng AS DOUBLE) / nullif(t, 0), 0.0) END
+                  AS avg_score,
+                CASE WHEN n > 0 THEN round(greatest(0.0, score), 4)
+                     ELSE coalesce(CAST(p AS DOUBLE) / nullif(t, 0), 0.0) END AS positive_ratio,
+                CASE WHEN n > 0 THEN round(greatest(0.0, -score), 4)
+                     ELSE coalesce(CAST(ng AS DOUBLE) / nullif(t, 0), 0.0) END AS negative_ratio,
+                CASE WHEN n > 0 THEN round(greatest(0.0, 1.0 - abs(score)), 4)
+                     ELSE coalesce(CAST(nu AS DOUBLE) / nullif(t, 0), 0.0) END AS neutral_ratio,
+                CASE WHEN n > 0 THEN n ELSE t END AS total_headlines,
+                CASE WHEN n > 0 THEN 'news_engine' ELSE 'headlines' END AS sentiment_source
+         FROM al JOIN cp ON cp.ticker = al.ticker),
+{_REPLIES},
+rep AS (SELECT 'U' || conv_id AS ticker, reply, ans FROM ff
+        QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+j AS (SELECT u.ticker, al.score AS news_score, abs(al.raw) >= 0.7 AS news_alert, al.n AS news_count,
+             CASE WHEN al.raw > 0 THEN 'positive' WHEN al.raw < 0 THEN 'negative' ELSE 'neutral' END
+               AS news_direction,
+             q2.current_price, q2.change, q2.percent_change,
+             CASE WHEN q2.ticker IS NULL THEN 'Failed to fetch market data for ' || u.ticker
+                  WHEN tech.ticker IS NULL THEN 'No price history available for technical analysis' END AS error,
+             sent.*, tech.rsi, tech.macd, tech.signal, tech.histogram, rep.reply, rep.ans
+      FROM u JOIN al ON al.ticker = u.ticker LEFT JOIN q2 ON q2.ticker = u.ticker
+      LEFT JOIN tech ON tech.ticker = u.ticker JOIN sent ON sent.ticker = u.ticker
+      LEFT JOIN rep ON rep.ticker = u.ticker),
+d AS (SELECT *,
+             CASE WHEN reply IS NULL THEN 'HOLD'
+                  ELSE coalesce(upper(nullif(regexp_extract(ans, '(?i)DECISION:\\s*(BUY|SELL|HOLD)', 1), '')), 'HOLD')
+             END AS dec,
+             CASE WHEN reply IS NULL THEN 'LOW'
+                  ELSE coalesce(upper(nullif(regexp_extract(ans, '(?i)CONFIDENCE:\\s*(HIGH|MEDIUM|LOW)', 1), '')),
+                                'LOW') END AS conf,
+             CASE WHEN reply IS NULL THEN 'Error in decision making: no reply from the decision model'
+                  ELSE coalesce(nullif({_STRIP.format(x="regexp_extract(ans, '(?i)REASONING:\\s*(.+?)(?:\\n|$)', 1)")},
+                                       ''), 'No reasoning provided') END AS why
+      FROM j)
+SELECT ticker, news_score, news_alert, news_count, news_direction, current_price, change, percent_change,
+       CASE WHEN error IS NULL THEN avg_sentiment END AS avg_sentiment,
+       CASE WHEN error IS NULL THEN avg_score END AS avg_score,
+       CASE WHEN error IS NULL THEN positive_ratio END AS positive_ratio,
+       CASE WHEN error IS NULL THEN negative_ratio END AS negative_ratio,
+       CASE WHEN error IS NULL THEN neutral_ratio END AS neutral_ratio,
+       CASE WHEN error IS NULL THEN total_headlines END AS total_headlines,
+       CASE WHEN error IS NULL THEN sentiment_source END AS sentiment_source,
+       CASE WHEN error IS NULL THEN round(rsi, 4) END AS rsi,
+       CASE WHEN error IS NULL THEN round(macd, 4) END AS macd,
+       CASE WHEN error IS NULL THEN round(signal, 4) END AS signal,
+       CASE WHEN error IS NULL THEN round(histogram, 4) END AS histogram,
+       CASE WHEN error IS NULL THEN CASE WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold'
+                                         WHEN rsi IS NOT NULL THEN 'neutral' END END AS rsi_zone,
+       CASE WHEN error IS NULL THEN CASE WHEN macd > signal THEN 'bullish' WHEN macd < signal THEN 'bearish'
+                                         ELSE 'neutral' END END AS macd_trend,
+       CASE WHEN error IS NULL THEN CASE WHEN histogram > 0 THEN 'increasing' WHEN histogram < 0 THEN 'decreasing'
+                                         ELSE 'flat' END END AS momentum,
+       CASE WHEN error IS NULL THEN
+         CASE WHEN (CASE WHEN macd > signal THEN 1 WHEN macd < signal THEN -1 ELSE 0 END)
+                   + (CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END) > 0 THEN 'bullish'
+              WHEN (CASE WHEN macd > signal THEN 1 WHEN macd < signal THEN -1 ELSE 0 END)
+                   + (CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END) < 0 THEN 'bearish'
+              ELSE 'neutral' END END AS outlook,
+       CASE WHEN error IS NULL THEN dec END AS decision,
+       CASE WHEN error IS NULL THEN conf END AS confidence,
+       CASE WHEN error IS NULL THEN why END AS reasoning,
+       CASE WHEN error IS NULL THEN dec IN ('BUY', 'SELL') END AS approved,
+       error
+FROM d""",
 })
