@@ -541,7 +541,36 @@ def signal_assembly(spark: SparkSession, sf: str) -> DataFrame:
     a = _signal_inputs(spark, sf)
     r4 = lambda c: F.round(c, 4).alias(c)
     return a.select("ticker", "news_score", "news_alert", "news_count", "news_direction", "current_price",
-                    "change", "percent_change", "avg_sentiment", "avg_score", "positive_ratio",
+                    "change", "percent_change", "high", "low", "previous_close", "avg_sentiment", "avg_score", "positive_ratio",
                     "negative_ratio", "neutral_ratio", "total_headlines", "sentiment_source",
                     r4("rsi"), r4("macd"), r4("signal"), r4("histogram"), "rsi_zone", "macd_trend",
                     "momentum", "outlook", "decision", "confidence", "reasoning", "approved", "error")
+
+
+from marketsig.plans import prompts as prompt_plan  # noqa: E402
+from marketsig.plans import report  # noqa: E402
+
+
+def _assembled(spark, sf):
+    """The assembly with indicators rounded to 4 places (what the report and
+    prompt queries format)."""
+    return signal_assembly(spark, sf)
+
+
+@query
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Technical and decision prompts for every ticker
+    without an error."""
+    return prompt_plan.prompt_table(_assembled(spark, sf))
+
+
+@query
+def summary_table(spark: SparkSession, sf: str) -> DataFrame:
+    """P5: the summary table's eight text cells per ticker."""
+    return report.summary_table(_assembled(spark, sf))
+
+
+@query
+def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """One detail text per ticker."""
+    return report.detail_rows(_assembled(spark, sf))

@@ -274,12 +274,12 @@ f AS (SELECT ticker, s, CASE WHEN created_at >= as_of - INTERVAL 720 MINUTE THEN
 a AS (SELECT ticker, coalesce(sum(s * w) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS articles_count
       FROM f GROUP BY ticker),
 x AS (SELECT *, round(raw, 4) AS score FROM a)
-SELECT ticker, score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert, articles_count,
+SELECT ticker, score + 0.0 AS score, round(raw, 6) + 0.0 AS raw_score, abs(raw) >= 0.7 AS alert, articles_count,
        CASE WHEN raw > 0 THEN 'positive' WHEN raw < 0 THEN 'negative' ELSE 'neutral' END AS direction,
        CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END
          AS avg_sentiment,
-       round(greatest(0.0, score), 4) AS positive_ratio, round(greatest(0.0, -score), 4) AS negative_ratio,
-       round(greatest(0.0, 1.0 - abs(score)), 4) AS neutral_ratio
+       round(greatest(0.0, score), 4) + 0.0 AS positive_ratio, round(greatest(0.0, -score), 4) + 0.0 AS negative_ratio,
+       round(greatest(0.0, 1.0 - abs(score)), 4) + 0.0 AS neutral_ratio
 FROM x""",
 })
 
@@ -403,7 +403,7 @@ w AS (SELECT st.ticker, st.sentiment_score AS sc,
 agg AS (SELECT ticker, coalesce(sum(sc * w) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS n FROM w GROUP BY ticker),
 u AS (SELECT DISTINCT source AS ticker FROM documents),
 j AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n FROM u LEFT JOIN agg ON agg.ticker = u.ticker)
-SELECT ticker, round(raw, 4) AS score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert,
+SELECT ticker, round(raw, 4) + 0.0 AS score, round(raw, 6) + 0.0 AS raw_score, abs(raw) >= 0.7 AS alert,
        n AS articles_count,
        CASE WHEN raw > 0 THEN 'positive' WHEN raw < 0 THEN 'negative' ELSE 'neutral' END AS direction
 FROM j""",
@@ -416,7 +416,9 @@ m AS (SELECT max(ts) AS as_of FROM events),
 lq AS (SELECT ticker, arg_max(value, (ts, event_id)) AS value, arg_max(k, (ts, event_id)) AS k
        FROM ev GROUP BY ticker),
 q AS (SELECT ticker, CASE WHEN k % 20 = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS current_price,
-             (k - 50.0) / 10.0 AS change, (k - 50.0) / 4.0 AS percent_change FROM lq),
+             (k - 50.0) / 10.0 AS change, (k - 50.0) / 4.0 AS percent_change,
+             value + k / 100.0 AS high, value - k / 100.0 AS low, value - (k - 50.0) / 10.0 AS previous_close
+      FROM lq),
 q2 AS (SELECT * FROM q WHERE current_price IS NULL OR current_price <> 0),
 hist AS (SELECT ev.* FROM ev, m WHERE ts >= as_of - INTERVAL 1 MONTH),
 b AS (SELECT ticker, value, row_number() OVER w - 1 AS idx, coalesce(value - lag(value) OVER w, 0) AS d
@@ -439,7 +441,7 @@ wn AS (SELECT ticker, sc, CASE WHEN created_at >= as_of - INTERVAL 360 MINUTE TH
        FROM news, m WHERE created_at >= as_of - INTERVAL 1440 MINUTE),
 agg AS (SELECT ticker, sum(sc * w) / nullif(sum(w), 0) AS raw, count(*) AS n FROM wn GROUP BY ticker),
 u AS (SELECT DISTINCT ticker FROM ev),
-al AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n, round(coalesce(raw, 0.0), 4) AS score
+al AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n, round(coalesce(raw, 0.0), 4) + 0.0 AS score
        FROM u LEFT JOIN agg ON agg.ticker = u.ticker),
 heads AS (SELECT ticker, CASE WHEN sc > 0.33 THEN 'positive' WHEN sc < -0.33 THEN 'negative' ELSE 'neutral' END
                  AS sentiment
@@ -457,11 +459,11 @@ sent AS (SELECT al.ticker,
                                ELSE 'neutral' END END AS avg_sentiment,
                 CASE WHEN n > 0 THEN round(score, 4) ELSE coalesce(CAST(p - ng AS DOUBLE) / nullif(t, 0), 0.0) END
                   AS avg_score,
-                CASE WHEN n > 0 THEN round(greatest(0.0, score), 4)
+                CASE WHEN n > 0 THEN round(greatest(0.0, score), 4) + 0.0
                      ELSE coalesce(CAST(p AS DOUBLE) / nullif(t, 0), 0.0) END AS positive_ratio,
-                CASE WHEN n > 0 THEN round(greatest(0.0, -score), 4)
+                CASE WHEN n > 0 THEN round(greatest(0.0, -score), 4) + 0.0
                      ELSE coalesce(CAST(ng AS DOUBLE) / nullif(t, 0), 0.0) END AS negative_ratio,
-                CASE WHEN n > 0 THEN round(greatest(0.0, 1.0 - abs(score)), 4)
+                CASE WHEN n > 0 THEN round(greatest(0.0, 1.0 - abs(score)), 4) + 0.0
                      ELSE coalesce(CAST(nu AS DOUBLE) / nullif(t, 0), 0.0) END AS neutral_ratio,
                 CASE WHEN n > 0 THEN n ELSE t END AS total_headlines,
                 CASE WHEN n > 0 THEN 'news_engine' ELSE 'headlines' END AS sentiment_source
@@ -472,7 +474,7 @@ rep AS (SELECT 'U' || conv_id AS ticker, reply, ans FROM ff
 j AS (SELECT u.ticker, al.score AS news_score, abs(al.raw) >= 0.7 AS news_alert, al.n AS news_count,
              CASE WHEN al.raw > 0 THEN 'positive' WHEN al.raw < 0 THEN 'negative' ELSE 'neutral' END
                AS news_direction,
-             q2.current_price, q2.change, q2.percent_change,
+             q2.current_price, q2.change, q2.percent_change, q2.high, q2.low, q2.previous_close,
              CASE WHEN q2.ticker IS NULL THEN 'Failed to fetch market data for ' || u.ticker
                   WHEN tech.ticker IS NULL THEN 'No price history available for technical analysis' END AS error,
              sent.*, tech.rsi, tech.macd, tech.signal, tech.histogram, rep.reply, rep.ans
@@ -491,6 +493,7 @@ d AS (SELECT *,
                                        ''), 'No reasoning provided') END AS why
       FROM j)
 SELECT ticker, news_score, news_alert, news_count, news_direction, current_price, change, percent_change,
+       high, low, previous_close,
        CASE WHEN error IS NULL THEN avg_sentiment END AS avg_sentiment,
        CASE WHEN error IS NULL THEN avg_score END AS avg_score,
        CASE WHEN error IS NULL THEN positive_ratio END AS positive_ratio,
@@ -498,10 +501,10 @@ SELECT ticker, news_score, news_alert, news_count, news_direction, current_price
        CASE WHEN error IS NULL THEN neutral_ratio END AS neutral_ratio,
        CASE WHEN error IS NULL THEN total_headlines END AS total_headlines,
        CASE WHEN error IS NULL THEN sentiment_source END AS sentiment_source,
-       CASE WHEN error IS NULL THEN round(rsi, 4) END AS rsi,
-       CASE WHEN error IS NULL THEN round(macd, 4) END AS macd,
-       CASE WHEN error IS NULL THEN round(signal, 4) END AS signal,
-       CASE WHEN error IS NULL THEN round(histogram, 4) END AS histogram,
+       CASE WHEN error IS NULL THEN round(rsi, 4) + 0.0 END AS rsi,
+       CASE WHEN error IS NULL THEN round(macd, 4) + 0.0 END AS macd,
+       CASE WHEN error IS NULL THEN round(signal, 4) + 0.0 END AS signal,
+       CASE WHEN error IS NULL THEN round(histogram, 4) + 0.0 END AS histogram,
        CASE WHEN error IS NULL THEN CASE WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold'
                                          WHEN rsi IS NOT NULL THEN 'neutral' END END AS rsi_zone,
        CASE WHEN error IS NULL THEN CASE WHEN macd > signal THEN 'bullish' WHEN macd < signal THEN 'bearish'
@@ -521,3 +524,83 @@ SELECT ticker, news_score, news_alert, news_count, news_direction, current_price
        error
 FROM d""",
 })
+
+
+# ---- report and prompt tables: the same fixed templates rendered with printf
+
+import re as _re  # noqa: E402
+
+from marketsig.plans.prompts import ANALYSIS, DECISION_PROMPT, NEWS_ALERT_BLOCK, TECHNICAL_PROMPT  # noqa: E402
+from marketsig.plans.report import DETAIL  # noqa: E402
+
+_SLOT = _re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]*))?\}")
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _slot_sql(expr: str, spec: str | None) -> str:
+    if not spec:
+        return f"coalesce(CAST({expr} AS VARCHAR), 'None')"
+    m = _re.fullmatch(r"(\+?)\.(\d+)([f%])", spec)
+    sign, digits, kind = m.group(1), m.group(2), m.group(3)
+    if kind == "%":
+        return f"coalesce(printf('%.{digits}f', ({expr}) * 100.0) || '%', 'nan%')"
+    if sign:
+        return f"coalesce(printf('%+.{digits}f', ({expr}) + 0.0), 'nan')"
+    return f"coalesce(printf('%.{digits}f', {expr}), 'nan')"
+
+
+def render_sql(template: str, exprs: dict | None = None) -> str:
+    exprs = exprs or {}
+    parts, pos = [], 0
+    for m in _SLOT.finditer(template):
+        if m.start() > pos:
+            parts.append(_q(template[pos:m.start()]))
+        parts.append(_slot_sql(exprs.get(m.group(1), m.group(1)), m.group(2)))
+        pos = m.end()
+    if pos < len(template):
+        parts.append(_q(template[pos:]))
+    return "(" + " || ".join(parts) + ")"
+
+
+_SA = f"sa AS (SELECT * FROM ({ORACLE['signal_assembly']}) AS x)"
+
+ORACLE.update({
+    "prompts": f"""
+WITH {_SA},
+p AS (SELECT *, '' AS history_context,
+             CASE WHEN news_alert THEN {render_sql(NEWS_ALERT_BLOCK, {"news_dir": "upper(news_direction)"})}
+                  ELSE '' END AS news_context,
+             coalesce({render_sql(ANALYSIS)}, 'N/A') AS analysis
+      FROM sa WHERE error IS NULL)
+SELECT ticker, {render_sql(TECHNICAL_PROMPT)} AS technical_prompt, {render_sql(DECISION_PROMPT)} AS decision_prompt
+FROM p""",
+
+    "summary_table": f"""
+WITH {_SA}
+SELECT ticker,
+       CASE WHEN error IS NOT NULL THEN 'ERROR' ELSE '$' || coalesce(printf('%.2f', current_price), 'nan') END AS price,
+       CASE WHEN error IS NOT NULL THEN '-'
+            ELSE '$' || coalesce(printf('%.2f', change), 'nan') || ' ('
+                 || coalesce(printf('%+.2f', percent_change + 0.0), 'nan') || '%)' END AS change,
+       CASE WHEN error IS NOT NULL THEN '-'
+            WHEN news_alert OR news_score <> 0 THEN printf('%+.3f', news_score + 0.0) ELSE '-' END AS news_score,
+       CASE WHEN error IS NOT NULL THEN '-'
+            ELSE coalesce(CASE avg_sentiment WHEN 'positive' THEN '+ Positive' WHEN 'negative' THEN '- Negative'
+                                             WHEN 'neutral' THEN '~ Neutral' END, 'neutral') END AS sentiment,
+       CASE WHEN error IS NOT NULL THEN '-' ELSE coalesce(printf('%.1f', rsi), 'nan') END AS rsi,
+       CASE WHEN error IS NOT NULL THEN '-' ELSE coalesce(decision, 'HOLD') END AS decision,
+       CASE WHEN error IS NOT NULL THEN '-' ELSE coalesce(confidence, 'LOW') END AS confidence,
+       news_alert AS alert
+FROM sa""",
+
+    "detail_rows": f"""
+WITH {_SA}
+SELECT ticker,
+       CASE WHEN error IS NOT NULL THEN 'Error: ' || error
+            ELSE {render_sql(DETAIL, {"news_line": "(chr(10) || 'Sentinel News: score=' || printf('%+.3f', news_score + 0.0) || ' (' || upper(news_direction) || '), ' || CAST(news_count AS VARCHAR) || ' articles' || CASE WHEN news_alert THEN ' ALERT' ELSE '' END)"})}
+       END AS detail
+FROM sa""",
+})
