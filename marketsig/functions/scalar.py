@@ -126,10 +126,16 @@ def fixed(x, digits: int) -> Column:
 
 
 def signed_fixed(x, digits: int) -> Column:
-    """Python ``f'{x:+.{digits}f}'``."""
-    c = _col(x).cast("double")
-    return F.when(c.isNull(), F.lit(None)).when(c >= 0, F.concat(F.lit("+"), fixed(F.abs(c), digits)))\
-        .otherwise(fixed(c, digits))
+    """Python ``f'{x:+.{digits}f}'`` (``-0.000`` keeps its sign)."""
+    s = fixed(x, digits)
+    return F.when(s.startswith("-"), s).otherwise(F.concat(F.lit("+"), s))
+
+
+def py_round(x, digits: int) -> Column:
+    """Python ``round(x, digits)`` -- the exact binary value rounded
+    half-to-even (``F.round`` rounds the shortest decimal half-up, so
+    -0.53375 would give -0.5338 where Python gives -0.5337)."""
+    return fixed(x, digits).cast("double")
 
 
 def percent(x, digits: int) -> Column:

@@ -192,5 +192,6 @@ def interpret(df: DataFrame, rsi_col: str = "rsi") -> DataFrame:
 
 
 def rounded(c: str | Column, digits: int) -> Column:
-    """Round for comparison with other engines (half-up)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Python-style rounding (exact binary value, half-to-even)."""
+    from marketsig.functions.scalar import py_round
+    return py_round(c, digits)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketsig.functions.scalar import (argmax_label, direction, sentiment_label,
+from marketsig.functions.scalar import (argmax_label, direction, py_round, sentiment_label,
                                         signed_score, softmax3)
 
 # Alert threshold on the unrounded score, the reference's
@@ -175,7 +175,7 @@ def weighted_scores(news: DataFrame, as_of, key: str = "ticker", at: str = "crea
 def alert_columns(df: DataFrame, raw: str = "raw_score") -> DataFrame:
     """Rounded score, alert flag and direction (both from the raw score)."""
     r = F.col(raw)
-    return (df.withColumn("score", F.round(r, SCORE_DIGITS))
+    return (df.withColumn("score", py_round(r, SCORE_DIGITS))
             .withColumn("alert", F.abs(r) >= ALERT_THRESHOLD)
             .withColumn("direction", direction(r)))
 
@@ -184,7 +184,7 @@ def from_alert(alerts: DataFrame, score: str = "score", count: str = "articles_c
     """Sentiment row derived from the (rounded) weighted score:
     pos = max(0, s), neg = max(0, -s), neu = max(0, 1 - |s|)."""
     s = F.col(score)
-    r = lambda c: F.round(c, SCORE_DIGITS)
+    r = lambda c: py_round(c, SCORE_DIGITS)
     return (alerts.withColumn("avg_sentiment", sentiment_label(s))
             .withColumn("avg_score", r(s))
             .withColumn("positive_ratio", r(F.greatest(F.lit(0.0), s)))

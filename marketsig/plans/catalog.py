@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketsig.functions import scalar as X
 from marketsig.operators import indicators as ind
 from marketsig.sources import bars
 from marketsig.sources.tables import table
@@ -41,7 +42,7 @@ def rsi_14(spark: SparkSession, sf: str) -> DataFrame:
     ev = _events(spark, sf).select("user_id", "ts", "event_id", "value")
     d = ind.with_position(ev, "user_id", "ts", "event_id")
     d = ind.rsi(d, "user_id", "value", 14, out="rsi_14")
-    return d.select("user_id", "event_id", F.round("rsi_14", 4).alias("rsi_14"))
+    return d.select("user_id", "event_id", X.py_round("rsi_14", 4).alias("rsi_14"))
 
 
 @query
@@ -50,8 +51,8 @@ def ema_macd(spark: SparkSession, sf: str) -> DataFrame:
     ev = _events(spark, sf).select("user_id", "ts", "event_id", "value")
     d = ind.with_position(ev, "user_id", "ts", "event_id")
     d = ind.macd(d, "user_id", "value")
-    return d.select("user_id", "event_id", F.round("macd", 4).alias("macd"),
-                    F.round("signal", 4).alias("signal"), F.round("histogram", 4).alias("histogram"))
+    return d.select("user_id", "event_id", X.py_round("macd", 4).alias("macd"),
+                    X.py_round("signal", 4).alias("signal"), X.py_round("histogram", 4).alias("histogram"))
 
 
 @query
@@ -68,7 +69,7 @@ def rolling_mean(spark: SparkSession, sf: str) -> DataFrame:
     ev = _events(spark, sf).select("user_id", "ts", "event_id", "value")
     d = ind.with_position(ev, "user_id", "ts", "event_id")
     d = ind.rolling_mean(d, "user_id", "value", 14, "mean_14")
-    return d.select("user_id", "event_id", F.round("mean_14", 4).alias("mean_14"))
+    return d.select("user_id", "event_id", X.py_round("mean_14", 4).alias("mean_14"))
 
 
 @query
@@ -104,8 +105,8 @@ def indicators_latest(spark: SparkSession, sf: str) -> DataFrame:
                                             "histogram", ind.IDX)
     last = ind.interpret(ind.latest(d, "event_type"))
     return last.select(F.col("event_type").alias("ticker"), _day("date"), "close",
-                       F.round("rsi", 4).alias("rsi"), F.round("macd", 4).alias("macd"),
-                       F.round("signal", 4).alias("signal"), F.round("histogram", 4).alias("histogram"),
+                       X.py_round("rsi", 4).alias("rsi"), X.py_round("macd", 4).alias("macd"),
+                       X.py_round("signal", 4).alias("signal"), X.py_round("histogram", 4).alias("histogram"),
                        "rsi_zone", "macd_trend", "momentum", "outlook")
 
 
@@ -291,7 +292,7 @@ def softmax_label(spark: SparkSession, sf: str) -> DataFrame:
     probabilities, label (ties to the first class), confidence, signed score."""
     e = table(spark, sf, "embeddings")
     d = sentiment.classify(e, F.col("embedding")[0], F.col("embedding")[1], F.col("embedding")[2])
-    r = lambda c: F.round(c, 6).alias(c)
+    r = lambda c: X.py_round(c, 6).alias(c)
     return d.select("vec_id", r("p_negative"), r("p_neutral"), r("p_positive"), "sentiment",
                     r("confidence"), r("score"))
 
@@ -311,7 +312,7 @@ def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text")
     c = sentiment.lexicon_counts(d, "text", TEST_LEXICON)
     s = sentiment.classify(c, *sentiment.lexicon_logits())
-    r = lambda x: F.round(x, 6).alias(x)
+    r = lambda x: X.py_round(x, 6).alias(x)
     n = lambda x: F.col(x).cast("long").alias(x)
     return s.select("doc_id", n("n_tokens"), n("n_pos"), n("n_neg"), r("p_negative"), r("p_neutral"),
                     r("p_positive"), "sentiment", r("score"))
@@ -349,7 +350,7 @@ def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
     a = sentiment.weighted_scores(news, as_of, "ticker", "created_at", "sentiment_score",
                                   lookback_minutes=3 * 24 * 60, recent_minutes=12 * 60)
     a = sentiment.from_alert(a)
-    return a.select("ticker", "score", F.round("raw_score", 6).alias("raw_score"), "alert",
+    return a.select("ticker", "score", X.py_round("raw_score", 6).alias("raw_score"), "alert",
                     "articles_count", "direction", "avg_sentiment", "positive_ratio",
                     "negative_ratio", "neutral_ratio")
 
@@ -490,7 +491,7 @@ def news_signals(spark: SparkSession, sf: str) -> DataFrame:
     signals, _ = news_plan.news_signals(arts.filter(is_p), arts.filter(~is_p), existing, _lexicon_scorer,
                                         as_of, universe, "ticker", ("created_at", "pos"),
                                         NEWS_LOOKBACK_MINUTES, NEWS_RECENT_MINUTES)
-    return signals.select("ticker", "score", F.round("raw_score", 6).alias("raw_score"), "alert",
+    return signals.select("ticker", "score", X.py_round("raw_score", 6).alias("raw_score"), "alert",
                           F.col("articles_count").cast("long").alias("articles_count"), "direction")
 
 
@@ -539,7 +540,7 @@ def signal_assembly(spark: SparkSession, sf: str) -> DataFrame:
     = its events of the last month, news = weighted event scores, count path
     = its 10 newest event scores, decision = the conversation with its id."""
     a = _signal_inputs(spark, sf)
-    r4 = lambda c: F.round(c, 4).alias(c)
+    r4 = lambda c: X.py_round(c, 4).alias(c)
     return a.select("ticker", "news_score", "news_alert", "news_count", "news_direction", "current_price",
                     "change", "percent_change", "high", "low", "previous_close", "avg_sentiment", "avg_score", "positive_ratio",
                     "negative_ratio", "neutral_ratio", "total_headlines", "sentiment_source",
@@ -574,3 +575,58 @@ def summary_table(spark: SparkSession, sf: str) -> DataFrame:
 def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One detail text per ticker."""
     return report.detail_rows(_assembled(spark, sf))
+
+
+# ------------------------------------------------------------ streaming
+
+from marketsig.streaming import monitor as stream_ops  # noqa: E402
+
+
+def _table_stream(spark, sf, name):
+    """A file stream over one landed table of the folder."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _stream_scores(spark, sf):
+    s = _table_stream(spark, sf, "events")
+    s = s.select(F.col("event_type").alias("ticker"), "ts",
+                 (((F.col("event_id") * 37) % 201 - 100) / F.lit(100.0)).alias("sentiment_score"))
+    s = stream_ops.event_time(s, "ts")
+    scores = stream_ops.sliding_scores(s, "ticker", "event_time", "sentiment_score")
+    out = stream_ops.run_to_table(scores, spark, "stream-weighted")
+    wall = lambda c: F.from_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz")
+    return out.select("ticker", wall(F.col("window.start")).alias("window_start"),
+                      wall(F.col("window.end")).alias("window_end"), "score",
+                      X.py_round("raw_score", 6).alias("raw_score"), "alert", "articles_count")
+
+
+@query
+def stream_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """The event stream's weighted score per ticker in 1-hour
+    windows sliding by 15 minutes (watermark 10 minutes, availableNow);
+    closed windows only."""
+    return _stream_scores(spark, sf)
+
+
+@query
+def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of ``stream_weighted`` that raised an alert."""
+    return _stream_scores(spark, sf).filter(F.col("alert"))
+
+
+@query
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a stream, exact URL insert-ignore per
+    micro-batch against the stored table, only new rows scored."""
+    s = _table_stream(spark, sf, "documents").select(
+        F.md5("text").alias("url"), "doc_id", "source", F.col("text").alias("headline"))
+    path = stream_ops.scratch_path(spark, "news-table")
+
+    def score(df):
+        return _lexicon_scorer(df).select("url", "doc_id", "source",
+                                          X.py_round("sentiment_score", 6).alias("sentiment_score"))
+    q = stream_ops.insert_new_articles(s, path, score, "url", ["doc_id"],
+                                       checkpoint=stream_ops.scratch_path(spark, "ckpt-dedup"))
+    q.awaitTermination()
+    return spark.read.parquet(path).drop("batch_id")

@@ -274,12 +274,12 @@ f AS (SELECT ticker, s, CASE WHEN created_at >= as_of - INTERVAL 720 MINUTE THEN
 a AS (SELECT ticker, coalesce(sum(s * w) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS articles_count
       FROM f GROUP BY ticker),
 x AS (SELECT *, round(raw, 4) AS score FROM a)
-SELECT ticker, score + 0.0 AS score, round(raw, 6) + 0.0 AS raw_score, abs(raw) >= 0.7 AS alert, articles_count,
+SELECT ticker, score AS score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert, articles_count,
        CASE WHEN raw > 0 THEN 'positive' WHEN raw < 0 THEN 'negative' ELSE 'neutral' END AS direction,
        CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END
          AS avg_sentiment,
-       round(greatest(0.0, score), 4) + 0.0 AS positive_ratio, round(greatest(0.0, -score), 4) + 0.0 AS negative_ratio,
-       round(greatest(0.0, 1.0 - abs(score)), 4) + 0.0 AS neutral_ratio
+       round(greatest(0.0, score), 4) AS positive_ratio, round(greatest(0.0, -score), 4) AS negative_ratio,
+       round(greatest(0.0, 1.0 - abs(score)), 4) AS neutral_ratio
 FROM x""",
 })
 
@@ -403,7 +403,7 @@ w AS (SELECT st.ticker, st.sentiment_score AS sc,
 agg AS (SELECT ticker, coalesce(sum(sc * w) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS n FROM w GROUP BY ticker),
 u AS (SELECT DISTINCT source AS ticker FROM documents),
 j AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n FROM u LEFT JOIN agg ON agg.ticker = u.ticker)
-SELECT ticker, round(raw, 4) + 0.0 AS score, round(raw, 6) + 0.0 AS raw_score, abs(raw) >= 0.7 AS alert,
+SELECT ticker, round(raw, 4) AS score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert,
        n AS articles_count,
        CASE WHEN raw > 0 THEN 'positive' WHEN raw < 0 THEN 'negative' ELSE 'neutral' END AS direction
 FROM j""",
@@ -441,7 +441,7 @@ wn AS (SELECT ticker, sc, CASE WHEN created_at >= as_of - INTERVAL 360 MINUTE TH
        FROM news, m WHERE created_at >= as_of - INTERVAL 1440 MINUTE),
 agg AS (SELECT ticker, sum(sc * w) / nullif(sum(w), 0) AS raw, count(*) AS n FROM wn GROUP BY ticker),
 u AS (SELECT DISTINCT ticker FROM ev),
-al AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n, round(coalesce(raw, 0.0), 4) + 0.0 AS score
+al AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n, round(coalesce(raw, 0.0), 4) AS score
        FROM u LEFT JOIN agg ON agg.ticker = u.ticker),
 heads AS (SELECT ticker, CASE WHEN sc > 0.33 THEN 'positive' WHEN sc < -0.33 THEN 'negative' ELSE 'neutral' END
                  AS sentiment
@@ -459,11 +459,11 @@ sent AS (SELECT al.ticker,
                                ELSE 'neutral' END END AS avg_sentiment,
                 CASE WHEN n > 0 THEN round(score, 4) ELSE coalesce(CAST(p - ng AS DOUBLE) / nullif(t, 0), 0.0) END
                   AS avg_score,
-                CASE WHEN n > 0 THEN round(greatest(0.0, score), 4) + 0.0
+                CASE WHEN n > 0 THEN round(greatest(0.0, score), 4)
                      ELSE coalesce(CAST(p AS DOUBLE) / nullif(t, 0), 0.0) END AS positive_ratio,
-                CASE WHEN n > 0 THEN round(greatest(0.0, -score), 4) + 0.0
+                CASE WHEN n > 0 THEN round(greatest(0.0, -score), 4)
                      ELSE coalesce(CAST(ng AS DOUBLE) / nullif(t, 0), 0.0) END AS negative_ratio,
-                CASE WHEN n > 0 THEN round(greatest(0.0, 1.0 - abs(score)), 4) + 0.0
+                CASE WHEN n > 0 THEN round(greatest(0.0, 1.0 - abs(score)), 4)
                      ELSE coalesce(CAST(nu AS DOUBLE) / nullif(t, 0), 0.0) END AS neutral_ratio,
                 CASE WHEN n > 0 THEN n ELSE t END AS total_headlines,
                 CASE WHEN n > 0 THEN 'news_engine' ELSE 'headlines' END AS sentiment_source
@@ -501,10 +501,10 @@ SELECT ticker, news_score, news_alert, news_count, news_direction, current_price
        CASE WHEN error IS NULL THEN neutral_ratio END AS neutral_ratio,
        CASE WHEN error IS NULL THEN total_headlines END AS total_headlines,
        CASE WHEN error IS NULL THEN sentiment_source END AS sentiment_source,
-       CASE WHEN error IS NULL THEN round(rsi, 4) + 0.0 END AS rsi,
-       CASE WHEN error IS NULL THEN round(macd, 4) + 0.0 END AS macd,
-       CASE WHEN error IS NULL THEN round(signal, 4) + 0.0 END AS signal,
-       CASE WHEN error IS NULL THEN round(histogram, 4) + 0.0 END AS histogram,
+       CASE WHEN error IS NULL THEN round(rsi, 4) END AS rsi,
+       CASE WHEN error IS NULL THEN round(macd, 4) END AS macd,
+       CASE WHEN error IS NULL THEN round(signal, 4) END AS signal,
+       CASE WHEN error IS NULL THEN round(histogram, 4) END AS histogram,
        CASE WHEN error IS NULL THEN CASE WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold'
                                          WHEN rsi IS NOT NULL THEN 'neutral' END END AS rsi_zone,
        CASE WHEN error IS NULL THEN CASE WHEN macd > signal THEN 'bullish' WHEN macd < signal THEN 'bearish'
@@ -548,7 +548,7 @@ def _slot_sql(expr: str, spec: str | None) -> str:
     if kind == "%":
         return f"coalesce(printf('%.{digits}f', ({expr}) * 100.0) || '%', 'nan%')"
     if sign:
-        return f"coalesce(printf('%+.{digits}f', ({expr}) + 0.0), 'nan')"
+        return f"coalesce(printf('%+.{digits}f', ({expr})), 'nan')"
     return f"coalesce(printf('%.{digits}f', {expr}), 'nan')"
 
 
@@ -584,9 +584,9 @@ SELECT ticker,
        CASE WHEN error IS NOT NULL THEN 'ERROR' ELSE '$' || coalesce(printf('%.2f', current_price), 'nan') END AS price,
        CASE WHEN error IS NOT NULL THEN '-'
             ELSE '$' || coalesce(printf('%.2f', change), 'nan') || ' ('
-                 || coalesce(printf('%+.2f', percent_change + 0.0), 'nan') || '%)' END AS change,
+                 || coalesce(printf('%+.2f', percent_change), 'nan') || '%)' END AS change,
        CASE WHEN error IS NOT NULL THEN '-'
-            WHEN news_alert OR news_score <> 0 THEN printf('%+.3f', news_score + 0.0) ELSE '-' END AS news_score,
+            WHEN news_alert OR news_score <> 0 THEN printf('%+.3f', news_score) ELSE '-' END AS news_score,
        CASE WHEN error IS NOT NULL THEN '-'
             ELSE coalesce(CASE avg_sentiment WHEN 'positive' THEN '+ Positive' WHEN 'negative' THEN '- Negative'
                                              WHEN 'neutral' THEN '~ Neutral' END, 'neutral') END AS sentiment,
@@ -600,7 +600,69 @@ FROM sa""",
 WITH {_SA}
 SELECT ticker,
        CASE WHEN error IS NOT NULL THEN 'Error: ' || error
-            ELSE {render_sql(DETAIL, {"news_line": "(chr(10) || 'Sentinel News: score=' || printf('%+.3f', news_score + 0.0) || ' (' || upper(news_direction) || '), ' || CAST(news_count AS VARCHAR) || ' articles' || CASE WHEN news_alert THEN ' ALERT' ELSE '' END)"})}
+            ELSE {render_sql(DETAIL, {"news_line": "(chr(10) || 'Sentinel News: score=' || printf('%+.3f', news_score) || ' (' || upper(news_direction) || '), ' || CAST(news_count AS VARCHAR) || ' articles' || CASE WHEN news_alert THEN ' ALERT' ELSE '' END)"})}
        END AS detail
 FROM sa""",
 })
+
+
+_STREAM_WINDOWS = """
+WITH e AS (SELECT event_type AS ticker, ts, CAST((event_id * 37) % 201 - 100 AS DOUBLE) / 100.0 AS s FROM events),
+k AS (SELECT ticker, ts, s, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * g AS window_start
+      FROM e, range(0, 4) AS r(g)),
+w AS (SELECT ticker, window_start, window_start + INTERVAL 1 HOUR AS window_end, s,
+             CASE WHEN ts >= window_start + INTERVAL 45 MINUTE THEN 2.0 ELSE 1.0 END AS wt FROM k),
+a AS (SELECT ticker, window_start, window_end, sum(s * wt) / sum(wt) AS raw, count(*) AS articles_count
+      FROM w GROUP BY ALL),
+m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events),
+x AS (SELECT a.* FROM a, m WHERE window_end <= wm)
+SELECT ticker, window_start, window_end, round(raw, 4) AS score, round(raw, 6) AS raw_score,
+       abs(raw) >= 0.7 AS alert, articles_count
+FROM x"""
+
+ORACLE.update({
+    "stream_weighted": _STREAM_WINDOWS,
+    "stream_alerts": f"SELECT * FROM ({_STREAM_WINDOWS}) AS y WHERE alert",
+    "stream_dedup": """
+WITH new AS (SELECT md5(text) AS url, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source,
+                    arg_min(text, doc_id) AS headline
+             FROM documents GROUP BY md5(text)),""" + _LEX_SCORE.replace(
+        "scored AS (SELECT ticker, url, created_at, ec / (ea + eb + ec) - ea / (ea + eb + ec) AS sentiment_score",
+        "scored AS (SELECT url, doc_id, source, round(ec / (ea + eb + ec) - ea / (ea + eb + ec), 6) AS sentiment_score") + """
+SELECT * FROM scored""",
+})
+
+
+
+def _exact_round(sql: str) -> str:
+    """Rewrite ``round(x, n)`` as ``CAST(printf('%.nf', x) AS DOUBLE)``: the
+    exact binary value rounded half-to-even, as Python's ``round`` and the
+    Spark side's ``py_round`` do (DuckDB's ``round`` scales and rounds in
+    floating point and can land on the other side of a tie)."""
+    out, i = [], 0
+    pat = re.compile(r"(?<![A-Za-z0-9_])round\(")
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:m.start()])
+        depth, j, comma = 1, m.end(), None
+        while depth:
+            ch = sql[j]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = j
+            j += 1
+        arg = _exact_round(sql[m.end():comma])
+        digits = sql[comma + 1:j - 1].strip()
+        out.append(f"CAST(printf('%.{digits}f', {arg}) AS DOUBLE)")
+        i = j
+
+
+import re  # noqa: E402
+
+ORACLE = {k: _exact_round(v) for k, v in ORACLE.items()}
