@@ -25,9 +25,11 @@ LANDED_SCHEMA = T.StructType([T.StructField("ticker", T.StringType()),
 def decode(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Parse the JSON payload with a fixed schema, rename the keys,
     and drop quotes whose price is exactly 0 (NULL is kept)."""
-    p = F.from_json(F.col(payload), PAYLOAD_SCHEMA)
+    # One parse per row: behind a generator Catalyst neither splits the parse
+    # into one from_json per field nor copies it into the filter.
     rest = [c for c in df.columns if c != payload]
-    d = df.select(*rest, *[p[k].alias(v) for k, v in PAYLOAD_FIELDS.items()])
+    d = df.select(*rest, F.inline(F.array(F.from_json(F.col(payload), PAYLOAD_SCHEMA))))
+    d = d.select(*rest, *[F.col(k).alias(v) for k, v in PAYLOAD_FIELDS.items()])
     return d.filter(F.col("current_price").isNull() | (F.col("current_price") != 0))
 
 
