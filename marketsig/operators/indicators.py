@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketsig.operators.series import (DEFAULT_CHUNK_ROWS, IDX, _names, index_series,
-                                        over_chunks)
+                                        materialize, over_chunks)
 
 # Largest exponent used inside a chunk: (1-a)^(-i) stays below e^600.
 _MAX_EXP = 600.0
@@ -90,12 +90,16 @@ def ema_chunk_rows(spans: Sequence[int], cap: int = DEFAULT_CHUNK_ROWS) -> int:
 
 
 def ema(df: DataFrame, keys, specs: dict[str, tuple[str, int]], idx_col: str = IDX,
-        chunk_rows: int | None = None) -> DataFrame:
+        chunk_rows: int | None = None, cut_lineage: bool = True) -> DataFrame:
     """Add one EMA column per ``specs[out] = (x_column, span)``.
 
     ``df`` must carry the series position ``idx_col`` (``with_position``).
+    It feeds three branches (running sums, chunk ends, first values), so it
+    is checkpointed once unless ``cut_lineage`` is False.
     """
     keys = _names(keys)
+    if cut_lineage:
+        df = materialize(df)
     C = chunk_rows or ema_chunk_rows([s for _, s in specs.values()])
     pos = F.col(idx_col)
     d = (df.withColumn("_ec", F.floor(pos / F.lit(C)).cast("long"))
@@ -157,8 +161,8 @@ def indicator_table(df: DataFrame, keys, ts: str, price: str, tie: str | None =
     """Every row of every series with rsi, macd, signal and histogram,
     plus its position ``_pos`` in the series."""
     d = with_position(df, keys, ts, tie, block_unit)
-    d = rsi(d, keys, price, period)
-    return macd(d, keys, price, fast, slow, signal)
+    d = macd(d, keys, price, fast, slow, signal)
+    return rsi(d, keys, price, period)
 
 
 def latest(df: DataFrame, keys, order: str = IDX) -> DataFrame:

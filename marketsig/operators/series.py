@@ -45,6 +45,8 @@ def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colum
     d = df.withColumn(blk, block)
     local = d.withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*keys, blk).orderBy(*order)) - 1)
+    # Block sizes as a map-side partial count: a small shuffle of one row per
+    # block and task, not a second shuffle of the rows.
     sizes = d.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, blk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -53,6 +55,15 @@ def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colum
             .drop("_rn", "_off", blk))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage where a frame feeds several branches: a reliable
+    checkpoint under ``spark.checkpoint.dir`` (shared storage on a cluster, so
+    a lost executor does not lose it)."""
+    from marketsig.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def over_chunks(df: DataFrame, keys: str | Sequence[str], lookback: int,
                 compute: Callable[[DataFrame, Window], DataFrame],
                 idx_col: str = IDX, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
