@@ -595,9 +595,8 @@ def _stream_scores(spark, sf):
     s = stream_ops.event_time(s, "ts")
     scores = stream_ops.sliding_scores(s, "ticker", "event_time", "sentiment_score")
     out = stream_ops.run_to_table(scores, spark, "stream-weighted")
-    wall = lambda c: F.from_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz")
-    return out.select("ticker", wall(F.col("window.start")).alias("window_start"),
-                      wall(F.col("window.end")).alias("window_end"), "score",
+    return out.select("ticker", stream_ops.wall_clock(F.col("window.start")).alias("window_start"),
+                      stream_ops.wall_clock(F.col("window.end")).alias("window_end"), "score",
                       X.py_round("raw_score", 6).alias("raw_score"), "alert", "articles_count")
 
 

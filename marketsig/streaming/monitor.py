@@ -31,14 +31,23 @@ WINDOW = "1 hour"
 WATERMARK = "10 minutes"
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def event_time(df: DataFrame, column: str, out: str = "event_time") -> DataFrame:
-    """Watermarks need TIMESTAMP; wall-clock (NTZ) columns are read as UTC."""
+    """Watermarks need TIMESTAMP; a wall-clock (NTZ) column is read as UTC by
+    epoch arithmetic, independent of the session time zone."""
     c = F.col(column)
     if dict(df.dtypes)[column] == "timestamp_ntz":
-        c = F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+        c = F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, `{column}`)"))
     return df.withColumn(out, c)
 
 
+def wall_clock(c) -> "F.Column":
+    """Inverse of ``event_time``: a UTC instant as a TIMESTAMP_NTZ wall clock."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(_EPOCH_NTZ))
+
+
 def sliding_scores(stream: DataFrame, key: str, at: str, score: str, window: str = WINDOW,
                    slide: str = POLL, recent_minutes: int = sentiment.RECENT_MINUTES,
                    watermark: str = WATERMARK) -> DataFrame:
