@@ -202,3 +202,24 @@ def from_alert(alerts: DataFrame, score: str = "score", count: str = "articles_c
             .withColumn("neutral_ratio", r(F.greatest(F.lit(0.0), 1.0 - F.abs(s))))
             .withColumn("total_headlines", F.col(count))
             .withColumn("source", F.lit("news_engine")))
+
+
+def sentiment_rows(scored: DataFrame, key: str, headline: str, at) -> DataFrame:
+    """One ``sentiment_scores`` row per scored headline; the stored
+    score is the confidence of the winning class, not the signed score."""
+    ts = at if isinstance(at, Column) else F.lit(at)
+    return scored.select(F.col(key).alias("ticker"), F.col(headline).alias("headline"), "sentiment",
+                         F.col("confidence").alias("score"), ts.alias("timestamp"))
+
+
+def recent_news(news: DataFrame, as_of, key: str = "ticker", at: str = "created_at",
+                score: str = "sentiment_score", published: str = "published_at",
+                hours: int = 1, tie: str | None = None) -> DataFrame:
+    """a ticker's scored news of the last ``hours`` (inclusive), with its
+    rank newest-published first and NULL publish times first, as PostgreSQL
+    orders ``DESC``.  Ranking runs over the (small) look-back slice only."""
+    from pyspark.sql import Window
+    a = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    rows = news.filter(F.col(score).isNotNull() & (F.col(at) >= a - _minutes(60 * hours)))
+    order = [F.col(published).desc_nulls_first()] + ([F.col(tie)] if tie else [])
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))

@@ -629,3 +629,56 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
                                        checkpoint=stream_ops.scratch_path(spark, "ckpt-dedup"))
     q.awaitTermination()
     return spark.read.parquet(path).drop("batch_id")
+
+
+# ------------------------------------------------------------ audits, ledger, rows
+
+from marketsig.operators import validate as V  # noqa: E402
+
+
+@query
+def key_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """C3/C4 audit: (ticker, timestamp) keys = (l_partkey, l_shipdate) that
+    occur more than once."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate")
+    return keys.duplicate_keys(li, ["l_partkey", "l_shipdate"])
+
+
+@query
+def sentiment_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document scored as a headline of its source;
+    the stored score is the winning class's confidence (4 places)."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    c = sentiment.lexicon_counts(d, "text", TEST_LEXICON)
+    s = sentiment.classify(c, *sentiment.lexicon_logits())
+    rows = sentiment.sentiment_rows(s.withColumn("headline", F.col("doc_id")), "source", "headline",
+                                    F.lit(None).cast("timestamp_ntz"))
+    return rows.select("ticker", F.col("headline").alias("doc_id"), "sentiment",
+                       X.py_round("score", 4).alias("score"))
+
+
+@query
+def ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger row of every ticker without an error (quantity
+    0, price = quote, sentiment = chosen path's score), checked against the
+    ledger's constraints."""
+    a = _signal_inputs(spark, sf)
+    as_of = _events(spark, sf).select(F.max("ts")).scalar()
+    led = sig.ledger_rows(a, as_of)
+    return V.check(led, TRADE_LEDGER).select("ticker", "action", "price", "quantity",
+                                             X.py_round("sentiment_avg", 4).alias("sentiment_avg"),
+                                             X.py_round("rsi", 4).alias("rsi"),
+                                             X.py_round("macd", 4).alias("macd"), "approved", "valid",
+                                             "reason")
+
+
+@query
+def recent_news(spark: SparkSession, sf: str) -> DataFrame:
+    """Each ticker's scored events of the last 6 hours before
+    the newest one, ranked newest-published first with missing publish times
+    (every 7th event) first."""
+    n = _event_scores(spark, sf).withColumn(
+        "published_at", F.when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("created_at")))
+    as_of = _events(spark, sf).select(F.max("ts")).scalar()
+    r = sentiment.recent_news(n, as_of, "ticker", "created_at", hours=6, tie="event_id")
+    return r.select("ticker", "event_id", "rank")

@@ -666,3 +666,58 @@ def _exact_round(sql: str) -> str:
 import re  # noqa: E402
 
 ORACLE = {k: _exact_round(v) for k, v in ORACLE.items()}
+
+
+ORACLE.update({
+    "key_audit": """
+SELECT l_partkey, l_shipdate, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1""",
+
+    "sentiment_rows": """
+WITH t AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS toks
+           FROM documents),
+n AS (SELECT doc_id, source, len(toks) AS n_tokens,
+             len(list_filter(toks, lambda x: x IN ('and', 'with', 'und', 'et', 'for'))) AS n_pos,
+             len(list_filter(toks, lambda x: x IN ('of', 'der', 'que', 'to', 'die'))) AS n_neg FROM t),
+l AS (SELECT doc_id, source, CAST(100.0 AS DOUBLE) * n_neg / greatest(n_tokens, 1) AS a, CAST(1.0 AS DOUBLE) AS b,
+             CAST(100.0 AS DOUBLE) * n_pos / greatest(n_tokens, 1) AS c FROM n),
+e AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb,
+             exp(c - greatest(a, b, c)) AS ec FROM l),
+p AS (SELECT *, ea / (ea + eb + ec) AS pn, eb / (ea + eb + ec) AS pu, ec / (ea + eb + ec) AS pp FROM e)
+SELECT source AS ticker, doc_id,
+       CASE WHEN pn >= pu AND pn >= pp THEN 'negative' WHEN pu >= pp THEN 'neutral' ELSE 'positive' END AS sentiment,
+       round(greatest(pn, pu, pp), 4) AS score
+FROM p""",
+
+    "ledger_rows": f"""
+WITH {_SA}
+SELECT ticker, decision AS action, current_price AS price, 0 AS quantity,
+       round(avg_score, 4) AS sentiment_avg, round(rsi, 4) AS rsi, round(macd, 4) AS macd, approved,
+       nullif(concat_ws('; ',
+         CASE WHEN length(ticker) > 10 THEN 'ticker longer than 10' END,
+         CASE WHEN current_price IS NOT NULL AND TRY_CAST(current_price AS DECIMAL(12,4)) IS NULL
+              THEN 'price overflows decimal(12,4)' END,
+         CASE WHEN avg_score IS NOT NULL AND TRY_CAST(avg_score AS DECIMAL(6,4)) IS NULL
+              THEN 'sentiment_avg overflows decimal(6,4)' END,
+         CASE WHEN rsi IS NOT NULL AND TRY_CAST(rsi AS DECIMAL(6,2)) IS NULL THEN 'rsi overflows decimal(6,2)' END,
+         CASE WHEN macd IS NOT NULL AND TRY_CAST(macd AS DECIMAL(12,4)) IS NULL
+              THEN 'macd overflows decimal(12,4)' END), '') IS NULL AS valid,
+       nullif(concat_ws('; ',
+         CASE WHEN length(ticker) > 10 THEN 'ticker longer than 10' END,
+         CASE WHEN current_price IS NOT NULL AND TRY_CAST(current_price AS DECIMAL(12,4)) IS NULL
+              THEN 'price overflows decimal(12,4)' END,
+         CASE WHEN avg_score IS NOT NULL AND TRY_CAST(avg_score AS DECIMAL(6,4)) IS NULL
+              THEN 'sentiment_avg overflows decimal(6,4)' END,
+         CASE WHEN rsi IS NOT NULL AND TRY_CAST(rsi AS DECIMAL(6,2)) IS NULL THEN 'rsi overflows decimal(6,2)' END,
+         CASE WHEN macd IS NOT NULL AND TRY_CAST(macd AS DECIMAL(12,4)) IS NULL
+              THEN 'macd overflows decimal(12,4)' END), '') AS reason
+FROM sa WHERE error IS NULL""",
+
+    "recent_news": """
+WITH n AS (SELECT event_type AS ticker, event_id, ts AS created_at,
+                  CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS published_at FROM events),
+m AS (SELECT max(ts) AS as_of FROM events)
+SELECT ticker, event_id,
+       row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC NULLS FIRST, event_id) AS rank
+FROM n, m WHERE created_at >= as_of - INTERVAL 360 MINUTE""",
+})
+ORACLE = {k: _exact_round(v) for k, v in ORACLE.items()}
