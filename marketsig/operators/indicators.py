@@ -36,14 +36,14 @@ _UNDERFLOW = 745.0
 
 
 def with_position(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str | None = None,
-                  block_unit: str = "day", idx_col: str = IDX) -> DataFrame:
+                  block_unit: str = "day", idx_col: str = IDX, size_col: str | None = None) -> DataFrame:
     """Position of each row in its series ordered by ``(ts, tie)``.
 
     ``block_unit`` is the time bucket used to rank rows in parallel; pick one
     that keeps a bucket of the hottest series within one task.
     """
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    return index_series(df, keys, order, F.date_trunc(block_unit, F.col(ts)), idx_col)
+    return index_series(df, keys, order, F.date_trunc(block_unit, F.col(ts)), idx_col, size_col)
 
 
 def price_delta(df: DataFrame, keys, price: str, out: str = "delta",
@@ -199,3 +199,61 @@ def rounded(c: str | Column, digits: int) -> Column:
     """Python-style rounding (exact binary value, half-to-even)."""
     from marketsig.functions.scalar import py_round
     return py_round(c, digits)
+
+
+def _geo(s: float, p: float, m: Column) -> Column:
+    """sum_{u=0..m} s^(m-u) p^u as a column of m (closed form)."""
+    if abs(s - p) < 1e-12:
+        return (m + 1.0) * F.pow(F.lit(s), m)
+    return (F.pow(F.lit(s), m + 1.0) - F.pow(F.lit(p), m + 1.0)) / F.lit(s - p)
+
+
+def latest_indicators(df: DataFrame, keys, ts: str, price: str, tie: str | None = None,
+                      period: int = 14, fast: int = 12, slow: int = 26, signal: int = 9,
+                      block_unit: str = "day", carry: Sequence[str] = ()) -> DataFrame:
+    """W7 + W8 at the last row only: rsi, macd, signal, histogram of each
+    series' newest row (plus ``carry`` columns of that row), without
+    computing them for every row.
+
+    The last value of a linear recurrence is a weighted sum of the inputs
+    whose weights depend only on m, the number of rows after the input:
+
+    * EMA(a, q=1-a): weight q^m for the first row, a q^m otherwise;
+    * signal = EMA(g, s=1-g) of (EMA_fast - EMA_slow), macd_0 = 0: for a
+      row i >= 1 the weight is g [a_f G(s, q_f, m) - a_s G(s, q_s, m)], for
+      the first row g [q_f G(s, q_f, m-1) - q_s G(s, q_s, m-1)], where
+      G(s, p, m) = sum_{u<=m} s^(m-u) p^u.
+
+    So MACD is one partial aggregate per series (skew-safe), and RSI needs
+    only the last ``period`` + 1 rows.
+    """
+    keys = _names(keys)
+    cols = [price] + list(carry)
+    d = with_position(df.select(*keys, ts, *([tie] if tie else []), *[c for c in cols if c != ts]),
+                      keys, ts, tie, block_unit, size_col="_len")
+    m = (F.col("_len") - 1 - F.col(IDX)).cast("double")
+    first = F.col(IDX) == 0
+    af, asl, ag = 2.0 / (fast + 1), 2.0 / (slow + 1), 2.0 / (signal + 1)
+    qf, qs, qg = 1 - af, 1 - asl, 1 - ag
+    x = F.col(price)
+    w_fast = F.when(first, F.pow(F.lit(qf), m)).otherwise(af * F.pow(F.lit(qf), m))
+    w_slow = F.when(first, F.pow(F.lit(qs), m)).otherwise(asl * F.pow(F.lit(qs), m))
+    w_sig = F.when(first, ag * (qf * _geo(qg, qf, m - 1.0) - qs * _geo(qg, qs, m - 1.0)))\
+        .otherwise(ag * (af * _geo(qg, qf, m) - asl * _geo(qg, qs, m)))
+    last = (d.groupBy(*keys).agg(
+        F.sum(x * (w_fast - w_slow)).alias("macd"), F.sum(x * w_sig).alias("signal"),
+        F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys([ts, *cols])]), F.col(IDX)).alias("_last")))
+    last = last.select(*keys, "macd", "signal", (F.col("macd") - F.col("signal")).alias("histogram"),
+                       *[F.col(f"_last.{c}").alias(c) for c in dict.fromkeys([ts, *cols])])
+    # RSI of the last row needs the last `period` rows and the one before.
+    tail = d.filter(m <= period)
+    w = Window.partitionBy(*keys).orderBy(IDX)
+    tail = tail.withColumn("_d", F.coalesce(x - F.lag(price, 1).over(w), F.lit(0.0)))
+    tail = tail.filter(m <= period - 1).groupBy(*keys).agg(
+        F.sum(F.greatest(F.col("_d"), F.lit(0.0))).alias("_g"),
+        F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).alias("_l"), F.max("_len").alias("_len"))
+    rsi_val = (F.when(F.col("_len") < period, F.lit(None))
+               .when(F.col("_l") == 0, F.when(F.col("_g") == 0, F.lit(None)).otherwise(F.lit(100.0)))
+               .otherwise(100.0 - F.try_divide(F.lit(100.0), 1.0 + F.try_divide(F.col("_g"), F.col("_l")))))
+    tail = tail.select(*keys, rsi_val.cast("double").alias("rsi"))
+    return last.join(tail, keys, "left")

@@ -34,8 +34,9 @@ def _names(keys: str | Sequence[str]) -> list[str]:
 
 
 def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column],
-                 block: Column, idx_col: str = IDX) -> DataFrame:
-    """Add ``idx_col`` = 0-based position of each row in its series.
+                 block: Column, idx_col: str = IDX, size_col: str | None = None) -> DataFrame:
+    """Add ``idx_col`` = 0-based position of each row in its series (and the
+    series length as ``size_col`` when given).
 
     ``order`` must be a total order inside a series (add a unique tie-breaker);
     ``block`` must be non-decreasing along ``order`` (e.g. ``to_date(ts)``).
@@ -49,7 +50,8 @@ def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colum
     # block and task, not a second shuffle of the rows.
     sizes = d.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, blk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    extra = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size_col)] if size_col else []
+    offsets = sizes.select(*keys, blk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
     return (local.join(offsets, [*keys, blk])
             .withColumn(idx_col, F.col("_off") + F.col("_rn"))
             .drop("_rn", "_off", blk))

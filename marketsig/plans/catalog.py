@@ -90,20 +90,12 @@ def lookback_1mo(spark: SparkSession, sf: str) -> DataFrame:
             .select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
 
 
-def _daily_indicators(spark, sf):
-    b = bars.daily_bars(_events(spark, sf), "event_type", "ts", "value", "event_id")
-    d = ind.with_position(b, "event_type", "date", None, block_unit="year")
-    d = ind.rsi(d, "event_type", "close")
-    return ind.macd(d, "event_type", "close")
-
-
 @query
 def indicators_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Indicators of each ticker's daily bars at its last day,
     with the rule-based reading."""
-    d = _daily_indicators(spark, sf).select("event_type", "date", "close", "rsi", "macd", "signal",
-                                            "histogram", ind.IDX)
-    last = ind.interpret(ind.latest(d, "event_type"))
+    b = bars.daily_bars(_events(spark, sf), "event_type", "ts", "value", "event_id")
+    last = ind.interpret(ind.latest_indicators(b, "event_type", "date", "close", block_unit="year"))
     return last.select(F.col("event_type").alias("ticker"), _day("date"), "close",
                        X.py_round("rsi", 4).alias("rsi"), X.py_round("macd", 4).alias("macd"),
                        X.py_round("signal", 4).alias("signal"), X.py_round("histogram", 4).alias("histogram"),
@@ -226,7 +218,7 @@ def score_update(spark: SparkSession, sf: str) -> DataFrame:
     return keys.apply_updates(d, upd, "doc_id", "sentiment_score")
 
 
-def ledger_rows(orders: DataFrame) -> DataFrame:
+def order_ledger_rows(orders: DataFrame) -> DataFrame:
     """Orders as trade-ledger rows (P4 shape): status P/F/O -> BUY/SELL/HOLD,
     except low-priority open orders, which carry the invalid action WAIT."""
     o = orders
@@ -247,7 +239,7 @@ def ledger_rows(orders: DataFrame) -> DataFrame:
 def validate_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Every ledger row checked against the ledger's
     constraints; ``reason`` lists all failed checks."""
-    rows = ledger_rows(table(spark, sf, "orders"))
+    rows = order_ledger_rows(table(spark, sf, "orders"))
     return validate.check(rows, TRADE_LEDGER).select("id", "valid", "reason")
 
 

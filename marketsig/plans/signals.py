@@ -32,11 +32,10 @@ def latest_quotes(landed: DataFrame, key: str, ts: str, tie: str, payload: str =
 
 def technical(history: DataFrame, key: str, ts: str, price: str, tie: str | None = None,
               block_unit: str = "day") -> DataFrame:
-    """W8 + W7 + E4: each ticker's indicators at its newest bar."""
-    t = ind.indicator_table(history.select(key, ts, price, *([tie] if tie else [])), key, ts, price, tie,
-                            block_unit=block_unit)
-    last = ind.latest(t.select(key, "rsi", "macd", "signal", "histogram", ind.IDX), key)
-    return ind.interpret(last.drop(ind.IDX))
+    """W8 + W7 + E4: each ticker's indicators at its newest bar (closed-form
+    aggregate, see ``indicators.latest_indicators``)."""
+    last = ind.latest_indicators(history, key, ts, price, tie, block_unit=block_unit)
+    return ind.interpret(last.select(key, "rsi", "macd", "signal", "histogram"))
 
 
 def choose_sentiment(alerts: DataFrame, counted: DataFrame, key: str) -> DataFrame:

@@ -72,3 +72,23 @@ def test_properties(spark):
     small = ind.macd(small, "user_id", "value", chunk_rows=7).select("event_id", F.col("signal").alias("s2"))
     j = d.join(small, "event_id").filter(F.abs(F.col("signal") - F.col("s2")) > 1e-9)
     assert j.count() == 0
+
+
+def test_latest_closed_form_matches_goldens(spark):
+    last = {r.ticker: r for r in ind.latest_indicators(_frame(spark), "ticker", "ts", "close", "seq").collect()}
+    for k, g in GOLD.items():
+        r = last[k]
+        assert _close(r.rsi, g[0]) and _close(r.macd, g[1]) and _close(r.signal, g[2]), (k, r)
+        assert _close(r.histogram, g[3]), k
+
+
+def test_latest_closed_form_matches_full_series(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    full = ind.latest(ind.indicator_table(ev, "user_id", "ts", "value", "event_id")
+                      .select("user_id", "rsi", "macd", "signal", ind.IDX), "user_id")
+    fast = ind.latest_indicators(ev, "user_id", "ts", "value", "event_id")
+    j = full.alias("a").join(fast.alias("b"), "user_id")
+    bad = j.filter((F.abs(F.col("a.macd") - F.col("b.macd")) > 1e-9)
+                   | (F.abs(F.col("a.signal") - F.col("b.signal")) > 1e-9)
+                   | ~F.col("a.rsi").eqNullSafe(F.col("b.rsi")) & (F.abs(F.col("a.rsi") - F.col("b.rsi")) > 1e-9))
+    assert j.count() == 150 and bad.count() == 0
