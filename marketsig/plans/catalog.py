@@ -383,13 +383,17 @@ def topk_sentiment(spark: SparkSession, sf: str) -> DataFrame:
 HISTORY_HEADER = "\n\nHISTORICAL CONTEXT (Past 5 trades for this stock):\n"
 
 
+def history_line(ts, action, price, sentiment_avg, rsi, reasoning) -> F.Column:
+    """One trade's history line without its number (formatted once per row)."""
+    return F.concat(X.ymd(ts), F.lit(": "), F.col(action), F.lit(" at $"), X.fixed(price, 2),
+                    F.lit(" (Sentiment: "), X.fixed(sentiment_avg, 2), F.lit(", RSI: "), X.fixed(rsi, 1),
+                    F.lit(") - "), F.col(reasoning), F.lit("\n"))
+
+
 def history_context(hist_col: str) -> F.Column:
     """Numbered history lines (newest first) under the header;
     empty when there is no earlier trade."""
-    lines = F.transform(hist_col, lambda x, i: F.concat(
-        (i + 1).cast("string"), F.lit(". "), X.ymd(x["timestamp"]), F.lit(": "), x["action"],
-        F.lit(" at $"), X.fixed(x["price"], 2), F.lit(" (Sentiment: "), X.fixed(x["sentiment_avg"], 2),
-        F.lit(", RSI: "), X.fixed(x["rsi"], 1), F.lit(") - "), x["reasoning"], F.lit("\n")))
+    lines = F.transform(hist_col, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
     return F.when(F.size(hist_col) > 0, F.concat(F.lit(HISTORY_HEADER), F.array_join(lines, "")))\
         .otherwise(F.lit(""))
 
@@ -410,8 +414,10 @@ def trade_history_asof(spark: SparkSession, sf: str) -> DataFrame:
     """J3 (+E6 history block): for every order, the customer's 5 previous
     orders newest first, rendered as the decision prompt's history lines."""
     t = order_trades(table(spark, sf, "orders"))
-    h = topk.history_before(t, "o_custkey", "timestamp", "o_orderkey", 5,
-                            ["timestamp", "action", "price", "sentiment_avg", "rsi", "reasoning"])
+    t = t.select("o_custkey", "o_orderkey", "timestamp",
+                 history_line("timestamp", "action", "price", "sentiment_avg", "rsi", "reasoning").alias("line"))
+    h = topk.history_before(t, "o_custkey", "timestamp", "o_orderkey", 5, ["line"])
+    h = h.withColumn("history", F.transform("history", lambda x: x["line"]))
     return h.select("o_custkey", "o_orderkey", history_context("history").alias("history_context"))
 
 

@@ -77,9 +77,11 @@ def headlines(snapshots: DataFrame, n: int = FEED_LIMIT) -> DataFrame:
             .drop("item").filter(F.coalesce(F.length("title"), F.lit(0)) > 0))
 
 
-def batch_headlines(snapshots: DataFrame, n: int = FEED_LIMIT, key: str = "ticker") -> DataFrame:
-    """Per ticker the list of its headlines in feed order; tickers with
-    none are absent.  Each list holds at most ``n`` items per snapshot."""
+def batch_headlines(snapshots: DataFrame, n: int = FEED_LIMIT, key: str = "ticker",
+                    fetch: str = "fetched_at") -> DataFrame:
+    """Per ticker and fetch, the list of its headlines in feed order;
+    fetches with none are absent.  A list holds at most ``n`` items, so no
+    group grows with the history."""
     h = headlines(snapshots, n)
-    return (h.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "title"))).alias("_h"))
-            .select(key, F.transform("_h", lambda x: x["title"]).alias("headlines")))
+    return (h.groupBy(key, fetch).agg(F.array_sort(F.collect_list(F.struct("pos", "title"))).alias("_h"))
+            .select(key, fetch, F.transform("_h", lambda x: x["title"]).alias("headlines")))

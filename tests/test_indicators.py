@@ -92,3 +92,49 @@ def test_latest_closed_form_matches_full_series(spark):
                    | (F.abs(F.col("a.signal") - F.col("b.signal")) > 1e-9)
                    | ~F.col("a.rsi").eqNullSafe(F.col("b.rsi")) & (F.abs(F.col("a.rsi") - F.col("b.rsi")) > 1e-9))
     assert j.count() == 150 and bad.count() == 0
+
+
+def _brute(values, period=14, fast=12, slow=26, signal=9):
+    """Plain recurrences on one series (the reference's pandas semantics)."""
+    out, g, l = [], [], []
+    ef = es = sg = None
+    for i, v in enumerate(values):
+        d = 0.0 if i == 0 else v - values[i - 1]
+        g.append(max(d, 0.0))
+        l.append(max(-d, 0.0))
+        if i + 1 < period:
+            r = None
+        else:
+            sg_, sl_ = sum(g[-period:]), sum(l[-period:])
+            r = None if sl_ == 0 and sg_ == 0 else (100.0 if sl_ == 0 else 100 - 100 / (1 + sg_ / sl_))
+        af, as_, ag = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
+        ef = v if ef is None else (1 - af) * ef + af * v
+        es = v if es is None else (1 - as_) * es + as_ * v
+        sg = (ef - es) if sg is None else (1 - ag) * sg + ag * (ef - es)
+        out.append((r, ef - es, sg))
+    return out
+
+
+def test_random_series_against_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    series = {}
+    for k in range(40):
+        n = rnd.choice([1, 2, 13, 14, 15, 30, 61])
+        base = [round(rnd.uniform(1, 50), 2) for _ in range(n)]
+        if k % 5 == 0:
+            base = [5.0] * n                                   # flat: RSI NULL
+        series[f"s{k}"] = base
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(k, t0 + dt.timedelta(minutes=i), i, v) for k, vs in series.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, seq long, close double")
+    d = ind.with_position(df, "ticker", "ts", "seq", block_unit="hour")
+    d = ind.rsi(ind.macd(d, "ticker", "close", chunk_rows=5), "ticker", "close", chunk_rows=17)
+    got = {(r.ticker, r._pos): r for r in d.collect()}
+    last = {r.ticker: r for r in ind.latest_indicators(df, "ticker", "ts", "close", "seq").collect()}
+    for k, vs in series.items():
+        want = _brute(vs)
+        for i, (r, m, s) in enumerate(want):
+            g = got[(k, i)]
+            assert _close(g.rsi, r) and _close(g.macd, m) and _close(g.signal, s), (k, i)
+        assert _close(last[k].rsi, want[-1][0]) and _close(last[k].signal, want[-1][2]), k
