@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marketsig.functions import scalar as X
 from marketsig.operators import indicators as ind
 from marketsig.sources import bars
-from marketsig.sources.tables import table
+from marketsig.sources.tables import newest, table
 
 QUERIES = {}
 
@@ -85,7 +85,7 @@ def ohlcv_daily(spark: SparkSession, sf: str) -> DataFrame:
 def lookback_1mo(spark: SparkSession, sf: str) -> DataFrame:
     """The one-month look-back slice, as of the newest order."""
     o = table(spark, sf, "orders")
-    as_of = o.select(F.max("o_orderdate")).scalar()
+    as_of = newest(o, "o_orderdate")
     return (bars.lookback(o, "o_orderdate", as_of, 1)
             .select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
 
@@ -338,7 +338,7 @@ def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
     (look-back widened to 3 days, double weight for the last 12 hours)."""
     ev = _events(spark, sf)
     news = _event_scores(spark, sf)
-    as_of = ev.select(F.max("ts")).scalar()
+    as_of = newest(ev, "ts")
     a = sentiment.weighted_scores(news, as_of, "ticker", "created_at", "sentiment_score",
                                   lookback_minutes=3 * 24 * 60, recent_minutes=12 * 60)
     a = sentiment.from_alert(a)
@@ -484,7 +484,7 @@ def news_signals(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("sentiment_score"))
     existing = (arts.filter(F.col("lang") == "de").join(labels, "doc_id", "left")
                 .select("ticker", "url", "headline", "created_at", "published_at", "sentiment_score"))
-    as_of = arts.select(F.max("created_at")).scalar()
+    as_of = newest(arts, "created_at")
     universe = d.select(F.col("source").alias("ticker")).distinct()
     signals, _ = news_plan.news_signals(arts.filter(is_p), arts.filter(~is_p), existing, _lexicon_scorer,
                                         as_of, universe, "ticker", ("created_at", "pos"),
@@ -513,7 +513,7 @@ def _signal_inputs(spark, sf):
         (F.col("value") - (k - 50.0) / F.lit(10.0)).alias("pc")))
     landed = ev.select(_user_ticker().alias("ticker"), "ts", "event_id", payload.alias("payload"))
     quotes_now = sig.latest_quotes(landed, "ticker", "ts", "event_id")
-    as_of = ev.select(F.max("ts")).scalar()
+    as_of = newest(ev, "ts")
     hist = bars.lookback(ev.select(_user_ticker().alias("ticker"), "ts", "event_id", "value"), "ts", as_of, 1)
     tech = sig.technical(hist, "ticker", "ts", "value", "event_id")
     news = _event_scores(spark, sf).withColumn("ticker", _user_ticker())
@@ -661,7 +661,7 @@ def ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
     0, price = quote, sentiment = chosen path's score), checked against the
     ledger's constraints."""
     a = _signal_inputs(spark, sf)
-    as_of = _events(spark, sf).select(F.max("ts")).scalar()
+    as_of = newest(_events(spark, sf), "ts")
     led = sig.ledger_rows(a, as_of)
     return V.check(led, TRADE_LEDGER).select("ticker", "action", "price", "quantity",
                                              X.py_round("sentiment_avg", 4).alias("sentiment_avg"),
@@ -677,6 +677,6 @@ def recent_news(spark: SparkSession, sf: str) -> DataFrame:
     (every 7th event) first."""
     n = _event_scores(spark, sf).withColumn(
         "published_at", F.when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("created_at")))
-    as_of = _events(spark, sf).select(F.max("ts")).scalar()
+    as_of = newest(_events(spark, sf), "ts")
     r = sentiment.recent_news(n, as_of, "ticker", "created_at", hours=6, tie="event_id")
     return r.select("ticker", "event_id", "rank")

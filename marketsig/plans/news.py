@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketsig.functions.scalar import seen_at
 from marketsig.operators import keys, sentiment
+from marketsig.operators.series import materialize
 
 
 def news_signals(primary: DataFrame, secondary: DataFrame, existing: DataFrame,
@@ -33,6 +34,9 @@ def news_signals(primary: DataFrame, secondary: DataFrame, existing: DataFrame,
     """
     feed = keys.fallback(primary, secondary, key)
     feed = feed.filter(F.coalesce(F.col("url"), F.lit("")) != "")
+    # The incoming batch is read three times below (fetched tickers, the
+    # insert-ignore, the scorer): materialize it once.
+    feed = materialize(feed)
     fetched = feed.select(key).distinct()
     stored_cols = existing.columns
     fresh = keys.insert_ignore(feed, existing, "url", list(order))
