@@ -113,3 +113,21 @@ def test_sinks_roundtrip(spark, tmp_path):
     got = {r.url: r.sentiment_score for r in sinks.read_table(spark, root, NEWS_STAGING).collect()}
     assert got == {"u1": 0.5, "u2": None}
     assert os.path.isdir(os.path.join(root, "trade_ledger"))
+
+
+def test_universe_dataframe_and_list(spark):
+    df = spark.createDataFrame([("aapl", 1), ("msft", 2), ("tsla", 3)], "ticker string, v int")
+    u = spark.createDataFrame([("AAPL",), ("TSLA",)], "t string")
+    assert sorted(r.v for r in keys.in_universe(df, "ticker", u).collect()) == [1, 3]
+    assert sorted(r.v for r in keys.in_universe(df, "ticker", ["MSFT"]).collect()) == [2]
+
+
+def test_lexicon_table_matches_literal(spark):
+    from marketsig.operators import sentiment as S
+    docs = spark.createDataFrame([(1, "Good gains, good growth; bad loss."), (2, "nothing here"), (3, "")],
+                                 "doc_id int, text string")
+    lex = {"good": "positive", "gains": "positive", "bad": "negative", "loss": "negative"}
+    lit = {r.doc_id: (r.n_tokens, r.n_pos, r.n_neg) for r in S.lexicon_counts(docs, "text", lex).collect()}
+    table = spark.createDataFrame(list(lex.items()), "word string, cls string")
+    tab = {r.doc_id: (r.n_tokens, r.n_pos, r.n_neg) for r in S.lexicon_counts_table(docs, "doc_id", "text", table).collect()}
+    assert lit == tab == {1: (6, 3, 2), 2: (2, 0, 0), 3: (0, 0, 0)}

@@ -83,3 +83,12 @@ def test_hot_key_chunks_match_single_window(spark):
     full = ind.macd(d, "k", "value").select("event_id", F.col("signal").alias("s_full"))
     assert small.join(full, "event_id").filter(F.abs(F.col("signal") - F.col("s_full")) > 1e-9).count() == 0
     assert small.filter((F.col("rsi") < 0) | (F.col("rsi") > 100)).count() == 0
+
+
+def test_watermark_dedup(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    s = (spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(SF)
+         .select(F.md5("text").alias("url"), "doc_id")
+         .withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_000))))
+    out = M.run_to_table(M.dedup_within_watermark(s, "url", "event_time"), spark, "t-wm-dedup")
+    assert out.count() == docs.select(F.md5("text")).distinct().count()
