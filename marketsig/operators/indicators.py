@@ -224,8 +224,8 @@ def latest_indicators(df: DataFrame, keys, ts: str, price: str, tie: str | None
       the first row g [q_f G(s, q_f, m-1) - q_s G(s, q_s, m-1)], where
       G(s, p, m) = sum_{u<=m} s^(m-u) p^u.
 
-    So MACD is one partial aggregate per series (skew-safe), and RSI needs
-    only the last ``period`` + 1 rows.
+    So MACD is one partial aggregate per series (skew-safe); RSI comes from
+    the last ``period`` + 1 values, collected (bounded) by the same aggregate.
     """
     keys = _names(keys)
     cols = [price] + list(carry)
@@ -240,20 +240,21 @@ def latest_indicators(df: DataFrame, keys, ts: str, price: str, tie: str | None
     w_slow = F.when(first, F.pow(F.lit(qs), m)).otherwise(asl * F.pow(F.lit(qs), m))
     w_sig = F.when(first, ag * (qf * _geo(qg, qf, m - 1.0) - qs * _geo(qg, qs, m - 1.0)))\
         .otherwise(ag * (af * _geo(qg, qf, m) - asl * _geo(qg, qs, m)))
-    last = (d.groupBy(*keys).agg(
+    # RSI of the last row needs only the last `period` + 1 values: a list of
+    # at most that many items per series, kept by the same partial aggregate.
+    tail = F.collect_list(F.when(m <= period, F.struct(F.col(IDX).alias("i"), x.alias("v"))))
+    agg = d.groupBy(*keys).agg(
         F.sum(x * (w_fast - w_slow)).alias("macd"), F.sum(x * w_sig).alias("signal"),
-        F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys([ts, *cols])]), F.col(IDX)).alias("_last")))
-    last = last.select(*keys, "macd", "signal", (F.col("macd") - F.col("signal")).alias("histogram"),
-                       *[F.col(f"_last.{c}").alias(c) for c in dict.fromkeys([ts, *cols])])
-    # RSI of the last row needs the last `period` rows and the one before.
-    tail = d.filter(m <= period)
-    w = Window.partitionBy(*keys).orderBy(IDX)
-    tail = tail.withColumn("_d", F.coalesce(x - F.lag(price, 1).over(w), F.lit(0.0)))
-    tail = tail.filter(m <= period - 1).groupBy(*keys).agg(
-        F.sum(F.greatest(F.col("_d"), F.lit(0.0))).alias("_g"),
-        F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).alias("_l"), F.max("_len").alias("_len"))
+        F.max("_len").alias("_len"), F.array_sort(tail).alias("_tail"),
+        F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys([ts, *cols])]), F.col(IDX)).alias("_last"))
+    v = F.transform("_tail", lambda e: e["v"])
+    n = F.size("_tail")
+    deltas = F.zip_with(F.slice(v, 2, n), F.slice(v, 1, n - 1), lambda a, b: a - b)
+    gain = F.aggregate(deltas, F.lit(0.0), lambda acc, dd: acc + F.greatest(dd, F.lit(0.0)))
+    loss = F.aggregate(deltas, F.lit(0.0), lambda acc, dd: acc + F.greatest(-dd, F.lit(0.0)))
     rsi_val = (F.when(F.col("_len") < period, F.lit(None))
-               .when(F.col("_l") == 0, F.when(F.col("_g") == 0, F.lit(None)).otherwise(F.lit(100.0)))
-               .otherwise(100.0 - F.try_divide(F.lit(100.0), 1.0 + F.try_divide(F.col("_g"), F.col("_l")))))
-    tail = tail.select(*keys, rsi_val.cast("double").alias("rsi"))
-    return last.join(tail, keys, "left")
+               .when(loss == 0, F.when(gain == 0, F.lit(None)).otherwise(F.lit(100.0)))
+               .otherwise(100.0 - F.try_divide(F.lit(100.0), 1.0 + F.try_divide(gain, loss))))
+    return agg.select(*keys, "macd", "signal", (F.col("macd") - F.col("signal")).alias("histogram"),
+                      rsi_val.cast("double").alias("rsi"),
+                      *[F.col(f"_last.{c}").alias(c) for c in dict.fromkeys([ts, *cols])])
