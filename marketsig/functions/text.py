@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() also strips the ASCII separators 0x1C-0x1F.
+# Python's whitespace (str.isspace, and re's \s on str patterns) also has
+# the ASCII separators 0x1C-0x1F, which Java's Unicode \s lacks.
 _WS = r"[\s\x{1c}-\x{1f}]"
 
 
@@ -32,8 +33,8 @@ def clean_headline(c) -> Column:
     """
     t = F.regexp_replace(_col(c), "<[^>]+>", "")
     t = strip(t)
-    t = F.regexp_replace(t, r"(?U)\s[-|]\s+[A-Z][A-Za-z\s]+$", "")
-    t = F.regexp_replace(t, r"(?U)\s+", " ")
+    t = F.regexp_replace(t, rf"(?U){_WS}[-|]{_WS}+[A-Z][A-Za-z\s\x{{1c}}-\x{{1f}}]+$", "")
+    t = F.regexp_replace(t, rf"(?U){_WS}+", " ")
     return strip(t)
 
 
@@ -71,10 +72,10 @@ def parse_decision(reply) -> Column:
     ans = final_answer(r)
     acts = "|".join(ACTIONS)
     confs = "|".join(CONFIDENCES)
-    decision = F.coalesce(F.upper(_first(ans, rf"(?iU)DECISION:\s*({acts})")), F.lit(DEFAULT_DECISION))
-    confidence = F.coalesce(F.upper(_first(ans, rf"(?iU)CONFIDENCE:\s*({confs})")),
+    decision = F.coalesce(F.upper(_first(ans, rf"(?iU)DECISION:{_WS}*({acts})")), F.lit(DEFAULT_DECISION))
+    confidence = F.coalesce(F.upper(_first(ans, rf"(?iU)CONFIDENCE:{_WS}*({confs})")),
                             F.lit(DEFAULT_CONFIDENCE))
-    reasoning = F.coalesce(F.nullif(strip(F.regexp_extract(ans, r"(?iUd)REASONING:\s*(.+?)(?:\n|$)", 1)),
+    reasoning = F.coalesce(F.nullif(strip(F.regexp_extract(ans, rf"(?iUd)REASONING:{_WS}*(.+?)(?:\n|$)", 1)),
                                     F.lit("")),
                            F.lit(DEFAULT_REASONING))
     ok = F.struct(decision.alias("decision"), confidence.alias("confidence"),
