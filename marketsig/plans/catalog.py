@@ -13,9 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketsig.functions import scalar as X
+from marketsig.functions.text import clean_headline
+from marketsig.functions.text import parse_decision as _parse
 from marketsig.operators import indicators as ind
+from marketsig.operators import keys, sentiment, topk, validate
+from marketsig.plans import news as news_plan
+from marketsig.plans import prompts as prompt_plan
+from marketsig.plans import report
+from marketsig.plans import signals as sig
+from marketsig.schemas import TRADE_LEDGER
 from marketsig.sources import bars
+from marketsig.sources import quotes
 from marketsig.sources.tables import newest, table
+from marketsig.streaming import monitor as stream_ops
 
 QUERIES = {}
 
@@ -104,11 +114,6 @@ def indicators_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ sources, keys
 
-from marketsig.functions import scalar as X  # noqa: E402
-from marketsig.functions.text import clean_headline  # noqa: E402
-from marketsig.operators import keys, sentiment, topk, validate  # noqa: E402
-from marketsig.schemas import TRADE_LEDGER  # noqa: E402
-from marketsig.sources import quotes  # noqa: E402
 
 
 def _k(ev):
@@ -349,7 +354,6 @@ def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ top-k, history, replies
 
-from marketsig.functions.text import parse_decision as _parse  # noqa: E402
 
 
 def _desc(*cols):
@@ -454,8 +458,6 @@ def parse_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ end-to-end plans
 
-from marketsig.plans import news as news_plan  # noqa: E402
-from marketsig.plans import signals as sig  # noqa: E402
 
 NEWS_LOOKBACK_MINUTES = 24 * 60
 NEWS_RECENT_MINUTES = 6 * 60
@@ -546,8 +548,6 @@ def signal_assembly(spark: SparkSession, sf: str) -> DataFrame:
                     "momentum", "outlook", "decision", "confidence", "reasoning", "approved", "error")
 
 
-from marketsig.plans import prompts as prompt_plan  # noqa: E402
-from marketsig.plans import report  # noqa: E402
 
 
 def _assembled(spark, sf):
@@ -577,7 +577,6 @@ def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ streaming
 
-from marketsig.streaming import monitor as stream_ops  # noqa: E402
 
 
 def _table_stream(spark, sf, name):
@@ -631,7 +630,6 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ audits, ledger, rows
 
-from marketsig.operators import validate as V  # noqa: E402
 
 
 @query
@@ -663,7 +661,7 @@ def ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
     a = _signal_inputs(spark, sf)
     as_of = newest(_events(spark, sf), "ts")
     led = sig.ledger_rows(a, as_of)
-    return V.check(led, TRADE_LEDGER).select("ticker", "action", "price", "quantity",
+    return validate.check(led, TRADE_LEDGER).select("ticker", "action", "price", "quantity",
                                              X.py_round("sentiment_avg", 4).alias("sentiment_avg"),
                                              X.py_round("rsi", 4).alias("rsi"),
                                              X.py_round("macd", 4).alias("macd"), "approved", "valid",

@@ -64,6 +64,13 @@ def secondary_articles(items: DataFrame, n: int = FEED_LIMIT, order: str = "pos"
         F.lit(SECONDARY).alias("source"))
 
 
+def read_snapshots(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Landed primary-feed snapshots: JSON lines of ``{ticker, fetched_at,
+    items: [...]}`` in feed order, read with the fixed schema."""
+    r = spark.readStream if stream else spark.read
+    return r.schema(PRIMARY_SNAPSHOT).json(path)
+
+
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """RSS XML files -> one row per ``<item>`` (Spark's built-in XML reader)."""
     return (spark.read.format("xml").option("rowTag", "item")

@@ -131,3 +131,29 @@ def test_lexicon_table_matches_literal(spark):
     table = spark.createDataFrame(list(lex.items()), "word string, cls string")
     tab = {r.doc_id: (r.n_tokens, r.n_pos, r.n_neg) for r in S.lexicon_counts_table(docs, "doc_id", "text", table).collect()}
     assert lit == tab == {1: (6, 3, 2), 2: (2, 0, 0), 3: (0, 0, 0)}
+
+
+def test_landed_json_readers(spark, tmp_path):
+    q = tmp_path / "quotes"
+    q.mkdir()
+    (q / "a.json").write_text('{"ticker":"AAPL","fetched_at":"2026-01-27T12:00:00Z",'
+                              '"payload":"{\\"c\\":184.89,\\"d\\":-10.67,\\"dp\\":-5.46,\\"h\\":195.56,'
+                              '\\"l\\":183.0,\\"o\\":195.0,\\"pc\\":195.56}"}\n')
+    got = quotes.decode(quotes.read_landed(spark, str(q))).first()
+    assert got.ticker == "AAPL" and got.current_price == 184.89 and got.low == 183.0
+    n = tmp_path / "news"
+    n.mkdir()
+    (n / "a.json").write_text('{"ticker":"AAPL","fetched_at":"2026-01-27T12:00:00Z","items":['
+                              '{"title":"<b>Apple</b> soars - Reuters","link":"https://x/1","providerPublishTime":1700000000},'
+                              '{"title":"","url":"https://x/2","publishedAt":1700000001}]}\n')
+    arts = news.primary_articles(news.read_snapshots(spark, str(n))).collect()
+    assert [(a.headline, a.url) for a in arts] == [("Apple soars", "https://x/1")]
+
+
+def test_fill_defaults(spark):
+    df = spark.createDataFrame([(None, "AAPL", "yf", "h", "https://x/1", None, None, None)],
+                               "id string, ticker string, source string, headline string, url string, "
+                               "published_at timestamp, sentiment_score double, created_at timestamp")
+    out = validate.fill_defaults(df, NEWS_STAGING, T0).first()
+    assert out.created_at == T0 and len(out.id) == 64
+    assert validate.check(validate.fill_defaults(df, NEWS_STAGING, T0), NEWS_STAGING).first().valid
