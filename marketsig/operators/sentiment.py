@@ -217,9 +217,19 @@ def recent_news(news: DataFrame, as_of, key: str = "ticker", at: str = "created_
                 hours: int = 1, tie: str | None = None) -> DataFrame:
     """a ticker's scored news of the last ``hours`` (inclusive), with its
     rank newest-published first and NULL publish times first, as PostgreSQL
-    orders ``DESC``.  Ranking runs over the (small) look-back slice only."""
-    from pyspark.sql import Window
+    orders ``DESC``.
+
+    The rank is a series position (``series.index_series``) over hour blocks
+    of the publish time, so even a hot ticker's slice is ranked in parallel.
+    """
+    from marketsig.functions.scalar import epoch_seconds
+    from marketsig.operators.series import index_series
     a = as_of if isinstance(as_of, Column) else F.lit(as_of)
     rows = news.filter(F.col(score).isNotNull() & (F.col(at) >= a - _minutes(60 * hours)))
     order = [F.col(published).desc_nulls_first()] + ([F.col(tie)] if tie else [])
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    # Non-decreasing along the order: NULLs first, then newer hours first.
+    secs = (F.unix_seconds(F.col(published)) if dict(rows.dtypes)[published] == "timestamp"
+            else epoch_seconds(published))
+    block = F.when(F.col(published).isNull(), F.lit(-(1 << 62))).otherwise(-F.floor(secs / 3600)).cast("long")
+    ranked = index_series(rows, key, order, block, "_rank0")
+    return ranked.withColumn("rank", (F.col("_rank0") + 1).cast("long")).drop("_rank0")
