@@ -127,8 +127,49 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str =
     return spark.read.parquet(f"{out}/data")
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def _read_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        r = spark.read.schema(schema) if schema is not None else spark.read
+        return r.parquet(path)
     except Exception:  # noqa: BLE001 - no table yet
         return None
+
+
+def news_monitor(stream: DataFrame, table_path: str, signals_path: str,
+                 score: Callable[[DataFrame], DataFrame], universe: DataFrame, checkpoint: str,
+                 stored_schema, key: str = "ticker", order: Sequence[str] = ("created_at", "pos"),
+                 lookback_minutes: int = sentiment.LOOKBACK_MINUTES,
+                 recent_minutes: int = sentiment.RECENT_MINUTES,
+                 available_now: bool = False) -> StreamingQuery:
+    """R1 + P1 + R2/R3 + K7: every poll runs the news plan on the landed
+    articles of the micro-batch against the stored table.
+
+    Per batch: new URLs are inserted (scored once) into ``table_path`` and
+    the per-ticker signals, as of the newest ingest time of the batch, go
+    to ``signals_path``; both writes are keyed by the batch id, so a replay
+    after a failure rewrites the same folders.  ``stream`` rows carry
+    ``key, url, headline, created_at, published_at, pos, source``.
+    """
+    from marketsig.plans import news as news_plan
+    from marketsig.sources.news import PRIMARY
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        stored = _read_or_none(spark, table_path, stored_schema)
+        if stored is not None:
+            stored = stored.filter(F.col("batch_id") != batch_id).drop("batch_id")
+        else:
+            stored = spark.createDataFrame([], stored_schema).drop("batch_id")
+        as_of = batch.agg(F.max("created_at")).first()[0]
+        if as_of is None:
+            return
+        primary = batch.filter(F.col("source") == PRIMARY)
+        secondary = batch.filter(F.col("source") != PRIMARY)
+        fetched, inserted = news_plan.ingest(primary, secondary, stored, score, key, order)
+        batch_writer(table_path)(inserted, batch_id)
+        new_rows = spark.read.parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
+        signals = news_plan.signals_from(stored.unionByName(new_rows), fetched, as_of, universe, key,
+                                         lookback_minutes, recent_minutes)
+        batch_writer(signals_path)(signals.withColumn("as_of", F.lit(as_of)), batch_id)
+
+    return monitor(stream, run, checkpoint, available_now)

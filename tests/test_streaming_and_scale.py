@@ -92,3 +92,40 @@ def test_watermark_dedup(spark):
          .withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_000))))
     out = M.run_to_table(M.dedup_within_watermark(s, "url", "event_time"), spark, "t-wm-dedup")
     assert out.count() == docs.select(F.md5("text")).distinct().count()
+
+
+def test_news_monitor_two_batches(spark, tmp_path):
+    from pyspark.sql import types as T
+    land = tmp_path / "landed"
+    land.mkdir()
+    base = dt.datetime(2026, 1, 27, 12, 0)
+    schema = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("url", T.StringType()),
+                           T.StructField("headline", T.StringType()),
+                           T.StructField("created_at", T.TimestampNTZType()),
+                           T.StructField("published_at", T.TimestampNTZType()),
+                           T.StructField("pos", T.IntegerType()), T.StructField("source", T.StringType())])
+    b1 = [("AAPL", "u1", "good", base, None, 0, "yfinance"), ("MSFT", "u2", "bad", base, None, 0, "yfinance")]
+    b2 = [("MSFT", "u1", "good again", base + dt.timedelta(minutes=5), None, 0, "yfinance"),
+          ("AAPL", "u3", "good", base + dt.timedelta(minutes=10), None, 0, "google_news")]
+    for i, rows in enumerate([b1, b2]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(land / f"b{i}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(str(land)))
+    stored_schema = T.StructType([f for f in schema.fields if f.name not in ("pos", "source")]
+                                 + [T.StructField("sentiment_score", T.DoubleType()),
+                                    T.StructField("batch_id", T.LongType())])
+    universe = spark.createDataFrame([("AAPL",), ("MSFT",), ("TSLA",)], "ticker string")
+    score = lambda df: df.withColumn("sentiment_score",
+                                     F.when(F.col("headline").startswith("good"), 0.9).otherwise(-0.9))
+    table, sig = str(tmp_path / "news"), str(tmp_path / "signals")
+    q = M.news_monitor(stream, table, sig, score, universe, str(tmp_path / "ck"), stored_schema,
+                       available_now=True)
+    q.awaitTermination()
+    stored = spark.read.parquet(table)
+    assert sorted(r.url for r in stored.collect()) == ["u1", "u2", "u3"]       # u1 kept once (M14)
+    assert stored.filter("url = 'u1'").first().ticker == "AAPL"
+    s = {(r.batch_id, r.ticker): r for r in spark.read.parquet(sig).collect()}
+    assert s[(0, "AAPL")].articles_count == 1 and s[(0, "AAPL")].alert
+    assert s[(0, "TSLA")].articles_count == 0
+    assert s[(1, "AAPL")].articles_count == 2       # stored u1 + new u3 (secondary used: no primary)
+    assert s[(1, "MSFT")].articles_count == 1       # its stored u2; its u1 copy was not inserted
