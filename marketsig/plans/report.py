@@ -57,7 +57,7 @@ Technical Indicators:
 
 def detail_rows(signals: DataFrame, key: str = "ticker") -> DataFrame:
     """One detail text per ticker, or ``Error: ...`` for an error row."""
-    news_line = F.concat(F.lit("\nSentinel News: score="), signed_fixed("news_score", 3), F.lit(" ("),
+    news_line = F.concat(F.lit("\nNews: score="), signed_fixed("news_score", 3), F.lit(" ("),
                          F.upper("news_direction"), F.lit("), "), F.col("news_count").cast("string"),
                          F.lit(" articles"), F.when(F.col("news_alert"), F.lit(" ALERT")).otherwise(F.lit("")))
     body = render(DETAIL, {"news_line": news_line})
