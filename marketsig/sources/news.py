@@ -33,8 +33,8 @@ RSS_ITEM = T.StructType([T.StructField("ticker", T.StringType()),
 
 
 def _first_n(df: DataFrame, n: int) -> DataFrame:
-    rest = [c for c in df.columns if c != "items"]
-    return df.select(*rest, F.posexplode(F.slice("items", 1, n)).alias("pos", "item"))
+    from marketsig.operators.topk import first_n_items
+    return first_n_items(df, "items", n)
 
 
 def primary_articles(snapshots: DataFrame, n: int = FEED_LIMIT) -> DataFrame:
