@@ -31,6 +31,16 @@ RECENT_MINUTES = 15
 SCORE_DIGITS = 4
 BATCH_SIZE = 8
 
+# Weighted sums are accumulated as exact decimals at 1e-10 resolution: the
+# result no longer depends on the order Spark adds partial sums in, so a
+# score sitting on a rounding tie rounds the same way on any cluster layout.
+EXACT_SUM = "decimal(38,10)"
+
+
+def exact_sum(c) -> Column:
+    """Order-independent sum of a double column (as a double)."""
+    return F.sum(_col(c).cast(EXACT_SUM)).cast("double")
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -173,7 +183,7 @@ def weighted_scores(news: DataFrame, as_of, key: str = "ticker", at: str = "crea
     t = F.col(at)
     rows = news.filter(F.col(score).isNotNull() & (t >= as_of - _minutes(lookback_minutes)))
     rows = rows.withColumn("_w", F.when(t >= as_of - _minutes(recent_minutes), 2.0).otherwise(1.0))
-    agg = rows.groupBy(key).agg(F.sum(F.col(score) * F.col("_w")).alias("_sw"),
+    agg = rows.groupBy(key).agg(exact_sum(F.col(score) * F.col("_w")).alias("_sw"),
                                 F.sum("_w").alias("_tw"),
                                 F.count(F.lit(1)).alias("articles_count"))
     if universe is not None:

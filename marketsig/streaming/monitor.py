@@ -60,7 +60,7 @@ def sliding_scores(stream: DataFrame, key: str, at: str, score: str, window: str
                                   2.0).otherwise(1.0))
     agg = (s.filter(F.col(score).isNotNull())
            .groupBy(key, "window")
-           .agg(F.sum(F.col(score) * F.col("_w")).alias("_sw"), F.sum("_w").alias("_tw"),
+           .agg(sentiment.exact_sum(F.col(score) * F.col("_w")).alias("_sw"), F.sum("_w").alias("_tw"),
                 F.count(F.lit(1)).alias("articles_count")))
     agg = agg.withColumn("raw_score", F.coalesce(F.try_divide("_sw", "_tw"), F.lit(0.0))).drop("_sw", "_tw")
     return sentiment.alert_columns(agg)
