@@ -86,3 +86,22 @@ def update_scores(spark: SparkSession, root: str, updates: DataFrame, spec: Tabl
     new.write.partitionBy("dt").parquet(staged)
     (spark.read.schema(stored_schema(spec)).parquet(staged).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(table_path(root, spec)))
+
+
+def ddl(spec: TableSpec, root: str) -> str:
+    """K1 as SQL: ``CREATE TABLE IF NOT EXISTS`` over the table's folder."""
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored_schema(spec).fields)
+    return (f"CREATE TABLE IF NOT EXISTS {spec.name} ({cols}) USING parquet PARTITIONED BY (dt) "
+            f"LOCATION '{table_path(root, spec)}'")
+
+
+def register_tables(spark: SparkSession, root: str,
+                    specs: Sequence[TableSpec] = tuple(TABLES.values())) -> None:
+    """Create the folders if needed and register each table in the session
+    catalog, so ``spark.sql('SELECT ... FROM trade_ledger')`` works; new
+    date partitions written later are picked up with ``MSCK REPAIR TABLE``
+    (done here once)."""
+    create_tables(spark, root, specs)
+    for spec in specs:
+        spark.sql(ddl(spec, root))
+        spark.sql(f"MSCK REPAIR TABLE {spec.name}")

@@ -157,3 +157,15 @@ def test_fill_defaults(spark):
     out = validate.fill_defaults(df, NEWS_STAGING, T0).first()
     assert out.created_at == T0 and len(out.id) == 64
     assert validate.check(validate.fill_defaults(df, NEWS_STAGING, T0), NEWS_STAGING).first().valid
+
+
+def test_sql_registration(spark, tmp_path):
+    root = str(tmp_path / "tbl")
+    sinks.create_tables(spark, root)
+    q = spark.createDataFrame([(1, "AAPL", 184.89, T0)], "id long, ticker string, current_price double, timestamp timestamp")
+    for c in ("change", "percent_change", "high", "low", "open", "previous_close"):
+        q = q.withColumn(c, F.lit(1.0))
+    sinks.append(q, root, MARKET_QUOTES)
+    sinks.register_tables(spark, root, [MARKET_QUOTES])
+    assert spark.sql("SELECT count(*) AS n FROM market_quotes WHERE ticker = 'AAPL'").first().n == 1
+    spark.sql("DROP TABLE market_quotes")
