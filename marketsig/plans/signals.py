@@ -22,11 +22,14 @@ SENTIMENT_COLS = ["avg_sentiment", "avg_score", "positive_ratio", "negative_rati
                   "total_headlines", "sentiment_source"]
 
 
-def latest_quotes(landed: DataFrame, key: str, ts: str, tie: str, payload: str = "payload") -> DataFrame:
-    """The quote each ticker's fetch returns now: its newest landed payload,
-    decoded; a zero price means no quote (the ticker is absent)."""
-    last = ind.latest(landed.select(key, ts, tie, payload)
-                      .withColumn("_o", F.struct(F.col(ts), F.col(tie))), key, "_o")
+def latest_quotes(landed: DataFrame, key: str, ts: str, tie: str | None = None,
+                  payload: str = "payload") -> DataFrame:
+    """The quote each ticker's fetch returns now: its newest landed payload
+    (ties broken by ``tie``), decoded; a zero price means no quote (the
+    ticker is absent)."""
+    order = [ts] + ([tie] if tie else [])
+    last = ind.latest(landed.select(key, *order, payload)
+                      .withColumn("_o", F.struct(*[F.col(c) for c in order])), key, "_o")
     return Q.decode(last.drop("_o"), payload)
 
 
