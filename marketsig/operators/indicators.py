@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketsig.operators.series import (DEFAULT_CHUNK_ROWS, IDX, _names, index_series,
-                                        materialize, over_chunks)
+                                        index_series_adaptive, materialize, over_chunks)
 
 # Largest exponent used inside a chunk: (1-a)^(-i) stays below e^600.
 _MAX_EXP = 600.0
@@ -36,13 +36,17 @@ _UNDERFLOW = 745.0
 
 
 def with_position(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str | None = None,
-                  block_unit: str = "day", idx_col: str = IDX, size_col: str | None = None) -> DataFrame:
+                  block_unit: str | None = None, idx_col: str = IDX, size_col: str | None = None) -> DataFrame:
     """Position of each row in its series ordered by ``(ts, tie)``.
 
-    ``block_unit`` is the time bucket used to rank rows in parallel; pick one
-    that keeps a bucket of the hottest series within one task.
+    Rows are ranked in parallel inside time blocks.  By default the blocks
+    adapt to the data (days, split into hours and minutes where one series
+    is dense); a fixed ``block_unit`` (e.g. ``'year'`` for daily bars) skips
+    the sizing pass when the series are known to be sparse.
     """
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
+    if block_unit is None:
+        return index_series_adaptive(df, keys, ts, order, idx_col, size_col)
     return index_series(df, keys, order, F.date_trunc(block_unit, F.col(ts)), idx_col, size_col)
 
 
@@ -157,7 +161,7 @@ def macd(df: DataFrame, keys, price: str, fast: int = 12, slow: int = 26, signal
 
 def indicator_table(df: DataFrame, keys, ts: str, price: str, tie: str | None = None,
                     period: int = 14, fast: int = 12, slow: int = 26, signal: int = 9,
-                    block_unit: str = "day") -> DataFrame:
+                    block_unit: str | None = None) -> DataFrame:
     """Every row of every series with rsi, macd, signal and histogram,
     plus its position ``_pos`` in the series."""
     d = with_position(df, keys, ts, tie, block_unit)
@@ -210,7 +214,7 @@ def _geo(s: float, p: float, m: Column) -> Column:
 
 def latest_indicators(df: DataFrame, keys, ts: str, price: str, tie: str | None = None,
                       period: int = 14, fast: int = 12, slow: int = 26, signal: int = 9,
-                      block_unit: str = "day", carry: Sequence[str] = ()) -> DataFrame:
+                      block_unit: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """W7 + W8 at the last row only: rsi, macd, signal, histogram of each
     series' newest row (plus ``carry`` columns of that row), without
     computing them for every row.

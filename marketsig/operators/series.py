@@ -33,10 +33,23 @@ def _names(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _rank_with_offsets(d: DataFrame, keys: list[str], order: Sequence[Column], blk: str,
+                       sizes: DataFrame, idx_col: str, size_col: str | None) -> DataFrame:
+    """Rank rows inside their block, add the block's offset in the series."""
+    local = d.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*keys, blk).orderBy(*order)) - 1)
+    before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size_col)] if size_col else []
+    offsets = sizes.select(*keys, blk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
+    return (local.join(offsets, [*keys, blk])
+            .withColumn(idx_col, F.col("_off") + F.col("_rn"))
+            .drop("_rn", "_off", blk))
+
+
 def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column],
                  block: Column, idx_col: str = IDX, size_col: str | None = None) -> DataFrame:
     """Add ``idx_col`` = 0-based position of each row in its series (and the
-    series length as ``size_col`` when given).
+    series length as ``size_col`` when given), with a fixed block expression.
 
     ``order`` must be a total order inside a series (add a unique tie-breaker);
     ``block`` must be non-decreasing along ``order`` (e.g. ``to_date(ts)``).
@@ -44,17 +57,73 @@ def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colum
     keys = _names(keys)
     blk = "_blk"
     d = df.withColumn(blk, block)
-    local = d.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*keys, blk).orderBy(*order)) - 1)
     # Block sizes as a map-side partial count: a small shuffle of one row per
     # block and task, not a second shuffle of the rows.
     sizes = d.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size_col)] if size_col else []
-    offsets = sizes.select(*keys, blk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
-    return (local.join(offsets, [*keys, blk])
-            .withColumn(idx_col, F.col("_off") + F.col("_rn"))
-            .drop("_rn", "_off", blk))
+    return _rank_with_offsets(d, keys, order, blk, sizes, idx_col, size_col)
+
+
+# A block holding more rows than this is split into finer time buckets.
+MAX_BLOCK_ROWS = 1 << 22
+UNITS = ("day", "hour", "minute")
+
+
+def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, order: Sequence[Column],
+                          idx_col: str = IDX, size_col: str | None = None,
+                          max_block_rows: int = MAX_BLOCK_ROWS, units: Sequence[str] = UNITS) -> DataFrame:
+    """``index_series`` with blocks sized to the data.
+
+    Rows are counted per (series, day) once -- a partial aggregate, kept as
+    a small checkpoint because it is also the block-size table.  When no day
+    holds more than ``max_block_rows`` rows (one tiny check), days are the
+    blocks.  Otherwise a hot day is split into hours and a hot hour into
+    minutes; the hot lists are broadcast, and each holds at most total rows /
+    ``max_block_rows`` entries, so their size is bounded by construction.
+    ``order`` must start with ``ts``.
+    """
+    keys = _names(keys)
+    lv = [f"_b{i}" for i in range(len(units))]
+    day = F.date_trunc(units[0], F.col(ts))
+    c0 = materialize(df.groupBy(*keys, day.alias(lv[0])).agg(F.count(F.lit(1)).alias("_n")))
+    if c0.filter(F.col("_n") > max_block_rows).isEmpty():
+        d = df.withColumn("_blk", day)
+        return _rank_with_offsets(d, keys, order, "_blk", c0.withColumnRenamed(lv[0], "_blk"),
+                                  idx_col, size_col)
+
+    d = df
+    for name, unit in zip(lv, units):
+        d = d.withColumn(name, F.date_trunc(unit, F.col(ts)))
+    counts, hots, cur = [c0], [], d
+    for i, name in enumerate(lv):
+        c = counts[i] if i == 0 else cur.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"))
+        if i > 0:
+            counts.append(c)
+        if i < len(lv) - 1:
+            hot = c.filter(F.col("_n") > max_block_rows).select(*keys, name).withColumn(f"_h{i}", F.lit(True))
+            hots.append(hot)
+            cur = cur.join(F.broadcast(hot.drop(f"_h{i}")), [*keys, name], "left_semi")
+    # Each row's block: its day, then its hour if the day is hot, then its
+    # minute if the hour is hot -- non-decreasing along the order.
+    for i, hot in enumerate(hots):
+        d = d.join(F.broadcast(hot), [*keys, lv[i]], "left")
+    # Unsplit levels hold a constant (not NULL, so block keys compare equal).
+    unset = F.timestamp_seconds(F.lit(0))
+    parts = [F.col(lv[0])]
+    for i in range(1, len(lv)):
+        parts.append(F.when(F.col(f"_h{i - 1}").isNotNull(), F.col(lv[i])).otherwise(unset))
+    d = d.withColumn("_blk", F.struct(*[p.alias(f"l{j}") for j, p in enumerate(parts)]))
+    d = d.drop(*lv, *[f"_h{i}" for i in range(len(hots))])
+    # Block sizes from the same counts: a level's counts for buckets that were
+    # not split further.
+    sizes = None
+    for i, c in enumerate(counts):
+        if i < len(hots):
+            c = c.join(F.broadcast(hots[i].drop(f"_h{i}")), [*keys, lv[i]], "left_anti")
+        fields = [F.date_trunc(units[j], F.col(lv[i])).alias(f"l{j}") if j <= i
+                  else unset.alias(f"l{j}") for j in range(len(lv))]
+        part = c.select(*keys, F.struct(*fields).alias("_blk"), "_n")
+        sizes = part if sizes is None else sizes.unionByName(part)
+    return _rank_with_offsets(d, keys, order, "_blk", sizes, idx_col, size_col)
 
 
 def materialize(df: DataFrame) -> DataFrame:

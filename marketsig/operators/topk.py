@@ -35,7 +35,7 @@ def first_n_items(df: DataFrame, items: str, n: int, pos: str = "pos",
 
 
 def history_before(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str, k: int,
-                   fields: Sequence[str], out: str = "history", block_unit: str = "month",
+                   fields: Sequence[str], out: str = "history", block_unit: str | None = None,
                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """For every row, the ``k`` previous rows of its key, newest first, as
     an array of structs of ``fields`` (the as-of history a decision saw).

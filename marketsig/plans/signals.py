@@ -34,7 +34,7 @@ def latest_quotes(landed: DataFrame, key: str, ts: str, tie: str | None = None,
 
 
 def technical(history: DataFrame, key: str, ts: str, price: str, tie: str | None = None,
-              block_unit: str = "day") -> DataFrame:
+              block_unit: str | None = None) -> DataFrame:
     """W8 + W7 + E4: each ticker's indicators at its newest bar (closed-form
     aggregate, see ``indicators.latest_indicators``)."""
     last = ind.latest_indicators(history, key, ts, price, tie, block_unit=block_unit)

@@ -129,3 +129,18 @@ def test_news_monitor_two_batches(spark, tmp_path):
     assert s[(0, "TSLA")].articles_count == 0
     assert s[(1, "AAPL")].articles_count == 2       # stored u1 + new u3 (secondary used: no primary)
     assert s[(1, "MSFT")].articles_count == 1       # its stored u2; its u1 copy was not inserted
+
+
+def test_adaptive_blocks_split_hot_buckets(spark):
+    """A tiny row limit makes every day and hour 'hot', so rows are ranked in
+    minute blocks; positions must equal one window over the series."""
+    from marketsig.operators.series import index_series_adaptive
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    hot = ev.withColumn("k", F.when(F.col("user_id") % 3 == 0, F.lit("HOT")).otherwise(F.col("event_type")))
+    order = [F.col("ts"), F.col("event_id")]
+    got = index_series_adaptive(hot, "k", "ts", order, max_block_rows=3, size_col="n")
+    w = Window.partitionBy("k").orderBy("ts", "event_id")
+    ref = hot.withColumn("rn", F.row_number().over(w) - 1).withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    j = got.join(ref.select("event_id", "rn", "cnt"), "event_id")
+    assert j.count() == 10000
+    assert j.filter((F.col("_pos") != F.col("rn")) | (F.col("n") != F.col("cnt"))).count() == 0
