@@ -49,3 +49,36 @@ def history_before(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str,
         prev = F.collect_list(F.struct(*fields)).over(w.rowsBetween(-k, -1))
         return fr.withColumn(out, F.reverse(prev))
     return over_chunks(d, keys, k, compute, IDX, chunk_rows).drop(IDX)
+
+
+def history_asof(decisions: DataFrame, trades: DataFrame, keys: str | Sequence[str], ts: str,
+                 decision_id: str, trade_tie: str, k: int, fields: Sequence[str],
+                 out: str = "history") -> DataFrame:
+    """J3 back-fill mode: for every decision, the ``k`` latest trades of its
+    key strictly before the decision's time, newest first.
+
+    An as-of join without a whole-key window or pairs: trades get their
+    series position; a decision's count of earlier trades is its position in
+    the merged timeline (decisions sort before trades at equal times) minus
+    its position among decisions; then each decision asks for the ``k``
+    positions below that count by an equi-join on (key, position).
+    """
+    keys = _names(keys)
+    t = with_position(trades.select(*keys, ts, trade_tie, *[f for f in fields if f not in (ts, trade_tie)]),
+                      keys, ts, trade_tie, idx_col="_tpos")
+    timeline = (decisions.select(*keys, ts, F.col(decision_id).alias("_id"), F.lit(0).alias("_kind"))
+                .unionByName(trades.select(*keys, ts, F.col(trade_tie).cast(decisions.schema[decision_id].dataType)
+                                           .alias("_id"), F.lit(1).alias("_kind"))))
+    from marketsig.operators.series import index_series_adaptive
+    u = index_series_adaptive(timeline, keys, ts, [F.col(ts), F.col("_kind"), F.col("_id")], idx_col="_upos")
+    u = u.filter(F.col("_kind") == 0)
+    dpos = with_position(decisions.select(*keys, ts, F.col(decision_id).alias("_id")), keys, ts, "_id",
+                         idx_col="_dpos")
+    before = u.join(dpos, [*keys, ts, "_id"]).select(*keys, "_id", (F.col("_upos") - F.col("_dpos")).alias("_n"))
+    wanted = (before.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(k))))
+              .withColumn("_tpos", F.col("_n") - F.col("_j")).filter(F.col("_tpos") >= 0))
+    hits = (wanted.join(t, [*keys, "_tpos"])
+            .groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_j", *fields))).alias("_h")))
+    res = decisions.join(hits, decisions[decision_id] == hits["_id"], "left").drop("_id")
+    strip = F.transform(F.coalesce(F.col("_h"), F.array()), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return res.withColumn(out, strip).drop("_h")

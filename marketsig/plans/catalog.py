@@ -678,3 +678,16 @@ def recent_news(spark: SparkSession, sf: str) -> DataFrame:
     as_of = newest(_events(spark, sf), "ts")
     r = sentiment.recent_news(n, as_of, "ticker", "created_at", hours=6, tie="event_id")
     return r.select("ticker", "event_id", "rank")
+
+
+@query
+def decision_history_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 back-fill: urgent orders play decisions, the other orders trades;
+    each decision gets the keys of its customer's 5 latest trades strictly
+    before its date, newest first."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    h = topk.history_asof(o.filter(urgent).drop("o_orderpriority"), o.filter(~urgent).drop("o_orderpriority"),
+                          "o_custkey", "o_orderdate", "o_orderkey", "o_orderkey", 5, ["o_orderkey"])
+    return h.select("o_orderkey", F.array_join(F.transform("history", lambda x: x["o_orderkey"].cast("string")), ",")
+                    .alias("history"))

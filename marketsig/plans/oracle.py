@@ -721,3 +721,17 @@ SELECT ticker, event_id,
 FROM n, m WHERE created_at >= as_of - INTERVAL 360 MINUTE""",
 })
 ORACLE = {k: _exact_round(v) for k, v in ORACLE.items()}
+
+
+ORACLE.update({
+    "decision_history_asof": """
+WITH d AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT'),
+t AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_orderpriority <> '1-URGENT'),
+j AS (SELECT d.o_orderkey AS dk, t.o_orderkey AS tk,
+             row_number() OVER (PARTITION BY d.o_orderkey ORDER BY t.o_orderdate DESC, t.o_orderkey DESC) AS rn
+      FROM d JOIN t ON t.o_custkey = d.o_custkey AND t.o_orderdate < d.o_orderdate)
+SELECT d.o_orderkey,
+       coalesce(string_agg(CAST(j.tk AS VARCHAR), ',' ORDER BY j.rn), '') AS history
+FROM d LEFT JOIN j ON j.dk = d.o_orderkey AND j.rn <= 5
+GROUP BY d.o_orderkey""",
+})
