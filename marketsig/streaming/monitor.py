@@ -173,3 +173,16 @@ def news_monitor(stream: DataFrame, table_path: str, signals_path: str,
         batch_writer(signals_path)(signals.withColumn("as_of", F.lit(as_of)), batch_id)
 
     return monitor(stream, run, checkpoint, available_now)
+
+
+def daily_bars_stream(stream: DataFrame, key: str, at: str, price: str, tie: str,
+                      watermark: str = WATERMARK) -> DataFrame:
+    """S7 on a stream: OHLCV bars per key and day from ticks; a day's bar is
+    emitted once the watermark passes the end of the day (append mode).
+    Aggregates are the batch bar's (``sources.bars.daily_bars``)."""
+    order = F.struct(F.col(at), F.col(tie))
+    return (stream.withWatermark(at, watermark)
+            .groupBy(key, F.window(at, "1 day").alias("day"))
+            .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"),
+                 F.min(price).alias("low"), F.max_by(price, order).alias("close"),
+                 F.count(F.lit(1)).alias("volume")))

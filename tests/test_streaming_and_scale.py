@@ -144,3 +144,19 @@ def test_adaptive_blocks_split_hot_buckets(spark):
     j = got.join(ref.select("event_id", "rn", "cnt"), "event_id")
     assert j.count() == 10000
     assert j.filter((F.col("_pos") != F.col("rn")) | (F.col("n") != F.col("cnt"))).count() == 0
+
+
+def test_stream_bars_equal_batch_bars_for_closed_days(spark):
+    from marketsig.sources import bars
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF)
+    s = M.event_time(s, "ts")
+    out = M.run_to_table(M.daily_bars_stream(s, "event_type", "event_time", "value", "event_id"), spark, "t-bars")
+    streamed = out.select("event_type", M.wall_clock(F.col("day.start")).cast("date").alias("date"),
+                          "open", "high", "low", "close", "volume")
+    batch = bars.daily_bars(spark.read.parquet(f"{SF}/events.parquet"), "event_type", "ts", "value", "event_id")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    n = streamed.count()
+    assert n > 0 and n < batch.count()                      # the last day is still open
+    assert rows(streamed) == rows(batch.join(streamed.select("event_type", "date"), ["event_type", "date"])
+                                  .select("event_type", "date", "open", "high", "low", "close", "volume"))
