@@ -691,3 +691,14 @@ def decision_history_asof(spark: SparkSession, sf: str) -> DataFrame:
                           "o_custkey", "o_orderdate", "o_orderkey", "o_orderkey", 5, ["o_orderkey"])
     return h.select("o_orderkey", F.array_join(F.transform("history", lambda x: x["o_orderkey"].cast("string")), ",")
                     .alias("history"))
+
+
+@query
+def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 on a stream: daily bars per event type from the event stream
+    (watermark 10 minutes, availableNow); closed days only."""
+    s = stream_ops.event_time(_table_stream(spark, sf, "events"), "ts")
+    out = stream_ops.run_to_table(stream_ops.daily_bars_stream(s, "event_type", "event_time", "value", "event_id"),
+                                  spark, "stream-bars")
+    return out.select(F.col("event_type").alias("ticker"), stream_ops.wall_clock(F.col("day.start")).alias("date"),
+                      "open", "high", "low", "close", "volume")

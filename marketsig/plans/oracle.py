@@ -735,3 +735,14 @@ SELECT d.o_orderkey,
 FROM d LEFT JOIN j ON j.dk = d.o_orderkey AND j.rn <= 5
 GROUP BY d.o_orderkey""",
 })
+
+
+ORACLE.update({
+    "stream_bars": """
+WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events),
+b AS (SELECT event_type AS ticker, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS date,
+             arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+             arg_max(value, (ts, event_id)) AS close, count(*) AS volume
+      FROM events GROUP BY event_type, CAST(ts AS DATE))
+SELECT b.* FROM b, m WHERE b.date + INTERVAL 1 DAY <= m.wm""",
+})
