@@ -141,3 +141,23 @@ def py_round(x, digits: int) -> Column:
 def percent(x, digits: int) -> Column:
     """Python ``f'{x:.{digits}%}'``."""
     return F.concat(fixed(_col(x).cast("double") * 100.0, digits), F.lit("%"))
+
+
+def time_literal(value, dtype: str = "timestamp_ntz") -> Column:
+    """A driver-side time value as a literal of the column's own type.
+
+    ``F.lit(naive datetime)`` makes a zone-aware TIMESTAMP from the Python
+    process's local time, and comparing it with a TIMESTAMP_NTZ column then
+    converts through the session time zone.  A wall-clock literal is built
+    from its text instead, which no time zone touches.  Columns pass through.
+    """
+    import datetime as _dt
+    if isinstance(value, Column):
+        return value
+    if value is None:
+        return F.lit(None).cast(dtype)
+    if dtype == "timestamp_ntz" and isinstance(value, _dt.datetime):
+        if value.tzinfo is not None:
+            value = value.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value).cast(dtype)

@@ -179,7 +179,8 @@ def weighted_scores(news: DataFrame, as_of, key: str = "ticker", at: str = "crea
     unrounded score), ``articles_count``, ``direction``.  Keys of ``universe``
     without rows get score 0, count 0.
     """
-    as_of = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    from marketsig.functions.scalar import time_literal
+    as_of = time_literal(as_of, dict(news.dtypes).get(at, "timestamp_ntz"))
     t = F.col(at)
     rows = news.filter(F.col(score).isNotNull() & (t >= as_of - _minutes(lookback_minutes)))
     rows = rows.withColumn("_w", F.when(t >= as_of - _minutes(recent_minutes), 2.0).otherwise(1.0))
@@ -232,9 +233,9 @@ def recent_news(news: DataFrame, as_of, key: str = "ticker", at: str = "created_
     The rank is a series position (``series.index_series``) over hour blocks
     of the publish time, so even a hot ticker's slice is ranked in parallel.
     """
-    from marketsig.functions.scalar import epoch_seconds
+    from marketsig.functions.scalar import epoch_seconds, time_literal
     from marketsig.operators.series import index_series
-    a = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    a = time_literal(as_of, dict(news.dtypes).get(at, "timestamp_ntz"))
     rows = news.filter(F.col(score).isNotNull() & (F.col(at) >= a - _minutes(60 * hours)))
     order = [F.col(published).desc_nulls_first()] + ([F.col(tie)] if tie else [])
     # Non-decreasing along the order: NULLs first, then newer hours first.

@@ -23,10 +23,11 @@ def fill_defaults(df: DataFrame, spec: TableSpec, as_of) -> DataFrame:
     """The DDL defaults -- a missing id becomes a hash of the table key
     (sha2 of the URL for news), a missing timestamp / created_at becomes the
     as-of time (the reference's NOW())."""
-    a = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    from marketsig.functions.scalar import time_literal
     out = df
     for f in spec.schema.fields:
         if f.name in ("timestamp", "created_at") and f.name in df.columns:
+            a = time_literal(as_of, dict(df.dtypes)[f.name])
             out = out.withColumn(f.name, F.coalesce(F.col(f.name), a.cast(f.dataType)))
     if "id" in df.columns and spec.key and spec.key != ("id",):
         new_id = url_id(spec.key[0]) if spec.name == "news_staging" else surrogate_id(*spec.key)

@@ -96,7 +96,8 @@ def assemble(universe: DataFrame, quotes: DataFrame, tech: DataFrame, alerts: Da
 def ledger_rows(signals: DataFrame, as_of, key: str = "ticker") -> DataFrame:
     """Trade-ledger rows of the tickers without an error (quantity 0),
     id from (ticker, as-of) so a rerun produces the same ids."""
-    a = as_of if hasattr(as_of, "_jc") else F.lit(as_of)
+    from marketsig.functions.scalar import time_literal
+    a = time_literal(as_of, "timestamp_ntz")
     ok = signals.filter(F.col("error").isNull())
     return ok.select(
         surrogate_id(F.col(key), a).alias("id"), F.col(key).alias("ticker"), F.col("decision").alias("action"),

@@ -14,7 +14,8 @@ def lower_columns(df: DataFrame) -> DataFrame:
 def lookback(df: DataFrame, ts: str, as_of, months: int = 1) -> DataFrame:
     """Rows with ``ts >= as_of - months``; a literal ``as_of`` is pushed
     into the parquet scan."""
-    a = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    from marketsig.functions.scalar import time_literal
+    a = time_literal(as_of, dict(df.dtypes).get(ts, "timestamp_ntz"))
     return df.filter(F.col(ts) >= a - F.make_ym_interval(F.lit(0), F.lit(months)))
 
 

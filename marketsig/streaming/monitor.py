@@ -170,7 +170,9 @@ def news_monitor(stream: DataFrame, table_path: str, signals_path: str,
         new_rows = spark.read.parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
         signals = news_plan.signals_from(stored.unionByName(new_rows), fetched, as_of, universe, key,
                                          lookback_minutes, recent_minutes)
-        batch_writer(signals_path)(signals.withColumn("as_of", F.lit(as_of)), batch_id)
+        from marketsig.functions.scalar import time_literal
+        batch_writer(signals_path)(signals.withColumn("as_of", time_literal(as_of, dict(batch.dtypes)["created_at"])),
+                                   batch_id)
 
     return monitor(stream, run, checkpoint, available_now)
 
