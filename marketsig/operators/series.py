@@ -66,6 +66,17 @@ def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colum
 # A block holding more rows than this is split into finer time buckets.
 MAX_BLOCK_ROWS = 1 << 22
 UNITS = ("day", "hour", "minute")
+UNIT_SECONDS = {"day": 86400, "hour": 3600, "minute": 60}
+
+
+def _bucket(df: DataFrame, ts: str, unit: str) -> Column:
+    """Whole ``unit``s since 1970 -- zone-free and non-decreasing in time
+    (``date_trunc`` on a wall-clock column goes through the session zone)."""
+    if dict(df.dtypes)[ts] == "timestamp":
+        secs = F.unix_seconds(F.col(ts))
+    else:
+        secs = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    return F.floor(secs / F.lit(UNIT_SECONDS[unit])).cast("long")
 
 
 def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, order: Sequence[Column],
@@ -83,7 +94,7 @@ def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, ord
     """
     keys = _names(keys)
     lv = [f"_b{i}" for i in range(len(units))]
-    day = F.date_trunc(units[0], F.col(ts))
+    day = _bucket(df, ts, units[0])
     c0 = materialize(df.groupBy(*keys, day.alias(lv[0])).agg(F.count(F.lit(1)).alias("_n")))
     if c0.filter(F.col("_n") > max_block_rows).isEmpty():
         d = df.withColumn("_blk", day)
@@ -92,7 +103,7 @@ def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, ord
 
     d = df
     for name, unit in zip(lv, units):
-        d = d.withColumn(name, F.date_trunc(unit, F.col(ts)))
+        d = d.withColumn(name, _bucket(df, ts, unit))
     counts, hots, cur = [c0], [], d
     for i, name in enumerate(lv):
         c = counts[i] if i == 0 else cur.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"))
@@ -107,7 +118,7 @@ def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, ord
     for i, hot in enumerate(hots):
         d = d.join(F.broadcast(hot), [*keys, lv[i]], "left")
     # Unsplit levels hold a constant (not NULL, so block keys compare equal).
-    unset = F.timestamp_seconds(F.lit(0))
+    unset = F.lit(-1).cast("long")
     parts = [F.col(lv[0])]
     for i in range(1, len(lv)):
         parts.append(F.when(F.col(f"_h{i - 1}").isNotNull(), F.col(lv[i])).otherwise(unset))
@@ -119,8 +130,9 @@ def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, ord
     for i, c in enumerate(counts):
         if i < len(hots):
             c = c.join(F.broadcast(hots[i].drop(f"_h{i}")), [*keys, lv[i]], "left_anti")
-        fields = [F.date_trunc(units[j], F.col(lv[i])).alias(f"l{j}") if j <= i
-                  else unset.alias(f"l{j}") for j in range(len(lv))]
+        sec = UNIT_SECONDS[units[i]]
+        fields = [F.floor(F.col(lv[i]) * F.lit(sec) / F.lit(UNIT_SECONDS[units[j]])).cast("long").alias(f"l{j}")
+                  if j <= i else unset.alias(f"l{j}") for j in range(len(lv))]
         part = c.select(*keys, F.struct(*fields).alias("_blk"), "_n")
         sizes = part if sizes is None else sizes.unionByName(part)
     return _rank_with_offsets(d, keys, order, "_blk", sizes, idx_col, size_col)
