@@ -26,8 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketsig.operators.series import (DEFAULT_CHUNK_ROWS, IDX, _names, index_series,
-                                        index_series_adaptive, materialize, over_chunks)
+from marketsig.operators.series import (DEFAULT_CHUNK_ROWS, IDX, UNIT_SECONDS, _bucket, _names,
+                                        index_series, index_series_adaptive, materialize, over_chunks)
 
 # Largest exponent used inside a chunk: (1-a)^(-i) stays below e^600.
 _MAX_EXP = 600.0
@@ -47,7 +47,9 @@ def with_position(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str |
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
     if block_unit is None:
         return index_series_adaptive(df, keys, ts, order, idx_col, size_col)
-    return index_series(df, keys, order, F.date_trunc(block_unit, F.col(ts)), idx_col, size_col)
+    block = (_bucket(df, ts, block_unit) if block_unit in UNIT_SECONDS
+             else F.date_trunc(block_unit, F.col(ts)))
+    return index_series(df, keys, order, block, idx_col, size_col)
 
 
 def price_delta(df: DataFrame, keys, price: str, out: str = "delta",
