@@ -52,15 +52,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     is made and registered so later ``checkpoint()`` calls use it too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the setting
+        if not root:
+            raise RuntimeError("set spark.checkpoint.dir on the Spark Connect server") from None
+        return root
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
+        root = sc.getCheckpointDir()
     if not root:
-        master = spark.sparkContext.master or ""
+        master = sc.master or ""
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="marketsig-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    current = (sc.getCheckpointDir() or "").replace("file:", "", 1)
+    if not current.startswith(root.replace("file:", "", 1).rstrip("/")):
+        sc.setCheckpointDir(root)
     return root
 
 
