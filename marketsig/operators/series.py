@@ -65,8 +65,8 @@ def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colum
 
 # A block holding more rows than this is split into finer time buckets.
 MAX_BLOCK_ROWS = 1 << 22
-UNITS = ("day", "hour", "minute")
-UNIT_SECONDS = {"day": 86400, "hour": 3600, "minute": 60}
+UNITS = ("day", "hour", "minute", "second")
+UNIT_SECONDS = {"day": 86400, "hour": 3600, "minute": 60, "second": 1}
 
 
 def _bucket(df: DataFrame, ts: str, unit: str) -> Column:
@@ -87,9 +87,10 @@ def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, ord
     Rows are counted per (series, day) once -- a partial aggregate, kept as
     a small checkpoint because it is also the block-size table.  When no day
     holds more than ``max_block_rows`` rows (one tiny check), days are the
-    blocks.  Otherwise a hot day is split into hours and a hot hour into
-    minutes; the hot lists are broadcast, and each holds at most total rows /
-    ``max_block_rows`` entries, so their size is bounded by construction.
+    blocks.  Otherwise a hot day is split into hours, a hot hour into
+    minutes and a hot minute into seconds; the hot lists are broadcast, and
+    each holds at most total rows / ``max_block_rows`` entries, so their size
+    is bounded by construction.
     ``order`` must start with ``ts``.
     """
     keys = _names(keys)
