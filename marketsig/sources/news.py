@@ -71,9 +71,11 @@ def read_snapshots(spark: SparkSession, path: str, stream: bool = False) -> Data
     return r.schema(PRIMARY_SNAPSHOT).json(path)
 
 
-def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """RSS XML files -> one row per ``<item>`` (Spark's built-in XML reader)."""
-    return (spark.read.format("xml").option("rowTag", "item")
+def read_rss(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """RSS XML files -> one row per ``<item>`` (Spark's built-in XML reader),
+    as a batch or, with ``stream=True``, as a file stream."""
+    r = spark.readStream if stream else spark.read
+    return (r.format("xml").option("rowTag", "item")
             .schema(T.StructType([f for f in RSS_ITEM.fields if f.name != "ticker"])).load(path))
 
 

@@ -160,3 +160,14 @@ def test_stream_bars_equal_batch_bars_for_closed_days(spark):
     assert n > 0 and n < batch.count()                      # the last day is still open
     assert rows(streamed) == rows(batch.join(streamed.select("event_type", "date"), ["event_type", "date"])
                                   .select("event_type", "date", "open", "high", "low", "close", "volume"))
+
+
+def test_rss_stream(spark, tmp_path):
+    d = tmp_path / "rss"
+    d.mkdir()
+    (d / "a.xml").write_text("<rss><channel><item><title>A - Reuters</title><link>https://x/1</link>"
+                             "<pubDate>Mon, 01 Jan 2024 00:00:07 GMT</pubDate></item></channel></rss>")
+    s = news.read_rss(spark, str(d), stream=True).withColumn("ticker", F.lit("T")).withColumn("pos", F.lit(0))
+    out = M.run_to_table(news.secondary_articles(s), spark, "t-rss-stream")
+    r = out.first()
+    assert (r.headline, r.url, r.published_at) == ("A", "https://x/1", dt.datetime(2024, 1, 1, 0, 0, 7))
