@@ -40,3 +40,48 @@ def test_detail_text(spark):
     assert "News: score=+0.750 (POSITIVE), 3 articles ALERT" in a
     assert "Overall: positive (Score: 0.750)" in a and "Positive: 75.0% | Negative: 0.0%" in a
     assert "RSI: 71.43" in a and "MACD: 4.7699" in a
+
+
+def test_prompt_templates_match_python_format(spark):
+    """The Spark renderer must produce exactly what Python's str.format makes
+    of the same template (the reference builds its prompts with f-strings)."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marketsig.functions.template import render
+    from marketsig.plans.prompts import DECISION_PROMPT, TECHNICAL_PROMPT
+    rnd = random.Random(5)
+    ties = [0.125, 2.675, 1.005, -0.0, 0.0, -0.125, 12.345, 0.0005, 99.995, -1.005]
+    floats = ["current_price", "change", "percent_change", "high", "low", "previous_close", "rsi", "macd",
+              "signal", "histogram", "avg_score", "positive_ratio", "negative_ratio", "neutral_ratio"]
+    rows = []
+    for i in range(300):
+        vals = {c: (rnd.choice(ties) if rnd.random() < 0.3 else round(rnd.uniform(-500, 500), rnd.choice([2, 3, 7])))
+                for c in floats}
+        vals.update(ticker=f"T{i}", avg_sentiment=rnd.choice(["positive", "neutral"]), total_headlines=rnd.randint(0, 9),
+                    analysis="x", history_context="", news_context="")
+        rows.append(vals)
+    schema = ", ".join([f"{c} double" for c in floats] + ["ticker string", "avg_sentiment string",
+                                                          "total_headlines long", "analysis string",
+                                                          "history_context string", "news_context string"])
+    df = spark.createDataFrame([tuple(r[c] for c in floats) + (r["ticker"], r["avg_sentiment"], r["total_headlines"],
+                                                              r["analysis"], r["history_context"], r["news_context"])
+                                for r in rows], schema)
+    got = {r.ticker: (r.t, r.d) for r in df.select("ticker", render(TECHNICAL_PROMPT).alias("t"),
+                                                   render(DECISION_PROMPT).alias("d")).collect()}
+    bad = [r["ticker"] for r in rows
+           if got[r["ticker"]] != (TECHNICAL_PROMPT.format(**r), DECISION_PROMPT.format(**r))]
+    assert not bad, bad[:5]
+
+
+def test_signed_and_percent_formats(spark):
+    from marketsig.functions.scalar import percent, py_round, signed_fixed
+    xs = [-0.0, 0.0, -0.0004, 0.0004, 1.2345, -1.2345, 0.0625, 2.675, -2.675, 123456.7895]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    got = {r.i: r for r in df.select("i", signed_fixed("x", 3).alias("s"), percent("x", 1).alias("p"),
+                                     py_round("x", 2).alias("r")).collect()}
+    for i, x in enumerate(xs):
+        assert got[i].s == f"{x:+.3f}", (x, got[i].s)
+        assert got[i].p == f"{x:.1%}", (x, got[i].p)
+        assert repr(got[i].r) == repr(round(x, 2)), (x, got[i].r)
