@@ -34,7 +34,8 @@ def py_parse(r):
 PIECES = ["Apple", "soars", " - ", " | ", "-", "|", "Reuters", "Bloomberg News", "Q3", ".com", "<b>", "</b>",
           "<", ">", " ", "  ", "\t", "\n", "\r\n", "\r", "\x0b", "\x0c", " ", " ", "　", "\x1c",
           "\x1f", "\x85", "x", "A", "é", "Ü", "5%", "DECISION:", "decision: ", "CONFIDENCE: ", "REASONING:",
-          "BUY", "sell", "Hold", "HIGH", "medium", "low", "<think>", "</think>", "[", "]", "**"]
+          "BUY", "sell", "Hold", "HIGH", "medium", "low", "<think>", "</think>", "[", "]", "**",
+          "ſell", "BUſ", "HIGK", "hİgh", "ﬀ"]
 
 
 def _strings(seed, n):
