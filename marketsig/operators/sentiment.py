@@ -79,6 +79,32 @@ def lexicon_counts(df: DataFrame, text: str, lexicon: dict[str, str]) -> DataFra
             .withColumn("n_pos", hits("positive")).withColumn("n_neg", hits("negative")))
 
 
+# The library's default finance lexicon (its own word list; the
+# reference scores with a model, which is pluggable through `score_text`).
+DEFAULT_LEXICON = {
+    "beat": "positive", "beats": "positive", "bullish": "positive", "gain": "positive",
+    "gains": "positive", "growth": "positive", "profit": "positive", "rally": "positive",
+    "record": "positive", "rise": "positive", "rises": "positive", "soar": "positive",
+    "soars": "positive", "strong": "positive", "surge": "positive", "upgrade": "positive",
+    "bearish": "negative", "cut": "negative", "cuts": "negative", "decline": "negative",
+    "downgrade": "negative", "drop": "negative", "drops": "negative", "fall": "negative",
+    "falls": "negative", "lawsuit": "negative", "loss": "negative", "losses": "negative",
+    "miss": "negative", "misses": "negative", "plunge": "negative", "weak": "negative",
+}
+
+
+def lexicon_scorer(text: str = "headline", lexicon: dict[str, str] | None = None,
+                   out: str = "sentiment_score") -> Callable[[DataFrame], DataFrame]:
+    """E1 scorer for the news plan: adds the signed score ``out`` (and the E2
+    columns) from lexicon hits over the whole ``text``."""
+    lex = lexicon or DEFAULT_LEXICON
+
+    def score(df: DataFrame) -> DataFrame:
+        c = lexicon_counts(df, text, lex)
+        return classify(c, *lexicon_logits()).withColumn(out, F.col("score"))
+    return score
+
+
 def lexicon_counts_table(df: DataFrame, key: str, text: str, lexicon: DataFrame,
                          max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """E1 with a lexicon *table* (word, cls) of any size.

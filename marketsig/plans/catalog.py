@@ -463,9 +463,7 @@ NEWS_LOOKBACK_MINUTES = 24 * 60
 NEWS_RECENT_MINUTES = 6 * 60
 
 
-def _lexicon_scorer(df: DataFrame) -> DataFrame:
-    c = sentiment.lexicon_counts(df, "headline", TEST_LEXICON)
-    return sentiment.classify(c, *sentiment.lexicon_logits()).withColumn("sentiment_score", F.col("score"))
+_lexicon_scorer = sentiment.lexicon_scorer("headline", TEST_LEXICON)
 
 
 @query

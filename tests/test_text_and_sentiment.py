@@ -112,3 +112,12 @@ def test_alert_uses_unrounded(spark):
     out = {r.ticker: r for r in S.from_alert(S.alert_columns(df)).collect()}
     assert out["X"].score == 0.7 and out["X"].alert is False
     assert out["Y"].avg_sentiment == "neutral"
+
+
+def test_default_lexicon_scorer(spark):
+    df = spark.createDataFrame([("Apple soars on record profit",), ("Intel misses, shares plunge",), ("Fed holds",)],
+                               "headline string")
+    out = {r.headline: r for r in S.lexicon_scorer()(df).collect()}
+    assert out["Apple soars on record profit"].sentiment == "positive"
+    assert out["Intel misses, shares plunge"].sentiment_score < 0
+    assert out["Fed holds"].sentiment == "neutral"
