@@ -105,3 +105,25 @@ def ledger_rows(signals: DataFrame, as_of, key: str = "ticker") -> DataFrame:
         F.col("avg_score").alias("sentiment_avg"), "rsi", "macd", "approved",
         F.col("thinking_process").alias("portfolio_manager_reasoning"),
         a.cast(TRADE_LEDGER.schema["timestamp"].dataType).alias("timestamp"))
+
+
+def as_state(signals: DataFrame, as_of, key: str = "ticker") -> DataFrame:
+    """The per-ticker state record: one row per
+    ticker and as-of time with ``market``, ``news_alert``, ``sentiment``,
+    ``technical`` and ``decision`` structs and the ``error`` text."""
+    from marketsig.functions.scalar import time_literal
+    c = F.col
+    return signals.select(
+        c(key).alias("ticker"), time_literal(as_of, "timestamp_ntz").alias("as_of"),
+        F.struct(*[c(x) for x in ("current_price", "change", "percent_change", "high", "low", "open",
+                                  "previous_close")]).alias("market"),
+        F.struct(c("news_score").alias("score"), c("news_alert").alias("alert"),
+                 c("news_count").alias("articles_count"), c("news_direction").alias("direction")).alias("news_alert"),
+        F.struct(*[c(x) for x in ("avg_sentiment", "avg_score", "positive_ratio", "negative_ratio", "neutral_ratio",
+                                  "total_headlines")], c("sentiment_source").alias("source")).alias("sentiment"),
+        F.struct(*[c(x) for x in ("rsi", "macd", "signal", "histogram")],
+                 F.concat_ws("; ", c("rsi_zone"), c("macd_trend"), c("momentum"), c("outlook")).alias("analysis"))
+        .alias("technical"),
+        F.struct(*[c(x) for x in ("decision", "confidence", "reasoning", "thinking_process", "approved")])
+        .alias("decision"),
+        c("error"))

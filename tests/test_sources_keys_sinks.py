@@ -169,3 +169,14 @@ def test_sql_registration(spark, tmp_path):
     sinks.register_tables(spark, root, [MARKET_QUOTES])
     assert spark.sql("SELECT count(*) AS n FROM market_quotes WHERE ticker = 'AAPL'").first().n == 1
     spark.sql("DROP TABLE market_quotes")
+
+
+def test_state_layout(spark):
+    import __spark_entry__ as E
+    from marketsig.plans import catalog, signals
+    a = catalog._signal_inputs(spark, "/root/testdata/sf0.001")
+    st = signals.as_state(a, T0)
+    assert [f.name for f in st.schema] == ["ticker", "as_of", "market", "news_alert", "sentiment", "technical",
+                                           "decision", "error"]
+    assert st.schema["news_alert"].dataType.names == ["score", "alert", "articles_count", "direction"]
+    assert st.count() == E.queries()["signal_assembly"](spark, "/root/testdata/sf0.001").count()
