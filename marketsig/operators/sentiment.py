@@ -256,17 +256,33 @@ def recent_news(news: DataFrame, as_of, key: str = "ticker", at: str = "created_
     rank newest-published first and NULL publish times first, as PostgreSQL
     orders ``DESC``.
 
-    The rank is a series position (``series.index_series``) over hour blocks
-    of the publish time, so even a hot ticker's slice is ranked in parallel.
+    The rank is a series position computed in parallel.  Each row gets a
+    wall-clock "mirror" time that grows along that order -- NULL publish
+    times first, ordered by the numeric tie-breaker (1970 + tie
+    microseconds), then newer publish times first (2200 - publish time) --
+    and the adaptive indexer splits any hot bucket of it.
     """
     from marketsig.functions.scalar import epoch_seconds, time_literal
-    from marketsig.operators.series import index_series
+    from marketsig.operators.series import index_series, index_series_adaptive
     a = time_literal(as_of, dict(news.dtypes).get(at, "timestamp_ntz"))
     rows = news.filter(F.col(score).isNotNull() & (F.col(at) >= a - _minutes(60 * hours)))
     order = [F.col(published).desc_nulls_first()] + ([F.col(tie)] if tie else [])
-    # Non-decreasing along the order: NULLs first, then newer hours first.
-    secs = (F.unix_seconds(F.col(published)) if dict(rows.dtypes)[published] == "timestamp"
-            else epoch_seconds(published))
-    block = F.when(F.col(published).isNull(), F.lit(-(1 << 62))).otherwise(-F.floor(secs / 3600)).cast("long")
-    ranked = index_series(rows, key, order, block, "_rank0")
-    return ranked.withColumn("rank", (F.col("_rank0") + 1).cast("long")).drop("_rank0")
+    numeric_tie = tie is not None and dict(rows.dtypes)[tie] in ("bigint", "int", "smallint", "tinyint")
+    if dict(rows.dtypes)[published] == "timestamp":
+        micros = F.unix_micros(F.col(published))
+    else:
+        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{published}`)")
+    if numeric_tie:
+        far = F.expr("TIMESTAMP_NTZ'2200-01-01 00:00:00'")
+        mirror = F.when(F.col(published).isNull(),
+                        F.timestamp_add("MICROSECOND", F.col(tie).cast("long"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))\
+            .otherwise(F.timestamp_add("MICROSECOND", -micros, far))
+        ranked = index_series_adaptive(rows.withColumn("_mirror", mirror), key, "_mirror",
+                                       [F.col("_mirror"), F.col(tie)], "_rank0").drop("_mirror")
+    else:
+        # Non-decreasing along the order: NULLs first, then newer hours first.
+        secs = (F.unix_seconds(F.col(published)) if dict(rows.dtypes)[published] == "timestamp"
+                else epoch_seconds(published))
+        block = F.when(F.col(published).isNull(), F.lit(-(1 << 62))).otherwise(-F.floor(secs / 3600)).cast("long")
+        ranked = index_series(rows, key, order, block, "_rank0")
+    return ranked.withColumn("rank", (F.col("_rank0") + 1).cast("long")).drop("_rank0")
\ No newline at end of file
