@@ -77,6 +77,16 @@ def dedup_within_watermark(stream: DataFrame, key: str = "url", at: str = "event
     return stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark([key])
 
 
+def dedup_exact_state(stream: DataFrame, key: str = "url") -> DataFrame:
+    """R2 exact, incremental: every key ever seen is kept in the state store
+    (no watermark), so each URL is emitted once across all batches without
+    re-reading the stored table.  State grows with the number of distinct
+    URLs -- use the RocksDB state store provider for large state.  Among
+    copies arriving in the same micro-batch one is kept, not necessarily the
+    first in feed order; ``insert_new_articles`` keeps the first."""
+    return stream.dropDuplicates([key])
+
+
 def batch_writer(path: str, partition_by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """K7: write each micro-batch to ``path/batch_id=N``; a replay of the same
     batch replaces its own folder, so the sink is idempotent."""

@@ -171,3 +171,11 @@ def test_rss_stream(spark, tmp_path):
     out = M.run_to_table(news.secondary_articles(s), spark, "t-rss-stream")
     r = out.first()
     assert (r.headline, r.url, r.published_at) == ("A", "https://x/1", dt.datetime(2024, 1, 1, 0, 0, 7))
+
+
+def test_exact_state_dedup(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    s = (spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(SF)
+         .select(F.md5("text").alias("url"), "doc_id"))
+    out = M.run_to_table(M.dedup_exact_state(s, "url"), spark, "t-state-dedup")
+    assert out.count() == out.select("url").distinct().count() == docs.select(F.md5("text")).distinct().count()
