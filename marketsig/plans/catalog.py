@@ -504,14 +504,18 @@ def _user_ticker():
 
 def _signal_inputs(spark, sf):
     ev = _events(spark, sf)
-    k = _k(ev).cast("double")
+    # Each user's newest event is the quote its fetch returns now; the JSON
+    # payload is built for that one row per ticker, not for every event.
+    newest_ev = ind.latest(ev.select(_user_ticker().alias("ticker"), "ts", "event_id", "value", "props")
+                           .withColumn("_o", F.struct("ts", "event_id")), "ticker", "_o").drop("_o")
+    k = _k(newest_ev).cast("double")
     payload = F.to_json(F.struct(
         F.when(k % 20 == 0, F.lit(0.0)).otherwise(F.col("value")).alias("c"),
         ((k - 50.0) / F.lit(10.0)).alias("d"), ((k - 50.0) / F.lit(4.0)).alias("dp"),
         (F.col("value") + k / F.lit(100.0)).alias("h"), (F.col("value") - k / F.lit(100.0)).alias("l"),
         (F.col("value") - (k - 50.0) / F.lit(20.0)).alias("o"),
         (F.col("value") - (k - 50.0) / F.lit(10.0)).alias("pc")))
-    landed = ev.select(_user_ticker().alias("ticker"), "ts", "event_id", payload.alias("payload"))
+    landed = newest_ev.select("ticker", "ts", "event_id", payload.alias("payload"))
     quotes_now = sig.latest_quotes(landed, "ticker", "ts", "event_id")
     as_of = newest(ev, "ts")
     hist = bars.lookback(ev.select(_user_ticker().alias("ticker"), "ts", "event_id", "value"), "ts", as_of, 1)
