@@ -141,11 +141,15 @@ def classify(df: DataFrame, l_neg, l_neu, l_pos) -> DataFrame:
 
 
 def score_text(df: DataFrame, text: str, make_scorer: Callable[[], Callable[[list[str]], list]],
-               batch_size: int = BATCH_SIZE) -> DataFrame:
+               batch_size: int = BATCH_SIZE,
+               class_order: tuple[str, str, str] = ("negative", "neutral", "positive")) -> DataFrame:
     """E1 with any model: ``make_scorer()`` is called once per Python worker
-    task and returns ``f(list[str]) -> list[[p_neg, p_neu, p_pos]]``; rows go
-    to it in Arrow batches, ``batch_size`` texts per call.  Adds the E2 columns.
+    task and returns ``f(list[str]) -> list[[p, p, p]]`` with the classes in
+    ``class_order`` (M13: a parameter, default negative, neutral, positive);
+    rows go to it in Arrow batches, ``batch_size`` texts per call.  Adds the
+    E2 columns.
     """
+    pos_of = {c: class_order.index(c) for c in ("negative", "neutral", "positive")}
     @F.pandas_udf("array<double>")
     def _probs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = make_scorer()
@@ -157,8 +161,9 @@ def score_text(df: DataFrame, text: str, make_scorer: Callable[[], Callable[[lis
             yield pd.Series(out)
 
     d = df.withColumn("_p", _probs(F.col(text)))
-    d = (d.withColumn("p_negative", F.col("_p")[0]).withColumn("p_neutral", F.col("_p")[1])
-         .withColumn("p_positive", F.col("_p")[2]).drop("_p"))
+    d = (d.withColumn("p_negative", F.col("_p")[pos_of["negative"]])
+         .withColumn("p_neutral", F.col("_p")[pos_of["neutral"]])
+         .withColumn("p_positive", F.col("_p")[pos_of["positive"]]).drop("_p"))
     return (d.withColumn("sentiment", argmax_label("p_negative", "p_neutral", "p_positive"))
             .withColumn("confidence", F.greatest("p_negative", "p_neutral", "p_positive"))
             .withColumn("score", signed_score("p_negative", "p_positive")))

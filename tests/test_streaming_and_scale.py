@@ -179,3 +179,11 @@ def test_exact_state_dedup(spark):
          .select(F.md5("text").alias("url"), "doc_id"))
     out = M.run_to_table(M.dedup_exact_state(s, "url"), spark, "t-state-dedup")
     assert out.count() == out.select("url").distinct().count() == docs.select(F.md5("text")).distinct().count()
+
+
+def test_model_scorer_class_order(spark):
+    def make():
+        return lambda texts: [[0.7, 0.2, 0.1] for _ in texts]       # positive, negative, neutral
+    df = spark.createDataFrame([(1, "x")], "id int, text string")
+    r = sentiment.score_text(df, "text", make, class_order=("positive", "negative", "neutral")).first()
+    assert r.sentiment == "positive" and abs(r.p_positive - 0.7) < 1e-12 and abs(r.score - 0.5) < 1e-12
