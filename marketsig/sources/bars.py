@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,29 @@ def lookback(df: DataFrame, ts: str, as_of, months: int = 1) -> DataFrame:
     return df.filter(F.col(ts) >= a - F.make_ym_interval(F.lit(0), F.lit(months)))
 
 
+def order_key(df: DataFrame, ts: str, tie: str) -> Column:
+    """One fixed-width key that sorts like ``(ts, tie)``: epoch microseconds
+    times 10^19 plus an integral tie-breaker, as DECIMAL(38,0).  With it
+    ``min_by``/``max_by`` keep a fixed-width buffer, so Spark aggregates with
+    a hash table instead of sorting every map partition (a struct key forces
+    the sort-based path).  Falls back to the struct for a non-integral tie."""
+    if dict(df.dtypes).get(tie) not in ("bigint", "int", "smallint", "tinyint"):
+        return F.struct(F.col(ts), F.col(tie))
+    if dict(df.dtypes)[ts] == "timestamp":
+        micros = F.unix_micros(F.col(ts))
+    else:
+        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    d = "decimal(38,0)"
+    return micros.cast(d) * F.lit(Decimal(10) ** 19).cast(d) + F.col(tie).cast(d)
+
+
 def daily_bars(ticks: DataFrame, key: str, ts: str, price: str, tie: str,
                size: str | None = None) -> DataFrame:
     """S7 from ticks: one bar per key and day.  open/close are the first/last
     price by (ts, tie); volume is the summed size, or the tick count.  All
-    aggregates are partial, so a hot key does not skew the shuffle."""
-    order = F.struct(F.col(ts), F.col(tie))
+    aggregates are partial (hash-based, see ``order_key``), so a hot key
+    does not skew the shuffle."""
+    order = order_key(ticks, ts, tie)
     vol = F.sum(size) if size else F.count(F.lit(1))
     return (ticks.groupBy(key, F.to_date(ts).alias("date"))
             .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"),

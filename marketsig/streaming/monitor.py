@@ -192,7 +192,8 @@ def daily_bars_stream(stream: DataFrame, key: str, at: str, price: str, tie: str
     """S7 on a stream: OHLCV bars per key and day from ticks; a day's bar is
     emitted once the watermark passes the end of the day (append mode).
     Aggregates are the batch bar's (``sources.bars.daily_bars``)."""
-    order = F.struct(F.col(at), F.col(tie))
+    from marketsig.sources.bars import order_key
+    order = order_key(stream, at, tie)
     return (stream.withWatermark(at, watermark)
             .groupBy(key, F.window(at, "1 day").alias("day"))
             .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"),
