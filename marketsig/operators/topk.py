@@ -21,6 +21,18 @@ def top_k_per_key(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colu
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def latest_k(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], k: int,
+             fields: Sequence[str], out: str = "latest") -> DataFrame:
+    """T1 + J3 now-mode: per key the first ``k`` rows under ``order`` as an
+    array of structs (in that order).  The partial window limit keeps at most
+    ``k`` rows per key and task before the shuffle, and each list holds at
+    most ``k`` items."""
+    keys = _names(keys)
+    top = top_k_per_key(df, keys, order, k, rank="_r")
+    return (top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", *fields))).alias("_l"))
+            .select(*keys, F.transform("_l", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out)))
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """Global top ``k`` (TakeOrderedAndProject: per-task top-k, then merge)."""
     return df.orderBy(*order).limit(k)

@@ -19,6 +19,7 @@ from marketsig.operators import indicators as ind
 from marketsig.operators import keys, sentiment, topk, validate
 from marketsig.plans import news as news_plan
 from marketsig.plans import prompts as prompt_plan
+from marketsig.plans.prompts import history_context, history_line
 from marketsig.plans import report
 from marketsig.plans import signals as sig
 from marketsig.schemas import TRADE_LEDGER
@@ -383,25 +384,6 @@ def topk_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("rank", F.col("rank").cast("long"))
 
 
-# The history block of the decision prompt.
-HISTORY_HEADER = "\n\nHISTORICAL CONTEXT (Past 5 trades for this stock):\n"
-
-
-def history_line(ts, action, price, sentiment_avg, rsi, reasoning) -> F.Column:
-    """One trade's history line without its number (formatted once per row)."""
-    return F.concat(X.ymd(ts), F.lit(": "), F.col(action), F.lit(" at $"), X.fixed(price, 2),
-                    F.lit(" (Sentiment: "), X.fixed(sentiment_avg, 2), F.lit(", RSI: "), X.fixed(rsi, 1),
-                    F.lit(") - "), F.col(reasoning), F.lit("\n"))
-
-
-def history_context(hist_col: str) -> F.Column:
-    """Numbered history lines (newest first) under the header;
-    empty when there is no earlier trade."""
-    lines = F.transform(hist_col, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
-    return F.when(F.size(hist_col) > 0, F.concat(F.lit(HISTORY_HEADER), F.array_join(lines, "")))\
-        .otherwise(F.lit(""))
-
-
 def order_trades(orders: DataFrame) -> DataFrame:
     """Orders read as past trades of ticker C<custkey>."""
     act = (F.when(F.col("o_orderstatus") == "P", "BUY").when(F.col("o_orderstatus") == "F", "SELL")

@@ -3,9 +3,10 @@ signals.  The model calls themselves are not built."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketsig.functions.scalar import fixed, ymd
 from marketsig.functions.template import render
 
 # The reference's prompt texts, with its format specs.
@@ -99,3 +100,35 @@ def prompt_table(signals: DataFrame, history: DataFrame | None = None, key: str
     s = s.withColumn("analysis", F.coalesce(render(ANALYSIS), F.lit("N/A"))).withColumn("news_context", news)
     return s.select(key, render(TECHNICAL_PROMPT).alias("technical_prompt"),
                     render(DECISION_PROMPT).alias("decision_prompt"))
+
+
+# The history block of the decision prompt.
+HISTORY_HEADER = "\n\nHISTORICAL CONTEXT (Past 5 trades for this stock):\n"
+
+
+def history_line(ts, action, price, sentiment_avg, rsi, reasoning) -> Column:
+    """One trade's history line without its number (formatted once per row)."""
+    return F.concat(ymd(ts), F.lit(": "), F.col(action), F.lit(" at $"), fixed(price, 2),
+                    F.lit(" (Sentiment: "), fixed(sentiment_avg, 2), F.lit(", RSI: "), fixed(rsi, 1),
+                    F.lit(") - "), F.col(reasoning), F.lit("\n"))
+
+
+def history_context(hist) -> Column:
+    """Numbered history lines (newest first) under the header;
+    empty when there is no earlier trade."""
+    h = F.col(hist) if isinstance(hist, str) else hist
+    lines = F.transform(h, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+    return F.when(F.size(h) > 0, F.concat(F.lit(HISTORY_HEADER), F.array_join(lines, "")))\
+        .otherwise(F.lit(""))
+
+
+def history_block(ledger: DataFrame, key: str = "ticker", k: int = 5) -> DataFrame:
+    """J3 now-mode + E6: each ticker's ``k`` latest ledger trades (newest
+    first, larger id first on equal times) as the decision prompt's history
+    block -- (key, history_context) for ``prompt_table``."""
+    from marketsig.operators.topk import latest_k
+    lines = ledger.select(key, "timestamp", "id",
+                          history_line("timestamp", "action", "price", "sentiment_avg", "rsi", "reasoning")
+                          .alias("line"))
+    h = latest_k(lines, key, [F.col("timestamp").desc(), F.col("id").desc()], k, ["line"])
+    return h.select(key, history_context(F.transform("latest", lambda x: x["line"])).alias("history_context"))

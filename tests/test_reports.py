@@ -85,3 +85,20 @@ def test_signed_and_percent_formats(spark):
         assert got[i].s == f"{x:+.3f}", (x, got[i].s)
         assert got[i].p == f"{x:.1%}", (x, got[i].p)
         assert repr(got[i].r) == repr(round(x, 2)), (x, got[i].r)
+
+
+def test_history_block_now_mode(spark):
+    import datetime as dt
+
+    from marketsig.plans.prompts import history_block
+    t0 = dt.datetime(2026, 1, 20)
+    rows = [(i, "AAPL", t0 + dt.timedelta(days=i // 2), "BUY" if i % 2 else "HOLD", 100.0 + i, 0.125 * i, 50.0 + i,
+             f"r{i}") for i in range(8)] + [(99, "MSFT", t0, "SELL", 10.0, -0.5, 30.0, "x")]
+    led = spark.createDataFrame(rows, "id long, ticker string, timestamp timestamp, action string, price double, "
+                                      "sentiment_avg double, rsi double, reasoning string")
+    got = {r.ticker: r.history_context for r in history_block(led).collect()}
+    lines = got["AAPL"].split("\n")
+    assert lines[2] == "HISTORICAL CONTEXT (Past 5 trades for this stock):"
+    assert lines[3] == f"1. 2026-01-23: BUY at $107.00 (Sentiment: {0.875:.2f}, RSI: 57.0) - r7"
+    assert len([x for x in lines if x[:2] in ("1.", "2.", "3.", "4.", "5.", "6.")]) == 5
+    assert got["MSFT"].endswith("1. 2026-01-20: SELL at $10.00 (Sentiment: -0.50, RSI: 30.0) - x\n")
