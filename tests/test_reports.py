@@ -102,3 +102,26 @@ def test_history_block_now_mode(spark):
     assert lines[3] == f"1. 2026-01-23: BUY at $107.00 (Sentiment: {0.875:.2f}, RSI: 57.0) - r7"
     assert len([x for x in lines if x[:2] in ("1.", "2.", "3.", "4.", "5.", "6.")]) == 5
     assert got["MSFT"].endswith("1. 2026-01-20: SELL at $10.00 (Sentiment: -0.50, RSI: 30.0) - x\n")
+
+
+def test_ledger_round_trip_into_prompts(spark, tmp_path):
+    """P4 -> C1-C7 -> K4 append -> read back -> J3 now mode -> E6 prompts."""
+    import datetime as dt
+
+    from marketsig.operators import sinks
+    from marketsig.plans import catalog, prompts, signals
+    from marketsig.schemas import TRADE_LEDGER
+    sig = catalog._signal_inputs(spark, "/root/testdata/sf0.001")
+    root = str(tmp_path / "tables")
+    sinks.create_tables(spark, root, [TRADE_LEDGER])
+    for day in (1, 2):                                    # two decision runs
+        rejects = sinks.append(signals.ledger_rows(sig, dt.datetime(2024, 2, day)), root, TRADE_LEDGER)
+        assert rejects.count() == 0
+    ledger = sinks.read_table(spark, root, TRADE_LEDGER)
+    ok = sig.filter("error IS NULL").count()
+    assert ledger.count() == 2 * ok and ledger.select("id").distinct().count() == 2 * ok
+    table = prompts.prompt_table(sig, prompts.history_block(ledger)).collect()
+    assert len(table) == ok
+    p = table[0].decision_prompt
+    assert "HISTORICAL CONTEXT (Past 5 trades for this stock):\n1. 2024-02-02: " in p
+    assert "\n2. 2024-02-01: " in p and "INSTRUCTIONS:" in p
