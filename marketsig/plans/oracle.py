@@ -659,7 +659,7 @@ def _exact_round(sql: str) -> str:
             j += 1
         arg = _exact_round(sql[m.end():comma])
         digits = sql[comma + 1:j - 1].strip()
-        out.append(f"CAST(printf('%.{digits}f', {arg}) AS DOUBLE)")
+        out.append(f"(CAST(printf('%.{digits}f', {arg}) AS DOUBLE) + 0.0)")
         i = j
 
 
