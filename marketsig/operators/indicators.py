@@ -46,7 +46,7 @@ def with_position(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str |
     """
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
     if block_unit is None:
-        return index_series_adaptive(df, keys, ts, order, idx_col, size_col)
+        return index_series_adaptive(df, keys, ts, order, idx_col, size_col, tie=tie)
     block = (_bucket(df, ts, block_unit) if block_unit in UNIT_SECONDS
              else F.date_trunc(block_unit, F.col(ts)))
     return index_series(df, keys, order, block, idx_col, size_col)

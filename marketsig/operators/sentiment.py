@@ -285,7 +285,7 @@ def recent_news(news: DataFrame, as_of, key: str = "ticker", at: str = "created_
                         F.timestamp_add("MICROSECOND", F.col(tie).cast("long"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))\
             .otherwise(F.timestamp_add("MICROSECOND", -micros, far))
         ranked = index_series_adaptive(rows.withColumn("_mirror", mirror), key, "_mirror",
-                                       [F.col("_mirror"), F.col(tie)], "_rank0").drop("_mirror")
+                                       [F.col("_mirror"), F.col(tie)], "_rank0", tie=tie).drop("_mirror")
     else:
         # Non-decreasing along the order: NULLs first, then newer hours first.
         secs = (F.unix_seconds(F.col(published)) if dict(rows.dtypes)[published] == "timestamp"

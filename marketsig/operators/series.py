@@ -63,77 +63,91 @@ def index_series(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colum
     return _rank_with_offsets(d, keys, order, blk, sizes, idx_col, size_col)
 
 
-# A block holding more rows than this is split into finer time buckets.
+# A block holding more rows than this is split into finer buckets.
 MAX_BLOCK_ROWS = 1 << 22
 UNITS = ("day", "hour", "minute", "second")
 UNIT_SECONDS = {"day": 86400, "hour": 3600, "minute": 60, "second": 1}
+# Refinement levels below a day, in microseconds: hour, minute, second,
+# millisecond, then the exact timestamp.
+_SUB_DAY_MICROS = (3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
+
+
+def _micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970, zone-free (wall-clock columns read as UTC)."""
+    if dict(df.dtypes)[ts] == "timestamp":
+        return F.unix_micros(F.col(ts))
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
 
 
 def _bucket(df: DataFrame, ts: str, unit: str) -> Column:
     """Whole ``unit``s since 1970 -- zone-free and non-decreasing in time
     (``date_trunc`` on a wall-clock column goes through the session zone)."""
-    if dict(df.dtypes)[ts] == "timestamp":
-        secs = F.unix_seconds(F.col(ts))
-    else:
-        secs = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
-    return F.floor(secs / F.lit(UNIT_SECONDS[unit])).cast("long")
+    return F.floor(_micros(df, ts) / F.lit(UNIT_SECONDS[unit] * 1_000_000)).cast("long")
+
+
+def _levels(df: DataFrame, ts: str, tie: str | None) -> list[Column]:
+    """Bucket expressions, each refining the previous and non-decreasing
+    along (ts, tie): day, hour, minute, second, millisecond, timestamp, and
+    for an integral tie-breaker tie ranges and the tie itself."""
+    micros = _micros(df, ts)
+    out = [F.floor(micros / F.lit(86_400_000_000)).cast("long")]
+    out += [F.floor(micros / F.lit(m)).cast("long") for m in _SUB_DAY_MICROS[:-1]] + [micros.cast("long")]
+    if tie is not None and dict(df.dtypes).get(tie) in ("bigint", "int", "smallint", "tinyint"):
+        t = F.col(tie).cast("long")
+        out += [F.shiftright(t, 20), F.shiftright(t, 10), t]
+    return out
 
 
 def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, order: Sequence[Column],
                           idx_col: str = IDX, size_col: str | None = None,
-                          max_block_rows: int = MAX_BLOCK_ROWS, units: Sequence[str] = UNITS) -> DataFrame:
+                          max_block_rows: int = MAX_BLOCK_ROWS, tie: str | None = None) -> DataFrame:
     """``index_series`` with blocks sized to the data.
 
     Rows are counted per (series, day) once -- a partial aggregate, kept as
     a small checkpoint because it is also the block-size table.  When no day
     holds more than ``max_block_rows`` rows (one tiny check), days are the
     blocks.  Otherwise a hot day is split into hours, a hot hour into
-    minutes and a hot minute into seconds; the hot lists are broadcast, and
-    each holds at most total rows / ``max_block_rows`` entries, so their size
-    is bounded by construction.
-    ``order`` must start with ``ts``.
+    minutes, and so on down to single timestamps and -- with an integral
+    ``tie`` -- tie ranges and single rows, so any hot group splits.  The hot
+    lists are broadcast; each holds at most total rows / ``max_block_rows``
+    entries, so their size is bounded by construction.  ``order`` must be
+    ``(ts, tie)`` when ``tie`` is given, and start with ``ts`` otherwise.
     """
     keys = _names(keys)
-    lv = [f"_b{i}" for i in range(len(units))]
-    day = _bucket(df, ts, units[0])
-    c0 = materialize(df.groupBy(*keys, day.alias(lv[0])).agg(F.count(F.lit(1)).alias("_n")))
+    levels = _levels(df, ts, tie)
+    lv = [f"_b{i}" for i in range(len(levels))]
+    c0 = materialize(df.groupBy(*keys, levels[0].alias(lv[0])).agg(F.count(F.lit(1)).alias("_n")))
     if c0.filter(F.col("_n") > max_block_rows).isEmpty():
-        d = df.withColumn("_blk", day)
+        d = df.withColumn("_blk", levels[0])
         return _rank_with_offsets(d, keys, order, "_blk", c0.withColumnRenamed(lv[0], "_blk"),
                                   idx_col, size_col)
 
     d = df
-    for name, unit in zip(lv, units):
-        d = d.withColumn(name, _bucket(df, ts, unit))
+    for name, expr in zip(lv, levels):
+        d = d.withColumn(name, expr)
+    # Counts per level, grouped by the whole level prefix, over the rows of
+    # hot parents only (AQE skips a level once a hot list comes back empty).
     counts, hots, cur = [c0], [], d
-    for i, name in enumerate(lv):
-        c = counts[i] if i == 0 else cur.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"))
-        if i > 0:
-            counts.append(c)
-        if i < len(lv) - 1:
-            hot = c.filter(F.col("_n") > max_block_rows).select(*keys, name).withColumn(f"_h{i}", F.lit(True))
-            hots.append(hot)
-            cur = cur.join(F.broadcast(hot.drop(f"_h{i}")), [*keys, name], "left_semi")
-    # Each row's block: its day, then its hour if the day is hot, then its
-    # minute if the hour is hot -- non-decreasing along the order.
+    for i in range(1, len(lv)):
+        hot = counts[i - 1].filter(F.col("_n") > max_block_rows).select(*keys, *lv[:i])
+        hots.append(hot)
+        cur = cur.join(F.broadcast(hot), [*keys, *lv[:i]], "left_semi")
+        counts.append(cur.groupBy(*keys, *lv[:i + 1]).agg(F.count(F.lit(1)).alias("_n")))
+    # A row's block: each level's bucket while its parent is hot, a constant
+    # below that (the same for every row of an unsplit bucket).
     for i, hot in enumerate(hots):
-        d = d.join(F.broadcast(hot), [*keys, lv[i]], "left")
-    # Unsplit levels hold a constant (not NULL, so block keys compare equal).
+        d = d.join(F.broadcast(hot.withColumn(f"_h{i}", F.lit(True))), [*keys, *lv[:i + 1]], "left")
     unset = F.lit(-1).cast("long")
-    parts = [F.col(lv[0])]
-    for i in range(1, len(lv)):
-        parts.append(F.when(F.col(f"_h{i - 1}").isNotNull(), F.col(lv[i])).otherwise(unset))
-    d = d.withColumn("_blk", F.struct(*[p.alias(f"l{j}") for j, p in enumerate(parts)]))
-    d = d.drop(*lv, *[f"_h{i}" for i in range(len(hots))])
-    # Block sizes from the same counts: a level's counts for buckets that were
-    # not split further.
+    parts = [F.col(lv[0])] + [F.when(F.col(f"_h{i - 1}").isNotNull(), F.col(lv[i])).otherwise(unset)
+                              for i in range(1, len(lv))]
+    d = (d.withColumn("_blk", F.struct(*[p.alias(f"l{j}") for j, p in enumerate(parts)]))
+         .drop(*lv, *[f"_h{i}" for i in range(len(hots))]))
+    # Block sizes: each level's counts for buckets that were not split.
     sizes = None
     for i, c in enumerate(counts):
         if i < len(hots):
-            c = c.join(F.broadcast(hots[i].drop(f"_h{i}")), [*keys, lv[i]], "left_anti")
-        sec = UNIT_SECONDS[units[i]]
-        fields = [F.floor(F.col(lv[i]) * F.lit(sec) / F.lit(UNIT_SECONDS[units[j]])).cast("long").alias(f"l{j}")
-                  if j <= i else unset.alias(f"l{j}") for j in range(len(lv))]
+            c = c.join(F.broadcast(hots[i]), [*keys, *lv[:i + 1]], "left_anti")
+        fields = [F.col(lv[j]).alias(f"l{j}") if j <= i else unset.alias(f"l{j}") for j in range(len(lv))]
         part = c.select(*keys, F.struct(*fields).alias("_blk"), "_n")
         sizes = part if sizes is None else sizes.unionByName(part)
     return _rank_with_offsets(d, keys, order, "_blk", sizes, idx_col, size_col)

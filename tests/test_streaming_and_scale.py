@@ -187,3 +187,19 @@ def test_model_scorer_class_order(spark):
     df = spark.createDataFrame([(1, "x")], "id int, text string")
     r = sentiment.score_text(df, "text", make, class_order=("positive", "negative", "neutral")).first()
     assert r.sentiment == "positive" and abs(r.p_positive - 0.7) < 1e-12 and abs(r.score - 0.5) < 1e-12
+
+
+def test_adaptive_blocks_split_identical_timestamps(spark):
+    """A third of the rows share one timestamp: only the tie levels can split
+    them; positions must still equal one window over the series."""
+    from marketsig.operators.series import index_series_adaptive
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    hot = ev.withColumn("k", F.when(F.col("user_id") % 3 == 0, F.lit("HOT")).otherwise(F.col("event_type")))
+    hot = hot.withColumn("ts", F.when(F.col("k") == "HOT", F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'"))
+                         .otherwise(F.col("ts")))
+    got = index_series_adaptive(hot, "k", "ts", [F.col("ts"), F.col("event_id")], max_block_rows=7,
+                                size_col="n", tie="event_id")
+    w = Window.partitionBy("k").orderBy("ts", "event_id")
+    ref = hot.withColumn("rn", F.row_number().over(w) - 1)
+    j = got.join(ref.select("event_id", "rn"), "event_id")
+    assert j.count() == 10000 and j.filter(F.col("_pos") != F.col("rn")).count() == 0
