@@ -30,12 +30,8 @@ def falsy_coalesce(*cols, empty=0) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit(empty)) for c in head], last)
 
 
-def nonzero(c) -> Column:
-    return F.nullif(_col(c), F.lit(0))
 
 
-def nonempty(c) -> Column:
-    return F.nullif(_col(c), F.lit(""))
 
 
 def rss_to_timestamp(c) -> Column:
@@ -99,9 +95,6 @@ def direction(score) -> Column:
     return F.when(s > 0, "positive").when(s < 0, "negative").otherwise("neutral")
 
 
-def fmt(pattern: str, *cols) -> Column:
-    """Printf-style number formatting (``%.2f``, ``%+.3f``, ...)."""
-    return F.format_string(pattern, *[_col(c) for c in cols])
 
 
 def ymd(ts) -> Column:
