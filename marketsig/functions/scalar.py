@@ -30,10 +30,6 @@ def falsy_coalesce(*cols, empty=0) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit(empty)) for c in head], last)
 
 
-
-
-
-
 def rss_to_timestamp(c) -> Column:
     """RFC-822 date ``'Mon, 01 Jan 2024 00:00:07 GMT'`` -> timestamp.
 
@@ -95,8 +91,6 @@ def direction(score) -> Column:
     return F.when(s > 0, "positive").when(s < 0, "negative").otherwise("neutral")
 
 
-
-
 def ymd(ts) -> Column:
     """``yyyy-MM-dd``."""
     return F.date_format(_col(ts), "yyyy-MM-dd")
