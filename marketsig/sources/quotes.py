@@ -24,11 +24,18 @@ LANDED_SCHEMA = T.StructType([T.StructField("ticker", T.StringType()),
 
 def decode(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Parse the JSON payload with a fixed schema, rename the keys,
-    and drop quotes whose price is exactly 0 (NULL is kept)."""
+    and drop quotes whose price is exactly 0 (an explicit NULL is kept).
+
+    A payload that is not a JSON object holding all seven keys is a failed
+    fetch and gives no quote (the reference indexes every key, so a missing
+    one ends in its error path)."""
     # One parse per row: behind a generator Catalyst neither splits the parse
     # into one from_json per field nor copies it into the filter.
     rest = [c for c in df.columns if c != payload]
-    d = df.select(*rest, F.inline(F.array(F.from_json(F.col(payload), PAYLOAD_SCHEMA))))
+    wanted = F.array(*[F.lit(k) for k in PAYLOAD_FIELDS])
+    complete = F.coalesce(F.size(F.array_intersect(F.json_object_keys(F.col(payload)), wanted))
+                          == len(PAYLOAD_FIELDS), F.lit(False))
+    d = df.filter(complete).select(*rest, F.inline(F.array(F.from_json(F.col(payload), PAYLOAD_SCHEMA))))
     d = d.select(*rest, *[F.col(k).alias(v) for k, v in PAYLOAD_FIELDS.items()])
     return d.filter(F.col("current_price").isNull() | (F.col("current_price") != 0))
 

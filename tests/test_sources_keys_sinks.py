@@ -14,9 +14,11 @@ T0 = dt.datetime(2026, 1, 27, 12, 0)
 def test_quote_decode(spark):
     rows = [("AAPL", '{"c":184.89,"d":-10.67,"dp":-5.46,"h":195.56,"l":183.0,"o":195.0,"pc":195.56}'),
             ("ZERO", '{"c":0,"d":0,"dp":0,"h":0,"l":0,"o":0,"pc":0}'),
-            ("NULL", '{"d":1}')]
+            ("NULL", '{"c":null,"d":1,"dp":null,"h":null,"l":null,"o":null,"pc":null}'),
+            ("MISSING", '{"d":1}'), ("BAD", '{not json'), ("EMPTY", ''), ("NONE", None)]
     q = {r.ticker: r for r in quotes.decode(spark.createDataFrame(rows, "ticker string, payload string")).collect()}
     assert set(q) == {"AAPL", "NULL"}
+    assert q["NULL"].current_price is None and q["NULL"].change == 1.0
     assert q["AAPL"].current_price == 184.89 and q["AAPL"].previous_close == 195.56
 
 
