@@ -29,14 +29,15 @@ def decode(df: DataFrame, payload: str = "payload") -> DataFrame:
     A payload that is not a JSON object holding all seven keys is a failed
     fetch and gives no quote (the reference indexes every key, so a missing
     one ends in its error path)."""
-    # One parse per row: behind a generator Catalyst neither splits the parse
-    # into one from_json per field nor copies it into the filter.
+    # One parse per row, into a map so key presence and values come from the
+    # same parse; behind a generator Catalyst neither splits nor repeats it.
     rest = [c for c in df.columns if c != payload]
+    parsed = F.from_json(F.col(payload), "map<string,double>")
+    d = df.select(*rest, F.inline(F.array(F.struct(parsed.alias("_m")))))
     wanted = F.array(*[F.lit(k) for k in PAYLOAD_FIELDS])
-    complete = F.coalesce(F.size(F.array_intersect(F.json_object_keys(F.col(payload)), wanted))
-                          == len(PAYLOAD_FIELDS), F.lit(False))
-    d = df.filter(complete).select(*rest, F.inline(F.array(F.from_json(F.col(payload), PAYLOAD_SCHEMA))))
-    d = d.select(*rest, *[F.col(k).alias(v) for k, v in PAYLOAD_FIELDS.items()])
+    complete = F.coalesce(F.size(F.array_intersect(F.map_keys("_m"), wanted)) == len(PAYLOAD_FIELDS),
+                          F.lit(False))
+    d = d.filter(complete).select(*rest, *[F.col("_m")[k].alias(v) for k, v in PAYLOAD_FIELDS.items()])
     return d.filter(F.col("current_price").isNull() | (F.col("current_price") != 0))
 
 
