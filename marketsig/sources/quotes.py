@@ -16,7 +16,6 @@ PAYLOAD_FIELDS = {
     "o": "open",
     "pc": "previous_close",
 }
-PAYLOAD_SCHEMA = T.StructType([T.StructField(k, T.DoubleType()) for k in PAYLOAD_FIELDS])
 LANDED_SCHEMA = T.StructType([T.StructField("ticker", T.StringType()),
                               T.StructField("fetched_at", T.TimestampType()),
                               T.StructField("payload", T.StringType())])
