@@ -31,11 +31,16 @@ def falsy_coalesce(*cols, empty=0) -> Column:
 
 
 def rss_to_timestamp(c) -> Column:
-    """RFC-822 date ``'Mon, 01 Jan 2024 00:00:07 GMT'`` -> timestamp.
+    """RFC-822 date ``'Mon, 01 Jan 2024 00:00:07 GMT'`` -> timestamp
+    (TIMESTAMP_NTZ, UTC wall clock); an unparseable date gives NULL.
 
-    The weekday is skipped (Spark 3+ rejects weekday patterns when parsing).
+    The weekday is skipped (Spark 3+ rejects weekday patterns when parsing);
+    the time is parsed with an explicit UTC offset, so no session time zone
+    is involved.
     """
-    return F.to_timestamp_ntz(F.substring(_col(c), 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
+    text = F.concat(F.substring(_col(c), 6, 20), F.lit(" +0000"))
+    instant = F.try_to_timestamp(text, F.lit("dd MMM yyyy HH:mm:ss Z"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr(EPOCH))
 
 
 def rss_format(ts) -> Column:

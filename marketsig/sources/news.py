@@ -46,7 +46,8 @@ def primary_articles(snapshots: DataFrame, n: int = FEED_LIMIT) -> DataFrame:
         *[c for c in d.columns if c not in ("pos", "item")], "pos",
         clean_headline(F.coalesce(F.col("item.title"), F.lit(""))).alias("headline"),
         falsy_coalesce("item.link", F.coalesce(F.col("item.url"), F.lit("")), empty="").alias("url"),
-        from_epoch(falsy_coalesce("item.providerPublishTime", "item.publishedAt")).alias("published_at"),
+        from_epoch(F.nullif(falsy_coalesce("item.providerPublishTime", "item.publishedAt"), F.lit(0)))
+        .alias("published_at"),
         F.lit(PRIMARY).alias("source"))
         .filter((F.col("headline") != "") & (F.col("url") != "")))
 

@@ -182,3 +182,14 @@ def test_state_layout(spark):
                                            "decision", "error"]
     assert st.schema["news_alert"].dataType.names == ["score", "alert", "articles_count", "direction"]
     assert st.count() == E.queries()["signal_assembly"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_bad_feed_values_do_not_fail(spark):
+    """A malformed RSS date gives a NULL time (no job failure); a zero epoch
+    is a missing publish time, as the reference's truthiness check has it."""
+    df = spark.createDataFrame([("T", 0, "a", "l", "garbage"), ("T", 1, "b", "m", None)],
+                               "ticker string, pos int, title string, link string, pubDate string")
+    assert [r.published_at for r in news.secondary_articles(df).collect()] == [None, None]
+    items = [("A", "u", None, 0, 0)]
+    s = spark.createDataFrame([("X", T0, items)], news.PRIMARY_SNAPSHOT)
+    assert news.primary_articles(s).first().published_at is None
