@@ -118,7 +118,7 @@ def indicators_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _k(ev):
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.get_json_object("props", "$.k").try_cast("int")
 
 
 @query
@@ -289,7 +289,8 @@ def softmax_label(spark: SparkSession, sf: str) -> DataFrame:
     """The first three embedding dimensions as class logits ->
     probabilities, label (ties to the first class), confidence, signed score."""
     e = table(spark, sf, "embeddings")
-    d = sentiment.classify(e, F.col("embedding")[0], F.col("embedding")[1], F.col("embedding")[2])
+    d = sentiment.classify(e, F.try_element_at("embedding", F.lit(1)), F.try_element_at("embedding", F.lit(2)),
+                           F.try_element_at("embedding", F.lit(3)))
     r = lambda c: X.py_round(c, 6).alias(c)
     return d.select("vec_id", r("p_negative"), r("p_neutral"), r("p_positive"), "sentiment",
                     r("confidence"), r("score"))
