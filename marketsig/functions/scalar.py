@@ -74,7 +74,8 @@ def signed_score(p_neg, p_pos) -> Column:
 def argmax_label(p_neg, p_neu, p_pos) -> Column:
     """Winning class; ties go to the first of negative, neutral, positive."""
     n, u, p = _col(p_neg), _col(p_neu), _col(p_pos)
-    return (F.when((n >= u) & (n >= p), F.lit(CLASSES[0]))
+    return (F.when(n.isNull() | u.isNull() | p.isNull(), F.lit(None).cast("string"))
+            .when((n >= u) & (n >= p), F.lit(CLASSES[0]))
             .when(u >= p, F.lit(CLASSES[1])).otherwise(F.lit(CLASSES[2])))
 
 

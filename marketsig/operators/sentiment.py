@@ -70,7 +70,7 @@ def lexicon_counts(df: DataFrame, text: str, lexicon: dict[str, str]) -> DataFra
     for w in lexicon:
         if not re.fullmatch(r"[a-z]+", w):
             raise ValueError(f"lexicon words must be lower-case ASCII letters: {w!r}")
-    low = F.lower(_col(text))
+    low = F.lower(F.coalesce(_col(text), F.lit("")))   # a missing text has no tokens
 
     def hits(cls):
         words = sorted(w for w, c in lexicon.items() if c == cls)

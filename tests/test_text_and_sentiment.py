@@ -121,3 +121,12 @@ def test_default_lexicon_scorer(spark):
     assert out["Apple soars on record profit"].sentiment == "positive"
     assert out["Intel misses, shares plunge"].sentiment_score < 0
     assert out["Fed holds"].sentiment == "neutral"
+
+
+def test_missing_text_and_probabilities(spark):
+    from marketsig.functions.scalar import argmax_label
+    df = spark.createDataFrame([(None,), ("",)], "headline string")
+    out = S.lexicon_scorer()(df).collect()
+    assert [r.sentiment for r in out] == ["neutral", "neutral"] and all(r.n_tokens == 0 for r in out)
+    p = spark.createDataFrame([(None, 0.5, 0.5)], "n double, u double, p double")
+    assert p.select(argmax_label("n", "u", "p").alias("l")).first().l is None
