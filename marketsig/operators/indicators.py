@@ -91,6 +91,8 @@ def rsi(df: DataFrame, keys, price: str, period: int = 14, out: str = "rsi",
 
 def ema_chunk_rows(spans: Sequence[int], cap: int = DEFAULT_CHUNK_ROWS) -> int:
     """Largest chunk for which (1-a)^(-i) stays finite for every span."""
+    if any(s < 1 for s in spans):
+        raise ValueError("EMA spans must be at least 1")
     worst = max(-math.log1p(-2.0 / (s + 1)) for s in spans)
     return max(1, min(cap, int(_MAX_EXP / worst)))
 
@@ -99,9 +101,10 @@ def ema(df: DataFrame, keys, specs: dict[str, tuple[str, int]], idx_col: str = I
         chunk_rows: int | None = None, cut_lineage: bool = True) -> DataFrame:
     """Add one EMA column per ``specs[out] = (x_column, span)``.
 
-    ``df`` must carry the series position ``idx_col`` (``with_position``).
-    It feeds three branches (running sums, chunk ends, first values), so it
-    is checkpointed once unless ``cut_lineage`` is False.
+    ``df`` must carry the series position ``idx_col`` (``with_position``),
+    and the inputs must be non-NULL (drop or fill missing prices first).  It
+    feeds three branches (running sums, chunk ends, first values), so it is
+    checkpointed once unless ``cut_lineage`` is False.
     """
     keys = _names(keys)
     if cut_lineage:

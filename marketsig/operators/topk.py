@@ -55,6 +55,8 @@ def history_before(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str,
     A bounded look-back, so it runs on chunks of the series with a ``k``-row
     halo instead of one window per key.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     d = with_position(df, keys, ts, tie, block_unit)
 
     def compute(fr, w):
@@ -75,6 +77,8 @@ def history_asof(decisions: DataFrame, trades: DataFrame, keys: str | Sequence[s
     its position among decisions; then each decision asks for the ``k``
     positions below that count by an equi-join on (key, position).
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     keys = _names(keys)
     t = with_position(trades.select(*keys, ts, trade_tie, *[f for f in fields if f not in (ts, trade_tie)]),
                       keys, ts, trade_tie, idx_col="_tpos")
