@@ -130,3 +130,33 @@ def test_missing_text_and_probabilities(spark):
     assert [r.sentiment for r in out] == ["neutral", "neutral"] and all(r.n_tokens == 0 for r in out)
     p = spark.createDataFrame([(None, 0.5, 0.5)], "n double, u double, p double")
     assert p.select(argmax_label("n", "u", "p").alias("l")).first().l is None
+
+
+def test_weighted_random_against_brute_force(spark):
+    """Random rows on and around the 15- and 60-minute boundaries: the Spark
+    aggregate equals the rule computed row by row in Python."""
+    import random
+    rnd = random.Random(3)
+    as_of = dt.datetime(2026, 1, 27, 12, 0)
+    offsets = [0, 1, 14, 15, 16, 30, 59, 60, 61, 120, -5]            # minutes before as_of
+    rows = []
+    for t in "ABCDEFGH":
+        for _ in range(rnd.randint(0, 12)):
+            m = rnd.choice(offsets)
+            sec = rnd.choice([0, 0, 1, -1])
+            score = rnd.choice([None, round(rnd.uniform(-1, 1), 2), 0.9, -0.95])
+            rows.append((t, as_of - dt.timedelta(minutes=m, seconds=sec), score))
+    df = spark.createDataFrame(rows, "ticker string, created_at timestamp_ntz, sentiment_score double")
+    got = {r.ticker: r for r in S.weighted_scores(df, as_of).collect()}
+    for t in {r[0] for r in rows}:
+        kept = [(ts, s) for tt, ts, s in rows if tt == t and s is not None and ts >= as_of - dt.timedelta(hours=1)]
+        w = [2.0 if ts >= as_of - dt.timedelta(minutes=15) else 1.0 for ts, _ in kept]
+        raw = sum(s * x for (_, s), x in zip(kept, w)) / sum(w) if kept else 0.0
+        g = got.get(t)
+        if not kept:
+            assert g is None or g.articles_count == 0
+            continue
+        assert g.articles_count == len(kept)
+        assert abs(g.raw_score - raw) < 1e-9
+        assert g.alert == (abs(g.raw_score) >= 0.7)
+        assert g.direction == ("positive" if raw > 1e-12 else "negative" if raw < -1e-12 else g.direction)
