@@ -600,7 +600,7 @@ FROM sa""",
 WITH {_SA}
 SELECT ticker,
        CASE WHEN error IS NOT NULL THEN 'Error: ' || error
-            ELSE {render_sql(DETAIL, {"news_line": "(chr(10) || 'News: score=' || printf('%+.3f', news_score) || ' (' || upper(news_direction) || '), ' || CAST(news_count AS VARCHAR) || ' articles' || CASE WHEN news_alert THEN ' ALERT' ELSE '' END)"})}
+            ELSE {render_sql(DETAIL, {"news_line": "(chr(10) || 'News: score=' || printf('%+.3f', news_score) || ' (' || upper(news_direction) || '), ' || CAST(news_count AS VARCHAR) || ' articles' || CASE WHEN news_alert THEN ' ALERT' ELSE '' END)", "analysis": f"coalesce({render_sql(ANALYSIS)}, 'N/A')"})}
        END AS detail
 FROM sa""",
 })

@@ -52,6 +52,9 @@ Sentiment Analysis:
 Technical Indicators:
   RSI: {rsi:.2f}
   MACD: {macd:.4f}
+
+Analysis:
+{analysis}
 """
 
 
@@ -60,7 +63,11 @@ def detail_rows(signals: DataFrame, key: str = "ticker") -> DataFrame:
     news_line = F.concat(F.lit("\nNews: score="), signed_fixed("news_score", 3), F.lit(" ("),
                          F.upper("news_direction"), F.lit("), "), F.col("news_count").cast("string"),
                          F.lit(" articles"), F.when(F.col("news_alert"), F.lit(" ALERT")).otherwise(F.lit("")))
-    body = render(DETAIL, {"news_line": news_line})
+    from marketsig.plans.prompts import ANALYSIS
+    reading = {"rsi", "rsi_zone", "macd", "signal", "macd_trend", "momentum", "outlook"}
+    analysis = (F.coalesce(render(ANALYSIS), F.lit("N/A")) if reading <= set(signals.columns)
+                else F.lit("N/A"))
+    body = render(DETAIL, {"news_line": news_line, "analysis": analysis})
     text = F.when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error"))).otherwise(body)
     return signals.select(F.col(key).alias("ticker"), text.alias("detail"))
 
