@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketsig.functions.scalar import fixed, percent, signed_fixed
+from marketsig.functions.scalar import fixed, signed_fixed
 from marketsig.functions.template import render
 
 # Sentiment cell texts of the summary table.
@@ -71,5 +71,3 @@ def detail_rows(signals: DataFrame, key: str = "ticker") -> DataFrame:
     text = F.when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error"))).otherwise(body)
     return signals.select(F.col(key).alias("ticker"), text.alias("detail"))
 
-
-__all__ = ["summary_table", "detail_rows", "percent"]
