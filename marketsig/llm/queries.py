@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketsig.llm import decontaminate, quality, toxicity
+from marketsig.llm import (chat, decontaminate, extract, fingerprints, jaccard, lines, packing, quality,
+                           toxicity, warc)
 from marketsig.llm.common import table
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -26,18 +27,53 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _local_path(spark)
+    return lines.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     _local_path(spark)
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _local_path(spark)
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _local_path(spark)
+    return jaccard.linked_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _local_path(spark)
+    return warc.op6(table(spark, sf_dir, "pages"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op7(table(spark, sf_dir, "conversations"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _local_path(spark)
+    return packing.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     _local_path(spark)
     return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_decontamination, op9_quality)
+    f.__name__: f for f in (
+        op1_toxicity, op2_line_dedup, op3_decontamination, op4_html_extraction, op5_jaccard_join, op6_warc,
+        op7_chat_format, op8_best_fit_packing, op9_quality, op10_fingerprints)
 }
 
 #: DuckDB SQL by query name.
