@@ -2,9 +2,9 @@
 
 A document's distinct shingles are ordered rare first.  Two sets of similarity t or more share a
 shingle among the first |set| - ceil(t |set|) + 1 of each (prefix filter); the shared prefix
-shingle's places (positional filter), the sizes (length filter) and the shingle counts by hash
-class (suffix filter: a partition of the sets bounds their difference) rule out most pairs before
-each remaining one is verified once by its whole sets.
+shingle's places (positional filter), the sizes (length filter) and the parities of the shingle counts by
+hash class (suffix filter: each class of unequal parity holds a shingle that only one set has) rule
+out most pairs before each remaining one is verified once by its whole sets.
 
 Any order gives the same links; rare first only keeps candidates few.  Frequencies come from a
 fixed-size table of counts over all shingles of all documents, each counted in the entry its hash
@@ -30,12 +30,13 @@ PARTS = 64  # rows that the count table is summed in
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a shingle, least similarity in percent, log2 of the count table's size, suffix classes."""
+    """Words of a shingle, least similarity in percent, log2 of the count table's size; bits of a
+    parity sketch at most (a set has about as many as shingles)."""
 
     words: int = 4
     percent: int = 85
     count_bits: int = 18
-    classes: int = 16
+    parity_bits: int = 1 << 20
 
 
 def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
@@ -88,8 +89,27 @@ def count_table(docs: DataFrame, s: Settings) -> np.ndarray:
     return out.reshape(-1)
 
 
+def parity(x: np.ndarray, s: Settings) -> bytes:
+    """One bit per hash class: whether it holds an odd number of the set's shingles."""
+    bits = 64
+    while bits < min(len(x), s.parity_bits):
+        bits *= 2
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A bound from below on the shingles that only one of two sets has, from their sketches."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, s: Settings) -> DataFrame:
-    """(id, size, classes, keys): the rare-first prefix of every non-empty set."""
+    """(id, size, parity, keys): the rare-first prefix of every non-empty set and its parity sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,22 +122,26 @@ def prefixes(docs: DataFrame, counts: np.ndarray, s: Settings) -> DataFrame:
                 length = len(x) - -(-s.percent * len(x) // 100) + 1
                 rare = table[(x >> np.uint64(64 - s.count_bits)).astype(np.int64)]
                 first = np.lexsort((x, rare))[:length]
-                rows.append((i, len(x), np.bincount((x % np.uint64(s.classes)).astype(np.int64), minlength=s.classes).astype(np.int32), x[first].view(np.int64)))
-            kinds = pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names=["id", "size", "classes", "keys"])
+                rows.append((i, len(x), parity(x, s), x[first].view(np.int64)))
+            kinds = pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names=["id", "size", "parity", "keys"])
 
-    return docs.mapInArrow(task, "id long, size int, classes array<int>, keys array<long>")
+    return docs.mapInArrow(task, "id long, size int, parity binary, keys array<long>")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the limit: length and suffix filters, then whole sets."""
     for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("classes").alias(f"c{side}")), side)
-    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    # |a - b| + |b - a| is at most (1 - t) / (1 + t) of both sizes together
-    both = F.col("na") + F.col("nb")
-    likely = stored(pairs.filter((100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb"))
-                                 & ((100 + s.percent) * apart <= (100 - s.percent) * both)).select("a", "b"), "candidates")
+        pairs = pairs.join(sizes.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
+    near = pairs.filter(100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb"))
+
+    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # |a - b| + |b - a| is at most (1 - t) / (1 + t) of both sizes together
+            both = (batch.column(c).to_pylist() for c in ("na", "nb", "pa", "pb"))
+            keep = [(100 + s.percent) * least_difference(p, q) <= (100 - s.percent) * (n + m) for n, m, p, q in zip(*both)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    likely = stored(near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(suffix, "a long, b long"), "candidates")
     wanted = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     texts = stored(with_ids(docs, "id", wanted, "left_semi").dropDuplicates(["id"]), "wanted-texts")
     beside = (likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -154,13 +178,14 @@ def linked_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     members = table.select("id", "size", F.posexplode("keys").alias("pos", "key"))
 
     def near(x: str, y: str):
-        """Length filter, and the shingles that can still be shared from the two places on."""
+        """Length filter, and the shingles that can be shared from the first common one on: at a
+        linked pair's first common shingle there must be enough, so other places may fail."""
         n, m = F.col(f"{x}size"), F.col(f"{y}size")
-        possible = F.least(n - F.col(f"{x}pos"), m - F.col(f"{y}pos")) + F.least(F.col(f"{x}pos"), F.col(f"{y}pos"))
+        possible = F.least(n - F.col(f"{x}pos"), m - F.col(f"{y}pos"))
         return ((100 * F.least(n, m) >= s.percent * F.greatest(n, m))
                 & ((100 + s.percent) * possible >= s.percent * (n + m)))
 
-    found = stored(groups(members, lambda pairs: linked(known, pairs, table.select("id", "size", "classes"), s), near), "groups")
+    found = stored(groups(members, lambda pairs: linked(known, pairs, table.select("id", "size", "parity"), s), near), "groups")
     first = own.join(copies.distinct(), "id", "left").withColumn("rep", F.coalesce("first", "id"))
     return (first.join(found.withColumnRenamed("id", "rep"), "rep", "left")
             .select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "rep").alias("component_id")))
