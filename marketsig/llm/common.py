@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,7 +109,19 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def local_path(spark: SparkSession) -> None:
+    """Let Python workers of a local session find this package from any working folder."""
+    sc = spark.sparkContext
+    known = sc.environment.get("PYTHONPATH", "")
+    if sc.master.startswith("local") and ROOT not in known.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    local_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

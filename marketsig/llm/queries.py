@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,44 +10,28 @@ from marketsig.llm import (chat, decontaminate, extract, fingerprints, jaccard,
                            toxicity, warc)
 from marketsig.llm.common import table
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def _local_path(spark: SparkSession) -> None:
-    """Let Python workers of a local session find this package from any working folder."""
-    sc = spark.sparkContext
-    known = sc.environment.get("PYTHONPATH", "")
-    if sc.master.startswith("local") and ROOT not in known.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
-
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _local_path(spark)
     return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _local_path(spark)
     return lines.line_groups(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _local_path(spark)
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _local_path(spark)
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _local_path(spark)
     return jaccard.linked_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _local_path(spark)
     return warc.op6(table(spark, sf_dir, "pages"))
 
 
@@ -57,12 +40,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _local_path(spark)
     return packing.op8(table(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _local_path(spark)
     return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
