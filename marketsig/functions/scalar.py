@@ -129,8 +129,8 @@ def py_round(x, digits: int) -> Column:
     half-to-even (``F.round`` rounds the shortest decimal half-up, so
     -0.53375 would give -0.5338 where Python gives -0.5337).  A result of
     negative zero is returned as 0.0, so a value that is 0 in one engine and
-    -1e-15 in another rounds to the same number."""
-    return fixed(x, digits).cast("double") + F.lit(0.0)
+    -1e-15 in another rounds to the same number.  Infinities stay as they are."""
+    return F.coalesce(fixed(x, digits).try_cast("double"), _col(x).cast("double")) + F.lit(0.0)
 
 
 def percent(x, digits: int) -> Column:

@@ -93,8 +93,9 @@ def ema_chunk_rows(spans: Sequence[int], cap: int = DEFAULT_CHUNK_ROWS) -> int:
     """Largest chunk for which (1-a)^(-i) stays finite for every span."""
     if any(s < 1 for s in spans):
         raise ValueError("EMA spans must be at least 1")
-    worst = max(-math.log1p(-2.0 / (s + 1)) for s in spans)
-    return max(1, min(cap, int(_MAX_EXP / worst)))
+    # a span of 1 needs no powers
+    worst = max((-math.log1p(-2.0 / (s + 1)) for s in spans if s > 1), default=0.0)
+    return max(1, min(cap, int(_MAX_EXP / worst))) if worst else cap
 
 
 def ema(df: DataFrame, keys, specs: dict[str, tuple[str, int]], idx_col: str = IDX,
@@ -104,9 +105,15 @@ def ema(df: DataFrame, keys, specs: dict[str, tuple[str, int]], idx_col: str = I
     ``df`` must carry the series position ``idx_col`` (``with_position``),
     and the inputs must be non-NULL (drop or fill missing prices first).  It
     feeds three branches (running sums, chunk ends, first values), so it is
-    checkpointed once unless ``cut_lineage`` is False.
+    checkpointed once unless ``cut_lineage`` is False.  A chunk's end is
+    carried into every later chunk on which it still has weight in a double.
+    A span of 1 is the series itself.
     """
     keys = _names(keys)
+    plain = {out: x for out, (x, span) in specs.items() if span == 1}
+    specs = {out: spec for out, spec in specs.items() if out not in plain}
+    if not specs:
+        return df.withColumns({out: F.col(x) for out, x in plain.items()})
     if cut_lineage:
         df = materialize(df)
     C = chunk_rows or ema_chunk_rows([s for _, s in specs.values()])
@@ -121,7 +128,7 @@ def ema(df: DataFrame, keys, specs: dict[str, tuple[str, int]], idx_col: str = I
         a = 2.0 / (span + 1)
         lq = math.log1p(-a)
         beta_log = lq * C
-        k = max(1, min(64, math.ceil(_UNDERFLOW / -beta_log) + 1)) if beta_log < 0 else 64
+        k = math.ceil(_UNDERFLOW / -beta_log) + 1
         parts[out] = (x, a, lq, beta_log, k)
 
     # Local value with zero carry-in: a * q^i * sum_j x_j q^(-j).
@@ -139,8 +146,11 @@ def ema(df: DataFrame, keys, specs: dict[str, tuple[str, int]], idx_col: str = I
     first = df.filter(pos == 0).select(*keys, F.lit(-1).cast("long").alias("_ec"),
                                        *[F.col(x).alias(f"_B_{out}") for out, (x, *_r) in parts.items()])
     kmax = max(p[4] for p in parts.values())
+    # No carry past the series' last chunk: a long span costs no more than the chunks there are.
     contrib = (ends.unionByName(first)
-               .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(kmax - 1))))
+               .withColumn("_last", F.max("_ec").over(Window.partitionBy(*keys))).filter("_ec < _last")
+               .withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                      F.least(F.lit(kmax - 1).cast("long"), F.col("_last") - F.col("_ec") - 1))))
                .select(*keys, (F.col("_ec") + 1 + F.col("_d")).alias("_ec"),
                        *[(F.col(f"_B_{out}") * F.exp(F.lit(p[3]) * F.col("_d").cast("double")))
                          .alias(f"_C_{out}") for out, p in parts.items()]))
@@ -150,7 +160,8 @@ def ema(df: DataFrame, keys, specs: dict[str, tuple[str, int]], idx_col: str = I
     for out, (x, a, lq, _, _) in parts.items():
         d = d.withColumn(out, F.col(f"_L_{out}")
                          + F.exp(F.lit(lq) * (i + 1.0)) * F.coalesce(F.col(f"_C_{out}"), F.lit(0.0)))
-    return d.drop("_ec", "_ei", *[f"_L_{o}" for o in parts], *[f"_C_{o}" for o in parts])
+    d = d.drop("_ec", "_ei", *[f"_L_{o}" for o in parts], *[f"_C_{o}" for o in parts])
+    return d.withColumns({out: F.col(x) for out, x in plain.items()}) if plain else d
 
 
 def macd(df: DataFrame, keys, price: str, fast: int = 12, slow: int = 26, signal: int = 9,

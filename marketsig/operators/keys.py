@@ -44,10 +44,12 @@ def apply_updates(table: DataFrame, updates: DataFrame, keys: str | Sequence[str
                   column: str) -> DataFrame:
     """``UPDATE table SET column = u.column WHERE key = u.key``.
 
-    ``updates`` must hold one row per key (use ``first_per_key`` otherwise).
+    Several updates of one key become one, its largest value, so the table
+    never grows; reduce them with ``first_per_key`` first where another one
+    should win.
     """
     keys = _names(keys)
-    u = updates.select(*keys, F.col(column).alias("_new"))
+    u = updates.groupBy(*keys).agg(F.max(column).alias("_new"))
     cols = [F.coalesce(F.col("_new"), F.col(column)).alias(column) if c == column else F.col(c)
             for c in table.columns]
     return table.join(u, keys, "left").select(*cols)
@@ -62,8 +64,9 @@ def fallback(primary: DataFrame, secondary: DataFrame, key: str = "ticker") -> D
 def in_universe(df: DataFrame, column: str | Column, universe, upper: bool = True) -> DataFrame:
     """Keep rows whose (upper-cased) ticker is in the universe.
 
-    A Python list is a literal of known size and is broadcast; a DataFrame
-    universe of unknown size is left to Spark's size-based join choice.
+    A Python list of up to ``MAX_LITERAL_BROADCAST`` names is broadcast; a
+    longer one, and a DataFrame universe of unknown size, are left to Spark's
+    size-based join choice.
     """
     c = F.col(column) if isinstance(column, str) else column
     c = F.upper(c) if upper else c
@@ -72,9 +75,9 @@ def in_universe(df: DataFrame, column: str | Column, universe, upper: bool = Tru
         u = universe.select(F.col(universe.columns[0]).alias("_u"))
     else:
         vals = sorted({str(v).upper() if upper else v for v in universe})
-        if len(vals) > MAX_LITERAL_BROADCAST:
-            raise ValueError("universe too large for a literal; pass a DataFrame")
-        u = F.broadcast(d.sparkSession.createDataFrame([(v,) for v in vals], "_u string"))
+        u = d.sparkSession.createDataFrame([(v,) for v in vals], "_u string")
+        if len(vals) <= MAX_LITERAL_BROADCAST:
+            u = F.broadcast(u)
     return d.join(u, "_u", "left_semi").drop("_u")
 
 

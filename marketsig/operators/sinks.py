@@ -59,12 +59,15 @@ def append(df: DataFrame, root: str, spec: TableSpec) -> DataFrame:
 
 
 def insert_ignore_into(df: DataFrame, root: str, spec: TableSpec, order: Sequence[str]) -> DataFrame:
-    """K2/K5: append the rows whose key is new (first per key in the batch);
-    returns the inserted rows, read back from a checkpointed copy so the
-    caller's later reads do not re-run against the grown table."""
+    """K2/K5: append the valid rows whose key is new (first per key in the
+    batch); returns the rows written, read back from a checkpointed copy so
+    the caller's later reads do not re-run against the grown table.  Rows
+    that break a constraint take no key and are not written: ``split_valid``
+    gives them."""
     spark = df.sparkSession
     stored = read_table(spark, root, spec)
-    fresh = keys.insert_ignore(df, stored.select(*spec.key), list(spec.key), list(order))
+    good, _ = split_valid(df, spec)
+    fresh = keys.insert_ignore(good, stored.select(*spec.key), list(spec.key), list(order))
     staged = scratch_path(spark, f"{spec.name}-insert")
     fresh.write.parquet(staged)
     fresh = spark.read.parquet(staged)

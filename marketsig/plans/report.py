@@ -60,9 +60,10 @@ Analysis:
 
 def detail_rows(signals: DataFrame, key: str = "ticker") -> DataFrame:
     """One detail text per ticker, or ``Error: ...`` for an error row."""
-    news_line = F.concat(F.lit("\nNews: score="), signed_fixed("news_score", 3), F.lit(" ("),
+    # a ticker without news has no news line
+    news_line = F.coalesce(F.concat(F.lit("\nNews: score="), signed_fixed("news_score", 3), F.lit(" ("),
                          F.upper("news_direction"), F.lit("), "), F.col("news_count").cast("string"),
-                         F.lit(" articles"), F.when(F.col("news_alert"), F.lit(" ALERT")).otherwise(F.lit("")))
+                         F.lit(" articles"), F.when(F.col("news_alert"), F.lit(" ALERT")).otherwise(F.lit(""))), F.lit(""))
     from marketsig.plans.prompts import ANALYSIS
     reading = {"rsi", "rsi_zone", "macd", "signal", "macd_trend", "momentum", "outlook"}
     analysis = (F.coalesce(render(ANALYSIS), F.lit("N/A")) if reading <= set(signals.columns)

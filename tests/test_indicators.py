@@ -138,3 +138,26 @@ def test_random_series_against_brute_force(spark):
             g = got[(k, i)]
             assert _close(g.rsi, r) and _close(g.macd, m) and _close(g.signal, s), (k, i)
         assert _close(last[k].rsi, want[-1][0]) and _close(last[k].signal, want[-1][2]), k
+
+
+@pytest.mark.parametrize("chunk", [3, 10, None])
+def test_ema_long_and_short_spans_against_recurrence(spark, chunk):
+    """Carries reach every later chunk: long spans over many small chunks stay exact."""
+    import random
+    rnd = random.Random(7)
+    xs = [50 + rnd.uniform(-20, 20) for _ in range(3000)]
+    df = spark.createDataFrame([("A", i, x) for i, x in enumerate(xs)], "ticker string, _pos long, x double")
+    spans = (1, 2, 1000, 5000)
+    got = ind.ema(df, "ticker", {f"e{s}": ("x", s) for s in spans}, "_pos", chunk_rows=chunk).collect()
+    rows = {r["_pos"]: r for r in got}
+    assert len(rows) == len(xs)
+    for s in spans:
+        a, y = 2.0 / (s + 1), xs[0]
+        for i, x in enumerate(xs):
+            y = a * x + (1 - a) * y
+            assert _close(rows[i][f"e{s}"], y, 1e-8), (s, i, rows[i][f"e{s}"], y)
+
+
+def test_ema_of_span_one_alone(spark):
+    df = spark.createDataFrame([("A", 0, 4.0), ("A", 1, 6.0)], "ticker string, _pos long, x double")
+    assert sorted((r["_pos"], r.e) for r in ind.ema(df, "ticker", {"e": ("x", 1)}, "_pos").collect()) == [(0, 4.0), (1, 6.0)]

@@ -193,3 +193,32 @@ def test_bad_feed_values_do_not_fail(spark):
     items = [("A", "u", None, 0, 0)]
     s = spark.createDataFrame([("X", T0, items)], news.PRIMARY_SNAPSHOT)
     assert news.primary_articles(s).first().published_at is None
+
+
+def test_updates_of_one_key_never_add_rows(spark):
+    table = spark.createDataFrame([("u1", 0.1), ("u2", None)], "url string, score double")
+    updates = spark.createDataFrame([("u1", 0.5), ("u1", 0.7), ("u1", None), ("u3", 0.9)], "url string, score double")
+    got = sorted((r.url, r.score) for r in keys.apply_updates(table, updates, "url", "score").collect())
+    assert got == [("u1", 0.7), ("u2", None)]
+
+
+def test_universe_longer_than_the_broadcast_limit(spark):
+    names = [f"T{i}" for i in range(keys.MAX_LITERAL_BROADCAST + 50_000)]
+    d = spark.createDataFrame([("t7",), (names[-1],), ("other",)], "ticker string")
+    assert sorted(r.ticker for r in keys.in_universe(d, "ticker", names).collect()) == [names[-1], "t7"]
+
+
+def test_insert_returns_only_rows_written(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    sinks.create_tables(spark, root)
+    n = spark.createDataFrame([("s1", "A ticker too long", "yf", "h", "u1", None, None, T0), ("s2", "AAPL", "yf", "h", "u2", None, None, T0)],
+                              "id string, ticker string, source string, headline string, url string, "
+                              "published_at timestamp, sentiment_score double, created_at timestamp")
+    assert [r.url for r in sinks.insert_ignore_into(n, root, NEWS_STAGING, ["id"]).collect()] == ["u2"]
+    assert [r.url for r in sinks.read_table(spark, root, NEWS_STAGING).collect()] == ["u2"]
+
+
+def test_round_of_infinity(spark):
+    from marketsig.functions.scalar import py_round
+    d = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1234.5678,), (None,)], "x double")
+    assert [r.y for r in d.select(py_round("x", 2).alias("y")).collect()] == [float("inf"), float("-inf"), 1234.57, None]
