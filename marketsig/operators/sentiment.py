@@ -62,7 +62,7 @@ def lexicon_counts(df: DataFrame, text: str, lexicon: dict[str, str]) -> DataFra
 
     Tokens are maximal runs of ASCII letters of the lower-cased text; a word
     hits when a whole token equals it.  Each count is one ``regexp_count``
-    scan inside the row -- no token arrays, no explode, no shuffle.  Adds
+    scan inside the row (one array of its matches at a time) -- no explode, no shuffle.  Adds
     ``n_tokens``, ``n_pos``, ``n_neg``.  Meant for word lists of up to a few
     hundred entries (one regex alternation each); larger lexicons belong in
     a table (``lexicon_counts_table``).

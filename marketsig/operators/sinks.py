@@ -3,7 +3,7 @@ appends (K3, K4), insert-ignore appends (K2, K5), score updates (K6) and
 idempotent stream batches (K7, in ``streaming.monitor``).
 
 A table is a folder ``{root}/{name}`` partitioned by ``dt`` (the row's
-date), so recency filters prune whole partitions.
+date), so filters on ``dt`` prune whole partitions.
 """
 
 from __future__ import annotations
