@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_groups(table(spark, sf_dir, "documents"))
+    return lines.line_groups(table(spark, sf_dir, "documents"), lines.EDITS)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

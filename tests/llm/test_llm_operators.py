@@ -186,6 +186,27 @@ def test_line_groups_equal_brute_force(spark):
     assert got == want
 
 
+def test_line_groups_find_edits_without_the_simhash(spark):
+    import random
+    rng = random.Random(7)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(200):
+        one = [word() for _ in range((7, 12, 20, 35)[i % 4])]
+        at = rng.randrange(len(one))
+        other = one[:at] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in one[at])] + one[at + 1:]
+        if len(one[at]) * 5 <= len(" ".join(one)):
+            rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+    rows.append((1_000, word()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.keeper_doc_id for r in lines.line_groups(docs, lines.EDITS).collect()}
+    assert len(got) == len(rows) and all(k in (d, d - d % 2) for d, k in got.items())
+    copies = [d for d, _ in rows if d % 2]
+    assert sum(got[d] == d - 1 for d in copies) >= 0.95 * len(copies)
+
+
 def test_extraction(spark):
     page = ('<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href="/x">menu</a></ul></nav>'
             '<div class="ad">buy</div><article><h1>Head&amp;line</h1><p><b>First   par<br>t<p>Second &lt;b&gt; &eacute;</p>{}'
