@@ -12,7 +12,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -27,13 +27,19 @@ from marketsig.llm.common import slices, stored, texts_of
 
 @dataclass(frozen=True)
 class Settings:
-    """``tokenizer`` is a byte-level BPE file of the tokenizers library, ``shard`` the pieces packed together."""
+    """``tokenizer`` is a byte-level BPE file of the tokenizers library, ``shard`` the pieces packed together;
+    ``added`` gives the file's added tokens in a text their own ids, else they are ordinary text."""
 
     tokenizer: str = public_tokenizers.path("byte_bpe_50k.json")
     pattern: str = public_tokenizers.PATTERN
     end_id: int = 2
     capacity: int = 1024
     shard: int = 100_000
+    added: bool = False
+
+
+#: What the query and the pipeline take: the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
+CONTRACT = Settings(added=True)
 
 
 @lru_cache(maxsize=4)
@@ -48,9 +54,12 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    added = {t["content"] for t in spec.get("added_tokens", ())}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+    flags = [f for t in spec.get("added_tokens", ()) for f in ("single_word", "lstrip", "rstrip", "normalized") if t[f]]
+    if flags:
+        raise ValueError(f"{path}: added tokens with {', '.join(flags)}")
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_pieces(docs: DataFrame, settings: Settings = Settings(), with_ids: bool = False) -> DataFrame:
@@ -64,7 +73,8 @@ def token_pieces(docs: DataFrame, settings: Settings = Settings(), with_ids: boo
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(s.tokenizer, s.pattern).encode_ordinary
+        encoding = encoder(s.tokenizer, s.pattern)
+        encode = partial(encoding.encode, allowed_special="all") if s.added else encoding.encode_ordinary
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             for begin, end in slices(texts):

@@ -40,7 +40,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.op8(table(spark, sf_dir, "documents"))
+    return packing.op8(table(spark, sf_dir, "documents"), packing.CONTRACT)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,20 @@ def test_packing(spark, odd):
     assert packing.op8(odd.limit(0)).count() == 0
 
 
+def test_packing_takes_the_tokenizer_files_added_tokens(spark):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(packing.Settings().tokenizer)
+    texts = ["a <s> </s> <|endoftext|> [INST]", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "", None,
+             "é🙂 <|endoftext|>  z " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(packing.token_pieces(docs, packing.CONTRACT, with_ids=True).collect(), key=lambda r: (r.doc_id, r.piece)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for d, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
 def test_fingerprints(spark, odd):
     for docs in (table(spark, SMALL, "documents"), odd):
         rows = sorted(((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None), key=lambda x: (-x[0], x[1]))
