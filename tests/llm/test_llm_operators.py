@@ -223,6 +223,19 @@ def test_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and extract.extract(pages.limit(0)).count() == 0
 
 
+def test_extraction_keeps_the_main_text_of_copies(spark):
+    post = '<div class="top">site name</div><div class="post one"><p>{}</p></div><div class="nav">{}</div>'
+    rows = [(i, "http://mirror.example/", post.format("a copied text", i)) for i in range(5)]  # other texts differ outside only
+    rows += [(10 + i, None, "<div><p>no host</p></div>") for i in range(4)]
+    rows += [(20 + i, f"http://blog.example/{i}", post.format(f"text {i}", "menu")) for i in range(4)]
+    rows += [(30, "http://blog.example/e", '<div class="top">site name</div>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract(pages).collect()}
+    assert all(got[i] == "site name\na copied text" for i in range(5))
+    assert all(got[10 + i] == "no host" for i in range(4))
+    assert all(got[20 + i] == f"text {i}" for i in range(4)) and got[30] == "site name"
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "x" * 100_000 + "é🙂\r\n\r\nWARC/1.1"), (2, None, None), (3, "http://c\r\nd%0A", ""), (5, "u", "same"), (9, "u", "same"),
             (9, "u", "same"), (10, "u", "\r\n\r\n"), (None, "u", "same")]
