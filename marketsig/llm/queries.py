@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketsig.llm import (chat, decontaminate, extract, fingerprints, jaccard, lines, packing, quality,
-                           toxicity, warc)
+from marketsig.llm import (chat, concat, decontaminate, divergence, extract, fingerprints, jaccard, lines, packing,
+                           quality, toxicity, variants, warc)
 from marketsig.llm.common import table
 
 
@@ -51,11 +51,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_line_dedup, op3_decontamination, op4_html_extraction, op5_jaccard_join, op6_warc,
-        op7_chat_format, op8_best_fit_packing, op9_quality, op10_fingerprints)
+        op7_chat_format, op8_best_fit_packing, op9_quality, op10_fingerprints, op11_spelling_variants,
+        op12_source_divergence, op13_packing)
 }
 
 #: DuckDB SQL by query name.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_source_divergence": divergence.SQL}
