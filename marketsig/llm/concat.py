@@ -12,6 +12,7 @@ descending powers of two, so no sequence has any.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketsig.llm.common import stored, texts_of
+from marketsig.llm.common import slices, stored, texts_of
 
 
 @dataclass(frozen=True)
@@ -38,38 +39,69 @@ class Settings:
     tokenizer: str = public_tokenizers.path("word_bpe_49k.json")
     end_id: int = 2
     capacity: int = 4096
-    memo: int = 1 << 16
+    memo: int = 1 << 18
     block: int = 1024
     broadcast_tasks: int = 1 << 20
 
 
-class Encoder(dict):
-    """The ids, as little-endian bytes, of text between blanks, tabs and line ends; remembers ``memo`` pieces.
+#: Characters whose words are known without the tokenizer's own rules: no case, composition, contraction
+#: or added token.  The groups are the tokenizer's: letters, single digits, runs of signs.
+PLAIN = re.compile(r"(?:[a-zß-öø-ÿ0-9!-&(-/:;=-@\[-`{}~])+")
+WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of
-    its pieces in order.
+
+class Encoder:
+    """The ids, as little-endian bytes, of texts; remembers those of up to ``memo`` pieces between blanks.
+
+    The tokenizer drops white space and never merges across it, so the ids of a text are those of its
+    pieces between blanks, tabs and line ends, in order.  Unknown pieces are learned together: plain
+    ones by the file's vocabulary as byte ranks, a blank standing for the end of a word (equal ids,
+    tested), others by the tokenizer itself.
     """
 
     def __init__(self, path: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo = memo
+        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(self) >= self.memo:
-            self.clear()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.translate(BLANKS).split(" ")))
-
-
-BLANKS = str.maketrans("\t\n\r", "   ")
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(c): c for c in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        whole = {t: bytes(byte_of[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>") for t in vocab if t not in added}
+        order = np.full(self.tokenizer.get_vocab_size(), False)
+        order[[vocab[t] for t, raw in whole.items() if raw.endswith(b" ") and len(raw) > 1]] = True
+        self.ends = order
+        self.ranks = tiktoken.Encoding(path, pat_str="[^ ]+ ", mergeable_ranks={raw: vocab[t] for t, raw in whole.items()}, special_tokens={})
+
+    def learn(self, pieces: set[str]) -> None:
+        single = [p for p in pieces if p.isalpha() and p.isascii() and p.islower()]
+        pieces.difference_update(single)
+        mixed = list(filter(PLAIN.fullmatch, pieces))
+        pieces.difference_update(mixed)
+        words = list(map(WORDS.findall, mixed))
+        said = [*single, *(w for ws in words for w in ws), ""]
+        ids = self.ranks.encode_to_numpy(" ".join(said), disallowed_special=())
+        last = np.concatenate([np.arange(len(single)), len(single) + np.cumsum([len(w) for w in words], dtype=np.int64) - 1])
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1)[last] * np.dtype(self.dtype).itemsize).tolist()
+        raw = ids.astype(self.dtype).tobytes()
+        self.known.update(zip([*single, *mixed], [raw[i:j] for i, j in zip([0, *cuts], cuts)]))
+        for piece in pieces:
+            self.known[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for begin, end in slices(texts):
+            cut = [(t if "<|" in t else t.encode().lower().decode()).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                   for t in texts[begin:end]]
+            said = set().union(*cut)
+            new = said.difference(self.known)
+            if len(new) + len(self.known) > self.memo:
+                self.known.clear()
+                new = said
+            self.learn(set(new))
+            for pieces in cut:
+                yield b"".join(map(self.known.__getitem__, pieces))
 
 
 @lru_cache(maxsize=2)
@@ -83,7 +115,7 @@ def token_rows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         encode, number, before = encoder(s.tokenizer, s.memo), TaskContext.get().partitionId(), 0
         end = np.array([s.end_id], encode.dtype).tobytes()
         for batch in batches:
-            ids = [encode(t) + end for t in texts_of(batch)]
+            ids = [x + end for x in encode(texts_of(batch))]
             lengths = np.array([len(x) for x in ids], np.int64) // len(end)
             ends = before + np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays(
