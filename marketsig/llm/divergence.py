@@ -34,15 +34,15 @@ SCALE = 1_000_000_000
 class Settings:
     """``least_docs`` of a kept term, ``top`` terms reported a group.  ``shard``: terms a transducer.
     ``broadcast_bytes``: transducers that are sent to the tasks at once; more take further passes over the
-    texts.  ``held``: counts a task holds before it passes them on.  ``cells``: counts of a block
-    of terms, all sources together."""
+    texts.  ``held``: counts a task holds before it passes them on, and places of a language that it
+    remembers.  ``cells``: counts of a block of terms, all sources together."""
 
     least_docs: int = 10
     top: int = 10
     shard: int = 1 << 16
     broadcast_bytes: int = 32 << 20
-    held: int = 1 << 18
-    cells: int = 1 << 20
+    held: int = 1 << 19
+    cells: int = 1 << 18
 
 
 def term_lists(text: str, chunk: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -146,8 +146,9 @@ class Transducer:
 def document_frequencies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(lang, term, docs): in how many rows of a language each term occurs."""
     def rows(held: dict[str, Counter]) -> pa.RecordBatch:
-        counts = [(lang, t, n) for lang, c in held.items() for t, n in c.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in counts], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "term", "docs"])
+        of = pa.array(np.repeat(np.arange(len(held)), [len(c) for c in held.values()]))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()).take(of), pa.array([t for c in held.values() for t in c], pa.string()),
+                                           pa.array([n for c in held.values() for n in c.values()], pa.int64())], names=["lang", "term", "docs"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = defaultdict(Counter)
@@ -225,7 +226,7 @@ def _recount(docs: DataFrame, shared, s: Settings) -> DataFrame:
                 held.append(x)
         places: dict[str, dict[bytes, int]] = defaultdict(dict)
         groups: dict[tuple[str, str], int] = {}
-        counts, pending, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+        counts, pending = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
 
         def learn(lang: str, terms: set[bytes]) -> None:
             firsts, bases, fsts = machines[lang]
@@ -236,39 +237,47 @@ def _recount(docs: DataFrame, shared, s: Settings) -> DataFrame:
                 found = fsts[k].ordinals(own) if k >= 0 else np.full(len(own), -1)
                 places[lang].update(zip(own, np.where(found >= 0, found + (bases[k] if k >= 0 else 0), -1).tolist()))
 
+        def look_up(waiting: dict[str, list[tuple[int, list[bytes]]]]) -> None:
+            for lang, own in waiting.items():
+                known = places[lang]
+                said = set().union(*(terms for _, terms in own))
+                if new := said.difference(known):
+                    if len(known) + len(new) > s.held:
+                        known.clear()
+                        new = said
+                    learn(lang, new)
+                for group, terms in own:
+                    at = np.fromiter(map(known.__getitem__, terms), np.int64, len(terms))
+                    pending.append(at[at >= 0] + (group << 40))
+
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, at = np.unique(np.concatenate([counts[0], *pending]), return_inverse=True)
-            ones = np.concatenate([counts[1], np.ones(len(at) - len(counts[1]), np.int64)])
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, at, ones)
+            total = np.bincount(at[len(counts[0]):], minlength=len(keys))
+            total[at[: len(counts[0])]] += counts[1]
             return keys, total
 
         def rows() -> pa.RecordBatch:
-            names = list(groups)
-            of = (counts[0] >> 40).tolist()
-            return pa.RecordBatch.from_arrays([pa.array([names[g][0] for g in of], pa.string()), pa.array([names[g][1] for g in of], pa.string()),
-                                               pa.array(counts[0] & (1 << 40) - 1), pa.array(counts[1])], names=["lang", "source", "ordinal", "n"])
+            of = pa.array(counts[0] >> 40)
+            lang, source = (pa.array([g[k] for g in groups], pa.string()).take(of) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([lang, source, pa.array(counts[0] & (1 << 40) - 1), pa.array(counts[1])], names=["lang", "source", "ordinal", "n"])
 
+        waiting, size, said = defaultdict(list), 0, 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 if lang not in machines:
                     continue
-                group = groups.setdefault((lang, source), len(groups)) << 40
                 for terms in term_lists(text):
-                    known = places[lang]
-                    if new := set(terms).difference(known):
-                        if len(known) > s.held:
-                            known.clear()
-                            new = set(terms)
-                        learn(lang, new)
-                    at = np.fromiter(map(known.__getitem__, terms), np.int64, len(terms))
-                    pending.append(at[at >= 0] + group)
-                    waiting += len(terms)
-                if waiting >= 1 << 20:
-                    counts, pending, waiting = merged(), [], 0
+                    waiting[lang].append((groups.setdefault((lang, source), len(groups)), terms))
+                    size += len(terms)
+                    if size >= 1 << 17:
+                        look_up(waiting)
+                        waiting, size, said = defaultdict(list), 0, said + size
+                if said >= 1 << 20:
+                    counts, pending, said = merged(), [], 0
                     if len(counts[0]) >= s.held:
                         yield rows()
                         counts = counts[0][:0], counts[1][:0]
+        look_up(waiting)
         counts = merged()
         yield rows()
 
