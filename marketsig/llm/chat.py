@@ -5,12 +5,18 @@ opens with ``[INST!]``.  Grammar: a conversation is a run of such turns, so its
 in order, are the same four again and again.  The parser splits at every control string; a text
 that holds one does not come back as it was.  A turn is therefore rendered, reparsed and compared
 with its source, and escaped at the next level until it comes back identical: plain, then with
-its control strings broken up.  Escapes begin with a backslash, which is escaped as well, so they
-are undone exactly.
+its control strings broken up; a turn that neither level returns stops the job.  Escapes begin with
+a backslash, which is escaped as well, so they are undone exactly.
+
+A conversation is split once and its turns are cut from the pieces, and masks count bytes, so work
+grows with the length of a conversation, however many turns it has.  A conversation is one row of
+the formatted table and so one task's work at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +24,6 @@ from marketsig.llm.common import stored
 
 CONTROL = r"</?s>|\[/?INST!?\]"
 OPEN, CLOSE = ("<s>[INST] ", "<s>[INST!] "), " [/INST]</s>"
-SHAPE = (r"^(?:<s>\[INST!?\]\[/INST\]</s>)*$")
 #: Characters that begin a control string, end a role or begin an escape, and their letters.
 ESCAPES = {"\\": "b", "[": "l", "<": "a", "\n": "n"}
 
@@ -41,44 +46,55 @@ def render(role: Column, text: Column, level: int) -> Column:
     return F.concat(F.lit(OPEN[min(level, 1)]), role, F.lit("\n"), text, F.lit(CLOSE))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse(formatted: Column) -> Column:
     """The turns as an array of (role, text) structs; null if the string is not of the grammar."""
+    def turn(pieces: Column, tokens: Column, i: Column) -> Column:
+        def cut(body: Column) -> Column:  # " role\ntext "
+            at = F.instr(body, "\n")
+            role, text = F.substring(body, F.lit(2), at - 2), F.substring(body, at + 1, F.length(body) - at - 1)
+            escaped = F.get(tokens, i * 4 + 1) == "[INST!]"
+            return F.struct(F.when(escaped, unescape(role)).otherwise(role).alias("role"),
+                            F.when(escaped, unescape(text)).otherwise(text).alias("text"))
+        return once(F.get(pieces, i * 4 + 2), cut)
+
+    def turns(x: Column) -> Column:
+        pieces, tokens = x["pieces"], x["tokens"]
+        count = (F.size(tokens) / 4).cast("int")
+
+        def misplaced(t: Column, i: Column) -> Column:
+            k = i % 4
+            return ~F.when(k == 0, t == "<s>").when(k == 1, t.isin("[INST]", "[INST!]")).when(k == 2, t == "[/INST]").otherwise(t == "</s>")
+        # what stands between turns or between <s> and [INST] must be nothing
+        between = F.filter(pieces, lambda p, i: (i % 4 != 2) & (p != ""))
+        sound = (F.size(tokens) % 4 == 0) & (F.size(between) == 0) & (F.size(F.filter(tokens, misplaced)) == 0)
+        read = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: turn(pieces, tokens, i))).otherwise(
+            F.array().cast("array<struct<role:string,text:string>>"))
+        return F.when(sound, read)
+
     tokens = F.regexp_extract_all(formatted, F.lit(f"({CONTROL})"), F.lit(1))
-    pieces = F.split(formatted, CONTROL, -1)
-    n = (F.size(pieces) - 1) / 4
-
-    def turn(i: Column) -> Column:
-        body = F.get(pieces, i * 4 + 2)  # " role\ntext "
-        cut = F.instr(body, "\n")
-        role, text = F.substring(body, F.lit(2), cut - 2), F.substring(body, cut + 1, F.length(body) - cut - 1)
-        escaped = F.get(tokens, i * 4 + 1) == "[INST!]"
-        return F.struct(F.when(escaped, unescape(role)).otherwise(role).alias("role"),
-                        F.when(escaped, unescape(text)).otherwise(text).alias("text"))
-
-    count = n.cast("int")
-    between = F.array_join(pieces, "")  # what stands between turns or between <s> and [INST] must be nothing
-    bodies = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.coalesce(F.get(pieces, i * 4 + 2), F.lit(""))), "")
-    sound = F.array_join(tokens, "").rlike(SHAPE) & (F.length(between) == F.length(bodies))
-    turns = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), turn)).otherwise(
-        F.array().cast("array<struct<role:string,text:string>>"))
-    return F.when(sound, turns)
+    return once(F.struct(F.split(formatted, CONTROL, -1).alias("pieces"), tokens.alias("tokens")), turns)
 
 
 def render_turns(turns: DataFrame) -> DataFrame:
     """``turns`` (role and text not null) plus ``rendered`` and the escape ``level`` that it took."""
     own = F.array(F.struct(F.col("role").alias("role"), F.col("text").alias("text")))
-    # the first level whose turn, parsed alone, is the source; the last always is
-    plain = render(F.col("role"), F.col("text"), 0)
-    back = F.coalesce(parse(plain) == own, F.lit(False))
-    level = F.when(back, 0).otherwise(1)
-    return (turns.withColumn("level", level)
-            .withColumn("rendered", F.when(F.col("level") == 0, plain).otherwise(render(F.col("role"), F.col("text"), 1))))
+    # the first level whose turn, parsed alone, is the source
+    def same(level: int) -> Column:
+        return F.coalesce(parse(render(F.col("role"), F.col("text"), level)) == own, F.lit(False))
+    level = F.when(same(0), 0).when(same(1), 1).otherwise(F.raise_error(F.lit("a turn does not survive its escapes")).cast("int"))
+    rendered = F.when(F.col("level") == 0, render(F.col("role"), F.col("text"), 0)).otherwise(render(F.col("role"), F.col("text"), 1))
+    return turns.withColumn("level", level).withColumn("rendered", rendered)
 
 
 def format_chats(conversations: DataFrame, learn: str = "assistant") -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans) of every conversation, turns by their number.
 
-    ``loss_spans`` are (start, length) in characters of ``formatted`` that hold the still escaped
+    ``loss_spans`` are (start, length) in UTF-8 bytes of ``formatted`` that hold the still escaped
     texts of the role ``learn``, with whether they are escaped.  Null role or text is an empty one;
     a null turn number comes first, equal numbers are ordered by role and text; rows without
     conv_id form one conversation.  Other columns are ignored.
@@ -86,11 +102,11 @@ def format_chats(conversations: DataFrame, learn: str = "assistant") -> DataFram
     turns = render_turns(conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.coalesce(F.sum(F.length("rendered")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.octet_length("rendered")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shown = F.when(F.col("level") == 0, F.col("text")).otherwise(escape(F.col("text")))
     span = F.when(F.col("role") == learn, F.struct(
-        (F.col("before") + F.length("rendered") - len(CLOSE) - F.length(shown)).cast("int").alias("start"),
-        F.length(shown).alias("length"), (F.col("level") > 0).alias("escaped")))
+        (F.col("before") + F.octet_length("rendered") - len(CLOSE) - F.octet_length(shown)).cast("int").alias("start"),
+        F.octet_length(shown).alias("length"), (F.col("level") > 0).alias("escaped")))
     placed = turns.withColumns({"before": before, "pos": F.row_number().over(order)}).withColumn("span", span)
     return placed.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"),
@@ -100,10 +116,12 @@ def format_chats(conversations: DataFrame, learn: str = "assistant") -> DataFram
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order, nothing between."""
-    def one(x: Column) -> Column:
-        raw = F.substring(formatted, x["start"] + 1, x["length"])
-        return F.when(x["escaped"], unescape(raw)).otherwise(raw)
-    return F.array_join(F.transform(spans, one), "")
+    def cut(raw: Column) -> Column:
+        def one(x: Column) -> Column:
+            said = F.substring(raw, x["start"] + 1, x["length"]).cast("string")
+            return F.when(x["escaped"], unescape(said)).otherwise(said)
+        return F.array_join(F.transform(spans, one), "")
+    return once(formatted.cast("binary"), cut)
 
 
 def op7(conversations: DataFrame) -> DataFrame:
@@ -120,3 +138,21 @@ def op7(conversations: DataFrame) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+#: The same rows in DuckDB SQL: what the template makes of each turn, counted instead of written and read.
+SQL = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+shown as (
+  select *, regexp_matches(role || chr(10) || body, '</?s>|\[/?INST!?\]') or contains(role, chr(10)) as escaped,
+         length(role || body) + length(regexp_replace(role || body, '[^\\\[<\n]', '', 'g')) as escaped_chars
+  from said)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn nulls first, role, body)) as turns_sha256,
+       coalesce(sum(length(body)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(body, '' order by turn nulls first, role, body) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(case when escaped then 24 + escaped_chars else 23 + length(role || body) end)::bigint as formatted_chars
+from shown group by conv_id
+"""

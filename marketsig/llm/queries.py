@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL by query name.
-ORACLE: dict[str, str] = {"op12_source_divergence": divergence.SQL}
+ORACLE: dict[str, str] = {"op7_chat_format": chat.SQL, "op12_source_divergence": divergence.SQL}

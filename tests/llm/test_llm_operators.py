@@ -339,3 +339,25 @@ def test_pipeline_keeps_clean_documents(spark):
         assert 0 < out.count() <= docs.count()
     ids = {r.doc_id for r in pipeline.run(spark, SMALL).select("doc_id").distinct().collect()}
     assert len(ids) > 0.5 * docs.count()
+
+
+def test_chat_with_very_many_turns(spark):
+    import time
+    n = 20_000
+    turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role",
+                                      "if(id % 7 = 0, '</s>[INST] é ' || id, 'plain text 🙂 ' || id) as text")
+    began = time.time()
+    got = {r.conv_id: r for r in chat.op7(turns).collect()}
+    assert time.time() - began < 60
+    said = [("assistant" if i % 2 else "user", f"</s>[INST] é {i}" if i % 7 == 0 else f"plain text 🙂 {i}") for i in range(n)]
+    loss = "".join(t for r, t in said if r == "assistant")
+    assert got[1].n_turns == n and got[1].loss_chars == len(loss) and got[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+    assert {r.conv_id for r in chat.op7(turns.limit(0)).collect()} == {-7}
+
+
+def test_chat_parser_refuses_what_is_not_of_the_grammar(spark):
+    good = "<s>[INST] user\nhi [/INST]</s>"
+    bad = [good + "x", "<s>[INST] a\nb</s>", good + "<s>", "x" + good, "<s> [INST] a\nb [/INST]</s>", "[INST] a\nb [/INST]</s><s>"]
+    rows = spark.createDataFrame([(t,) for t in [good * 3, "", *bad]], "t string").select(chat.parse(chat.F.col("t")).alias("p")).collect()
+    assert rows[0].p == [("user", "hi")] * 3 and rows[1].p == [] and all(r.p is None for r in rows[2:])
