@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketsig.session import scratch_path
 
 #: Characters handled at once inside a task, so that numpy temporaries stay small.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,28 +30,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: ASCII white space only, LETTERS at every ASCII character that is no letter, digit or underscore.
 PLAIN = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones((2, 1), np.uint64)
+_MASK = (1 << 64) - 1
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+#: Bytes whose powers of the factor are kept; longer buffers are hashed in blocks of so many.
+BLOCK = 1 << 17
 
 
-def _power_table(n: int) -> np.ndarray:
-    """Powers 0..n of the hash's factor and of its inverse modulo 2**64."""
-    global _powers
-    if _powers.shape[1] <= n:
-        size = n + n // 4 + 1
-        _powers = np.ones((2, size), np.uint64)
-        for row, base in zip(_powers, (_FACTOR, _INVERSE)):
-            row[1:] = base
-            np.multiply.accumulate(row, out=row)
-    return _powers
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+POWERS, INVERSES = _powers(_FACTOR), _powers(_INVERSE)
 
 
 def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and where each text's begin (one more at the end).
 
     The bytes of a word are the digits of a number modulo 2**64; prefix sums over the whole
-    buffer give every word's number at once, whatever its place.
+    buffer, block by block, give every word's number at once, whatever its place.
     """
     buffer = b" ".join(texts).translate(table)
     u8 = np.frombuffer(buffer, np.uint8)
@@ -60,11 +60,21 @@ def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarra
     inside = np.zeros(len(u8) + 2, np.int8)
     inside[1:-1] = u8 != 32
     edges = np.flatnonzero(np.diff(inside))
+    sums = np.zeros(len(edges), np.uint64)  # of the digits before each edge
+    inverse = np.ones(len(edges), np.uint64)
+    before, at = 0, 0
+    for start in range(0, len(u8), BLOCK):
+        block = u8[start: start + BLOCK]
+        local = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(block * POWERS[: len(block)], out=local[1:])
+        scale = pow(_FACTOR, start, 1 << 64)
+        upto = int(np.searchsorted(edges, start + len(block), "right"))
+        own = edges[at:upto] - start
+        sums[at:upto] = local[own] * np.uint64(scale) + np.uint64(before)
+        inverse[at:upto] = INVERSES[own] * np.uint64(pow(_INVERSE, start, 1 << 64))
+        before, at = (before + scale * int(local[-1])) & _MASK, upto
     first, last = edges[0::2], edges[1::2]
-    powers, inverse = _power_table(len(u8))
-    sums = np.zeros(len(u8) + 1, np.uint64)
-    np.cumsum(u8 * powers[: len(u8)], out=sums[1:])
-    h = (sums[last] - sums[first]) * inverse[first]
+    h = (sums[1::2] - sums[0::2]) * inverse[0::2]
     return mix(h + (last - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), np.searchsorted(first, begins)
 
 
@@ -105,10 +115,26 @@ def slices(texts: list) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column (in any case) has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def parts(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about SLICE_CHARS bytes in ``columns`` (one longer row stays whole)."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in columns)
+    of = (np.cumsum(size) - size) // SLICE_CHARS
+    cuts = [0, *(1 + np.flatnonzero(np.diff(of))).tolist(), batch.num_rows]
+    for begin, end in zip(cuts, cuts[1:]):
+        yield batch.slice(begin, end - begin)
+
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -141,10 +167,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """(doc_id, text, label) of at most ``max_rows`` labelled ids, chosen by the hash of the id.
 
-    Held-out ids and null labels never appear; an id labelled twice takes the larger label.
+    Held-out ids and null labels never appear; an id labelled twice takes the larger label, one with
+    several rows the least of their texts.
     """
     ids = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
            .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(ids), "doc_id"))  # at most max_rows ids
+            .join(F.broadcast(ids), "doc_id")  # at most max_rows ids
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketsig.llm.common import PLAIN, flat_ngrams, ngrams, slices, stored, texts_of, word_hashes
+from marketsig.llm.common import PLAIN, flat_ngrams, ngrams, parts, slices, stored, texts_of, word_hashes
 from marketsig.llm.linking import groups, with_ids
 
 PARTS = 64  # rows that the count table is summed in
@@ -54,7 +54,7 @@ def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     """(id, n_shingles, digest) of every row; equal sets have equal digests."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             sets = [(len(x), hash_of(x)) for x in shingle_sets(texts_of(batch), s.words)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.binary())],
                                              names=["id", "n_shingles", "digest"])
@@ -72,7 +72,7 @@ def count_table(docs: DataFrame, s: Settings) -> np.ndarray:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             for x in shingle_sets(texts_of(batch), s.words):
                 np.add.at(total, (x >> np.uint64(64 - s.count_bits)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS), pa.int32()), pa.array([p.tobytes() for p in total.reshape(PARTS, -1)], pa.binary())],
@@ -114,7 +114,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, s: Settings) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             ids, rows = batch.column("id").to_pylist(), []
             for i, x in zip(ids, shingle_sets(texts_of(batch), s.words)):
                 if not len(x):
@@ -143,19 +143,25 @@ def linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, s: Settings) ->
 
     likely = stored(near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(suffix, "a long, b long"), "candidates")
     wanted = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = stored(with_ids(docs, "id", wanted, "left_semi").dropDuplicates(["id"]), "wanted-texts")
-    beside = (likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-              .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
+            found = pa.array([x.tobytes() for x in shingle_sets(texts_of(batch), s.words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), found], names=["id", "set"])
+
+    held = stored(with_ids(docs, "id", wanted, "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, set binary"), "wanted-sets")
+    beside = (likely.join(held.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+              .join(held.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(shingle_sets(texts_of(batch, "ta"), s.words), shingle_sets(texts_of(batch, "tb"), s.words)):
+            for p, q in zip(batch.column("sa"), batch.column("sb")):  # views, not copies
+                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(bool(len(x) and 100 * common >= s.percent * (len(x) + len(y) - common)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return beside.select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long")
+    return beside.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
 
 
 def linked_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -193,7 +199,15 @@ def linked_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without the documents that are linked to one of smaller doc_id, directly or through
-    others; rows without doc_id stay, repeated rows of the document that stays become one."""
+    others.  Rows without doc_id stay; repeated rows of a document, equal in id and text, become one,
+    that whose other columns sort first.  Column names do not matter."""
     found = linked_groups(docs, settings)
-    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("gone")).distinct(), "near-copies")
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    ids = left.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
+    ids = stored(ids, "repeated-ids")
+    same = F.col("doc_id") == F.col("again")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = (left.join(ids, same, "left_semi").groupBy(F.col("doc_id").alias("of"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("said"))
+           .agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*"))
+    return left.join(ids, same, "left_anti").unionByName(one)

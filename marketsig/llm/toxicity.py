@@ -130,17 +130,17 @@ def score_texts(texts: list[str], model: Model, dense: np.ndarray, s: Settings)
     return 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
 
 
-def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
-    """All columns of ``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
+def score(docs: DataFrame, model: Model, settings: Settings = Settings(), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5), or other ``names``.
 
     Null and empty texts have no features and score the bias alone; an unfitted model gives 0.
-    Columns named ``score`` or ``predicted`` in the input are replaced.
+    Columns of these names in the input are replaced.
     """
     s = settings
-    kept = docs.drop("score", "predicted")
+    kept = docs.drop(*names)
     columns = kept.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # non-zero weights, at most 2**bits
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{names[0]}` double, `{names[1]}` int"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -151,12 +151,14 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
             p = score_texts(texts, m, dense, s) if m.fitted else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in columns] + [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
-                names=[*columns, "score", "predicted"])
+                names=[*columns, *names])
 
     return kept.mapInArrow(task, schema)
 
 
 def op1(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs``, scored by a model learned from the labels
+    that are not held out; null ids and repeated rows are scored like any other."""
     model = fit(docs, labels, settings)
     scored = score(docs.select("doc_id", "text"), model, settings)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -361,3 +361,37 @@ def test_chat_parser_refuses_what_is_not_of_the_grammar(spark):
     bad = [good + "x", "<s>[INST] a\nb</s>", good + "<s>", "x" + good, "<s> [INST] a\nb [/INST]</s>", "[INST] a\nb [/INST]</s><s>"]
     rows = spark.createDataFrame([(t,) for t in [good * 3, "", *bad]], "t string").select(chat.parse(chat.F.col("t")).alias("p")).collect()
     assert rows[0].p == [("user", "hi")] * 3 and rows[1].p == [] and all(r.p is None for r in rows[2:])
+
+
+def test_word_hashes_do_not_depend_on_blocks_or_place():
+    import numpy as np
+    from marketsig.llm import common
+    words = [b"a", b"bc", b"x" * (common.BLOCK - 3), b"y", b"\xc3\xa9t\xc3\xa9", b"z" * (2 * common.BLOCK + 5), b"end"]
+    alone = [common.word_hashes([w], common.PLAIN)[0][0] for w in words]
+    h, at = common.word_hashes([b" ".join(words), b"", b" ", b"\n".join(reversed(words))], common.PLAIN)
+    assert h.tolist() == [*alone, *reversed(alone)] and at.tolist() == [0, 7, 7, 7, 14]
+    assert len(set(alone)) == len(alone) and np.dtype(h.dtype) == np.uint64
+
+
+def test_one_of_each_keeps_one_row_of_repeats_and_all_columns(spark):
+    from pyspark.sql import functions as F
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 2.0), (1, text, 1.0), (2, text, 1.0), (3, text + " x", 1.0), (4, "other", 1.0), (4, "other", 1.0), (None, text, 1.0), (None, text, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id double").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r["__id"]) for r in left.collect()) == {(1, 1.0): 1, (4, 1.0): 1, (None, 1.0): 2}
+
+
+def test_toxic_stage_keeps_columns_named_like_its_own(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = table(spark, SMALL, "documents").selectExpr("*", "doc_id * 2.5 as score", "'p' as predicted", "1 as toxic")
+    left = pipeline.drop_toxic(spark, docs, SMALL)
+    assert left.columns == docs.columns and left.filter("score <> doc_id * 2.5 or predicted <> 'p' or toxic <> 1").count() == 0
+
+
+def test_labelled_sample_has_a_row_an_id(spark):
+    from marketsig.llm.common import labelled_sample
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    assert {tuple(r) for r in labelled_sample(docs, labels, "toxic", 10).collect()} == {(1, "a", 1), (2, "", 0)}
