@@ -139,6 +139,12 @@ def test_line_dedup(spark):
     left = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
     assert 2 not in left and left[1] == rows[0][1] and left[4] is None and left[6] == "\n\n"
     assert lines.dedup(docs).columns == docs.columns and lines.dedup(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("*", "1 as `__cut`", "2 as gone", "3 as OF", "4 as said")
+    for settings in (lines.Settings(), lines.EDITS):
+        kept = lines.dedup(clash, settings)
+        assert kept.columns == clash.columns
+        assert {r.doc_id: r.text for r in kept.collect()} == {r.doc_id: r.text for r in lines.dedup(docs, settings).collect()}
+    assert lines.line_groups(docs.limit(0), lines.EDITS).count() == 0
 
 
 def test_line_groups_equal_brute_force(spark):
@@ -207,6 +213,32 @@ def test_line_groups_find_edits_without_the_simhash(spark):
     assert sum(got[d] == d - 1 for d in copies) >= 0.95 * len(copies)
 
 
+def test_band_members_are_the_classes_that_share_a_key(spark, monkeypatch):
+    import numpy as np
+    base = "one line of ordinary words that many documents repeat with a small change {}"
+    texts = [base.format(i) for i in range(30)] + [f"something else entirely number {w}" for w in ("alpha", "beta")] + ["", "!", "x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)] + [(None, "null id")], "doc_id long, text string")
+    n, ids, _ = lines.line_hashes(texts)
+    plain = lines.plain_texts(texts)
+    keys = lines.gram_keys(plain, 6, 4, 24)
+    together = {}
+    for i, own in zip(ids.view(np.int64).tolist(), keys.tolist()):
+        for k in own:
+            if k:
+                together.setdefault(k, set()).add(i)
+    want = {frozenset(v) for v in together.values() if len(v) > 1}
+    s = lines.EDITS
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+        got = {}
+        for r in lines.band_members(docs, s).collect():
+            got.setdefault(r.key, set()).add(r.id)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {frozenset(v) for v in got.values()} == want and len(got) == len(want)
+
+
 def test_extraction(spark):
     page = ('<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href="/x">menu</a></ul></nav>'
             '<div class="ad">buy</div><article><h1>Head&amp;line</h1><p><b>First   par<br>t<p>Second &lt;b&gt; &eacute;</p>{}'
