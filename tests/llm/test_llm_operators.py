@@ -213,26 +213,25 @@ def test_line_groups_find_edits_without_the_simhash(spark):
     assert sum(got[d] == d - 1 for d in copies) >= 0.95 * len(copies)
 
 
-def test_band_members_are_the_classes_that_share_a_key(spark, monkeypatch):
+def test_band_members_are_the_classes_that_share_a_key(spark):
     import numpy as np
     base = "one line of ordinary words that many documents repeat with a small change {}"
     texts = [base.format(i) for i in range(30)] + [f"something else entirely number {w}" for w in ("alpha", "beta")] + ["", "!", "x"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)] + [(None, "null id")], "doc_id long, text string")
     n, ids, _ = lines.line_hashes(texts)
-    plain = lines.plain_texts(texts)
-    keys = lines.gram_keys(plain, 6, 4, 24)
+    s = lines.EDITS
+    said = [i for i in range(len(texts)) if n[i]]
+    keys = lines.band_keys(lines.min_hashes([lines.plain_texts(texts)[i] for i in said], s), s)
     together = {}
-    for i, own in zip(ids.view(np.int64).tolist(), keys.tolist()):
+    for i, own in zip(ids.view(np.int64)[said].tolist(), keys.tolist()):
         for k in own:
-            if k:
-                together.setdefault(k, set()).add(i)
+            together.setdefault(k, set()).add(i)
     want = {frozenset(v) for v in together.values() if len(v) > 1}
-    s = lines.EDITS
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
         got = {}
-        for r in lines.band_members(docs, s).collect():
+        for r in lines.band_members(lines.occurrences(docs, s), s).collect():
             got.setdefault(r.key, set()).add(r.id)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
