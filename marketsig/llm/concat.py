@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketsig.llm.common import slices, stored, texts_of
+from marketsig.llm.common import parts, slices, stored, texts_of
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class Settings:
     tokenizer: str = public_tokenizers.path("word_bpe_49k.json")
     end_id: int = 2
     capacity: int = 4096
-    memo: int = 1 << 18
+    memo: int = 1 << 19
     block: int = 1024
     broadcast_tasks: int = 1 << 20
 
@@ -160,12 +160,14 @@ def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     placed = rows.join(F.broadcast(offsets) if n <= s.broadcast_tasks else offsets, "task")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.dtype(encoder(s.tokenizer, s.memo).dtype).itemsize
-        for batch in batches:
+        dtype = encoder(s.tokenizer, s.memo).dtype
+        for batch in (part for whole in batches for part in parts(whole, "ids")):
             out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "at", "length"))
-            for doc, at, length, ids in zip(*columns, batch.column("ids")):
-                raw, begin, done = np.frombuffer(ids.as_buffer(), f"<u{width}"), at, 0
+            lengths = batch.column("length").to_numpy()
+            raw = memoryview(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype).astype("<u4")).cast("B")
+            begins = (np.cumsum(lengths) - lengths).tolist()
+            for doc, begin, length, first in zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), lengths.tolist(), begins):
+                done = 0
                 while done < length:
                     at = begin + done
                     if at < starts[0]:
@@ -175,7 +177,7 @@ def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                         k = bisect_right(starts, at) - 1
                         sequence, offset, end = starts[0] // s.capacity + k, at - starts[k], starts[k + 1]
                     size = min(end - at, length - done)
-                    out.append((doc, done, size, zlib.crc32(raw[done: done + size].astype("<u4")), length, sequence, offset))
+                    out.append((doc, done, size, zlib.crc32(raw[4 * (first + done): 4 * (first + done + size)]), length, sequence, offset))
                     done += size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * len(NAMES))], names=NAMES)
 
