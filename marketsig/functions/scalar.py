@@ -30,15 +30,32 @@ def falsy_coalesce(*cols, empty=0) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit(empty)) for c in head], last)
 
 
+# The zone names of RFC 822, as offsets.
+RFC822_ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+                "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+_RFC822 = (r"(?i)^\s*(?:[a-z]+\s*,)?\s*([0-9]{1,2})\s+([a-z]{3})[a-z]*\s+([0-9]{4}|[0-9]{2})\s+"
+           r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\s*([+-][0-9]{4}|[a-z]+)?\s*$")
+
+
 def rss_to_timestamp(c) -> Column:
     """RFC-822 date ``'Mon, 01 Jan 2024 00:00:07 GMT'`` -> timestamp
     (TIMESTAMP_NTZ, UTC wall clock); an unparseable date gives NULL.
 
-    The weekday is skipped (Spark 3+ rejects weekday patterns when parsing);
-    the time is parsed with an explicit UTC offset, so no session time zone
-    is involved.
+    The week-day and the seconds may be missing, the day and hour may have one digit, the year two
+    (below 69: 20xx); numeric offsets and the RFC's zone names are applied, no zone is UTC and an
+    unknown name gives NULL.  The time is parsed with its offset, so no session time zone is involved.
     """
-    text = F.concat(F.substring(_col(c), 6, 20), F.lit(" +0000"))
+    part = lambda k: F.regexp_extract(_col(c), _RFC822, k)
+    month = F.concat(F.upper(F.substring(part(2), 1, 1)), F.lower(F.substring(part(2), 2, 2)))
+    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(
+        F.concat(F.when(part(3) < "69", F.lit("20")).otherwise(F.lit("19")), part(3)))
+    zone = F.upper(part(7))
+    offset = F.when(zone == "", F.lit("+0000")).when(zone.rlike("^[+-]"), zone)
+    for name, value in RFC822_ZONES.items():
+        offset = offset.when(zone == name, F.lit(value))
+    seconds = F.when(part(6) == "", F.lit("00")).otherwise(part(6))
+    text = F.concat(F.lpad(part(1), 2, "0"), F.lit(" "), month, F.lit(" "), year, F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"),
+                    part(5), F.lit(":"), seconds, F.lit(" "), offset)
     instant = F.try_to_timestamp(text, F.lit("dd MMM yyyy HH:mm:ss Z"))
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr(EPOCH))
 

@@ -187,6 +187,11 @@ def count_path(scored: DataFrame, key: str, label: str = "sentiment",
     if universe is not None:
         agg = universe.select(key).join(agg, key, "left").na.fill(
             0, ["positive_count", "negative_count", "neutral_count", "total_headlines"])
+    return count_columns(agg)
+
+
+def count_columns(agg: DataFrame) -> DataFrame:
+    """A3-A5 from the class counts: net score, label and ratios; without headlines neutral and all zero."""
     tot = F.col("total_headlines").cast("double")
     ratio = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), tot), F.lit(0.0))
     score = F.coalesce(F.try_divide((F.col("positive_count") - F.col("negative_count")).cast("double"),

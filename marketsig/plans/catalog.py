@@ -16,7 +16,7 @@ from marketsig.functions import scalar as X
 from marketsig.functions.text import clean_headline
 from marketsig.functions.text import parse_decision as _parse
 from marketsig.operators import indicators as ind
-from marketsig.operators import keys, sentiment, topk, validate
+from marketsig.operators import keys, sentiment, topk, validate, wide
 from marketsig.plans import news as news_plan
 from marketsig.plans import prompts as prompt_plan
 from marketsig.plans.prompts import history_context, history_line
@@ -487,35 +487,28 @@ def _user_ticker():
 
 def _signal_inputs(spark, sf):
     ev = _events(spark, sf)
-    # Each user's newest event is the quote its fetch returns now; the JSON
-    # payload is built for that one row per ticker, not for every event.
-    newest_ev = ind.latest(ev.select(_user_ticker().alias("ticker"), "ts", "event_id", "value", "props")
-                           .withColumn("_o", F.struct("ts", "event_id")), "ticker", "_o").drop("_o")
-    k = _k(newest_ev).cast("double")
+    as_of = newest(ev, "ts")
+    rows = ev.select(_user_ticker().alias("ticker"), "ts", "event_id", "value", "props",
+                     (((F.col("event_id") * 37) % 201 - 100) / F.lit(100.0)).alias("sentiment_score"))
+
+    def label(s):
+        return F.when(s > HEADLINE_POS, "positive").when(s < HEADLINE_NEG, "negative").otherwise("neutral")
+
+    # every event is a quote, a bar and a scored headline of its user
+    w = wide.wide_state(rows, as_of, "ticker", "ts", "event_id", "value", "sentiment_score", ["value", "props"], label=label,
+                        lookback_minutes=NEWS_LOOKBACK_MINUTES, recent_minutes=NEWS_RECENT_MINUTES)
+    # the JSON payload is built for the one newest row per ticker, not for every event
+    k = _k(w).cast("double")
     payload = F.to_json(F.struct(
         F.when(k % 20 == 0, F.lit(0.0)).otherwise(F.col("value")).alias("c"),
         ((k - 50.0) / F.lit(10.0)).alias("d"), ((k - 50.0) / F.lit(4.0)).alias("dp"),
         (F.col("value") + k / F.lit(100.0)).alias("h"), (F.col("value") - k / F.lit(100.0)).alias("l"),
         (F.col("value") - (k - 50.0) / F.lit(20.0)).alias("o"),
         (F.col("value") - (k - 50.0) / F.lit(10.0)).alias("pc")))
-    landed = newest_ev.select("ticker", "ts", "event_id", payload.alias("payload"))
-    quotes_now = sig.latest_quotes(landed, "ticker", "ts", "event_id")
-    as_of = newest(ev, "ts")
-    hist = bars.lookback(ev.select(_user_ticker().alias("ticker"), "ts", "event_id", "value"), "ts", as_of, 1)
-    tech = sig.technical(hist, "ticker", "ts", "value", "event_id")
-    news = _event_scores(spark, sf).withColumn("ticker", _user_ticker())
-    universe = ev.select(_user_ticker().alias("ticker")).distinct()
-    alerts = sentiment.weighted_scores(news, as_of, "ticker", "created_at", "sentiment_score",
-                                       NEWS_LOOKBACK_MINUTES, NEWS_RECENT_MINUTES, universe=universe)
-    heads = topk.top_k_per_key(news, "ticker", _desc("created_at", "event_id"), 10)
-    s = F.col("sentiment_score")
-    heads = heads.select("ticker", F.when(s > HEADLINE_POS, "positive").when(s < HEADLINE_NEG, "negative")
-                         .otherwise("neutral").alias("sentiment"))
-    counted = sentiment.count_path(heads, "ticker", universe=universe)
     rep = _replies(spark, sf)
     rep = ind.latest(rep, "conv_id", "turn").select(
         F.concat(F.lit("U"), F.col("conv_id").cast("string")).alias("ticker"), "reply")
-    return sig.assemble(universe, quotes_now, tech, alerts, counted, rep, "ticker")
+    return sig.assemble_wide(w.withColumn("payload", payload), rep, "ticker")
 
 
 @query

@@ -20,6 +20,7 @@ NO_HISTORY = "No price history available for technical analysis"
 
 SENTIMENT_COLS = ["avg_sentiment", "avg_score", "positive_ratio", "negative_ratio", "neutral_ratio",
                   "total_headlines", "sentiment_source"]
+MARKET_COLS = list(Q.PAYLOAD_FIELDS.values())
 
 
 def latest_quotes(landed: DataFrame, key: str, ts: str, tie: str | None = None,
@@ -43,54 +44,81 @@ def technical(history: DataFrame, key: str, ts: str, price: str, tie: str | None
 
 def choose_sentiment(alerts: DataFrame, counted: DataFrame, key: str) -> DataFrame:
     """The weighted path when the news plan found articles, else the count
-    path (which already carries the neutral default row)."""
+    path; a ticker in neither has the neutral default (no headlines, all zero)."""
     w = sentiment.from_alert(alerts).select(
         key, "articles_count", *[F.col(c).alias(f"w_{c}") for c in SENTIMENT_COLS[:-1]])
     c = counted.select(key, *[F.col(x).alias(f"c_{x}") for x in SENTIMENT_COLS[:-1]])
     use_w = F.coalesce(F.col("articles_count"), F.lit(0)) > 0
     j = w.join(c, key, "full_outer")
-    return j.select(key, *[F.when(use_w, F.col(f"w_{x}")).otherwise(F.col(f"c_{x}")).alias(x)
-                           for x in SENTIMENT_COLS[:-1]],
+    return j.select(key, *[_or_neutral(F.when(use_w, F.col(f"w_{x}")).otherwise(F.col(f"c_{x}")), x) for x in SENTIMENT_COLS[:-1]],
                     F.when(use_w, F.lit("news_engine")).otherwise(F.lit("headlines")).alias("sentiment_source"))
 
 
+def _or_neutral(value, name: str):
+    default = {"avg_sentiment": F.lit("neutral"), "total_headlines": F.lit(0).cast("long"), "sentiment_source": F.lit("headlines")}
+    return F.coalesce(value, default.get(name, F.lit(0.0))).alias(name)
+
+
 def assemble(universe: DataFrame, quotes: DataFrame, tech: DataFrame, alerts: DataFrame,
              counted: DataFrame, replies: DataFrame | None = None, key: str = "ticker") -> DataFrame:
-    """J1 + F7: one row per ticker of the universe.
+    """J1 + F7: one row per ticker of the universe, from a frame per source (see ``gate``).
 
-    ``error`` is the first failing stage (no quote, then no price history);
-    stages after an error are NULL, news is kept (it runs first and its
-    failures are not errors).  ``replies`` (key, reply) gives the decision;
-    a ticker without a reply gets the failed-call default.
+    ``replies`` (key, reply) gives the decision; a ticker without a reply gets the failed-call default.
     """
     u = universe.select(key)
-    mkt = quotes.select(key, F.lit(True).alias("_has_quote"), "current_price", "change", "percent_change",
-                        "high", "low", "open", "previous_close")
+    mkt = quotes.select(key, F.lit(True).alias("_has_quote"), *MARKET_COLS)
     te = tech.withColumn("_has_hist", F.lit(True))
     news = alerts.select(key, F.col("score").alias("news_score"), F.col("alert").alias("news_alert"),
                          F.col("articles_count").alias("news_count"),
                          F.col("direction").alias("news_direction"))
     sent = choose_sentiment(alerts, counted, key)
     j = u.join(news, key, "left").join(mkt, key, "left").join(te, key, "left").join(sent, key, "left")
-    if replies is not None:
-        j = j.join(replies.select(key, "reply"), key, "left")
-    else:
-        j = j.withColumn("reply", F.lit(None).cast("string"))
+    j = j.withColumns({c: _or_neutral(F.col(c), c) for c in SENTIMENT_COLS})
+    return gate(_with_replies(j, replies, key), key)
+
+
+def assemble_wide(wide: DataFrame, replies: DataFrame | None = None, key: str = "ticker",
+                  payload: str = "payload") -> DataFrame:
+    """J1 + J2 + F7 from ``wide.wide_state`` rows whose ``payload`` is the newest quote's: no joins but the replies'."""
+    s = sentiment.from_alert(wide).select(
+        key, payload, "has_quote", "bars", "rsi", "macd", "signal", "histogram",
+        *[F.col(c).alias(f"c_{c}") for c in ("positive_count", "negative_count", "neutral_count")],
+        F.col("score").alias("news_score"), F.col("alert").alias("news_alert"), F.col("articles_count").alias("news_count"),
+        F.col("direction").alias("news_direction"), *[F.col(c).alias(f"w_{c}") for c in SENTIMENT_COLS[:-1]])
+    total = F.col("c_positive_count") + F.col("c_negative_count") + F.col("c_neutral_count")
+    counted = sentiment.count_columns(s.withColumns(
+        {**{c: F.col(f"c_{c}") for c in ("positive_count", "negative_count", "neutral_count")}, "total_headlines": total}))
+    use_w = F.col("news_count") > 0
+    j = counted.withColumns({c: F.when(use_w, F.col(f"w_{c}")).otherwise(F.col(c)) for c in SENTIMENT_COLS[:-1]})
+    j = j.withColumn("sentiment_source", F.when(use_w, F.lit("news_engine")).otherwise(F.lit("headlines")))
+    j = j.withColumn("_quote", F.when(F.col("has_quote"), Q.quote_struct(payload)))
+    j = j.withColumns({"_has_quote": F.when(F.col("_quote").isNotNull(), True), "_has_hist": F.when(F.col("bars") > 0, True),
+                       **{c: F.col(f"_quote.{c}") for c in MARKET_COLS}})
+    return gate(_with_replies(ind.interpret(j), replies, key), key)
+
+
+def _with_replies(j: DataFrame, replies: DataFrame | None, key: str) -> DataFrame:
+    if replies is None:
+        return j.withColumn("reply", F.lit(None).cast("string"))
+    return j.join(replies.select(key, "reply"), key, "left")
+
+
+def gate(j: DataFrame, key: str = "ticker") -> DataFrame:
+    """``error`` is the first failing stage (no quote, then no price history).
+
+    News runs first and its failures are not errors, so it is always kept; without a quote neither
+    market nor sentiment nor anything later exists, without a history market and sentiment do."""
     error = F.coalesce(F.when(F.col("_has_quote").isNull(), F.concat(F.lit(NO_QUOTE), F.col(key))),
                        F.when(F.col("_has_hist").isNull(), F.lit(NO_HISTORY)))
     j = j.withColumn("error", error)
-    ok = F.col("error").isNull()
-    dec = decision_or_default("reply", F.lit("no reply from the decision model"))
-    j = j.withColumn("_d", F.when(ok, dec))
-    gated = SENTIMENT_COLS + ["rsi", "macd", "signal", "histogram", "rsi_zone", "macd_trend", "momentum",
-                              "outlook"]
-    out = [F.col(key), "news_score", "news_alert", "news_count", "news_direction",
-           "current_price", "change", "percent_change", "high", "low", "open", "previous_close",
-           *[F.when(ok, F.col(c)).alias(c) for c in gated],
-           *[F.col(f"_d.{c}").alias(c) for c in ("decision", "confidence", "reasoning", "thinking_process",
-                                                 "approved")],
-           "error"]
-    return j.select(*out)
+    quoted, ok = F.col("_has_quote").isNotNull(), F.col("error").isNull()
+    j = j.withColumn("_d", F.when(ok, decision_or_default("reply", F.lit("no reply from the decision model"))))
+    technical_cols = ["rsi", "macd", "signal", "histogram", "rsi_zone", "macd_trend", "momentum", "outlook"]
+    return j.select(key, "news_score", "news_alert", "news_count", "news_direction", *MARKET_COLS,
+                    *[F.when(quoted, F.col(c)).alias(c) for c in SENTIMENT_COLS],
+                    *[F.when(ok, F.col(c)).alias(c) for c in technical_cols],
+                    *[F.col(f"_d.{c}").alias(c) for c in ("decision", "confidence", "reasoning", "thinking_process", "approved")],
+                    "error")
 
 
 def ledger_rows(signals: DataFrame, as_of, key: str = "ticker") -> DataFrame:
