@@ -20,18 +20,19 @@ def url_id(url) -> Column:
 
 
 def fill_defaults(df: DataFrame, spec: TableSpec, as_of) -> DataFrame:
-    """The DDL defaults -- a missing id becomes a hash of the table key
-    (sha2 of the URL for news), a missing timestamp / created_at becomes the
-    as-of time (the reference's NOW())."""
+    """The DDL defaults, for columns that are NULL or absent -- an id becomes a hash of the table key
+    (sha2 of the URL for news, all other columns where the id itself is the key), a timestamp /
+    created_at becomes the as-of time (the reference's NOW())."""
     from marketsig.functions.scalar import time_literal
     out = df
     for f in spec.schema.fields:
-        if f.name in ("timestamp", "created_at") and f.name in df.columns:
-            a = time_literal(as_of, dict(df.dtypes)[f.name])
-            out = out.withColumn(f.name, F.coalesce(F.col(f.name), a.cast(f.dataType)))
-    if "id" in df.columns and spec.key and spec.key != ("id",):
-        new_id = url_id(spec.key[0]) if spec.name == "news_staging" else surrogate_id(*spec.key)
-        out = out.withColumn("id", F.coalesce(F.col("id"), new_id.cast(spec.schema["id"].dataType)))
+        if f.name in ("timestamp", "created_at"):
+            now = time_literal(as_of, dict(df.dtypes).get(f.name, f.dataType.simpleString())).cast(f.dataType)
+            out = out.withColumn(f.name, F.coalesce(F.col(f.name), now) if f.name in df.columns else now)
+    if "id" in spec.schema.names:
+        natural = spec.key if spec.key != ("id",) else [c for c in spec.schema.names if c != "id" and c in out.columns]
+        new_id = (url_id("url") if spec.name == "news_staging" else surrogate_id(*natural)).cast(spec.schema["id"].dataType)
+        out = out.withColumn("id", F.coalesce(F.col("id"), new_id) if "id" in df.columns else new_id)
     return out
 
 

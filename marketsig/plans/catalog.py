@@ -16,15 +16,17 @@ from marketsig.functions import scalar as X
 from marketsig.functions.text import clean_headline
 from marketsig.functions.text import parse_decision as _parse
 from marketsig.operators import indicators as ind
-from marketsig.operators import keys, sentiment, topk, validate, wide
+from marketsig.operators import keys, sentiment, snapshots, topk, validate, wide
 from marketsig.plans import news as news_plan
+from marketsig.plans import poll
 from marketsig.plans import prompts as prompt_plan
 from marketsig.plans.prompts import history_context, history_line
 from marketsig.plans import report
 from marketsig.plans import signals as sig
-from marketsig.schemas import TRADE_LEDGER
+from marketsig.schemas import MARKET_QUOTES, NEWS_STAGING, TRADE_LEDGER
 from marketsig.sources import bars
 from marketsig.sources import quotes
+from marketsig.sources.news import PRIMARY, SECONDARY
 from marketsig.sources.tables import newest, table
 from marketsig.streaming import monitor as stream_ops
 
@@ -680,3 +682,55 @@ def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
                                   spark, "stream-bars")
     return out.select(F.col("event_type").alias("ticker"), stream_ops.wall_clock(F.col("day.start")).alias("date"),
                       "open", "high", "low", "close", "volume")
+
+
+# ------------------------------------------------------------ the whole poll
+
+
+def _landed_stream(spark, sf):
+    """Events as quotes of 20 tickers, documents as their news (published over the last three hours), in one stream."""
+    newest_ts = newest(_events(spark, sf), "ts")
+    none = lambda t: F.lit(None).cast(t)
+    ev = _table_stream(spark, sf, "events")
+    quote = F.to_json(F.struct(F.when(_k(ev) % 20 == 0, F.lit(0.0)).otherwise(F.col("value")).alias("c"),
+                               *[(F.col("value") / F.lit(float(i + 2))).alias(c) for i, c in enumerate(("d", "dp", "h", "l", "o", "pc"))]))
+    ev = stream_ops.event_time(ev.withColumn("payload", quote), "ts", "at").select(
+        F.lit("quote").alias("kind"), _source_of("user_id").alias("ticker"), "at", F.col("event_id").alias("n"), "payload",
+        none("string").alias("headline"), none("string").alias("url"), none("timestamp").alias("published_at"), none("string").alias("source"))
+    docs = _table_stream(spark, sf, "documents").withColumn(
+        "ts", F.timestamp_add("MINUTE", -(F.col("doc_id") % 180), X.time_literal(newest_ts)))
+    docs = stream_ops.event_time(docs, "ts", "at").select(
+        F.lit("news").alias("kind"), F.col("source").alias("ticker"), "at", F.col("doc_id").alias("n"), none("string").alias("payload"),
+        F.col("text").alias("headline"), F.md5("text").alias("url"), none("timestamp").alias("published_at"),
+        F.when((F.col("lang") == "en") & (F.col("n_chars") < 300), PRIMARY).otherwise(SECONDARY).alias("source"))
+    return ev.unionByName(docs)
+
+
+def _source_of(user_id: str):
+    return F.concat(F.lit("src"), (F.col(user_id) % 20).cast("string"))
+
+
+@query
+def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Every landed event and document through the streaming poll; per ticker what the
+    published snapshot holds: its quote, articles, news signal, sentiment path and trade."""
+    root = stream_ops.scratch_path(spark, "poll")
+    universe = table(spark, sf, "documents").select(F.col("source").alias("ticker")).distinct()
+
+    def history(as_of):
+        bars_ = stream_ops.event_time(_events(spark, sf), "ts", "at").select(
+            _source_of("user_id").alias("ticker"), F.col("at").alias("ts"), F.col("event_id").alias("n"), F.col("value").alias("price"))
+        return bars.lookback(bars_, "ts", as_of, 1)
+
+    q = poll.poll_stream(_landed_stream(spark, sf), root, history, universe, _lexicon_scorer,
+                         stream_ops.scratch_path(spark, "ckpt-poll"), available_now=True)
+    q.awaitTermination()
+    snap = snapshots.snapshot(spark, root)
+    quoted = snapshots.read(spark, root, MARKET_QUOTES, snap).select("ticker", F.col("current_price").alias("quote"))
+    stored = snapshots.read(spark, root, NEWS_STAGING, snap).groupBy("ticker").agg(F.count("*").alias("articles"))
+    trades = snapshots.read(spark, root, TRADE_LEDGER, snap).select("ticker", "action", F.col("price").alias("trade_price"),
+                                                                   X.py_round("rsi", 2).alias("rsi"))
+    signals = snapshots.read(spark, root, poll.SIGNALS, snap).drop("rsi")
+    return (signals.join(quoted, "ticker", "left").join(stored, "ticker", "left").join(trades, "ticker", "left")
+            .select("ticker", "quote", F.coalesce("articles", F.lit(0)).cast("long").alias("articles"), "news_score", "news_alert",
+                    F.col("news_count").cast("long").alias("news_count"), "sentiment_source", "avg_sentiment", "action", "trade_price", "rsi", "error"))

@@ -19,13 +19,11 @@ def ingest(primary: DataFrame, secondary: DataFrame, existing: DataFrame,
     """Returns ``(fetched, inserted)`` -- the tickers
     whose fetch was non-empty and the new rows, scored, in ``existing``'s
     columns (M14, M15)."""
-    feed = keys.fallback(primary, secondary, key)
-    feed = feed.filter(F.coalesce(F.col("url"), F.lit("")) != "")
     # The incoming batch is read three times below (fetched tickers, the
     # insert-ignore, the scorer): materialize it once.
-    feed = materialize(feed)
-    fetched = feed.select(key).distinct()
-    fresh = keys.insert_ignore(feed, existing, "url", list(order))
+    feed = materialize(keys.fallback(primary, secondary, key))
+    fetched = feed.select(key).distinct()  # an article without a URL is not stored, but was fetched
+    fresh = keys.insert_ignore(feed.filter(F.coalesce(F.col("url"), F.lit("")) != ""), existing, "url", list(order))
     return fetched, score(fresh).select(*existing.columns)
 
 

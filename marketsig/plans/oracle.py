@@ -746,3 +746,48 @@ b AS (SELECT event_type AS ticker, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS date,
       FROM events GROUP BY event_type, CAST(ts AS DATE))
 SELECT b.* FROM b, m WHERE b.date + INTERVAL 1 DAY <= m.wm""",
 })
+
+# ---- the whole poll: one batch of every event and document
+
+ORACLE["stream_pipeline"] = """
+WITH m AS (SELECT max(ts) AS as_of FROM events),
+u AS (SELECT DISTINCT source AS ticker FROM documents),
+ev AS (SELECT 'src' || (user_id % 20) AS ticker, event_id, ts, value,
+              CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+lq AS (SELECT ticker, arg_max(CASE WHEN k % 20 = 0 THEN CAST(0 AS DOUBLE) ELSE value END, (ts, event_id)) AS price FROM ev GROUP BY ticker),
+q AS (SELECT * FROM lq WHERE price <> 0),
+b AS (SELECT ticker, value, row_number() OVER w - 1 AS idx, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) AS back,
+             coalesce(value - lag(value) OVER w, 0) AS d
+      FROM (SELECT ev.* FROM ev, m WHERE ts >= as_of - INTERVAL 1 MONTH) WINDOW w AS (PARTITION BY ticker ORDER BY ts, event_id)),
+tech AS (SELECT ticker, CASE WHEN max(idx) < 13 THEN NULL WHEN sum(greatest(-d, 0)) FILTER (WHERE back <= 14) = 0
+                             THEN CASE WHEN sum(greatest(d, 0)) FILTER (WHERE back <= 14) = 0 THEN NULL ELSE 100.0 END
+                             ELSE 100.0 - 100.0 / (1.0 + sum(greatest(d, 0)) FILTER (WHERE back <= 14)
+                                                         / sum(greatest(-d, 0)) FILTER (WHERE back <= 14)) END AS rsi
+         FROM b GROUP BY ticker),
+a AS (SELECT doc_id, source AS ticker, text AS headline, md5(text) AS url, as_of - INTERVAL (doc_id % 180) MINUTE AS created_at,
+             lang = 'en' AND n_chars < 300 AS is_primary FROM documents, m),
+feed AS (SELECT * FROM a WHERE is_primary
+         UNION ALL SELECT * FROM a WHERE NOT is_primary AND ticker NOT IN (SELECT ticker FROM a WHERE is_primary)),
+new AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at, doc_id) = 1),""" + _LEX_SCORE + """,
+w AS (SELECT ticker, sentiment_score AS sc, CASE WHEN created_at >= as_of - INTERVAL 15 MINUTE THEN 2.0 ELSE 1.0 END AS w
+      FROM scored, m WHERE created_at >= as_of - INTERVAL 60 MINUTE),
+agg AS (SELECT ticker, CAST(sum(CAST(sc * w AS DECIMAL(38,10))) AS DOUBLE) / nullif(sum(w), 0) AS raw, count(*) AS n FROM w GROUP BY ticker),
+kept AS (SELECT ticker, count(*) AS articles FROM new GROUP BY ticker),
+heads AS (SELECT ticker, list_filter(regexp_split_to_array(lower(headline), '[^a-z]+'), lambda x: x <> '') AS toks FROM a
+          WHERE length(headline) > 0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY created_at DESC, doc_id DESC) <= 10),
+logits AS (SELECT ticker, 100.0 * len(list_filter(toks, lambda x: x IN ('of', 'der', 'que', 'to', 'die'))) / greatest(len(toks), 1) AS neg,
+                  100.0 * len(list_filter(toks, lambda x: x IN ('and', 'with', 'und', 'et', 'for'))) / greatest(len(toks), 1) AS pos FROM heads),
+net AS (SELECT ticker, CAST(count(*) FILTER (WHERE pos > 1.0 AND pos > neg) - count(*) FILTER (WHERE neg >= 1.0 AND neg >= pos) AS DOUBLE)
+                       / count(*) AS score FROM logits GROUP BY ticker),
+j AS (SELECT u.ticker, q.price, CASE WHEN coalesce(n, 0) > 0 THEN round(raw, 4) ELSE coalesce(net.score, 0.0) END AS path_score, coalesce(kept.articles, 0) AS articles, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n, tech.rsi,
+             CASE WHEN q.price IS NULL THEN 'Failed to fetch market data for ' || u.ticker
+                  WHEN tech.ticker IS NULL THEN 'No price history available for technical analysis' END AS error
+      FROM u LEFT JOIN q ON q.ticker = u.ticker LEFT JOIN kept ON kept.ticker = u.ticker LEFT JOIN agg ON agg.ticker = u.ticker
+      LEFT JOIN tech ON tech.ticker = u.ticker LEFT JOIN net ON net.ticker = u.ticker)
+SELECT ticker, price AS quote, articles, round(raw, 4) AS news_score, abs(raw) >= 0.7 AS news_alert, n AS news_count,
+       CASE WHEN price IS NOT NULL THEN CASE WHEN n > 0 THEN 'news_engine' ELSE 'headlines' END END AS sentiment_source,
+       CASE WHEN price IS NOT NULL THEN CASE WHEN path_score > 0.2 THEN 'positive' WHEN path_score < -0.2 THEN 'negative' ELSE 'neutral' END END
+         AS avg_sentiment,
+       CASE WHEN error IS NULL THEN 'HOLD' END AS action, CASE WHEN error IS NULL THEN price END AS trade_price,
+       CASE WHEN error IS NULL THEN round(rsi, 2) END AS rsi, error
+FROM j"""
