@@ -426,3 +426,31 @@ def test_labelled_sample_has_a_row_an_id(spark):
     docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     assert {tuple(r) for r in labelled_sample(docs, labels, "toxic", 10).collect()} == {(1, "a", 1), (2, "", 0)}
+
+
+def test_edit_distances_equal_the_table():
+    import random
+    rng = random.Random(3)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+    pairs = [("", ""), ("", "abc"), ("abc", ""), ("a" * 64, "a" * 65), ("ab" * 64, "ba" * 64)]
+    for size in (1, 5, 63, 64, 65, 130, 200):
+        for _ in range(12):
+            a = "".join(rng.choice("abcé ") for _ in range(size))
+            b = list(a)
+            for _ in range(rng.randint(0, size // 2)):
+                at = rng.randrange(len(b) + 1)
+                b[at: at + rng.randint(0, 2)] = rng.choice(["", "x", "yz"])
+            pairs.append((a, "".join(b) if rng.random() < 0.8 else "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 150)))))
+    want = [plain(a, b) for a, b in pairs]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert lines.edit_distances(left, right).tolist() == want
+    assert lines.edit_distances(left, right, longest=10).tolist() == want
+    assert lines.edit_distances(left, right, alphabet=2, at_once=7).tolist() == want
