@@ -16,7 +16,7 @@ from marketsig.functions import scalar as X
 from marketsig.functions.text import clean_headline
 from marketsig.functions.text import parse_decision as _parse
 from marketsig.operators import indicators as ind
-from marketsig.operators import keys, sentiment, snapshots, topk, validate, wide
+from marketsig.operators import keys, sentiment, snapshots, topk, url_index, validate, wide
 from marketsig.plans import news as news_plan
 from marketsig.plans import poll
 from marketsig.plans import prompts as prompt_plan
@@ -25,6 +25,7 @@ from marketsig.plans import report
 from marketsig.plans import signals as sig
 from marketsig.schemas import MARKET_QUOTES, NEWS_STAGING, TRADE_LEDGER
 from marketsig.sources import bars
+from marketsig.sources import news as feeds
 from marketsig.sources import quotes
 from marketsig.sources.news import PRIMARY, SECONDARY
 from marketsig.sources.tables import newest, table
@@ -734,3 +735,84 @@ def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return (signals.join(quoted, "ticker", "left").join(stored, "ticker", "left").join(trades, "ticker", "left")
             .select("ticker", "quote", F.coalesce("articles", F.lit(0)).cast("long").alias("articles"), "news_score", "news_alert",
                     F.col("news_count").cast("long").alias("news_count"), "sentiment_source", "avg_sentiment", "action", "trade_price", "rsi", "error"))
+
+
+# ------------------------------------------------------------ landed feeds
+
+
+def _feed_items(spark, sf):
+    """Documents as feed items: a ticker per source, a fetch per 480 ids, primary feeds for English ones; some
+    without link, address, title or publish time."""
+    n = F.col("doc_id")
+    at = F.timestamp_add("SECOND", n * 61, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
+    link = F.concat(F.lit("https://news.example/?a=1&id="), n.cast("string"))
+    title = F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", " ")
+    return table(spark, sf, "documents").select(
+        F.col("source").alias("ticker"), F.floor(n / 480).cast("long").alias("fetch"), (F.col("lang") == "en").alias("primary"), n, at.alias("at"),
+        F.when(n % 13 == 0, F.lit("")).otherwise(F.concat(title, F.when(n % 3 == 0, F.lit(" - Reuters")).otherwise(F.lit("")))).alias("title"),
+        F.when(n % 7 != 0, link).alias("link"))
+
+
+def _land_primary(spark, items, path):
+    epoch = X.epoch_seconds("at")
+    item = F.struct("doc_id", "title", F.when(F.col("doc_id") % 5 != 0, F.col("link")).alias("link"), F.col("link").alias("url"),
+                    F.when(F.col("doc_id") % 4 == 0, F.lit(0).cast("long")).otherwise(epoch).alias("providerPublishTime"),
+                    F.when(F.col("doc_id") % 8 != 0, epoch).alias("publishedAt"))
+    (items.groupBy("ticker", "fetch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+     .select("ticker", F.timestamp_seconds(F.lit(1704067200) + F.col("fetch") * 3600).alias("fetched_at"),
+             F.transform("items", lambda i: i.dropFields("doc_id")).alias("items"))
+     .write.json(path))
+
+
+def _land_rss(spark, items, path):
+    def tag(name, text):
+        for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        return F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
+
+    # half of the dates are given in a zone two hours ahead
+    ahead = F.regexp_replace(X.rss_format(F.timestamp_add("HOUR", F.lit(2), F.col("at"))), "GMT$", "+0200")
+    date = F.when(F.col("doc_id") % 2 == 0, ahead).otherwise(X.rss_format("at"))
+    item = F.concat(F.lit("<item>"), tag("title", F.col("title")), F.coalesce(tag("link", F.col("link")), F.lit("")),
+                    F.when(F.col("doc_id") % 11 != 0, tag("pubDate", date)).otherwise(F.lit("")), F.lit("</item>"))
+    built = X.rss_format(F.timestamp_add("HOUR", F.col("fetch"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")))
+    (items.groupBy("ticker", "fetch").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("xml")))).alias("items"))
+     .select("ticker", "fetch", F.concat(F.lit("<rss><channel>"), tag("lastBuildDate", built), F.array_join(F.col("items.xml"), ""),
+                                         F.lit("</channel></rss>")).alias("value"))
+     .repartition("ticker", "fetch").write.partitionBy("ticker", "fetch").text(path))  # a file per fetch, as feeds come
+
+
+@query
+def landed_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents landed as JSON snapshots and RSS files, read back: each fetch's first 10
+    articles, with the headline's digest."""
+    items = _feed_items(spark, sf)
+    json, rss = stream_ops.scratch_path(spark, "feed-json"), stream_ops.scratch_path(spark, "feed-rss")
+    _land_primary(spark, items.filter("primary"), json)
+    _land_rss(spark, items.filter("not primary"), rss)
+    first = feeds.primary_articles(feeds.read_snapshots(spark, json))
+    first = first.withColumn("fetched_at", stream_ops.wall_clock("fetched_at"))
+    second = feeds.secondary_articles(feeds.read_feeds(spark, rss, n=feeds.FEED_LIMIT))
+    return (first.select(*second.columns).unionByName(second)
+            .select("ticker", "fetched_at", F.col("pos").cast("long").alias("pos"), F.md5("headline").alias("headline_md5"), "url",
+                    "published_at", "source"))
+
+
+@query
+def landed_headlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Per ticker and fetch of the landed snapshots the number and the digest of its headlines, in feed order."""
+    path = stream_ops.scratch_path(spark, "feed-json")
+    _land_primary(spark, _feed_items(spark, sf).filter("primary"), path)
+    h = feeds.batch_headlines(feeds.read_snapshots(spark, path))
+    return h.select("ticker", stream_ops.wall_clock("fetched_at").alias("fetched_at"), F.size("headlines").cast("long").alias("n"),
+                    F.md5(F.array_join(F.transform("headlines", F.md5), ",")).alias("headlines_md5"))
+
+
+@query
+def url_index_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """``url_dedup`` through the bucketed index of stored URLs."""
+    d = table(spark, sf, "documents")
+    incoming = d.select(F.md5("text").alias("url"), "doc_id", "source")
+    root = stream_ops.scratch_path(spark, "url-index")
+    url_index.add(d.filter(F.col("lang") == "de").select(F.md5("text").alias("url")), root, "url", 0)
+    return keys.insert_ignore(incoming, url_index.stored_among(incoming, root, "url"), "url", ["doc_id"])

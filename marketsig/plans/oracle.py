@@ -791,3 +791,28 @@ SELECT ticker, price AS quote, articles, round(raw, 4) AS news_score, abs(raw) >
        CASE WHEN error IS NULL THEN 'HOLD' END AS action, CASE WHEN error IS NULL THEN price END AS trade_price,
        CASE WHEN error IS NULL THEN round(rsi, 2) END AS rsi, error
 FROM j"""
+
+
+_FEED = r"""i AS (SELECT source AS ticker, CAST(floor(doc_id / 480) AS BIGINT) AS batch, lang = 'en' AS prim, doc_id,
+                  TIMESTAMP '2024-01-01' + to_seconds(doc_id * 61) AS moment,
+                  CASE WHEN doc_id % 13 = 0 THEN '' ELSE
+                    regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]', ' ', 'g')
+                    || CASE WHEN doc_id % 3 = 0 THEN ' - Reuters' ELSE '' END END AS title,
+                  CASE WHEN doc_id % 7 <> 0 THEN 'https://news.example/?a=1&id=' || doc_id END AS link FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY ticker, batch, prim ORDER BY doc_id) - 1 AS pos,
+             TIMESTAMP '2024-01-01' + to_hours(batch) AS fetched_at FROM i QUALIFY pos < 10)"""
+
+ORACLE["landed_feeds"] = f"""
+WITH {_FEED},
+h AS (SELECT *, {_clean('title')} AS headline FROM f)
+SELECT ticker, fetched_at, pos, md5(headline) AS headline_md5, coalesce(link, '') AS url,
+       CASE WHEN prim AND doc_id % 8 = 0 THEN NULL WHEN NOT prim AND doc_id % 11 = 0 THEN NULL ELSE moment END AS published_at,
+       CASE WHEN prim THEN 'yfinance' ELSE 'google_news' END AS source
+FROM h WHERE NOT prim OR (headline <> '' AND link IS NOT NULL)"""
+
+ORACLE["landed_headlines"] = f"""
+WITH {_FEED}
+SELECT ticker, fetched_at, count(*) AS n, md5(string_agg(md5(title), ',' ORDER BY pos)) AS headlines_md5
+FROM f WHERE prim AND title <> '' GROUP BY ticker, fetched_at"""
+
+ORACLE["url_index_dedup"] = ORACLE["url_dedup"]

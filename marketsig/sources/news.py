@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketsig.functions.scalar import falsy_coalesce, from_epoch, rss_to_timestamp
+from marketsig.functions.scalar import EPOCH, falsy_coalesce, from_epoch, rss_to_timestamp
 from marketsig.functions.text import clean_headline
 
 # Items taken per feed and the source labels.
@@ -30,6 +30,9 @@ RSS_ITEM = T.StructType([T.StructField("ticker", T.StringType()),
                          T.StructField("title", T.StringType()),
                          T.StructField("link", T.StringType()),
                          T.StructField("pubDate", T.StringType())])
+RSS_CHANNEL = T.StructType([T.StructField("lastBuildDate", T.StringType()),
+                            T.StructField("item", T.ArrayType(T.StructType(RSS_ITEM.fields[1:]))),
+                            T.StructField("ticker", T.StringType())])
 
 
 def _first_n(df: DataFrame, n: int) -> DataFrame:
@@ -80,6 +83,23 @@ def read_rss(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
             .schema(T.StructType([f for f in RSS_ITEM.fields if f.name != "ticker"])).load(path))
 
 
+def read_feeds(spark: SparkSession, path: str, stream: bool = False, n: int | None = None) -> DataFrame:
+    """Landed RSS files -> (ticker, fetched_at, pos, title, link, pubDate), one row per item.
+
+    The ticker is the ``ticker=...`` folder of the file or else the file's name up to its first dot;
+    ``fetched_at`` (UTC wall clock) is the channel's ``lastBuildDate``, or the time the file was landed
+    where that is missing or unreadable.  ``pos`` counts the items of a channel from 0 in feed order;
+    ``n`` keeps the first so many.  A channel without items gives no rows.
+    """
+    r = spark.readStream if stream else spark.read
+    raw = r.format("xml").option("rowTag", "channel").schema(RSS_CHANNEL).load(path)
+    landed = F.timestamp_add("MICROSECOND", F.unix_micros(F.col("_metadata.file_modification_time")), F.expr(EPOCH))
+    items = F.col("item") if n is None else F.slice("item", 1, n)
+    return (raw.select(F.coalesce("ticker", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)).alias("ticker"),
+                       F.coalesce(rss_to_timestamp("lastBuildDate"), landed).alias("fetched_at"), F.posexplode(items).alias("pos", "_item"))
+            .select("ticker", "fetched_at", "pos", "_item.title", "_item.link", "_item.pubDate"))
+
+
 def headlines(snapshots: DataFrame, n: int = FEED_LIMIT) -> DataFrame:
     """The first ``n`` titles of each snapshot that are non-empty."""
     d = _first_n(snapshots, n)

@@ -18,11 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marketsig.operators import keys, sentiment
+from marketsig.operators import keys, sentiment, url_index
 from marketsig.session import scratch_path
 
 # The reference polls every 15 minutes over the last hour.
@@ -100,18 +101,27 @@ def batch_writer(path: str, partition_by: Sequence[str] = ()) -> Callable[[DataF
 
 def insert_new_articles(stream: DataFrame, table_path: str, score: Callable[[DataFrame], DataFrame],
                         key: str = "url", order: Sequence[str] = ("created_at",),
-                        checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+                        checkpoint: str | None = None, available_now: bool = True,
+                        index: str | None = None) -> StreamingQuery:
     """R2/R3 exact: every micro-batch is insert-ignored against the stored
     table (K5), only the inserted rows are scored (E1), and they are
-    appended idempotently (K7)."""
+    appended idempotently (K7).  With ``index``, the folder of a
+    ``url_index``, a batch reads only the index buckets that may hold its
+    keys instead of the stored table's whole key column."""
     spark = stream.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stored = _read_or_none(spark, table_path)
-        if stored is not None:
-            stored = stored.filter(F.col("batch_id") != batch_id)   # a replay ignores its own output
+        if index is not None:
+            stored = url_index.stored_among(batch, index, key, but=batch_id)
+        else:
+            stored = _read_or_none(spark, table_path)
+            if stored is not None:
+                stored = stored.filter(F.col("batch_id") != batch_id)   # a replay ignores its own output
         fresh = keys.insert_ignore(batch, stored, key, list(order))
         batch_writer(table_path)(score(fresh), batch_id)
+        if index is not None:
+            written = spark.read.parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
+            url_index.add(written, index, key, batch_id)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation",
                                                      checkpoint or scratch_path(spark, "ckpt-dedup"))
@@ -141,8 +151,10 @@ def _read_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | No
     try:
         r = spark.read.schema(schema) if schema is not None else spark.read
         return r.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None  # no table yet
 
 
 def news_monitor(stream: DataFrame, table_path: str, signals_path: str,
