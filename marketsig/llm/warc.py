@@ -33,11 +33,11 @@ SEGMENTS = ("record string, page_id long, url string, record_type string, refers
 
 @dataclass(frozen=True)
 class Settings:
-    """Characters of a chunk and chunks of an archive file, at most (together under 2 GB);
-    least bytes of a payload that a later record may revisit."""
+    """Characters of a chunk and chunks of an archive file, at most: a file is read as one value, so together
+    they bound it to 32 M characters before compression; least bytes of a payload that a later record may revisit."""
 
     chunk_chars: int = 1 << 15
-    file_rows: int = 1 << 14
+    file_rows: int = 1 << 10
     min_bytes: int = 0
 
 
@@ -55,6 +55,13 @@ def chunks(html: str, size: int) -> Iterator[tuple[int, bytes, int, str, bool]]:
         yield k, raw, total, base32(sha.copy().digest()), at + size >= len(html)
 
 
+def payload_digest(html: str, size: int) -> tuple[int, str]:
+    """(bytes, digest) of a payload, one chunk held at a time."""
+    for _, _, total, digest, _ in chunks(html, size):
+        pass
+    return total, digest
+
+
 def digests(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(page_id, payload_bytes, payload_digest) of every page row; a null html is an empty payload."""
     s = settings
@@ -63,8 +70,7 @@ def digests(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for batch in batches:
             sizes, found = [], []
             for html in batch.column("html"):
-                for _, _, total, digest, _ in chunks(html.as_py() or "", s.chunk_chars):
-                    pass
+                total, digest = payload_digest(html.as_py() or "", s.chunk_chars)
                 sizes.append(total)
                 found.append(digest)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(sizes, pa.int64()), pa.array(found, pa.string())],
@@ -108,7 +114,7 @@ def write(pages: DataFrame, path: str, settings: Settings = Settings()) -> None:
 
     def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[*chunks(h.as_py() or "", s.chunk_chars)][-1][3] for h in batch.column("html")]
+            found = [payload_digest(h.as_py() or "", s.chunk_chars)[1] for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "payload_digest"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
