@@ -31,10 +31,10 @@ RECENT_MINUTES = 15
 SCORE_DIGITS = 4
 BATCH_SIZE = 8
 
-# Weighted sums are accumulated as exact decimals at 1e-10 resolution: the
+# Weighted sums are accumulated as exact decimals at 1e-14 resolution: the
 # result no longer depends on the order Spark adds partial sums in, so a
 # score sitting on a rounding tie rounds the same way on any cluster layout.
-EXACT_SUM = "decimal(38,10)"
+EXACT_SUM = "decimal(38,14)"
 
 
 def exact_sum(c) -> Column:
@@ -269,10 +269,10 @@ def recent_news(news: DataFrame, as_of, key: str = "ticker", at: str = "created_
     orders ``DESC``.
 
     The rank is a series position computed in parallel.  Each row gets a
-    wall-clock "mirror" time that grows along that order -- NULL publish
-    times first, ordered by the numeric tie-breaker (1970 + tie
-    microseconds), then newer publish times first (2200 - publish time) --
-    and the adaptive indexer splits any hot bucket of it.
+    wall-clock "mirror" time that grows along that order -- the year 1 for
+    NULL publish times, whose rows the indexer splits by the tie-breaker, then
+    newer publish times first (9000 - publish time) -- and the adaptive
+    indexer splits any hot bucket of it.
     """
     from marketsig.functions.scalar import epoch_seconds, time_literal
     from marketsig.operators.series import index_series, index_series_adaptive
@@ -285,9 +285,8 @@ def recent_news(news: DataFrame, as_of, key: str = "ticker", at: str = "created_
     else:
         micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{published}`)")
     if numeric_tie:
-        far = F.expr("TIMESTAMP_NTZ'2200-01-01 00:00:00'")
-        mirror = F.when(F.col(published).isNull(),
-                        F.timestamp_add("MICROSECOND", F.col(tie).cast("long"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))\
+        far = F.expr("TIMESTAMP_NTZ'9000-01-01 00:00:00'")
+        mirror = F.when(F.col(published).isNull(), F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'"))\
             .otherwise(F.timestamp_add("MICROSECOND", -micros, far))
         ranked = index_series_adaptive(rows.withColumn("_mirror", mirror), key, "_mirror",
                                        [F.col("_mirror"), F.col(tie)], "_rank0", tie=tie).drop("_mirror")

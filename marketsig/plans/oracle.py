@@ -271,7 +271,7 @@ WITH n AS (SELECT event_type AS ticker, ts AS created_at,
 m AS (SELECT max(ts) AS as_of FROM events),
 f AS (SELECT ticker, s, CASE WHEN created_at >= as_of - INTERVAL 720 MINUTE THEN 2.0 ELSE 1.0 END AS w
       FROM n, m WHERE s IS NOT NULL AND created_at >= as_of - INTERVAL 4320 MINUTE),
-a AS (SELECT ticker, coalesce(CAST(sum(CAST(s * w AS DECIMAL(38,10))) AS DOUBLE) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS articles_count
+a AS (SELECT ticker, coalesce(CAST(sum(CAST(s * w AS DECIMAL(38,14))) AS DOUBLE) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS articles_count
       FROM f GROUP BY ticker),
 x AS (SELECT *, round(raw, 4) AS score FROM a)
 SELECT ticker, score AS score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert, articles_count,
@@ -400,7 +400,7 @@ w AS (SELECT st.ticker, st.sentiment_score AS sc,
       FROM stored st, m
       WHERE st.ticker IN (SELECT ticker FROM feed2) AND sentiment_score IS NOT NULL
         AND created_at >= as_of - INTERVAL 1440 MINUTE),
-agg AS (SELECT ticker, coalesce(CAST(sum(CAST(sc * w AS DECIMAL(38,10))) AS DOUBLE) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS n FROM w GROUP BY ticker),
+agg AS (SELECT ticker, coalesce(CAST(sum(CAST(sc * w AS DECIMAL(38,14))) AS DOUBLE) / nullif(sum(w), 0), 0.0) AS raw, count(*) AS n FROM w GROUP BY ticker),
 u AS (SELECT DISTINCT source AS ticker FROM documents),
 j AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n FROM u LEFT JOIN agg ON agg.ticker = u.ticker)
 SELECT ticker, round(raw, 4) AS score, round(raw, 6) AS raw_score, abs(raw) >= 0.7 AS alert,
@@ -439,7 +439,7 @@ news AS (SELECT ticker, event_id, ts AS created_at, CAST((event_id * 37) % 201 -
          FROM ev),
 wn AS (SELECT ticker, sc, CASE WHEN created_at >= as_of - INTERVAL 360 MINUTE THEN 2.0 ELSE 1.0 END AS w
        FROM news, m WHERE created_at >= as_of - INTERVAL 1440 MINUTE),
-agg AS (SELECT ticker, CAST(sum(CAST(sc * w AS DECIMAL(38,10))) AS DOUBLE) / nullif(sum(w), 0) AS raw, count(*) AS n FROM wn GROUP BY ticker),
+agg AS (SELECT ticker, CAST(sum(CAST(sc * w AS DECIMAL(38,14))) AS DOUBLE) / nullif(sum(w), 0) AS raw, count(*) AS n FROM wn GROUP BY ticker),
 u AS (SELECT DISTINCT ticker FROM ev),
 al AS (SELECT u.ticker, coalesce(raw, 0.0) AS raw, coalesce(n, 0) AS n, round(coalesce(raw, 0.0), 4) AS score
        FROM u LEFT JOIN agg ON agg.ticker = u.ticker),
@@ -612,7 +612,7 @@ k AS (SELECT ticker, ts, s, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MI
       FROM e, range(0, 4) AS r(g)),
 w AS (SELECT ticker, window_start, window_start + INTERVAL 1 HOUR AS window_end, s,
              CASE WHEN ts >= window_start + INTERVAL 45 MINUTE THEN 2.0 ELSE 1.0 END AS wt FROM k),
-a AS (SELECT ticker, window_start, window_end, CAST(sum(CAST(s * wt AS DECIMAL(38,10))) AS DOUBLE) / sum(wt) AS raw, count(*) AS articles_count
+a AS (SELECT ticker, window_start, window_end, CAST(sum(CAST(s * wt AS DECIMAL(38,14))) AS DOUBLE) / sum(wt) AS raw, count(*) AS articles_count
       FROM w GROUP BY ALL),
 m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events),
 x AS (SELECT a.* FROM a, m WHERE window_end <= wm)
@@ -771,7 +771,7 @@ feed AS (SELECT * FROM a WHERE is_primary
 new AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at, doc_id) = 1),""" + _LEX_SCORE + """,
 w AS (SELECT ticker, sentiment_score AS sc, CASE WHEN created_at >= as_of - INTERVAL 15 MINUTE THEN 2.0 ELSE 1.0 END AS w
       FROM scored, m WHERE created_at >= as_of - INTERVAL 60 MINUTE),
-agg AS (SELECT ticker, CAST(sum(CAST(sc * w AS DECIMAL(38,10))) AS DOUBLE) / nullif(sum(w), 0) AS raw, count(*) AS n FROM w GROUP BY ticker),
+agg AS (SELECT ticker, CAST(sum(CAST(sc * w AS DECIMAL(38,14))) AS DOUBLE) / nullif(sum(w), 0) AS raw, count(*) AS n FROM w GROUP BY ticker),
 kept AS (SELECT ticker, count(*) AS articles FROM new GROUP BY ticker),
 heads AS (SELECT ticker, list_filter(regexp_split_to_array(lower(headline), '[^a-z]+'), lambda x: x <> '') AS toks FROM a
           WHERE length(headline) > 0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY created_at DESC, doc_id DESC) <= 10),

@@ -23,7 +23,8 @@ def lookback(df: DataFrame, ts: str, as_of, months: int = 1) -> DataFrame:
 
 def order_key(df: DataFrame, ts: str, tie: str) -> Column:
     """One fixed-width key that sorts like ``(ts, tie)``: epoch microseconds
-    times 10^19 plus an integral tie-breaker, as DECIMAL(38,0).  With it
+    times 2 * 10^19 plus an integral tie-breaker of any sign, as DECIMAL(38,0); a
+    NULL tie comes before all others, as in the struct.  With it
     ``min_by``/``max_by`` keep a fixed-width buffer, so Spark aggregates with
     a hash table instead of sorting every map partition (a struct key forces
     the sort-based path).  Falls back to the struct for a non-integral tie."""
@@ -34,7 +35,8 @@ def order_key(df: DataFrame, ts: str, tie: str) -> Column:
     else:
         micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
     d = "decimal(38,0)"
-    return micros.cast(d) * F.lit(Decimal(10) ** 19).cast(d) + F.col(tie).cast(d)
+    place = F.coalesce(F.col(tie).cast(d), F.lit(Decimal(-(1 << 63) - 1)).cast(d))
+    return micros.cast(d) * F.lit(2 * Decimal(10) ** 19).cast(d) + place
 
 
 def daily_bars(ticks: DataFrame, key: str, ts: str, price: str, tie: str,
