@@ -11,11 +11,11 @@ Semantics follow the reference's pandas code:
 
 Both run without a per-series window over all rows (see ``series``).  EMA is
 a linear recurrence, so it is evaluated as a blocked scan: inside each chunk
-a running sum gives the value with zero carry-in, and the carry-in of every
-chunk is a short weighted sum of earlier chunk results.  Because the decay of
-a full chunk, (1-a)^C, underflows double precision after a few chunks, that
-sum only needs the last few chunks -- an exact, fully distributed
-``groupBy``, with no series-wide fold.
+running sums give every value as a local part plus a weight of the value at the
+chunk's first price, and the values that enter a chunk are a fold of the few
+chunks before it that still have weight.  MACD carries its three values (fast,
+slow, signal) through one such scan.  Gaps (NULL prices) are counted in rows:
+the longer the gap, the less the old value weighs (pandas, ``ignore_na=False``).
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from marketsig.operators.series import (DEFAULT_CHUNK_ROWS, IDX, UNIT_SECONDS, _
 
 # Largest exponent used inside a chunk: (1-a)^(-i) stays below e^600.
 _MAX_EXP = 600.0
-# exp(-745) is the smallest positive double; beyond it a weight is exactly 0.
-_UNDERFLOW = 745.0
+# A value weighed by less than e^-100 does not change a sum of doubles of like size.
+_NO_WEIGHT = 100.0
 
 
 def with_position(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str | None = None,
@@ -98,81 +98,189 @@ def ema_chunk_rows(spans: Sequence[int], cap: int = DEFAULT_CHUNK_ROWS) -> int:
     return max(1, min(cap, int(_MAX_EXP / worst))) if worst else cap
 
 
+class _Ema:
+    """One EMA of the scan: its input, its weights, and the columns of its running local part."""
+
+    def __init__(self, out: str, x: str, span: int):
+        self.out, self.x, self.a = out, x, 2.0 / (span + 1)
+        self.log_q = math.log1p(-self.a) if span > 1 else None
+        self.local, self.weight = f"_l_{out}", f"_w_{out}"
+
+    def keep(self, d: Column) -> Column:
+        """What the value before weighs in a value ``d`` rows later, q^d / (q^d + a)."""
+        if self.log_q is None:
+            return F.lit(0.0)
+        p = F.exp(F.lit(self.log_q) * d)
+        return F.when(d == 1, F.lit(1.0 - self.a)).otherwise(p / (p + F.lit(self.a)))
+
+    def log_keep(self, d: Column) -> Column:
+        return F.lit(self.log_q) * d - F.log(F.exp(F.lit(self.log_q) * d) + F.lit(self.a))
+
+    def decay(self) -> float:
+        """A bound of the decay of ``keep`` for each row passed, whatever the gaps between prices."""
+        u, least = -self.log_q, 1.0
+        while u < 700.0:
+            least = min(least, math.log1p(self.a * math.exp(u)) / u)
+            u *= 1.05
+        return -self.log_q * least * 0.9
+
+
+class _Signal:
+    """An EMA of the difference of two EMAs of one input; it has a value at every row that they have."""
+
+    def __init__(self, out: str, fast: _Ema, slow: _Ema, span: int):
+        self.out, self.fast, self.slow, self.a = out, fast, slow, 2.0 / (span + 1)
+        self.log_q = math.log1p(-self.a)
+        self.local, self.by_fast, self.by_slow = f"_l_{out}", f"_wf_{out}", f"_ws_{out}"
+
+
+def _enter(emas: list[_Ema], signals: list[_Signal], state, known: Column, x1: Column, d: Column) -> dict[str, Column]:
+    """Every value at a chunk's first price ``x1``, ``d`` rows after the price that ``state`` belongs to."""
+    now = {e.out: F.when(known, state(e.out) * e.keep(d) + (F.lit(1.0) - e.keep(d)) * x1).otherwise(x1) for e in emas}
+    for s in signals:
+        held = F.exp(F.lit(s.log_q) * (d - 1))  # the rows between repeat the difference
+        before = held * state(s.out) + (F.lit(1.0) - held) * (state(s.fast.out) - state(s.slow.out))
+        new = F.lit(1.0 - s.a) * before + F.lit(s.a) * (now[s.fast.out] - now[s.slow.out])
+        now[s.out] = F.when(known, new).otherwise(F.lit(0.0))
+    return now
+
+
+def _leave(emas: list[_Ema], signals: list[_Signal], local, now: dict[str, Column], rows: Column) -> dict[str, Column]:
+    """Every value ``rows`` rows after the chunk's first price, from the local parts up to there."""
+    then = {e.out: local(e.local) + local(e.weight) * now[e.out] for e in emas}
+    for s in signals:
+        then[s.out] = (F.exp(F.lit(s.log_q) * rows) * now[s.out] + local(s.local)
+                       + local(s.by_fast) * now[s.fast.out] - local(s.by_slow) * now[s.slow.out])
+    return then
+
+
+def _locals(d: DataFrame, w: Window, pos: Column, x: str, emas: list[_Ema], signals: list[_Signal]) -> DataFrame:
+    """The running parts of a chunk that do not depend on the chunks before.
+
+    From the chunk's first price on, an EMA is ``local + weight * (its value there)``: each further price
+    multiplies the weight by ``keep``.  A signal is such a running sum over the local parts of its EMAs.
+    """
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    price = F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
+    d = d.withColumn(f"_x_{x}", price)
+    at = F.when(F.col(f"_x_{x}").isNotNull(), pos)
+    d = (d.withColumn(f"_at_{x}", F.min(at).over(run)).withColumn(f"_to_{x}", F.max(at).over(run))
+         .withColumn(f"_x1_{x}", F.first(f"_x_{x}", ignorenulls=True).over(run))
+         .withColumn("_gap", at - F.max(at).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    gap, value = F.col("_gap"), F.col(f"_x_{x}")
+    none = F.lit(0.0)
+    for e in emas:
+        if e.log_q is None:
+            later = F.col(f"_to_{x}") > F.col(f"_at_{x}")
+            d = (d.withColumn(e.local, F.when(later, F.last(f"_x_{x}", ignorenulls=True).over(run)).otherwise(none))
+                 .withColumn(e.weight, F.when(later, none).otherwise(F.lit(1.0))))
+            continue
+        steps = F.sum(F.when(gap == 1, F.lit(1.0)).otherwise(none)).over(run)
+        jumps = F.sum(F.when(gap > 1, e.log_keep(gap)).otherwise(none)).over(run)
+        d = d.withColumn("_log", F.lit(e.log_q) * steps + jumps)
+        share = F.when(gap == 1, F.lit(e.a)).otherwise(F.lit(1.0) - e.keep(gap))
+        d = (d.withColumn(e.weight, F.exp("_log"))
+             .withColumn(e.local, F.exp("_log") * F.sum(F.when(gap.isNotNull(), share * value * F.exp(-F.col("_log")))
+                                                        .otherwise(none)).over(run)).drop("_log"))
+    for s in signals:
+        rows = (pos - F.col(f"_at_{x}")).cast("double")
+
+        def summed(part: Column) -> Column:
+            grown = F.when(rows > 0, part * F.exp(F.lit(-s.log_q) * rows)).otherwise(none)
+            return F.when(rows >= 0, F.lit(s.a) * F.exp(F.lit(s.log_q) * rows) * F.sum(grown).over(run)).otherwise(none)
+
+        d = (d.withColumn(s.local, summed(F.col(s.fast.local) - F.col(s.slow.local)))
+             .withColumn(s.by_fast, summed(F.col(s.fast.weight))).withColumn(s.by_slow, summed(F.col(s.slow.weight))))
+    return d.drop("_gap")
+
+
+def _carries(d: DataFrame, keys: list[str], x: str, emas: list[_Ema], signals: list[_Signal], C: int) -> DataFrame:
+    """(keys, chunk, state): the values at the last price before each chunk, one row a chunk.
+
+    A chunk with a price maps the state before it to the one behind it; the state is the fold of the last
+    ``n`` such maps, beyond which nothing before has weight in a double.
+    """
+    names = [e.local for e in emas] + [e.weight for e in emas] + [c for s in signals for c in (s.local, s.by_fast, s.by_slow)]
+    outs = [e.out for e in emas] + [s.out for s in signals]
+    here = F.struct(F.col(f"_at_{x}").alias("at"), F.col(f"_to_{x}").alias("to"), F.col(f"_x1_{x}").alias("x1"), *names)
+    ends = d.groupBy(*keys, "_ec").agg(F.max_by(here, F.when(F.col(f"_x_{x}").isNotNull(), F.col("_ei"))).alias("_end"))
+    slowest = min([e.decay() for e in emas if e.log_q is not None] + [-s.log_q for s in signals], default=_MAX_EXP)
+    n = math.ceil(_NO_WEIGHT / (slowest * C)) + 2
+    chunks = Window.partitionBy(*keys).orderBy("_ec")
+    found = ends.filter("_end is not null").withColumn("_gap", F.col("_end.at") - F.lag("_end.to").over(chunks))
+    last = F.collect_list(F.struct("_end", F.coalesce("_gap", F.lit(0)).cast("double").alias("gap"))).over(chunks.rowsBetween(1 - n, 0))
+    start = F.struct(F.lit(False).alias("known"), *[F.lit(0.0).alias(o) for o in outs])
+
+    def behind(state: Column, chunk: Column) -> Column:
+        end = chunk["_end"]
+        now = _enter(emas, signals, lambda o: state[o], state["known"], end["x1"], chunk["gap"])
+        then = _leave(emas, signals, lambda c: end[c], now, (end["to"] - end["at"]).cast("double"))
+        return F.struct(F.lit(True).alias("known"), *[then[o].alias(o) for o in outs])
+
+    states = found.select(*keys, "_ec", F.struct(F.col("_end.to").alias("to"), F.aggregate(last, start, behind).alias("v")).alias("_state"))
+    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    return (ends.select(*keys, "_ec").join(states, [*keys, "_ec"], "left")
+            .select(*keys, "_ec", F.last("_state", ignorenulls=True).over(before).alias(f"_s_{x}"))
+            .filter(F.col(f"_s_{x}").isNotNull()))
+
+
+def _scan(df: DataFrame, keys: list[str], emas: list[_Ema], signals: list[_Signal], idx_col: str, C: int) -> DataFrame:
+    pos = F.col(idx_col)
+    inputs = list(dict.fromkeys(e.x for e in emas))
+    of = {x: ([e for e in emas if e.x == x], [s for s in signals if s.fast.x == x]) for x in inputs}
+    d = df.withColumn("_ec", F.floor(pos / F.lit(C)).cast("long")).withColumn("_ei", pos % F.lit(C))
+    w = Window.partitionBy(*keys, "_ec").orderBy("_ei")
+    for x in inputs:
+        d = _locals(d, w, pos, x, *of[x])
+    d = materialize(d)  # feeds the chunk ends and the rows
+    out = d
+    for x in inputs:
+        out = out.join(_carries(d, keys, x, *of[x], C), [*keys, "_ec"], "left")
+    for x in inputs:
+        state, at = F.col(f"_s_{x}"), F.col(f"_at_{x}")
+        value = lambda o: state["v"][o]
+        now = _enter(*of[x], value, state.isNotNull(), F.col(f"_x1_{x}"), (at - state["to"]).cast("double"))
+        then = _leave(*of[x], F.col, now, (pos - at).cast("double"))
+        own, signed = of[x]
+        held = {e.out: value(e.out) for e in own}  # no price in the chunk so far
+        for s in signed:
+            left = F.exp(F.lit(s.log_q) * (pos - state["to"]).cast("double"))
+            held[s.out] = left * value(s.out) + (F.lit(1.0) - left) * (held[s.fast.out] - held[s.slow.out])
+        out = out.withColumns({o: F.when(at.isNull(), held[o]).otherwise(then[o]) for o in then})
+    return out.select(*[c for c in df.columns if c not in {e.out for e in emas} | {s.out for s in signals}],
+                      *[e.out for e in emas], *[s.out for s in signals])
+
+
 def ema(df: DataFrame, keys, specs: dict[str, tuple[str, int]], idx_col: str = IDX,
-        chunk_rows: int | None = None, cut_lineage: bool = True) -> DataFrame:
+        chunk_rows: int | None = None) -> DataFrame:
     """Add one EMA column per ``specs[out] = (x_column, span)``.
 
-    ``df`` must carry the series position ``idx_col`` (``with_position``),
-    and the inputs must be non-NULL (drop or fill missing prices first).  It
-    feeds three branches (running sums, chunk ends, first values), so it is
-    checkpointed once unless ``cut_lineage`` is False.  A chunk's end is
-    carried into every later chunk on which it still has weight in a double.
-    A span of 1 is the series itself.
+    ``df`` must carry the series position ``idx_col`` (``with_position``).  A NULL (or NaN) input repeats
+    the value before it and weakens it for the next one, as pandas does: after ``d`` rows the old value
+    weighs q^d against the new one's a.  Rows before the first input are NULL.  The frame is checkpointed
+    once.  A span of 1 is the newest input.
     """
     keys = _names(keys)
-    plain = {out: x for out, (x, span) in specs.items() if span == 1}
-    specs = {out: spec for out, spec in specs.items() if out not in plain}
-    if not specs:
-        return df.withColumns({out: F.col(x) for out, x in plain.items()})
-    if cut_lineage:
-        df = materialize(df)
     C = chunk_rows or ema_chunk_rows([s for _, s in specs.values()])
-    pos = F.col(idx_col)
-    d = (df.withColumn("_ec", F.floor(pos / F.lit(C)).cast("long"))
-         .withColumn("_ei", pos % F.lit(C)))
-    i = F.col("_ei").cast("double")
-    run = Window.partitionBy(*keys, "_ec").orderBy("_ei").rowsBetween(Window.unboundedPreceding, 0)
-
-    parts = {}
-    for out, (x, span) in specs.items():
-        a = 2.0 / (span + 1)
-        lq = math.log1p(-a)
-        beta_log = lq * C
-        k = math.ceil(_UNDERFLOW / -beta_log) + 1
-        parts[out] = (x, a, lq, beta_log, k)
-
-    # Local value with zero carry-in: a * q^i * sum_j x_j q^(-j).
-    for out, (x, a, lq, _, _) in parts.items():
-        d = d.withColumn(f"_L_{out}", F.lit(a) * F.exp(F.lit(lq) * i)
-                         * F.sum(F.col(x) * F.exp(F.lit(-lq) * i)).over(run))
-
-    # Each full chunk's end value with zero carry-in, as a plain aggregate
-    # (only full chunks feed later ones, so the chunk length is C).
-    ends = df.withColumn("_ec", F.floor(pos / F.lit(C)).cast("long")).withColumn("_ei", pos % F.lit(C))
-    ends = ends.groupBy(*keys, "_ec").agg(*[
-        F.sum(F.lit(a) * F.col(x) * F.exp(F.lit(lq) * (F.lit(C - 1) - F.col("_ei").cast("double"))))
-        .alias(f"_B_{out}") for out, (x, a, lq, _, _) in parts.items()])
-    # The first value of the series acts as the end of a chunk -1 (y(-1) = x0).
-    first = df.filter(pos == 0).select(*keys, F.lit(-1).cast("long").alias("_ec"),
-                                       *[F.col(x).alias(f"_B_{out}") for out, (x, *_r) in parts.items()])
-    kmax = max(p[4] for p in parts.values())
-    # No carry past the series' last chunk: a long span costs no more than the chunks there are.
-    contrib = (ends.unionByName(first)
-               .withColumn("_last", F.max("_ec").over(Window.partitionBy(*keys))).filter("_ec < _last")
-               .withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                      F.least(F.lit(kmax - 1).cast("long"), F.col("_last") - F.col("_ec") - 1))))
-               .select(*keys, (F.col("_ec") + 1 + F.col("_d")).alias("_ec"),
-                       *[(F.col(f"_B_{out}") * F.exp(F.lit(p[3]) * F.col("_d").cast("double")))
-                         .alias(f"_C_{out}") for out, p in parts.items()]))
-    carries = contrib.groupBy(*keys, "_ec").agg(*[F.sum(f"_C_{out}").alias(f"_C_{out}") for out in parts])
-
-    d = d.join(carries, [*keys, "_ec"], "left")
-    for out, (x, a, lq, _, _) in parts.items():
-        d = d.withColumn(out, F.col(f"_L_{out}")
-                         + F.exp(F.lit(lq) * (i + 1.0)) * F.coalesce(F.col(f"_C_{out}"), F.lit(0.0)))
-    d = d.drop("_ec", "_ei", *[f"_L_{o}" for o in parts], *[f"_C_{o}" for o in parts])
-    return d.withColumns({out: F.col(x) for out, x in plain.items()}) if plain else d
+    return _scan(df, keys, [_Ema(out, x, span) for out, (x, span) in specs.items()], [], idx_col, C)
 
 
 def macd(df: DataFrame, keys, price: str, fast: int = 12, slow: int = 26, signal: int = 9,
          idx_col: str = IDX, chunk_rows: int | None = None) -> DataFrame:
-    """``macd`` = EMA(fast) - EMA(slow), ``signal`` = EMA(signal) of it,
-    ``histogram`` = macd - signal; both scans share one chunking."""
+    """``macd`` = EMA(fast) - EMA(slow), ``signal`` = EMA(signal) of it, ``histogram`` = macd - signal.
+
+    One scan with three values carried from chunk to chunk, and one checkpoint.  NULL prices repeat
+    ``macd``, and the signal goes on towards it; rows before the first price are NULL.
+    """
+    keys = _names(keys)
     C = chunk_rows or ema_chunk_rows([fast, slow, signal])
-    d = ema(df, keys, {"_ema_fast": (price, fast), "_ema_slow": (price, slow)}, idx_col, C)
-    d = d.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow")
-    d = ema(d, keys, {"signal": ("macd", signal)}, idx_col, C)
-    return d.withColumn("histogram", F.col("macd") - F.col("signal"))
+    f, s = _Ema("_ema_fast", price, fast), _Ema("_ema_slow", price, slow)
+    d = _scan(df, keys, [f, s], [_Signal("signal", f, s, signal)] if signal > 1 else [], idx_col, C)
+    d = d.withColumn("macd", F.col(f.out) - F.col(s.out)).drop(f.out, s.out)
+    if signal == 1:
+        d = d.withColumn("signal", F.col("macd"))
+    d = d.withColumn("histogram", F.col("macd") - F.col("signal"))
+    return d.select(*[c for c in d.columns if c not in ("macd", "signal", "histogram")], "macd", "signal", "histogram")
 
 
 def indicator_table(df: DataFrame, keys, ts: str, price: str, tie: str | None = None,

@@ -161,3 +161,48 @@ def test_ema_long_and_short_spans_against_recurrence(spark, chunk):
 def test_ema_of_span_one_alone(spark):
     df = spark.createDataFrame([("A", 0, 4.0), ("A", 1, 6.0)], "ticker string, _pos long, x double")
     assert sorted((r["_pos"], r.e) for r in ind.ema(df, "ticker", {"e": ("x", 1)}, "_pos").collect()) == [(0, 4.0), (1, 6.0)]
+
+
+def _pandas_macd(values, fast=12, slow=26, signal=9):
+    import pandas as pd
+    x = pd.Series(values, dtype="float64")
+    m = x.ewm(span=fast, adjust=False).mean() - x.ewm(span=slow, adjust=False).mean()
+    return m, m.ewm(span=signal, adjust=False).mean()
+
+
+@pytest.mark.parametrize("chunk", [None, 4, 25])
+def test_missing_prices_equal_pandas(spark, chunk):
+    """NULL and NaN prices: leading ones, long gaps over many chunks, trailing ones, none but NULL."""
+    import random
+
+    import pandas as pd
+    rnd = random.Random(23)
+    series = {"none": [None] * 30, "one": [None, None, 7.0, None], "first": [3.0] + [None] * 40,
+              "gap": [5.0, 6.0] + [None] * 60 + [9.0, 4.0, None, 8.0], "all": [rnd.uniform(1, 9) for _ in range(90)],
+              "nan": [float("nan"), 2.0, float("nan"), float("nan"), 5.0, 1.0, None, 3.0]}
+    for k in range(25):
+        share = rnd.choice([0.05, 0.5, 0.95])
+        series[f"r{k}"] = [None if rnd.random() < share else round(rnd.uniform(-50, 50), 2) for _ in range(rnd.choice([3, 40, 120]))]
+    df = spark.createDataFrame([(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)], "k string, _pos long, x double")
+    got = {(r.k, r["_pos"]): r for r in ind.macd(df, "k", "x", chunk_rows=chunk).collect()}
+    spans = {(r.k, r["_pos"]): r for r in ind.ema(df.withColumn("y", F.col("x") * 2), "k", {"a": ("x", 3), "b": ("y", 40), "c": ("x", 1)},
+                                                  chunk_rows=chunk).collect()}
+    assert len(got) == len(spans) == df.count()
+    for k, vs in series.items():
+        x = pd.Series(vs, dtype="float64")
+        m, s = _pandas_macd(vs)
+        a, b, c = (x * f for f in (1, 2, 1))
+        a, b, c = (v.ewm(span=n, adjust=False).mean() for v, n in ((a, 3), (b, 40), (c, 1)))
+        for i in range(len(vs)):
+            r, e = got[(k, i)], spans[(k, i)]
+            for have, want in ((r.macd, m[i]), (r.signal, s[i]), (r.histogram, m[i] - s[i]), (e.a, a[i]), (e.b, b[i]), (e.c, c[i])):
+                want = None if want != want else float(want)
+                assert (have is None) == (want is None) and (want is None or abs(have - want) <= 1e-9 * max(1.0, abs(want))), (k, i, have, want)
+
+
+def test_macd_plan_has_one_checkpoint(spark, monkeypatch):
+    from marketsig.operators import series
+    calls = []
+    monkeypatch.setattr(ind, "materialize", lambda d: calls.append(1) or series.materialize(d))
+    df = spark.createDataFrame([("a", i, float(i % 7)) for i in range(50)], "k string, _pos long, x double")
+    assert ind.macd(df, "k", "x", chunk_rows=6).count() == 50 and len(calls) == 1
