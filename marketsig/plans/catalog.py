@@ -461,7 +461,7 @@ def news_signals(spark: SparkSession, sf: str) -> DataFrame:
     (look-back widened to 24 h, double weight for the last 6 h)."""
     d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     ev = _events(spark, sf).select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"))
-    arts = d.join(ev, "doc_id").select(
+    arts = d.join(ev, "doc_id", "left").select(
         F.col("source").alias("ticker"), F.md5("text").alias("url"), F.col("text").alias("headline"),
         "created_at", F.lit(None).cast("timestamp_ntz").alias("published_at"), F.col("doc_id").alias("pos"),
         "doc_id", "lang", "n_chars")

@@ -383,14 +383,14 @@ ORACLE.update({
     "news_signals": """
 WITH a AS (SELECT d.doc_id, d.source AS ticker, d.lang, d.n_chars, d.text AS headline, md5(d.text) AS url,
                   e.ts AS created_at
-           FROM documents d JOIN events e ON e.event_id = d.doc_id),
+           FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id),
 p AS (SELECT * FROM a WHERE lang = 'en' AND n_chars < 300),
 s AS (SELECT * FROM a WHERE NOT (lang = 'en' AND n_chars < 300)),
 feed AS (SELECT * FROM p UNION ALL SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.ticker = s.ticker)),
 feed2 AS (SELECT * FROM feed WHERE coalesce(url, '') <> ''),
 ex AS (SELECT a.ticker, a.url, a.created_at, CAST(l.quality - l.toxic AS DOUBLE) AS sentiment_score
        FROM a LEFT JOIN labels l ON l.doc_id = a.doc_id WHERE a.lang = 'de'),
-first AS (SELECT * FROM feed2 QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at, doc_id) = 1),
+first AS (SELECT * FROM feed2 QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at NULLS FIRST, doc_id) = 1),
 new AS (SELECT * FROM first f WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.url = f.url)),""" + _LEX_SCORE + """,
 stored AS (SELECT ticker, url, created_at, sentiment_score FROM ex
            UNION ALL SELECT ticker, url, created_at, sentiment_score FROM scored),

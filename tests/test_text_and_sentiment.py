@@ -160,3 +160,21 @@ def test_weighted_random_against_brute_force(spark):
         assert abs(g.raw_score - raw) < 1e-9
         assert g.alert == (abs(g.raw_score) >= 0.7)
         assert g.direction == ("positive" if raw > 1e-12 else "negative" if raw < -1e-12 else g.direction)
+
+
+def test_lexicon_counts_of_odd_texts(spark):
+    """Empty ends, accents, digits, missing texts, one-class lexicons and columns named like the helper's own."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from marketsig.operators import sentiment
+    texts = [None, "", "...", "a", " gain", "gain ", "GAIN loss, gains! x", "é gain\nbeatsé", "beat1beats", "gain" * 3, "loss " * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumns({"tokens": F.lit("t"), "Hits": F.lit("h")})
+    for lexicon in (sentiment.DEFAULT_LEXICON, {"gain": "positive"}, {}):
+        out = sentiment.lexicon_counts(df, "text", lexicon)
+        assert out.columns == [*df.columns, "n_tokens", "n_pos", "n_neg"]
+        for r in out.collect():
+            words = re.findall("[a-z]+", (r.text or "").lower())
+            counts = [sum(lexicon.get(w) == c for w in words) for c in ("positive", "negative")]
+            assert (r.tokens, r.Hits, r.n_tokens, r.n_pos, r.n_neg) == ("t", "h", len(words), *counts), r
