@@ -85,22 +85,28 @@ def _bucket(df: DataFrame, ts: str, unit: str) -> Column:
     return F.floor(_micros(df, ts) / F.lit(UNIT_SECONDS[unit] * 1_000_000)).cast("long")
 
 
-def _levels(df: DataFrame, ts: str, tie: str | None) -> list[Column]:
+INTEGRAL = ("bigint", "int", "smallint", "tinyint")
+
+
+def _levels(df: DataFrame, ts: str, tie: str | Sequence[str] | None) -> list[Column]:
     """Bucket expressions, each refining the previous and non-decreasing
-    along (ts, tie): day, hour, minute, second, millisecond, timestamp, and
-    for an integral tie-breaker tie ranges and the tie itself."""
+    along (ts, tie, ...): day, hour, minute, second, millisecond, timestamp, and
+    for integral tie-breakers (up to the first other one) tie ranges and the tie itself."""
     micros = _micros(df, ts)
     out = [F.floor(micros / F.lit(86_400_000_000)).cast("long")]
     out += [F.floor(micros / F.lit(m)).cast("long") for m in _SUB_DAY_MICROS[:-1]] + [micros.cast("long")]
-    if tie is not None and dict(df.dtypes).get(tie) in ("bigint", "int", "smallint", "tinyint"):
-        t = F.col(tie).cast("long")
-        out += [F.shiftright(t, 20), F.shiftright(t, 10), t]
+    types = dict(df.dtypes)
+    for name in _names(tie or []):
+        if types.get(name) not in INTEGRAL:
+            break
+        t = F.col(name).cast("long")
+        out += [t] if types[name] == "tinyint" else [F.shiftright(t, 20), F.shiftright(t, 10), t]
     return out
 
 
 def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, order: Sequence[Column],
                           idx_col: str = IDX, size_col: str | None = None,
-                          max_block_rows: int = MAX_BLOCK_ROWS, tie: str | None = None) -> DataFrame:
+                          max_block_rows: int = MAX_BLOCK_ROWS, tie: str | Sequence[str] | None = None) -> DataFrame:
     """``index_series`` with blocks sized to the data.
 
     Rows are counted per (series, day) once -- a partial aggregate, kept as
@@ -111,7 +117,7 @@ def index_series_adaptive(df: DataFrame, keys: str | Sequence[str], ts: str, ord
     ``tie`` -- tie ranges and single rows, so any hot group splits.  The hot
     lists are broadcast; each holds at most total rows / ``max_block_rows``
     entries, so their size is bounded by construction.  ``order`` must be
-    ``(ts, tie)`` when ``tie`` is given, and start with ``ts`` otherwise.
+    ``(ts, tie)`` when ``tie`` is given (one column or several), and start with ``ts`` otherwise.
     """
     keys = _names(keys)
     levels = _levels(df, ts, tie)
