@@ -289,11 +289,13 @@ def timestamps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def softmax_label(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three embedding dimensions as class logits ->
+    """Every third embedding dimension summed into one class's logit ->
     probabilities, label (ties to the first class), confidence, signed score."""
-    e = table(spark, sf, "embeddings")
-    d = sentiment.classify(e, F.try_element_at("embedding", F.lit(1)), F.try_element_at("embedding", F.lit(2)),
-                           F.try_element_at("embedding", F.lit(3)))
+    def logit(cls: int):
+        own = F.filter("embedding", lambda x, i: i % 3 == cls)
+        return F.aggregate(own, F.lit(0.0), lambda total, x: total + x.cast("double"))
+
+    d = sentiment.classify(table(spark, sf, "embeddings"), *[logit(cls) for cls in range(3)])
     r = lambda c: X.py_round(c, 6).alias(c)
     return d.select("vec_id", r("p_negative"), r("p_neutral"), r("p_positive"), "sentiment",
                     r("confidence"), r("score"))

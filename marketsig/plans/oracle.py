@@ -231,8 +231,11 @@ SELECT event_id, published_at, coalesce(nullif(link, ''), url0) AS url,
 FROM g""",
 
     "softmax_label": """
-WITH l AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
-                  CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),""" + _softmax_select("vec_id"),
+WITH l AS (SELECT vec_id,
+                  list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 3 = 0), lambda x: CAST(x AS DOUBLE))) AS a,
+                  list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 3 = 1), lambda x: CAST(x AS DOUBLE))) AS b,
+                  list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 3 = 2), lambda x: CAST(x AS DOUBLE))) AS c
+           FROM embeddings),""" + _softmax_select("vec_id"),
 
     "lexicon_score": """
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS toks
