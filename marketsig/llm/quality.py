@@ -109,9 +109,9 @@ def _dictionary(texts: list[str], s: Settings) -> bytes:
     pieces, total = [], 0
     for t in texts:
         raw = t.encode()
+        if total + len(raw) > s.sample_bytes:  # a text too long for the rest of the bound leaves room for others
+            continue
         total += len(raw)
-        if total > s.sample_bytes:
-            break
         pieces += [raw[at: at + 2 * s.piece] for at in range(0, len(raw), 2 * s.piece)]
     try:
         return zstandard.train_dictionary(min(s.dictionary, max(512, sum(map(len, pieces)) // 8)), pieces).as_bytes()

@@ -189,3 +189,11 @@ def test_concatenation_equals_the_tokenizer(spark):
         cuts = {(r.sequence_id, r.doc_id, r.start) for r in concat.boundaries(spark.createDataFrame(got)).collect()}
         assert cuts == {(r.sequence_id, r.doc_id, r.start) for r in got if r.offset == 0 and r.start > 0}
     assert concat.pack(frame(spark, odd_rows()).limit(0)).count() == 0
+
+
+def test_one_long_labelled_text_does_not_empty_a_dictionary():
+    from marketsig.llm import quality
+
+    s = quality.Settings(sample_bytes=60_000)
+    rest = [f"the {i} quiet harbour keeps its boats {i * 7919 % 101} and ropes" for i in range(800)]
+    assert quality._dictionary(["x" * 70_000, *rest], s) == quality._dictionary(rest, s) != quality._dictionary([], s)
