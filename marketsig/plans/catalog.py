@@ -563,9 +563,10 @@ def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _table_stream(spark, sf, name):
-    """A file stream over one landed table of the folder."""
+    """A file stream over one landed table of the folder, a file or a folder of files.  The name is
+    given as a pattern: without one, Spark takes the path of a stream for a folder."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _stream_scores(spark, sf):
