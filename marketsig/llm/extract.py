@@ -1,10 +1,11 @@
 """Main-text extraction by wrappers inferred from the pages of a host.
 
-A page is a stream of container tags and blocks of text.  Per host, streams of a bounded sample of
-different pages are aligned one after the other into a wrapper, a union-free regular expression kept as a
-tree: a text that differs between pages becomes a slot, an element that some pages lack becomes optional,
-equal neighbours become one repeated group, and a page that shares less than half of its elements with
-every wrapper so far starts another.  Every page is then parsed by the wrapper it fits best.  Its main
+A page is a stream of container tags and blocks of text.  Per host, the streams of all its pages are
+aligned one after the other into a wrapper, a union-free regular expression kept as a tree: a text that
+differs between pages becomes a slot, an element that some pages lack becomes optional, equal neighbours
+become one repeated group, and a page that shares less than half of its elements with every wrapper so far
+starts another.  A host's pages are dealt over parts by their digests; the parts' wrappers are aligned in
+turn.  Every page is then parsed by the wrapper it fits best.  Its main
 text is what lies in the article element, or where it has none in the wrapper's main region, the element
 below which the slots hold the running text; texts that the wrapper knows as constant are left out, unless
 nothing else is left.  Names (tags, whole class, id and role names) say what inside the region is not
@@ -13,6 +14,7 @@ main text, and choose where slots do not.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -25,7 +27,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketsig.llm.common import stored
@@ -55,14 +57,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 @dataclass(frozen=True)
 class Settings:
-    """Pages of a host that its wrappers are fitted on (those of the smallest digests) and their greatest
-    length in characters and depth; different pages that show a constant text; bytes of wrappers that are
-    broadcast (more are joined by shuffle).  Every page is parsed, however long."""
+    """Levels of a page that shows its wrapper's elements (a deeper one shows nothing); different pages that
+    show a constant text, and how many are noted at an element; wrappers of a host (a page unlike all of so
+    many goes to the one most alike) and kids of an element that are told apart; parts that a host's pages
+    are dealt over; bytes of wrappers that are broadcast (more are joined by shuffle).  Wrappers are fitted
+    on every page and every page is parsed, however long."""
 
-    sample_pages: int = 24
-    sample_chars: int = 1 << 18
-    sample_depth: int = 100
+    depth: int = 100
     least_pages: int = 3
+    noted_pages: int = 8
+    most_wrappers: int = 24
+    most_kids: int = 512
+    parts: int = 64
     broadcast_bytes: int = 8 << 20
 
 
@@ -165,76 +171,127 @@ def events(html: str) -> Iterator[tuple]:
 
 
 # ------------------------------------------------------------ wrappers
-# A node is [label, kids, repeated, pages, crc, slot characters, link characters, heading, outside, main];
-# a text has the label "#" and a crc, None once it is a slot.
+# A node is [label, kids, repeated, pages, crc, slot characters, link characters, heading, outside, main, noted];
+# a text has the label "#" and a crc, None once it is a slot.  ``noted`` are the digests of pages that show it,
+# none a copy of another, ``pages`` their number.  The label "*" is for what is counted without a place.
 
-LABEL, KIDS, REPEATED, PAGES, CRC, CHARS, LINKS, HEADING, OUT, MAIN = range(10)
+LABEL, KIDS, REPEATED, PAGES, CRC, CHARS, LINKS, HEADING, OUT, MAIN, NOTED = range(11)
+#: By digest, the crcs of a page's texts that no outside name covers.
+Texts = dict[str, frozenset[int]]
 
 
-def _node(label: str, out: bool = False, main: bool = False) -> list:
-    return [label, [], False, 1, None, 0, 0, False, out, main]
+def _node(label: str, digest: str, out: bool = False, main: bool = False) -> list:
+    return [label, [], False, 1, None, 0, 0, False, out, main, [digest]]
 
 
-def tree(html: str, depth: int) -> tuple[list, set[int]] | None:
-    """The page as a tree with repeated neighbours folded, and the crcs of its texts that no outside name
-    covers; None when it is deeper."""
-    root = _node("")
+def tree(html: str, digest: str, s: Settings) -> tuple[list, Texts] | None:
+    """The page as a tree with repeated neighbours folded, and its texts; None when it is too deep or says nothing."""
+    root = _node("", digest)
     stack, said, outside = [root], set(), 0
+    texts: Texts = {digest: frozenset()}
     for e in events(html):
         if e[0] == "open":
-            if len(stack) > depth:
+            if len(stack) > s.depth:
                 return None
-            stack.append(_node(e[1], e[2], e[3]))
+            stack.append(_node(e[1], digest, e[2], e[3]))
             outside += e[2]
         elif e[0] == "close":
             node = stack.pop()
             outside -= node[OUT]
-            _append(stack[-1][KIDS], node)
+            node[KIDS] = _told_apart(node[KIDS], texts, s)
+            _append(stack[-1][KIDS], node, texts, s)
         else:
             crc = zlib.crc32(e[1].encode("utf-8", "replace"))
-            _append(stack[-1][KIDS], ["#", [], False, 1, crc, len(e[1]), e[2], e[3], False, False])
+            _append(stack[-1][KIDS], ["#", [], False, 1, crc, len(e[1]), e[2], e[3], False, False, [digest]], texts, s)
             if not outside:
                 said.add(crc)
-    return root, said
+    root[KIDS] = _told_apart(root[KIDS], texts, s)
+    return (root, {digest: frozenset(said)}) if said else None
 
 
 def _shape(node: list):
     return node[LABEL], tuple(_shape(k) for k in node[KIDS])
 
 
-def _append(kids: list[list], node: list) -> None:
+def _append(kids: list[list], node: list, texts: Texts, s: Settings) -> None:
     """Add a sibling; one like its neighbour makes that a repeated group."""
     last = kids[-1] if kids else None
     if last is not None and last[LABEL] == node[LABEL] and last[HEADING] == node[HEADING] and _shape(last) == _shape(node):
-        kids[-1] = _merge(last, node, 0)
+        kids[-1] = _merge(last, node, texts, s)
         kids[-1][REPEATED] = True
     else:
         kids.append(node)
 
 
-def _merge(a: list, b: list, pages: int) -> list:
-    """Two nodes of one label as one; ``pages`` more pages show it."""
+def _copies(a: frozenset[int], b: frozenset[int]) -> bool:
+    """Whether two pages have more than half of the larger one's texts in common."""
+    return 2 * len(a & b) > max(len(a), len(b))
+
+
+def _noted(a: list[str], b: list[str], texts: Texts, s: Settings) -> list[str]:
+    """Digests of pages of both lists, none a copy of another."""
+    if a == b or len(a) >= s.noted_pages:
+        return a
+    out = list(a)
+    for d in b:
+        if len(out) < s.noted_pages and d not in out and not any(_copies(texts[d], texts[o]) for o in out):
+            out.append(d)
+    return out
+
+
+def _merge(a: list, b: list, texts: Texts, s: Settings) -> list:
+    """Two nodes of one label as one."""
     out = list(a)
     out[REPEATED] = a[REPEATED] or b[REPEATED]
-    out[PAGES] = a[PAGES] + pages
+    out[NOTED] = _noted(a[NOTED], b[NOTED], texts, s)
+    out[PAGES] = len(out[NOTED])
     out[CRC] = a[CRC] if a[CRC] == b[CRC] else None
     out[CHARS], out[LINKS] = a[CHARS] + b[CHARS], a[LINKS] + b[LINKS]
     out[HEADING] = a[HEADING] or b[HEADING]
-    out[KIDS] = _align(a[KIDS], b[KIDS], pages)
+    out[KIDS] = _align(a[KIDS], b[KIDS], texts, s)
     return out
 
 
-def _align(a: list[list], b: list[list], pages: int) -> list[list]:
+def _align(a: list[list], b: list[list], texts: Texts, s: Settings) -> list[list]:
     """Sibling streams aligned by their longest common runs of labels: common ones merge, others are optional."""
     names = [[(k[LABEL], k[HEADING]) for k in kids] for kids in (a, b)]
+    if names[0] == names[1]:
+        return [_merge(x, y, texts, s) for x, y in zip(a, b)]
     out: list[list] = []
     for op, i, j, k, l in SequenceMatcher(None, *names, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [_merge(x, y, pages) for x, y in zip(a[i:j], b[k:l])]
+            out += [_merge(x, y, texts, s) for x, y in zip(a[i:j], b[k:l])]
         else:
             for node in [*a[i:j], *b[k:l]]:
-                _append(out, node)
-    return out
+                _append(out, node, texts, s)
+    return _told_apart(out, texts, s)
+
+
+def _told_apart(kids: list[list], texts: Texts, s: Settings) -> list[list]:
+    """``kids``, or where they are too many to align one by one, those of one label as one repeated group;
+    labels beyond that (names that change from page to page), those on the fewest pages first, are only counted."""
+    if len(kids) <= s.most_kids:
+        return kids
+    by: dict[tuple, list] = {}
+    for k in kids:
+        key = k[LABEL], k[HEADING] and k[LABEL] != "*"
+        if key in by:
+            by[key] = _merge(by[key], k, texts, s)
+            by[key][REPEATED] = True
+        else:
+            by[key] = k
+    out = list(by.values())
+    if len(out) <= s.most_kids:
+        return out
+    places = sorted(range(len(out)), key=lambda i: (out[i][LABEL] == "*", -out[i][PAGES], i))
+    kept = sorted(places[: s.most_kids // 2])
+    rest = ["*", [], True, 1, None, 0, 0, False, False, False, []]
+    for i in sorted(places[s.most_kids // 2:]):
+        chars, links, heading = _slots(out[i], s.least_pages)
+        rest[CHARS] += chars
+        rest[LINKS] += links
+        rest[HEADING] |= heading
+    return [*(out[i] for i in kept), rest]
 
 
 def _alike(wrapper: list, page: list) -> float:
@@ -252,29 +309,62 @@ def _alike(wrapper: list, page: list) -> float:
     return seen / total if total else 1.0
 
 
-def infer(pages: list[str], settings: Settings) -> list[list]:
-    """The wrappers of a host from sample pages.  A page that has more than half of its texts, or of an
-    earlier one's if that has more, in common with that one is a copy and shows nothing new."""
-    wrappers: list[list] = []
-    known: list[set[int]] = []
-    for html in pages:
-        made = tree(html, settings.sample_depth)
-        if made is None or any(2 * len(made[1] & k) > max(len(made[1]), len(k)) for k in known) or not made[1]:
-            continue
-        root, said = made
-        known.append(said)
-        scores = [_alike(w, root) for w in wrappers]
+class Fit:
+    """The wrappers of the pages seen so far, with the texts of the pages noted in them."""
+
+    def __init__(self, settings: Settings):
+        self.settings = settings
+        self.wrappers: list[list] = []
+        self.texts: Texts = {}
+        self.most_texts = 1_000
+
+    def add(self, root: list, texts: Texts, of_page: bool = True) -> None:
+        """Align a page's tree, or another fit's wrapper, with the wrapper most alike."""
+        s = self.settings
+        self.texts.update(texts)
+        scores = [_alike(w, root) if of_page else max(_alike(w, root), _alike(root, w)) for w in self.wrappers]
         best = max(range(len(scores)), key=scores.__getitem__, default=None)
-        if best is None or scores[best] < 0.5:
-            wrappers.append(root)
+        if best is None or (scores[best] < 0.5 and len(scores) < s.most_wrappers):
+            self.wrappers.append(root)
         else:
-            wrappers[best] = _merge(wrappers[best], root, 1)
-    return wrappers
+            self.wrappers[best] = _merge(self.wrappers[best], root, self.texts, s)
+        if len(self.texts) > self.most_texts:
+            self.forget()
+            self.most_texts = max(1_000, 2 * len(self.texts))
+
+    def forget(self) -> None:
+        """Drop the texts of pages that no element notes."""
+        held: set[str] = set()
+        stack = list(self.wrappers)
+        while stack:
+            node = stack.pop()
+            held.update(node[NOTED])
+            stack += node[KIDS]
+        self.texts = {d: t for d, t in self.texts.items() if d in held}
+
+    def written(self) -> str:
+        self.forget()
+        return json.dumps([self.wrappers, {d: sorted(t) for d, t in self.texts.items()}])
+
+
+def _read(written: str) -> tuple[list[list], Texts]:
+    roots, texts = json.loads(written)
+    return roots, {d: frozenset(t) for d, t in texts.items()}
+
+
+def infer(pages: list[str], settings: Settings) -> list[list]:
+    """The wrappers of a host from its pages.  A page that is a copy of another counts once at every element."""
+    fit = Fit(settings)
+    for html in pages:
+        made = tree(html, hashlib.md5(html.encode("utf-8", "replace")).hexdigest(), settings)
+        if made is not None:
+            fit.add(*made)
+    return fit.wrappers
 
 
 def _slots(node: list, least: int) -> tuple[int, int, bool]:
     """(characters, those in links, any heading) of the slots below a node, what names put outside left out."""
-    if node[LABEL] == "#":
+    if node[LABEL] in ("#", "*"):
         constant = node[CRC] is not None and node[PAGES] >= least
         return (0, 0, False) if constant else (node[CHARS], node[LINKS], node[HEADING])
     if node[OUT]:
@@ -294,7 +384,7 @@ def main_region(wrapper: list, least: int) -> list:
             return node
         best = max(range(len(sizes)), key=lambda i: sizes[i][0] - sizes[i][1])
         others = [s for i, s in enumerate(sizes) if i != best and s[0]]
-        if node[KIDS][best][LABEL] == "#" or not all(2 * n >= s or (10 * s < total and not h) for s, n, h in others):
+        if node[KIDS][best][LABEL] in ("#", "*") or not all(2 * n >= s or (10 * s < total and not h) for s, n, h in others):
             return node
         node = node[KIDS][best]
 
@@ -378,20 +468,60 @@ def main_text(html: str, parsers: list[Parser]) -> str:
 
 
 def wrappers(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, wrappers): the wrappers of each host as JSON, fitted on its sample of different pages."""
+    """(host, wrappers): the wrappers of each host as JSON, fitted on all its pages.
+
+    Pages become trees, which hold labels and crcs, no texts; those of a host are dealt over parts by their
+    digests, aligned in the order of these, and the parts' wrappers in the order of the parts, so that the
+    result does not depend on where the rows lie."""
     s = settings
-    rows = (pages.select(host_of().alias("host"), "html").filter(F.length("html").between(1, s.sample_chars))
-            .withColumn("digest", F.md5("html")))
-    first = Window.partitionBy("host").orderBy("digest")
-    chosen = stored(rows.select("host", "digest").distinct().withColumn("_n", F.row_number().over(first))
-                    .filter(F.col("_n") <= s.sample_pages).drop("_n"), "sample")  # its known size lets Spark broadcast it
-    sample = rows.join(chosen, ["host", "digest"], "left_semi").groupBy("host", "digest").agg(F.first("html").alias("html"))
+    rows = pages.select(host_of().alias("host"), "html").filter(F.length("html") > 0).withColumn("digest", F.md5("html"))
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [tree(html.as_py(), digest.as_py(), s) for html, digest in zip(batch.column("html"), batch.column("digest"))]
+            known = [m is not None for m in made]
+            shown = [json.dumps([[root], {d: sorted(t) for d, t in texts.items()}]) for root, texts in filter(None, made)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(known, pa.bool_())) for c in ("host", "digest")] + [pa.array(shown, pa.string())],
+                                             names=["host", "digest", "wrappers"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, made = None, None, Fit(s)  # host and part, digest, their wrappers
 
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        made = infer(group.sort_values("digest")["html"].tolist(), s)
-        return pd.DataFrame({"host": [key[0]], "wrappers": [json.dumps(made)]})
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int32()), pa.array([made.written()], pa.string())],
+                                              names=["host", "part", "wrappers"])
 
-    return sample.groupBy("host").applyInPandas(fit, "host string, wrappers string")
+        for batch in batches:
+            for host, part, digest, shown in zip(*(batch.column(c) for c in ("host", "part", "digest", "wrappers"))):
+                key, digest = (host.as_py(), part.as_py()), digest.as_py()
+                if key != now:
+                    if now is not None:
+                        yield done()
+                    now, last, made = key, None, Fit(s)
+                if digest != last:  # an exact copy shows nothing new
+                    (root,), texts = _read(shown.as_py())
+                    made.add(root, texts)
+                last = digest
+        if now is not None:
+            yield done()
+
+    def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:  # at most ``parts`` rows
+        made = Fit(s)
+        for shown in group.sort_values("part")["wrappers"]:
+            roots, texts = _read(shown)
+            for root in roots:
+                made.add(root, texts, of_page=False)
+        return pd.DataFrame({"host": [key[0]], "wrappers": [json.dumps([_without_notes(w) for w in made.wrappers])]})
+
+    part = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(s.parts)).cast("int")
+    shown = (rows.mapInArrow(trees, "host string, digest string, wrappers string").withColumn("part", part)
+             .select("host", "part", "digest", "wrappers").repartition("host", "part").sortWithinPartitions("host", "part", "digest"))
+    return (shown.mapInArrow(fit, "host string, part int, wrappers string")
+            .groupBy("host").applyInPandas(join, "host string, wrappers string"))
+
+
+def _without_notes(node: list) -> list:
+    return [*node[:KIDS], [_without_notes(k) for k in node[KIDS]], *node[KIDS + 1: NOTED]]
 
 
 def host_of():
@@ -404,7 +534,7 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     White space in a block becomes one space, blocks are joined by a line feed.  A null or empty
     html, or one without main text, gives an empty text; a null url belongs to the empty host.  Copies of a
-    page count once in the sample, and a host's only page is its own wrapper, in which every text is a slot.
+    page count once in its wrapper, and a host's only page is its own wrapper, in which every text is a slot.
     Repeated rows give repeated results; other columns are ignored.
     """
     s = settings

@@ -107,3 +107,32 @@ def test_extraction_runs_by_host(spark):
     by = {r.page_id: r.text for r in got}
     assert all(by[i].split("\n")[1:] == story for i, _, _, story in pages)
     assert by[50] == by[None] == "" and set(pages[1][3]) < set(by[51].split("\n"))
+
+
+def test_wrappers_are_fitted_on_every_page(spark):
+    """What only a few pages of many show, long ones too, is known to the host's wrapper."""
+    rng = random.Random(7)
+    note = '<div class="box">This story is part of a series</div>'
+    pages = [(i, "http://h.example/", *_page(rng, note if i % 30 == 0 else "")) for i in range(150)]
+    long = "".join(f"<p>{_words(rng, 60)}</p><h2>{_words(rng, 3)}</h2>" for _ in range(700))
+    pages.append((150, "http://h.example/", *(x if k else x.replace("<h1>", long + "<h1>") for k, x in enumerate(_page(rng)))))
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text.split("\n") for r in extract.extract(df).collect()}
+    assert all(got[i][1:] == story for i, _, _, story in pages[:150])  # the note is constant, though on five pages only
+    assert len(got[150]) > 1_400
+    made = extract.wrappers(df).first().wrappers
+    assert made == extract.wrappers(df.repartition(2, "html")).first().wrappers
+
+
+def test_many_kids_are_counted_and_copies_of_any_page_show_nothing():
+    rng = random.Random(8)
+    few = Settings(most_kids=16)
+    own = [_page(rng, f'<div class="{w}">{_words(rng, 8)}</div>') for w in WORDS]  # a name of each page
+    made = infer([h for h, _ in own], few)
+    assert all(len(k[KIDS]) <= 16 for w in made for k in [w, *w[KIDS]])
+    for html, story in own:
+        assert main_text(html, [extract.Parser(w, few.least_pages) for w in made]).split("\n")[-len(story):] == story
+    said = _words(rng, 12)
+    html, story = _page(rng, f'<div class="said">{said}</div>')
+    pages = [_page(rng)[0] for _ in range(40)] + [html.replace("</table>", f"</table><i>{i}</i>") for i in range(5)]
+    assert said in main_text(pages[-1], _parsers(pages)).split("\n")
