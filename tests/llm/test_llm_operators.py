@@ -454,3 +454,24 @@ def test_edit_distances_equal_the_table():
     assert lines.edit_distances(left, right).tolist() == want
     assert lines.edit_distances(left, right, longest=10).tolist() == want
     assert lines.edit_distances(left, right, alphabet=2, at_once=7).tolist() == want
+
+
+def test_edit_distances_within_a_limit():
+    import random
+    rng = random.Random(5)
+    left, right = [], []
+    for size in (0, 1, 63, 64, 150, 400, 900, 2100):
+        for _ in range(40):
+            a = [rng.choice("abcdeé ") for _ in range(size)]
+            b = a[rng.randint(0, 40):] if rng.random() < 0.7 else [rng.choice("abcdeé ") for _ in range(size)]
+            for _ in range(rng.randint(0, size // 3)):
+                at = rng.randrange(len(b) + 1)
+                b[at: at + rng.randint(0, 2)] = rng.choice([[], ["x"], ["y", "z"]])
+            left.append("".join(a))
+            right.append("".join(b))
+    want = lines.edit_distances(left, right)
+    for percent in (0, 3, 20, 60):
+        limit = lines.np.array([percent * max(len(a), len(b)) // 100 for a, b in zip(left, right)])
+        for more in ({}, {"longest": 300}, {"at_once": 50}, {"alphabet": 2}):
+            got = lines.edit_distances(left, right, limit=limit, **more)
+            assert [g if g <= n else None for g, n in zip(got, limit)] == [w if w <= n else None for w, n in zip(want, limit)]
