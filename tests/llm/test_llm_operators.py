@@ -475,3 +475,48 @@ def test_edit_distances_within_a_limit():
         for more in ({}, {"longest": 300}, {"at_once": 50}, {"alphabet": 2}):
             got = lines.edit_distances(left, right, limit=limit, **more)
             assert [g if g <= n else None for g, n in zip(got, limit)] == [w if w <= n else None for w, n in zip(want, limit)]
+
+
+def test_band_members_of_large_keys(spark, monkeypatch):
+    """Against keys held whole, with large keys that pass as they come and with ids that come twice."""
+    np, s = lines.np, lines.Settings(bands=5)
+    rng = np.random.default_rng(1)
+    low = rng.integers(0, 1 << 16, (60, s.rows * lines.CHOICE)).astype(np.uint16)
+    low[10:40] = low[10]  # one large set of classes in every band
+    low[45, :] = low[44, :]
+    rows = [(i, 7, low[i].tobytes()) for i in range(60)]
+    rows += rows[5:20] + [(99, 7, None)]
+    table_ = spark.createDataFrame(rows, "id long, chars int, low binary").repartition(3)
+    keys = lines.band_keys(low, s)
+    want = {frozenset(np.flatnonzero(keys[:, b] == k).tolist()) for b in range(s.bands) for k in keys[:, b]}
+    want = {w for w in want if len(w) > 1}
+    for most in (1 << 16, 1):
+        monkeypatch.setattr(lines, "HELD", most)
+        found = {}
+        for r in lines.band_members(table_, s).collect():
+            found.setdefault(r.key, []).append(r.id)
+        assert all(len(ids) == len(set(ids)) for ids in found.values())
+        assert {frozenset(ids) for ids in found.values() if len(ids) > 1} == want
+        assert len(found) == 2 if most > 1 else len(found) >= 2
+
+
+def test_first_pairs_of_a_key_meet_the_cheap_condition(spark, tmp_path):
+    """Pairs that cannot link are not handed on, and a link that only another pair of the key has is kept."""
+    from pyspark.sql import functions as F
+    from marketsig.llm import linking
+    path = str(tmp_path / "members")
+    spark.createDataFrame([(1, 1, 10), (1, 2, 100), (1, 3, 90), (1, 4, 11), (2, 5, 10), (2, 6, 50)],
+                          "key long, id long, chars int").write.parquet(path)
+    tried = []
+
+    def verify(pairs):
+        tried.extend(sorted(tuple(r) for r in pairs.collect()))
+        return pairs
+
+    def near(x, y):
+        n, m = F.col(f"{x}chars"), F.col(f"{y}chars")
+        return 100 * F.least(n, m) >= 80 * F.greatest(n, m)
+
+    got = linking.groups(spark.read.parquet(path), verify, near).collect()
+    assert tried == [(1, 4), (2, 3)]
+    assert {(r.id, r.component) for r in got} == {(1, 1), (4, 1), (2, 2), (3, 2)}
