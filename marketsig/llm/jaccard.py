@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketsig.llm.common import PLAIN, flat_ngrams, ngrams, parts, slices, stored, texts_of, word_hashes
+from marketsig.llm.common import PLAIN, flat_ngrams, ngrams, parts, scratch, slices, stored, texts_of, word_hashes
 from marketsig.llm.linking import groups, with_ids
 
 PARTS = 64  # rows that the count table is summed in
@@ -201,8 +201,9 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without the documents that are linked to one of smaller doc_id, directly or through
     others.  Rows without doc_id stay; repeated rows of a document, equal in id and text, become one,
     that whose other columns sort first.  Column names do not matter."""
-    found = linked_groups(docs, settings)
-    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("gone")).distinct(), "near-copies")
+    with scratch():
+        found = linked_groups(docs, settings)
+        gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("gone")).distinct(), "near-copies", outlives=1)
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
     ids = left.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
     ids = stored(ids, "repeated-ids")

@@ -520,3 +520,21 @@ def test_first_pairs_of_a_key_meet_the_cheap_condition(spark, tmp_path):
     got = linking.groups(spark.read.parquet(path), verify, near).collect()
     assert tried == [(1, 4), (2, 3)]
     assert {(r.id, r.component) for r in got} == {(1, 1), (4, 1), (2, 2), (3, 2)}
+
+
+def test_components_end_at_stars(spark):
+    from marketsig.llm import linking
+    import random
+    rng = random.Random(3)
+    for pairs in ([], [(1, 1)], [(1, 2), (1, 3)], [(i, i + 1) for i in range(40)], [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]):
+        root = {x: x for p in pairs for x in p}
+
+        def least(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for a, b in pairs:
+            low, high = sorted((least(a), least(b)))
+            root[high] = low
+        got = [(r.id, r.component) for r in linking.components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+        assert sorted(got) == sorted((x, least(x)) for x in {x for a, b in pairs if a != b for x in (a, b)})
