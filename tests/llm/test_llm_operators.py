@@ -522,6 +522,84 @@ def test_first_pairs_of_a_key_meet_the_cheap_condition(spark, tmp_path):
     assert {(r.id, r.component) for r in got} == {(1, 1), (4, 1), (2, 2), (3, 2)}
 
 
+def test_stored_tables_and_shuffles_go_when_they_are_used(spark):
+    import glob
+    import time
+    from marketsig.llm import common
+    from marketsig.session import checkpoint_root
+    root = checkpoint_root(spark).replace("file:", "", 1)
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def tables():
+        return set(os.listdir(f"{root}/marketsig")) if os.path.isdir(f"{root}/marketsig") else set()
+
+    def shuffles():
+        return {x for f in folders for x in glob.glob(f"{f}/*/shuffle_*")}
+
+    before = tables()
+    with common.scratch():
+        with common.scratch():
+            outer = common.stored(spark.range(100), "outer", outlives=1)
+            common.stored(spark.range(100), "inner")
+            assert len(tables() - before) == 2
+        assert len(tables() - before) == 1 and outer.count() == 100
+        last = common.stored(outer, "last", outlives=1)
+    assert len(tables() - before) == 1 and last.count() == 100
+    rows = [(i, f"the very same line of words for all\nanother line {w} of words that is near") for i, w in enumerate(("alpha", "alpho", "gamma"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = tables()
+    out = lines.line_groups(docs, lines.EDITS)
+    assert {x.rsplit("-", 3)[0] for x in tables() - before} == {"distinct-lines", "grouped-lines", "keepers"}
+    assert out.count() == 6
+    before = tables()
+    left = lines.dedup(docs, lines.EDITS)
+    assert {x.rsplit("-", 3)[0] for x in tables() - before} == {"cut-lines"} and left.count() == 1
+    before = shuffles()
+    common.stored(spark.range(1000).repartition(3, "id"), "dealt")
+    for _ in range(100):  # they go soon after the write
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+
+
+def test_band_members_leave_out_unlike_lengths_and_alike_members_unlike_hashes(spark, monkeypatch):
+    """Of a key, only classes stay that have a partner of like length and enough equal MinHashes; large keys pass whole."""
+    np, s = lines.np, lines.Settings(bands=24)
+    low = np.arange(8 * s.rows * lines.CHOICE, dtype=np.uint16).reshape(8, -1) + 1
+    chosen = [r * lines.CHOICE for r in range(s.rows)]  # the MinHashes of the first band
+    low[:, chosen] = low[0, chosen]
+    low[1, [1, 2, 3]] = low[0, [1, 2, 3]]  # seven equal ones
+    low[5, [1, 2, 3]] = low[4, [1, 2, 3]]
+    chars = [100, 90, 95, 105, 10, 11, 50, 300]
+    table_ = spark.createDataFrame([(i, chars[i], low[i].tobytes()) for i in range(8)], "id long, chars int, low binary").repartition(2)
+    members = lines.stored(lines.band_members(table_, s), "members")
+    found = {}
+    for r in members.collect():
+        found.setdefault(r.key, []).append((r.id, r.size))
+    assert sorted(sorted(v) for v in found.values()) == [[(0, 4), (1, 4), (2, 4), (3, 4)], [(4, 2), (5, 2)]]
+    hashes = table_.select("id", "low")
+
+    def alike():
+        got = {}
+        for r in lines.alike_members(members, hashes, s).collect():
+            got.setdefault(r.key, set()).add(r.id)
+        return sorted(map(sorted, got.values()))
+    assert alike() == [[0, 1], [4, 5]]
+    monkeypatch.setattr(lines, "FEW", 3)
+    assert alike() == [[0, 1, 2, 3], [4, 5]]
+
+
+def test_lines_of_travel_alone(spark):
+    """Wanted lines come whole, with hardly another one, whatever their bytes."""
+    docs = spark.createDataFrame([(i, f"a{i}\n\nb{i} é\n") for i in range(-500, 500)] + [(1000, None)], "doc_id long, text string")
+    wanted = spark.createDataFrame([(i, k) for i in range(-500, 500, 100) for k in (0, 2, 3)], "doc_id long, line int")
+    got = {(r.doc_id, r.line): r.value for r in lines.lines_of(docs, wanted).collect()}
+    assert all(got[i, 0] == f"a{i}" and got[i, 2] == f"b{i} é" and got[i, 3] == "" for i in range(-500, 500, 100))
+    assert len(got) <= 60
+    assert lines.lines_of(docs, wanted.limit(0)).count() == 0
+
+
 def test_components_end_at_stars(spark):
     from marketsig.llm import linking
     import random
